@@ -237,7 +237,7 @@ def enrichment_requests(spark, d):
 
 # --- homepage candidates: every page offers itself to the organization with its number
 @query("best_homepage", f"""
-WITH n AS (SELECT count(*) AS n FROM org), c AS (SELECT page_id % 97 AS org_id, page_id AS seq, url,
+WITH c AS (SELECT page_id % 97 AS org_id, page_id AS seq, url,
   CASE WHEN starts_with(url, 'https://') THEN 0.9E0 WHEN starts_with(url, 'http://') THEN 0.7E0 ELSE 0.0E0 END AS confidence FROM pages),
 r AS (SELECT *, row_number() OVER (PARTITION BY org_id ORDER BY confidence DESC, seq) AS rn FROM c)
 SELECT org_id, seq, url, confidence FROM r WHERE rn = 1""")

@@ -11,7 +11,7 @@ from orgloom.sources.tables import cte
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-SECTIONS = ("coverage", "queues")
+SECTIONS = ("coverage", "queues", "rules")
 ORACLES: dict[str, str] = {}
 
 

@@ -70,7 +70,8 @@ def main(path: str, only: list[str]) -> int:
     con = connect(path)
     sqls, bad = entry.oracle_sql(), 0
     for name, fn in entry.queries().items():
-        if only and not any(name == o or (o.endswith("*") and name.startswith(o[:-1])) for o in only):
+        if only and not any(name == o or (o.endswith("*") and name.startswith(o[:-1]))
+                            or fn.__module__.endswith("plans." + o) for o in only):
             continue
         start = time.time()
         try:
