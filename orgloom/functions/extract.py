@@ -58,7 +58,7 @@ def emails(text: Column | str, patterns: list[str] = V.EMAIL_PATTERNS) -> Column
 
 def addresses(text: Column | str) -> Column:
     text = _c(text)
-    return keep(_guard(text, "[시군구동로길]", all_matches(text, V.ADDRESS_PATTERNS, "(?im)")), A.clean_address)
+    return keep(_guard(text, "[시군구동로길]", all_matches(text, V.ADDRESS_PATTERNS, "(?im)")), lambda x: A.clean_address(x))
 
 
 def websites(text: Column | str) -> Column:
@@ -117,7 +117,7 @@ def helper_urls(text: Column | str) -> Column:
 
 def helper_addresses(text: Column | str) -> Column:
     """Lines with two or more address words."""
-    lines = F.transform(F.split(_c(text), "\n"), F.trim)
+    lines = F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x))
 
     def enough(line: Column) -> Column:
         return sum((line.contains(w).cast("int") for w in V.ADDRESS_WORDS), F.lit(0)) >= 2

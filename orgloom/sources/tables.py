@@ -85,7 +85,47 @@ SELECT event_id, user_id AS organization_id, ts, 'job' || CAST(event_id % 7 AS S
   CASE WHEN event_id % 3 = 0 THEN '' ELSE '02-' || lpad(CAST(event_id % 1000 AS STRING), 3, '0') || '-' || lpad(CAST((event_id * 13) % 10000 AS STRING), 4, '0') END AS phone,
   value AS processing_time FROM events"""
 
-VIEWS = {"users": _USERS, "activities": _ACTIVITIES, "metrics": _METRICS, "health": _HEALTH, "results": _RESULTS}
+# newest completed crawl result per organization, with values to write back: blanks,
+# NULLs, well-formed and broken ones
+_FOUND = """
+SELECT id, event_id, found_at, name, phone, fax, email, homepage, processing_time FROM (
+  SELECT user_id AS id, event_id, ts AS found_at, 'Customer#' || lpad(CAST(user_id * 11 AS STRING), 9, '0') AS name,
+    CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 11 = 0 THEN 'call us' ELSE '02-' || lpad(CAST(event_id % 1000 AS STRING), 3, '0') || '-' || lpad(CAST((event_id * 13) % 10000 AS STRING), 4, '0') END AS phone,
+    CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' ELSE '031-' || lpad(CAST((event_id * 7) % 1000 AS STRING), 3, '0') || '-' || lpad(CAST((event_id * 17) % 10000 AS STRING), 4, '0') END AS fax,
+    CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'broken@' ELSE 'mail' || CAST(event_id AS STRING) || '@found.co.kr' END AS email,
+    CASE event_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'found' || CAST(event_id AS STRING) || '.kr' ELSE 'https://found' || CAST(event_id AS STRING) || '.kr' END AS homepage,
+    value AS processing_time,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn
+  FROM events WHERE event_type <> 'error' AND event_type <> 'view') x
+WHERE rn = 1"""
+
+VIEWS = {"found": _FOUND, "users": _USERS, "activities": _ACTIVITIES, "metrics": _METRICS, "health": _HEALTH, "results": _RESULTS}
+
+# texts: the documents plus one contact card per organization
+_TEXTS = """
+SELECT doc_id AS id, text FROM documents
+UNION ALL SELECT 1000000000 + id, name || chr(10) || '주소: ' || coalesce(address, '') || chr(10) || '전화: ' || coalesce(phone, '') || ' / 팩스: ' || coalesce(fax, '')
+  || chr(10) || '이메일: ' || coalesce(email, '') || chr(10) || '홈페이지: ' || coalesce(homepage, '') || chr(10) || '담당자 ' || coalesce(phone, '')
+  || ' 우편번호 ' || lpad(CAST((id * 7919) % 100000 AS STRING), 5, '0') || chr(10) || 'Tel ' || coalesce(phone, '') || ' fax ' || coalesce(fax, '') FROM org"""
+
+# HTML: the pages plus one page per organization with meta tags, a footer, links and JSON-LD
+_HTMLS = """
+SELECT page_id AS id, url, html FROM pages
+UNION ALL SELECT 1000000000 + id, 'https://org' || CAST(id AS STRING) || '.or.kr/main/index.html?x=1',
+  '<html><head><title> ' || name || ' &amp; more </title><meta name="description" content="About ' || name || '"><meta content="k' || CAST(id AS STRING) || ',org" name="keywords">'
+  || '<meta property="og:title" content="' || name || '"><script type="application/ld+json">{"@type": "' || CASE WHEN type = 'CHURCH' THEN 'Organization' WHEN type = 'SCHOOL' THEN 'Thing' ELSE 'LocalBusiness' END
+  || '", "telephone": "' || coalesce(phone, '') || '", "faxNumber": "' || coalesce(fax, '') || '", "url": "' || coalesce(homepage, '') || '"}</script><style>p {margin: 0}</style></head><body><nav><a href="/contact">연락처</a>'
+  || '<a class="n" href="about.html">About</a><a href="https://map.example.org/' || CAST(id AS STRING) || '">오시는길 <b>지도</b></a></nav><main><p>' || name || ' welcomes you. ' || repeat('Open all week. ', CAST(id % 20 AS INT))
+  || '</p></main><div class="contact-info">전화 ' || coalesce(phone, '') || ' 팩스: ' || coalesce(fax, '') || '</div><footer>' || coalesce(address, '') || '</footer></body></html>' FROM org"""
+
+# free-text replies: conversation turns plus replies that hold a block or key lines
+_REPLIES = """
+SELECT conv_id * 1000 + turn AS id, text FROM conversations
+UNION ALL SELECT 1000000000 + id, CASE WHEN type = 'CHURCH' THEN 'Result:' || chr(10) || '```json' || chr(10) || '{"summary": "About ' || name || '", "category": "' || category || '", "main_services": ["a", "b", "c", "d"]}' || chr(10) || '```' || chr(10) || 'done'
+  WHEN type = 'ACADEMY' THEN 'Here {"summary": "About ' || name || '", "category": "' || category || '"} end'
+  WHEN type = 'PUBLIC' THEN 'SUMMARY: About ' || name || chr(10) || 'CATEGORY: ' || category || chr(10) || 'SERVICES: [x, y]' ELSE 'Nothing known about ' || name END FROM org"""
+
+OVER_ORG = {"texts": _TEXTS, "htmls": _HTMLS, "replies": _REPLIES}
 
 # as_of moments for time-relative queries (the data has no "now")
 AS_OF_ORG = "2001-08-02 00:00:00"
@@ -99,7 +139,7 @@ def cte(*names: str) -> str:
         if name == "org":
             parts += [f"lo AS ({_LO})", f"b AS ({_B})", f"org AS ({_ORG})"]
         else:
-            parts.append(f"{name} AS ({VIEWS[name]})")
+            parts.append(f"{name} AS ({VIEWS.get(name) or OVER_ORG[name]})")
     return "WITH " + ",\n".join(parts)
 
 
@@ -114,6 +154,8 @@ def given(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def view(spark: SparkSession, path: str, name: str) -> DataFrame:
+    if name in OVER_ORG:
+        return spark.sql(_for_spark(f"WITH lo AS ({_LO}), b AS ({_B}), org AS ({_ORG}) {OVER_ORG[name]}", path))
     return spark.sql(_for_spark(VIEWS[name], path))
 
 
