@@ -11,7 +11,7 @@ from orgloom.sources.tables import cte
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-SECTIONS = ("coverage", "queues", "rules", "matching", "updates", "extraction")
+SECTIONS = ("coverage", "queues", "rules", "matching", "updates", "extraction", "metrics")
 ORACLES: dict[str, str] = {}
 
 
@@ -25,7 +25,9 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ("org",)) -
         if sql is not None:
             text = sql.strip()
             if uses:
-                head = cte(*uses)
+                recursive = text.startswith("WITH RECURSIVE ")
+                text = "WITH " + text[15:] if recursive else text
+                head = cte(*uses).replace("WITH ", "WITH RECURSIVE ", 1) if recursive else cte(*uses)
                 text = f"{head},\n{text[5:]}" if text.startswith("WITH ") else f"{head}\n{text}"
             ORACLES[name] = text
         return fn
