@@ -11,7 +11,7 @@ from orgloom.sources.tables import cte
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-SECTIONS = ("coverage", "queues", "rules", "matching", "updates", "extraction", "metrics", "ingest")
+SECTIONS = ("coverage", "queues", "rules", "matching", "updates", "extraction", "metrics", "ingest", "streams")
 ORACLES: dict[str, str] = {}
 
 
