@@ -104,7 +104,9 @@ def source_profile(sources: Mapping[str, DataFrame], order: str = "id", samples:
     """Per source: rows, columns and the first rows as JSON."""
     out = None
     for name, df in sources.items():
-        first = df.orderBy(order).limit(samples).agg(F.to_json(F.sort_array(F.collect_list(F.struct(order, F.to_json(F.struct("*")).alias("row"))))["row"]).alias("sample"))
+        row = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+        picked = df.orderBy(order).limit(samples).select(F.struct(order, row.alias("row")).alias("r"))
+        first = picked.agg(F.array_join(F.sort_array(F.collect_list("r"))["row"], "\n").alias("sample"))
         count = df.select(F.count("*")).scalar()
         row = first.select(F.lit(name).alias("source"), count.alias("row_count"), F.lit(",".join(df.columns)).alias("columns"), "sample")
         out = row if out is None else out.unionByName(row)

@@ -98,7 +98,10 @@ def extract_contacts_helper(spark, d):
     return joined(E.extract_contacts_helper(T.view(spark, d, "texts")).drop("urls"))
 
 
-@query("extract_urls_helper")
+_URL_RE2 = r"(?i)https?://[-\p{L}\p{M}\p{N}\p{Pc}.]+(?:[:\d]+)?(?:/[\p{L}\p{M}\p{N}\p{Pc}/.]*(?:\?[\p{L}\p{M}\p{N}\p{Pc}&=%.]*)?(?:#[\p{L}\p{M}\p{N}\p{Pc}.]*)?)?"
+
+
+@query("extract_urls_helper", f"SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{_URL_RE2}'))), '|') AS urls FROM texts", uses=TEXTS)
 def extract_urls_helper(spark, d):
     return joined(E.extract_contacts_helper(T.view(spark, d, "texts")).select("id", "urls"))
 

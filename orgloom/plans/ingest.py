@@ -199,6 +199,18 @@ def exclude_and_reorder(spark, d):
     return I.exclude_and_reorder(o)
 
 
-@query("source_profile")
+def _source_sql(name: str, columns: list[str]) -> str:
+    packed = "{" + ", ".join(f"{x}: {x}" for x in columns) + "}"
+    return (f"SELECT '{name[0]}' AS source, (SELECT count(*) FROM {name[1]}) AS row_count, '{','.join(columns)}' AS columns, "
+            f"(SELECT string_agg(to_json({packed})::VARCHAR, chr(10) ORDER BY id) FROM (SELECT * FROM {name[1]} ORDER BY id LIMIT 3)) AS sample")
+
+
+USER_COLUMNS = ["id", "username", "full_name", "role", "team", "is_active"]
+ACTIVITY_COLUMNS = ["id", "organization_id", "activity_type", "subject", "is_completed"]
+
+
+@query("source_profile", " UNION ALL ".join([_source_sql(("organizations", "org"), ["id", *TEXT]), _source_sql(("users", "users"), USER_COLUMNS),
+                                             _source_sql(("activities", "activities"), ACTIVITY_COLUMNS)]), uses=("org", "users", "activities"))
 def source_profile(spark, d):
-    return I.source_profile({"organizations": T.organizations(spark, d).select("id", *TEXT), "users": T.view(spark, d, "users"), "activities": T.view(spark, d, "activities")})
+    return I.source_profile({"organizations": T.organizations(spark, d).select("id", *TEXT), "users": T.view(spark, d, "users").select(*USER_COLUMNS),
+                             "activities": T.view(spark, d, "activities").select(*ACTIVITY_COLUMNS)})

@@ -225,7 +225,8 @@ def text_category(spark, d):
     return T.given(spark, d, "documents").select("doc_id", S.text_category(c("text")).alias("category"))
 
 
-@query("text_clean")
+@query("text_clean", r"""
+SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\s\x{85}\x{A0}\p{Z}]+', ' ', 'g'), '[^\p{L}\p{M}\p{N}\p{Pc}\s.-]', '', 'g')) AS cleaned FROM documents""", uses=())
 def text_clean(spark, d):
     return T.given(spark, d, "documents").select("doc_id", VD.clean_text("text").alias("cleaned"))
 
@@ -346,7 +347,8 @@ def record_rules(spark, d):
     return orgs.select("id", F.array_join(VD.record_errors(last_year=2001), ",").alias("errors"))
 
 
-@query("date_coercion")
+@query("date_coercion", """
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts END AS text, CASE WHEN event_id % 7 = 0 THEN '{}' ELSE props END AS json FROM events""", uses=())
 def date_coercion(spark, d):
     raw = T.given(spark, d, "events").select("event_id", F.when(c("event_id") % 10 == 0, "not a date").otherwise(c("ts").cast("string")).alias("text"),
                                              F.when(c("event_id") % 7 == 0, "{broken").otherwise(c("props")).alias("json"))
