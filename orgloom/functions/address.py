@@ -19,10 +19,15 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return out
 
 
+def _reachable(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Names that can be the first hit: one that contains an earlier name never is."""
+    return [(n, v) for i, (n, v) in enumerate(pairs) if not any(o in n for o, _ in pairs[:i])]
+
+
 def region_key(address: Column | str) -> Column:
     """First region or city name found in the address, else NULL."""
     address = _c(address)
-    return F.coalesce(*[F.when(address.contains(name), F.lit(name)) for name, _ in V.REGION_NAMES])
+    return F.coalesce(*[F.when(address.contains(name), F.lit(name)) for name, _ in _reachable(V.REGION_NAMES)])
 
 
 def region_short(address: Column | str) -> Column:
@@ -32,7 +37,7 @@ def region_short(address: Column | str) -> Column:
 
 
 def _code_of(pairs: list[tuple[str, str]], address: Column) -> Column:
-    return F.coalesce(*[F.when(address.contains(name), F.lit(code)) for name, code in pairs])
+    return F.coalesce(*[F.when(address.contains(name), F.lit(code)) for name, code in _reachable(pairs)])
 
 
 def region_city(address: Column | str, with_city: bool = True) -> Column:

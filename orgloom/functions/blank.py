@@ -15,14 +15,12 @@ def _c(c: Column | str) -> Column:
 
 
 def is_missing(c: Column | str) -> Column:
-    """NULL or empty string; whitespace counts as a value."""
-    c = _c(c)
-    return c.isNull() | (c == "")
+    """NULL or empty string; whitespace counts as a value. The column is read once."""
+    return F.coalesce(_c(c), F.lit("")) == ""
 
 
 def is_filled(c: Column | str) -> Column:
-    c = _c(c)
-    return c.isNotNull() & (c != "")
+    return F.coalesce(_c(c), F.lit("")) != ""
 
 
 def is_blank(c: Column | str) -> Column:

@@ -95,7 +95,10 @@ def normalize_helper(c: Column | str) -> Column:
 
 def normalize_validator(c: Column | str) -> Column:
     """Validator policy: 10-11 digits only and 10-digit 02 numbers as 2-3-5."""
-    d = strip_country(digits(c))
+    return dash_validator(strip_country(digits(c)))
+
+
+def dash_validator(d: Column) -> Column:
     n = F.length(d)
     return F.coalesce(
         F.when(d.startswith("02") & (n == 10), _dashed(d, 2, 3))
@@ -195,11 +198,13 @@ def confidence(c: Column | str) -> Column:
     )
 
 
+_DUMMY = "^(" + "|".join(V.DUMMY_PHONES) + ")"
+
+
 def is_dummy(c: Column | str) -> Column:
     """Placeholder numbers; what cannot be normalized counts as one."""
-    n = normalize_validator(c)
-    pattern = "^(" + "|".join(V.DUMMY_PHONES) + ")"
-    return F.when(F.coalesce(n, F.lit("")) == "", True).otherwise(n.rlike(pattern))
+    n = F.coalesce(normalize_validator(c), F.lit(""))
+    return n.rlike("^$|" + _DUMMY)
 
 
 def few_digits(c: Column | str) -> Column:
@@ -207,16 +212,13 @@ def few_digits(c: Column | str) -> Column:
     return F.size(F.array_distinct(F.filter(F.split(digits(c), ""), lambda x: x != ""))) <= 2
 
 
-def validator_verdict(c: Column | str) -> Column:
-    """'ok', 'empty', 'dummy', 'area' or 'pattern' under the validator policy."""
-    c = _c(c)
-    n = normalize_validator(c)
-    code = F.split_part(n, F.lit("-"), F.lit(1))
+def validator_verdict(value: Column, normalized: Column) -> Column:
+    """'ok', 'empty', 'dummy', 'area' or 'pattern' for a value and its validator form."""
+    n = F.coalesce(normalized, F.lit(""))
     return (
-        F.when(~is_filled(c), "empty")
-        .when(is_dummy(c), "dummy")
-        # the area test normalizes the normalized text once more
-        .when(~F.split_part(normalize_validator(n), F.lit("-"), F.lit(1)).isin(*V.AREA_NAMES), "area")
+        F.when(~is_filled(value), "empty")
+        .when(n.rlike("^$|" + _DUMMY), "dummy")
+        .when(~F.split_part(n, F.lit("-"), F.lit(1)).isin(*V.AREA_NAMES), "area")
         .when(~n.rlike(V.ANCHORED_PHONE), "pattern")
         .otherwise("ok")
     )
@@ -246,9 +248,10 @@ def differing_positions(a: Column, b: Column, start: int | Column = 1) -> Column
 def too_similar(fax_digits: Column, phone_digits: Column) -> Column:
     """Same length of 8 or more, same area, at most one other digit after it."""
     fa, pa = area_code_by_length(fax_digits), area_code_by_length(phone_digits)
+    n = F.length(fax_digits)
     return F.coalesce(
-        (F.length(fax_digits) == F.length(phone_digits))
-        & (F.length(fax_digits) >= 8)
+        (n == F.length(phone_digits))
+        & (n >= 8)
         & (fa == pa)
         & (differing_positions(fax_digits, phone_digits, F.length(fa) + 1) <= 1),
         F.lit(False),
@@ -282,13 +285,16 @@ def _accepts(table: dict[str, list[str]], code: Column, address: Column) -> Colu
     return out.otherwise(True)
 
 
-def fax_fits_address(fax: Column, address: Column, wide: bool = False) -> Column:
-    """Area of the fax is accepted for the address; unknown areas and 070 pass."""
-    table = V.AREA_REGIONS_WIDE if wide else V.AREA_REGIONS
-    fits = _accepts(table, area_code_by_length(digits(fax)), address)
+def area_fits_address(code: Column, address: Column, wide: bool = False) -> Column:
+    """The area is accepted for the address; unknown areas and 070 pass, as does no address."""
+    fits = _accepts(V.AREA_REGIONS_WIDE if wide else V.AREA_REGIONS, code, address)
     return F.when(~is_filled(address), True).otherwise(fits)
 
 
+def fax_fits_address(fax: Column, address: Column, wide: bool = False) -> Column:
+    return area_fits_address(area_code_by_length(digits(fax)), address, wide)
+
+
 def fax_valid_strict(fax: Column | str, phone: Column | str, address: Column | str) -> Column:
     fax, phone, address = _c(fax), _c(phone), _c(address)
     f, p = normalize_groups(fax), normalize_groups(phone)
@@ -298,15 +304,3 @@ def fax_valid_strict(fax: Column | str, phone: Column | str, address: Column | s
         (f != p) & (area_code_by_length(df) == area_code_by_length(dp)) & ~too_similar(df, dp),
     ).otherwise(True)
     return is_filled(fax) & valid_prefix(f) & against_phone & fax_fits_address(f, address)
-
-
-def fax_valid_relaxed(fax: Column | str, phone: Column | str, address: Column | str) -> Column:
-    """Equal or near-equal to a valid phone needs a fitting region; all else passes."""
-    fax, phone, address = _c(fax), _c(phone), _c(address)
-    f, p = normalize_groups(fax), normalize_groups(phone)
-    close = has_text(phone) & valid_prefix(p) & ((f == p) | too_similar(digits(f), digits(p)))
-    return (
-        is_filled(fax)
-        & valid_prefix(f)
-        & F.when(close, fax_fits_address(f, address, wide=True)).otherwise(True)
-    )

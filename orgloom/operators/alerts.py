@@ -48,10 +48,10 @@ def _slice_exits(pdf: pd.DataFrame) -> pd.DataFrame:
                          "upto": us[:entries][keep], "exit_us": exits[keep]})
 
 
-def _real_entries(pdf: pd.DataFrame) -> pd.DataFrame:
+def _real_entries(exits: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
     """Walk the slices of one rule in time order and note when each may fire again."""
-    out, last = [], None
-    for start, part in pdf.sort_values(["slice_start", "upto"]).groupby("slice_start", sort=True):
+    out, last = [], int(carried["last_us"].max()) if len(carried) else None
+    for start, part in exits.sort_values(["slice_start", "upto"]).groupby("slice_start", sort=True):
         blocked = -(2**62) if last is None else last + int(part["cooldown_us"].iloc[0])
         out.append((part["rule"].iloc[0], int(start), blocked))
         i = int(np.searchsorted(part["upto"].to_numpy(), blocked, side="left"))
@@ -63,7 +63,9 @@ def _real_entries(pdf: pd.DataFrame) -> pd.DataFrame:
 def _slice_fires(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("us")
     us = pdf["us"].to_numpy()
-    link = _next(us, int(pdf["cooldown_us"].iloc[0])) if len(us) else us
+    if not len(us):
+        return pdf[["rule", "severity", "us"]]
+    link = _next(us, int(pdf["cooldown_us"].iloc[0]))
     i = int(np.searchsorted(us, int(entry["blocked_until"].iloc[0]), side="left"))
     fired = []
     while i < len(us):
@@ -72,17 +74,31 @@ def _slice_fires(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
     return pdf.iloc[fired][["rule", "severity", "us"]]
 
 
-def alert_log(health: DataFrame, rules: Sequence[tuple[str, str, str, int]] = V.ALERT_RULES, slice_minutes: int = 24 * 60) -> DataFrame:
-    """rule, severity and time of every alert. A slice must be longer than any cooldown."""
+CARRIED = "rule string, last_us long"
+
+
+def alert_log(health: DataFrame, rules: Sequence[tuple[str, str, str, int]] = V.ALERT_RULES, slice_minutes: int = 60,
+              carried: DataFrame | None = None) -> DataFrame:
+    """rule, severity and time (microseconds) of every alert.
+
+    A slice must be longer than any cooldown. ``carried`` holds the last fire per
+    rule of earlier runs (one row per rule).
+    """
+    if slice_minutes <= max(m for *_, m in rules):
+        raise ValueError("a slice must be longer than every cooldown")
     width = slice_minutes * 60 * US
     hits = triggers(health, rules).withColumn("slice_start", F.col("us") - F.pmod(F.col("us"), F.lit(width)))
     exits = hits.groupBy("rule", "slice_start").applyInPandas(
         _slice_exits, "rule string, slice_start long, cooldown_us long, upto long, exit_us long")
-    entries = exits.groupBy("rule").applyInPandas(_real_entries, "rule string, slice_start long, blocked_until long")
-    fires = hits.groupBy("rule", "slice_start").cogroup(entries.groupBy("rule", "slice_start")).applyInPandas(
+    before = carried if carried is not None else health.sparkSession.createDataFrame([], CARRIED)
+    entries = exits.groupBy("rule").cogroup(before.groupBy("rule")).applyInPandas(
+        _real_entries, "rule string, slice_start long, blocked_until long")
+    return hits.groupBy("rule", "slice_start").cogroup(entries.groupBy("rule", "slice_start")).applyInPandas(
         _slice_fires, "rule string, severity string, us long")
-    return fires.select("rule", "severity", F.timestamp_micros("us").alias("t")).select(
-        "rule", "severity", F.col("t").cast("timestamp_ntz").alias("fired_at"))
+
+
+def fired_at(alerts: DataFrame) -> DataFrame:
+    return alerts.select("rule", "severity", F.timestamp_micros("us").cast("timestamp_ntz").alias("fired_at"))
 
 
 def resource_alerts(samples: DataFrame, memory: float = 85, cpu: float = 80) -> DataFrame:

@@ -18,6 +18,8 @@ from orgloom.functions import web as W
 from orgloom.functions.blank import (any_missing, has_text, is_filled, is_missing, missing_count,
                                      missing_fields, percent)
 
+from .validation import fax_checks
+
 COVERED = ("phone", "fax", "email", "homepage")
 
 
@@ -331,8 +333,8 @@ def search_run_summary(results: DataFrame) -> DataFrame:
 
 def extraction_result_counts(orgs: DataFrame) -> DataFrame:
     """Totals and shares after a fax extraction run."""
-    ok = P.fax_valid_strict("fax", "phone", "address")
-    agg = orgs.agg(
+    ok = F.col("ok_strict")
+    agg = fax_checks(orgs).agg(
         F.count("*").alias("total_count"), _n(is_filled("fax")).alias("fax_count"),
         _n(is_filled("homepage")).alias("homepage_count"), _n(is_filled("fax") & ok).alias("success_count"),
         _n(is_filled("fax") & ~ok).alias("duplicate_count"))
@@ -342,13 +344,13 @@ def extraction_result_counts(orgs: DataFrame) -> DataFrame:
 
 def purge_invalid_fax(orgs: DataFrame) -> DataFrame:
     """Blank stored faxes that fail the relaxed check."""
-    ok = P.fax_valid_relaxed("fax", "phone", "address")
-    return orgs.withColumn("fax_purged", has_text("fax") & ~ok).withColumn(
-        "fax", F.when(F.col("fax_purged"), "").otherwise(F.col("fax")))
+    purged = has_text("fax") & ~F.col("ok_relaxed")
+    return fax_checks(orgs).withColumn("fax_purged", purged).withColumn(
+        "fax", F.when(F.col("fax_purged"), "").otherwise(F.col("fax"))).drop("ok_strict", "ok_relaxed")
 
 
 def purge_counts(orgs: DataFrame) -> DataFrame:
-    checked = orgs.select("fax", P.fax_valid_relaxed("fax", "phone", "address").alias("ok"))
+    checked = fax_checks(orgs).select("fax", F.col("ok_relaxed").alias("ok"))
     return checked.agg(
         F.count("*").alias("total_count"), _n(is_filled("fax")).alias("fax_count"),
         _n(has_text("fax") & ~F.col("ok")).alias("invalid_fax_count"),

@@ -52,30 +52,35 @@ def agent_stats(metrics: DataFrame) -> DataFrame:
     ).fillna({"running_confidence": 0.0})
 
 
-def exact_median(df: DataFrame, key: str, value: str, cells: int = 4096) -> DataFrame:
-    """Exact median per key without sorting a whole group in one task.
+def exact_medians(df: DataFrame, key: str, values: Sequence[str], cells: int = 4096) -> DataFrame:
+    """Exact medians of the positive values per key without sorting a group in one task.
 
     1. equal values are counted on the map side; 2. counts are folded into
-    ``cells`` equal-width cells between each key's extremes and the cell that
-    holds the middle ranks is found; 3. only the values of that cell are ranked.
+    ``cells`` equal-width cells between each group's extremes and the cells that
+    hold the middle ranks are found; 3. only the values of those cells are ranked.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(key, F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    span = counts.groupBy(key).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    g = [key, "what"]
+    long = df.select(key, F.inline(F.array(*[F.struct(F.lit(v).alias("what"), F.col(v).alias("v")) for v in values]))).filter("v > 0")
+    counts = long.groupBy(*g, "v").agg(F.count("*").alias("n"))
+    span = counts.groupBy(*g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
     width = (F.col("hi") - F.col("lo")) / cells
     cell = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
-    placed = counts.join(span, key).withColumn("cell", cell)
-    per_cell = placed.groupBy(key, "cell", "total").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy(key).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.join(span, g).withColumn("cell", cell)
+    per_cell = placed.groupBy(*g, "cell", "total").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy(*g).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     first, second = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+
+    def holds(rank: Column) -> Column:
+        return (F.col("before") < rank) & (rank <= F.col("end"))
+
     middle = per_cell.withColumn("end", F.sum("n").over(upto)).withColumn("before", F.col("end") - F.col("n")).filter(
-        ((F.col("before") < first) & (first <= F.col("end"))) | ((F.col("before") < second) & (second <= F.col("end")))
-    ).select(key, "cell", "before")
-    inside = Window.partitionBy(key, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(middle, [key, "cell"]).withColumn("end", F.col("before") + F.sum("n").over(inside))
-    lo_hit = (F.col("end") - F.col("n") < first) & (first <= F.col("end"))
-    hi_hit = (F.col("end") - F.col("n") < second) & (second <= F.col("end"))
-    return ranked.groupBy(key).agg(
-        ((F.max(F.when(lo_hit, F.col("v"))) + F.max(F.when(hi_hit, F.col("v")))) / 2).alias("median"))
+        holds(first) | holds(second)).select(*g, "cell", F.col("before").alias("base"))
+    inside = Window.partitionBy(*g, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.join(middle, [*g, "cell"]).withColumn("end", F.col("base") + F.sum("n").over(inside)).withColumn("before", F.col("end") - F.col("n"))
+    both = ranked.groupBy(*g).agg(
+        ((F.max(F.when(holds(first), F.col("v"))) + F.max(F.when(holds(second), F.col("v")))) / 2).alias("m"))
+    # one row per key and column is left
+    return both.groupBy(key).agg(*[F.max(F.when(F.col("what") == v, F.col("m"))).alias(v) for v in values])
 
 
 def task_type_stats(metrics: DataFrame) -> DataFrame:
@@ -85,10 +90,10 @@ def task_type_stats(metrics: DataFrame) -> DataFrame:
         F.coalesce(F.min(F.when(F.col("duration") > 0, F.col("duration"))), F.lit(0.0)).alias("min_duration"),
         F.coalesce(F.max(F.when(F.col("duration") > 0, F.col("duration"))), F.lit(0.0)).alias("max_duration"),
         F.round(_mean("confidence_score"), 6).alias("average_confidence"))
-    for column, name in (("duration", "median_duration"), ("confidence_score", "median_confidence")):
-        med = exact_median(metrics.filter(F.col(column) > 0), "task_type", column).select("task_type", F.round("median", 6).alias(name))
-        g = g.join(med, "task_type", "left")
-    return g.fillna(0.0, ["median_duration", "median_confidence"])
+    med = exact_medians(metrics, "task_type", ["duration", "confidence_score"])
+    return g.join(med, "task_type", "left").select(
+        *g.columns, F.round(F.coalesce("duration", F.lit(0.0)), 6).alias("median_duration"),
+        F.round(F.coalesce("confidence_score", F.lit(0.0)), 6).alias("median_confidence"))
 
 
 def system_overview(metrics: DataFrame, as_of: Column) -> DataFrame:

@@ -15,9 +15,11 @@ from orgloom.functions.blank import is_blank, is_filled
 
 def clean_contact_pair(orgs: DataFrame) -> DataFrame:
     """Validated phone and fax; an equal fax is blanked; what happened is listed."""
-    judged = orgs.withColumns({
-        "phone_verdict": P.validator_verdict("phone"), "fax_verdict": P.validator_verdict("fax"),
-        "pn": P.normalize_validator("phone"), "fn": P.normalize_validator("fax")})
+    # staged so that each form is computed once and only referred to afterwards
+    bare = orgs.withColumns({f"{f}_digits": P.strip_country(P.digits(f)) for f in ("phone", "fax")})
+    formed = bare.withColumns({"pn": P.dash_validator(F.col("phone_digits")), "fn": P.dash_validator(F.col("fax_digits"))})
+    judged = formed.withColumns({
+        "phone_verdict": P.validator_verdict(F.col("phone"), F.col("pn")), "fax_verdict": P.validator_verdict(F.col("fax"), F.col("fn"))})
     ok_p, ok_f = F.col("phone_verdict") == "ok", F.col("fax_verdict") == "ok"
     both = judged.withColumn("is_duplicate", ok_p & ok_f & (F.col("pn") == F.col("fn")))
     dup = F.col("is_duplicate")
@@ -28,7 +30,24 @@ def clean_contact_pair(orgs: DataFrame) -> DataFrame:
             F.when(F.col("phone_verdict") != "empty", F.concat(F.lit("phone:"), "phone_verdict")),
             F.when(F.col("fax_verdict") != "empty", F.concat(F.lit("fax:"), "fax_verdict")),
             F.when(dup, F.lit("fax:removed")))),
-    }).drop("pn", "fn")
+    }).drop("pn", "fn", "phone_digits", "fax_digits")
+
+
+def fax_checks(orgs: DataFrame) -> DataFrame:
+    """``ok_strict`` and ``ok_relaxed`` for the stored fax, computed stage by stage."""
+    c = F.col
+    groups = orgs.withColumns({"__f": P.normalize_groups("fax"), "__p": P.normalize_groups("phone")})
+    bare = groups.withColumns({"__fd": P.digits("__f"), "__pd": P.digits("__p")})
+    judged = bare.withColumns({
+        "__fa": P.area_code_by_length(c("__fd")), "__pa": P.area_code_by_length(c("__pd")),
+        "__fok": F.coalesce(is_filled("fax") & P.valid_prefix("__fd"), F.lit(False)), "__pok": P.valid_prefix("__pd")})
+    close = judged.withColumn("__near", P.too_similar(c("__fd"), c("__pd")))
+    against = F.when(is_filled("phone"), (c("__f") != c("__p")) & (c("__fa") == c("__pa")) & ~c("__near")).otherwise(True)
+    near = ~is_blank("phone") & c("__pok") & ((c("__f") == c("__p")) | c("__near"))
+    return close.withColumns({
+        "ok_strict": c("__fok") & F.coalesce(against, F.lit(False)) & P.area_fits_address(c("__fa"), c("address")),
+        "ok_relaxed": c("__fok") & F.when(near, P.area_fits_address(c("__fa"), c("address"), wide=True)).otherwise(True),
+    }).select(*orgs.columns, "ok_strict", "ok_relaxed")
 
 
 def website_ok(x: Column) -> Column:

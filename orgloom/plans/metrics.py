@@ -114,7 +114,7 @@ SELECT rule, severity, ts AS fired_at FROM chain"""
 
 @query("alert_log", ALERTS, uses=("health",))
 def alert_log(spark, d):
-    return AL.alert_log(T.view(spark, d, "health"))
+    return AL.fired_at(AL.alert_log(T.view(spark, d, "health")))
 
 
 @query("resource_alerts", """

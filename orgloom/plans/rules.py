@@ -135,8 +135,18 @@ RELATION = """CASE WHEN {a} = {b} THEN 'exact_match' WHEN length({da}) = length(
   AND substr({da}, 1, length({da}) - 4) = substr({db}, 1, length({da}) - 4) AND {da} <> {db} THEN 'similar_pattern' ELSE 'different' END"""
 over_org("phone_fax_relation", RELATION.format(a="phone", b="fax", da="pd", db="fd") + " AS relation",
          lambda: {"relation": P.relation(c("phone"), c("fax"))}, _DIG, "dg")
-over_org("fax_valid_strict", "ok_strict AS valid", lambda: {"valid": P.fax_valid_strict("fax", "phone", "address")}, f"WITH {FAXED} ", "faxed")
-over_org("fax_valid_relaxed", "ok_relaxed AS valid", lambda: {"valid": P.fax_valid_relaxed("fax", "phone", "address")}, f"WITH {FAXED} ", "faxed")
+
+
+@query("fax_valid_strict", f"WITH {FAXED} SELECT id, ok_strict AS valid FROM faxed")
+def fax_valid_strict(spark, d):
+    return VD.fax_checks(T.organizations(spark, d)).select("id", c("ok_strict").alias("valid"))
+
+
+@query("fax_valid_relaxed", f"WITH {FAXED} SELECT id, ok_relaxed AS valid FROM faxed")
+def fax_valid_relaxed(spark, d):
+    return VD.fax_checks(T.organizations(spark, d)).select("id", c("ok_relaxed").alias("valid"))
+
+
 over_org("region_city_from_address", f"{region_city_sql(True)} AS region_city, {region_city_sql(False)} AS region",
          lambda: {"region_city": F.coalesce(A.region_city("address"), F.lit("")), "region": F.coalesce(A.region_city("address", False), F.lit(""))})
 over_org("region_from_phone", f"{region_of_phone_sql()} AS region", lambda: {"region": A.region_of_phone("phone", "address")})

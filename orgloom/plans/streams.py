@@ -65,6 +65,13 @@ def stream_health_status(spark, d):
 
 @query("stream_alert_cooldown", ALERTS, uses=("health",))
 def stream_alert_cooldown(spark, d):
+    from orgloom.operators.alerts import fired_at
+
+    return fired_at(J.alert_batches(over(spark, d, "health"), RT.new_root(spark, "alerts")))
+
+
+@query("stream_alert_cooldown_stateful", ALERTS, uses=("health",))
+def stream_alert_cooldown_stateful(spark, d):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
     table = RT.run_to_table(J.alert_cooldown(over(spark, d, "health")), RT.new_root(spark, "alerts"))
     return table.select("rule", "severity", F.timestamp_micros("us").cast("timestamp_ntz").alias("fired_at"))
