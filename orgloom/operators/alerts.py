@@ -8,7 +8,7 @@ fold per rule picks the real entries; then each slice lists its fires.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -32,9 +32,29 @@ def _next(us: np.ndarray, cooldown: int) -> np.ndarray:
     return np.searchsorted(us, us + cooldown, side="left")
 
 
+def _per_slice(fn: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Apply ``fn`` to each (rule, slice) of a sorted partition, one slice in memory at a time."""
+
+    def mapper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            changed = (pdf["rule"] != pdf["rule"].shift()) | (pdf["slice_start"] != pdf["slice_start"].shift())
+            cuts = np.flatnonzero(changed.to_numpy())
+            done = [fn(pdf.iloc[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+            held = pdf.iloc[cuts[-1]:]
+            if done:
+                yield pd.concat(done)
+        if held is not None:
+            yield fn(held)
+
+    return mapper
+
+
 def _slice_exits(pdf: pd.DataFrame) -> pd.DataFrame:
     """For each entry sample of a slice the last fire of the chain that starts there."""
-    pdf = pdf.sort_values("us")
     us, cooldown, start = pdf["us"].to_numpy(), int(pdf["cooldown_us"].iloc[0]), int(pdf["slice_start"].iloc[0])
     n = len(us)
     nxt = _next(us, cooldown)
@@ -60,13 +80,10 @@ def _real_entries(exits: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["rule", "slice_start", "blocked_until"])
 
 
-def _slice_fires(pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("us")
+def _slice_fires(pdf: pd.DataFrame) -> pd.DataFrame:
     us = pdf["us"].to_numpy()
-    if not len(us):
-        return pdf[["rule", "severity", "us"]]
     link = _next(us, int(pdf["cooldown_us"].iloc[0]))
-    i = int(np.searchsorted(us, int(entry["blocked_until"].iloc[0]), side="left"))
+    i = int(np.searchsorted(us, int(pdf["blocked_until"].iloc[0]), side="left"))
     fired = []
     while i < len(us):
         fired.append(i)
@@ -88,13 +105,14 @@ def alert_log(health: DataFrame, rules: Sequence[tuple[str, str, str, int]] = V.
         raise ValueError("a slice must be longer than every cooldown")
     width = slice_minutes * 60 * US
     hits = triggers(health, rules).withColumn("slice_start", F.col("us") - F.pmod(F.col("us"), F.lit(width)))
-    exits = hits.groupBy("rule", "slice_start").applyInPandas(
-        _slice_exits, "rule string, slice_start long, cooldown_us long, upto long, exit_us long")
+    by_slice = ["rule", "slice_start"]
+    exits = hits.repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(
+        _per_slice(_slice_exits), "rule string, slice_start long, cooldown_us long, upto long, exit_us long")
     before = carried if carried is not None else health.sparkSession.createDataFrame([], CARRIED)
     entries = exits.groupBy("rule").cogroup(before.groupBy("rule")).applyInPandas(
         _real_entries, "rule string, slice_start long, blocked_until long")
-    return hits.groupBy("rule", "slice_start").cogroup(entries.groupBy("rule", "slice_start")).applyInPandas(
-        _slice_fires, "rule string, severity string, us long")
+    return hits.join(entries, by_slice).repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(
+        _per_slice(_slice_fires), "rule string, severity string, us long")
 
 
 def fired_at(alerts: DataFrame) -> DataFrame:
