@@ -14,6 +14,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Column | str) -> Column:
+    """Without surrounding white space of any kind (TRIM alone removes only spaces)."""
+    return F.trim(_c(c), F.lit(" \t\n\r\f\v"))
+
+
 def is_missing(c: Column | str) -> Column:
     """NULL or empty string; whitespace counts as a value. The column is read once."""
     return F.coalesce(_c(c), F.lit("")) == ""
@@ -25,7 +30,7 @@ def is_filled(c: Column | str) -> Column:
 
 def is_blank(c: Column | str) -> Column:
     """NULL, empty or only spaces."""
-    return F.coalesce(F.trim(_c(c)), F.lit("")) == ""
+    return F.coalesce(strip(c), F.lit("")) == ""
 
 
 def has_text(c: Column | str) -> Column:
@@ -58,7 +63,7 @@ def keep_unless_given(new: Column | str, old: Column | str) -> Column:
 
 def clean_value(c: Column | str) -> Column:
     """Trimmed text with placeholder words turned into ''."""
-    t = F.coalesce(F.trim(_c(c)), F.lit(""))
+    t = F.coalesce(strip(c), F.lit(""))
     return F.when(t.isin(*BLANK_WORDS), "").otherwise(t)
 
 
@@ -66,7 +71,7 @@ def first_nonblank(*cols: Column | str) -> Column:
     """First value whose trimmed text is not empty, nan, none or null."""
     picks = []
     for c in cols:
-        t = F.trim(_c(c))
+        t = strip(c)
         picks.append(F.when((t != "") & ~F.lower(t).isin("nan", "none", "null"), t))
     return F.coalesce(*picks, F.lit(""))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .blank import _c
+from .blank import _c, strip
 from . import fixed_values as V
 from . import phone as P
 from . import address as A
@@ -32,9 +32,12 @@ def _guard(text: Column, test: str, value: Column) -> Column:
     return F.when(text.rlike(test), value).otherwise(F.array().cast(_NO_STRINGS))
 
 
+# nine digits with nothing but separators between them: shorter runs are never numbers
+_LONG_RUN = r"[0-9](?:[-\.\(\)\s]*[0-9]){8}"
+
+
 def _has_number(text: Column, value: Column) -> Column:
-    """A number needs nine digits with at most short gaps; look for a group of four at its end."""
-    return _guard(text, r"[0-9]{2}[0-9\-\.\(\)\s]*[0-9]", value)
+    return _guard(text, _LONG_RUN, value)
 
 
 def keep(arr: Column, to: object) -> Column:
@@ -117,7 +120,7 @@ def helper_urls(text: Column | str) -> Column:
 
 def helper_addresses(text: Column | str) -> Column:
     """Lines with two or more address words."""
-    lines = F.transform(F.split(_c(text), "\n"), lambda x: F.trim(x))
+    lines = F.transform(F.split(_c(text), "\n"), lambda x: strip(x))
 
     def enough(line: Column) -> Column:
         return sum((line.contains(w).cast("int") for w in V.ADDRESS_WORDS), F.lit(0)) >= 2
@@ -177,14 +180,18 @@ def decode_entities(c: Column) -> Column:
     return c
 
 
+def html_plain(html: Column | str) -> Column:
+    """Text nodes in order: script, style, comments and tags dropped, entities decoded."""
+    return decode_entities(F.regexp_replace(F.regexp_replace(_c(html), _DROP, ""), r"(?s)<[^>]*>", ""))
+
+
 def html_text(html: Column | str) -> Column:
-    """Visible text: script, style, comments and tags dropped, single spaces."""
-    bare = F.regexp_replace(F.regexp_replace(_c(html), _DROP, ""), r"(?s)<[^>]*>", " ")
-    return F.trim(F.regexp_replace(decode_entities(bare), r"(?U)\s+", " "))
+    """The text nodes with single spaces."""
+    return strip(F.regexp_replace(html_plain(html), r"(?U)\s+", " "))
 
 
 def html_title(html: Column | str) -> Column:
-    return F.trim(decode_entities(F.regexp_extract(_c(html), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    return strip(decode_entities(F.regexp_extract(_c(html), r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def html_meta(html: Column | str, attr: str, key: str) -> Column:
@@ -198,26 +205,43 @@ def html_meta(html: Column | str, attr: str, key: str) -> Column:
     )
 
 
+# --- fixed values: elements that hold the main text and the contact text ------
+MAIN_TAGS = ["main", "article", "section"]
+MAIN_MARKS = r"\b(?:content|main-content|container|wrapper|page-content|post-content|entry-content|main)\b"
+CONTACT_TAGS = ["footer", "address"]
+CONTACT_MARKS = r"contact|footer|\b(?:address|phone|tel|email)\b"
+
+
 def html_blocks(html: Column | str, tag: str) -> Column:
     return F.regexp_extract_all(_c(html), F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
 
 
+def html_marked(html: Column | str, tags: str, words: str, attributes: str = "class|id") -> Column:
+    """Inner HTML of elements whose class or id matches ``words`` (a pattern), in document order."""
+    return F.regexp_extract_all(_c(html), F.lit(
+        rf"""(?is)<({tags})\b[^>]*\b(?:{attributes})\s*=\s*["'][^"']*(?:{words})[^"']*["'][^>]*>(.*?)</\1\s*>"""), F.lit(2))
+
+
 def html_footer(html: Column | str) -> Column:
-    """Footer blocks of more than 10 characters by lines, else the last 1000 characters."""
+    """Text of footer-like blocks with more than 10 characters, else the last 1000 of the page."""
     html = _c(html)
-    marked = F.regexp_extract_all(html, F.lit(
-        r"""(?is)<(footer|div)\b[^>]*class\s*=\s*["'][^"']*(?:footer|bottom|contact|info)[^"']*["'][^>]*>(.*?)</\1\s*>"""), F.lit(2))
-    texts = F.filter(F.transform(F.concat(html_blocks(html, "footer"), marked), html_text), lambda x: F.length(x) > 10)
-    whole = html_text(html)
+    texts = F.filter(F.transform(html_marked(html, "footer|div", "footer|bottom|contact|info", "class"), lambda x: strip(html_plain(x))), lambda x: F.length(x) > 10)
+    whole = html_plain(html)
     return F.when(F.size(texts) > 0, F.array_join(texts, "\n")).when(F.length(whole) > 1000, F.right(whole, F.lit(1000))).otherwise("")
 
 
+def anchor_text(html: Column) -> Column:
+    """Stripped text nodes joined without spaces between them."""
+    bare = F.regexp_replace(F.regexp_replace(html, _DROP, ""), r"(?s)\s*<[^>]*>\s*", "")
+    return strip(decode_entities(bare))
+
+
 def html_anchors(html: Column | str) -> Column:
     """array<struct<href, text>> in document order."""
     html = _c(html)
     pattern = r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
     href = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    text = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), html_text)
+    text = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), anchor_text)
     return F.arrays_zip(href.alias("href"), text.alias("text"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from .address import contains_any
-from .blank import _c, is_filled
+from .blank import _c, is_filled, strip
 from . import fixed_values as V
 
 
@@ -38,7 +38,7 @@ def email_valid(email: Column | str, policy: str = "anchored") -> Column:
     email = _c(email)
     if policy == "simple":
         return F.coalesce(email.contains("@") & email.contains("."), F.lit(False))
-    matched = F.coalesce(F.trim(email).rlike(V.EMAIL_ANCHORED), F.lit(False))
+    matched = F.coalesce(strip(email).rlike(V.EMAIL_ANCHORED), F.lit(False))
     return matched if policy == "strict" else ~is_filled(email) | matched
 
 
@@ -54,7 +54,7 @@ def email_confidence(email: Column | str) -> Column:
 
 def url_with_scheme(url: Column | str) -> Column:
     """Trimmed, with http:// put before bare host names; '' for NULL."""
-    t = F.coalesce(F.trim(_c(url)), F.lit(""))
+    t = F.coalesce(strip(url), F.lit(""))
     bare = ~t.startswith("http://") & ~t.startswith("https://")
     return F.when(bare & (t.startswith("www.") | t.contains(".")), F.concat(F.lit("http://"), t)).otherwise(t)
 

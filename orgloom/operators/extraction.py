@@ -10,6 +10,7 @@ from orgloom.functions import fixed_values as V
 from orgloom.functions import phone as P
 from orgloom.functions import scoring as S
 from orgloom.functions import web as W
+from orgloom.functions.blank import strip
 
 
 def extract_contacts(texts: DataFrame, key: str = "id") -> DataFrame:
@@ -50,11 +51,11 @@ def extract_first_contact(texts: DataFrame, key: str = "id") -> DataFrame:
         F.regexp_extract_all(t, F.lit(r"(?:주소|위치|소재지)[:\s]*([가-힣0-9\s\-,]+[시도구군][가-힣0-9\s\-,]*)"), F.lit(1)))
     fit = lambda a: (F.length(a) > 10) & A.contains_any(a, ["시", "구", "군"])
     empty = F.array().cast("array<string>")
-    has_digits = t.rlike("[0-9]{4}")
+    has_digits = t.rlike(X._LONG_RUN)
     out = texts.select(
         key, F.coalesce(number(F.when(has_digits, phones).otherwise(empty)), F.lit("")).alias("phone"),
         F.coalesce(number(F.when(has_digits, faxes).otherwise(empty)), F.lit("")).alias("fax"),
-        F.coalesce(X.first_valid(F.transform(F.when(t.rlike("[시군구]"), addresses).otherwise(empty), lambda x: F.trim(x)), fit), F.lit("")).alias("address"),
+        F.coalesce(X.first_valid(F.transform(F.when(t.rlike("[시군구]"), addresses).otherwise(empty), lambda x: strip(x)), fit), F.lit("")).alias("address"),
         F.coalesce(X.first_valid(F.regexp_extract_all(t, F.lit(r"\b\d{5}\b"), F.lit(0)), lambda x: x.rlike("^[0-6]")), F.lit("")).alias("postal_code"))
     return out.withColumn("found", (F.col("phone") != "") | (F.col("fax") != "") | (F.col("address") != "") | (F.col("postal_code") != ""))
 
@@ -64,7 +65,7 @@ def extract_postal_codes(texts: DataFrame, key: str = "id") -> DataFrame:
     t = F.col("text")
     addresses = F.when(t.rlike("[시군구]"), F.regexp_extract_all(t, F.lit(V.SHORT_ADDRESS_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
     long_ones = F.filter(F.array_sort(F.array_distinct(addresses)), lambda a: F.length(a) > 10)
-    phones = F.array_distinct(F.transform(X._has_number(t, X.all_matches(t, V.PHONE_PATTERNS, "")), lambda x: F.trim(x)))
+    phones = F.array_distinct(F.transform(X._has_number(t, X.all_matches(t, V.PHONE_PATTERNS, "")), lambda x: strip(x)))
     valid = F.filter(phones, lambda x: P.valid_strict(x))
     return texts.select(key, X.postal_codes("text").alias("postal_codes"), long_ones.alias("addresses"),
                         F.size(valid).alias("phones_validated"), F.size(X.postal_codes("text")).alias("postal_codes_found"))
@@ -81,14 +82,14 @@ def page_record(pages: DataFrame, key: str = "id") -> DataFrame:
 
 def best_text(pages: DataFrame, key: str = "id", max_chars: int | None = None) -> DataFrame:
     """Longest of the full, main-area and contact-area text with the area it came from."""
-    def area(tags: list[str], least: int) -> Column:
-        blocks = F.concat(*[X.html_blocks("html", t) for t in tags])
+    def area(tags: list[str], marks: str, least: int) -> Column:
+        blocks = F.concat(*[X.html_blocks("html", t) for t in tags], X.html_marked("html", "div|p|ul", marks))
         return F.array_join(F.filter(F.transform(blocks, X.html_text), lambda x: F.length(x) > least), " ")
 
     def candidate(order: int, name: str, text: Column) -> Column:
         return F.struct(F.length(text).alias("n"), F.lit(-order).alias("order"), F.lit(name).alias("method"), text.alias("text"))
 
-    texts = pages.select(key, X.html_text("html").alias("full"), area(["main", "article"], 100).alias("main"), area(["footer", "address"], 20).alias("contact"))
+    texts = pages.select(key, X.html_text("html").alias("full"), area(X.MAIN_TAGS, X.MAIN_MARKS, 100).alias("main"), area(X.CONTACT_TAGS, X.CONTACT_MARKS, 20).alias("contact"))
     best = F.array_max(F.array(candidate(0, "full", F.col("full")), candidate(1, "main", F.col("main")), candidate(2, "contact", F.col("contact"))))
     text = best["text"] if max_chars is None else F.substring(best["text"], 1, max_chars)
     return texts.select(key, best["method"].alias("method"), text.alias("text"))

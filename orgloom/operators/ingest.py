@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from orgloom.functions import fixed_values as V
 from orgloom.functions import phone as P
 from orgloom.functions import web as W
-from orgloom.functions.blank import clean_value, first_nonblank, is_filled
+from orgloom.functions.blank import clean_value, first_nonblank, is_filled, strip
 
 
 def exact_mapping(columns: Sequence[str], headers: Mapping[str, str] = V.EXACT_HEADERS) -> dict[str, str]:
@@ -66,7 +66,7 @@ def add_columns_if_absent(df: DataFrame, columns: Mapping[str, Column]) -> DataF
 
 
 def _text(c: str) -> Column:
-    return F.trim(F.coalesce(F.col(c), F.lit("")))
+    return F.coalesce(strip(c), F.lit(""))
 
 
 def shape_organization(df: DataFrame, crawl_fields: Sequence[str] = V.CRAWL_FIELDS, created_by: str = "MIGRATION",

@@ -12,14 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from orgloom.functions import phone as P
-from orgloom.functions.blank import first_text, has_text, is_blank, is_filled
+from orgloom.functions.blank import first_text, has_text, is_blank, is_filled, strip
 from orgloom.functions import scoring as S
 
 from .ranking import first_per_key, top_per_key
 
 
 def name_key(c: Column | str = "name") -> Column:
-    return F.lower(F.trim(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))))
+    return F.lower(F.coalesce(strip(c), F.lit("")))
 
 
 def merge_with_validation(primary: DataFrame, secondary: DataFrame, fields: Sequence[str], order: str = "seq") -> DataFrame:
@@ -73,7 +73,7 @@ def import_rows(stored: DataFrame, incoming: DataFrame, fields: Sequence[str] =
 
 def _pair_key() -> Column:
     """(branch, name, value): address when there is one, else phone."""
-    name, address, phone = (F.trim(F.coalesce(F.col(x), F.lit(""))) for x in ("name", "address", "phone"))
+    name, address, phone = (F.coalesce(strip(x), F.lit("")) for x in ("name", "address", "phone"))
     return F.struct(F.when(address != "", "a").otherwise("p").alias("branch"), name.alias("name"),
                     F.when(address != "", address).otherwise(phone).alias("value"))
 
@@ -165,7 +165,7 @@ def neighbour_similarity(turns: DataFrame) -> DataFrame:
 
 def normalize_org_name(name: Column, suffix: str = "지역아동센터", ending: str = "센터") -> Column:
     """Trimmed name with the type suffix added when it is missing."""
-    t = F.trim(name)
+    t = strip(name)
     return F.when(t.contains(suffix) | t.endswith(ending), t).otherwise(F.concat(t, F.lit(f" {suffix}")))
 
 
@@ -179,7 +179,7 @@ def write_back(orgs: DataFrame, found: DataFrame, fields: Sequence[str], key: st
     """Worker results written to their rows; blank values are ignored."""
     new = found.select(key, *[F.col(f).alias(f"__{f}") for f in fields])
     out = orgs.join(new, key, "left")
-    return out.withColumns({f: F.when(has_text(f"__{f}"), F.trim(f"__{f}")).otherwise(F.col(f)) for f in fields}).select(*orgs.columns)
+    return out.withColumns({f: F.when(has_text(f"__{f}"), strip(f"__{f}")).otherwise(F.col(f)) for f in fields}).select(*orgs.columns)
 
 
 PICKED = ("phone", "fax", "email", "homepage")

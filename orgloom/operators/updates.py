@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orgloom.functions import phone as P
 from orgloom.functions import web as W
-from orgloom.functions.blank import has_text, is_blank, is_filled, is_missing, keep_unless_given, missing_fields
+from orgloom.functions.blank import has_text, is_blank, is_filled, is_missing, missing_fields, strip
 
 WRITTEN = ("phone", "fax", "email", "homepage")
 
@@ -54,7 +54,7 @@ def upsert_overwrite(orgs: DataFrame, found: DataFrame, fields: Sequence[str] =
 def upsert_validated(orgs: DataFrame, found: DataFrame) -> DataFrame:
     """Only values that pass their format check are written; changed fields are listed."""
     j = _joined(orgs, found, WRITTEN, ["found_at"])
-    t = {f: F.trim(f"new_{f}") for f in WRITTEN}
+    t = {f: strip(f"new_{f}") for f in WRITTEN}
     ok = {
         "homepage": t["homepage"].startswith("http://") | t["homepage"].startswith("https://"),
         "phone": P.valid_for_save(t["phone"]), "fax": P.valid_for_save(t["fax"]),

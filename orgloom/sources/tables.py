@@ -116,7 +116,7 @@ UNION ALL SELECT 1000000000 + id, 'https://org' || CAST(id AS STRING) || '.or.kr
   || '<meta property="og:title" content="' || name || '"><script type="application/ld+json">{"@type": "' || CASE WHEN type = 'CHURCH' THEN 'Organization' WHEN type = 'SCHOOL' THEN 'Thing' ELSE 'LocalBusiness' END
   || '", "telephone": "' || coalesce(phone, '') || '", "faxNumber": "' || coalesce(fax, '') || '", "url": "' || coalesce(homepage, '') || '"}</script><style>p {margin: 0}</style></head><body><nav><a href="/contact">연락처</a>'
   || '<a class="n" href="about.html">About</a><a href="https://map.example.org/' || CAST(id AS STRING) || '">오시는길 <b>지도</b></a></nav><main><p>' || name || ' welcomes you. ' || repeat('Open all week. ', CAST(id % 20 AS INT))
-  || '</p></main><div class="contact-info">전화 ' || coalesce(phone, '') || ' 팩스: ' || coalesce(fax, '') || '</div><footer>' || coalesce(address, '') || '</footer></body></html>' FROM org"""
+  || '</p></main><div class="contact-info">전화 ' || coalesce(phone, '') || ' 팩스: ' || coalesce(fax, '') || '</div><footer class="bottom">' || coalesce(address, '') || '</footer></body></html>' FROM org"""
 
 # free-text replies: conversation turns plus replies that hold a block or key lines
 _REPLIES = """
@@ -166,3 +166,18 @@ def organizations(spark: SparkSession, path: str) -> DataFrame:
 
 def active_organizations(spark: SparkSession, path: str) -> DataFrame:
     return organizations(spark, path).filter("is_active")
+
+
+FULL_SPLIT = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a small input one task per core before costly per-row work.
+
+    An input of less than one full split per core (by its estimated size) is
+    hashed over the cores by its unique key. Anything larger already has a split
+    for every core and is left alone, so no large table is ever moved for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * FULL_SPLIT else df
