@@ -19,11 +19,11 @@ UNKNOWN_AREA = "알 수 없음"
 
 # --- fixed values: digit count allowed per area code (080 is only here) ------
 AREA_LENGTHS = {
-    "02": (9, 10),
-    **{c: (10, 11) for c in (
-        "031", "032", "033", "041", "042", "043", "044", "051", "052", "053",
-        "054", "055", "061", "062", "063", "064")},
-    "070": (11, 11), "080": (11, 11), "010": (11, 11), "017": (11, 11),
+    "02": (9, 10), "031": (10, 11), "032": (10, 11), "033": (10, 11), "041": (10, 11),
+    "042": (10, 11), "043": (10, 11), "044": (10, 11), "051": (10, 11), "052": (10, 11),
+    "053": (10, 11), "054": (10, 11), "055": (10, 11), "061": (10, 11), "062": (10, 11),
+    "063": (10, 11), "064": (10, 11), "070": (11, 11), "080": (11, 11), "010": (11, 11),
+    "017": (11, 11),
 }
 
 # --- fixed values: region or city name -> area code, first hit wins ----------
@@ -214,21 +214,29 @@ DUMMY_PHONES = [
 EMAIL_ANCHORED = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 
 # --- fixed values: extraction patterns, in the order they are tried ----------
-_NUM = r"\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4}"
-_NUM_DOT = r"\d{2,3}[-\.\s]?\d{3,4}[-\.\s]?\d{4}"
 PHONE_PATTERNS = [
     r"(?:전화|TEL|Tel|tel|T\.|전화번호|연락처|대표번호)[\s*:?]*([0-9\-\.\(\)\s]{8,20})",
     r"(?:☎|=번호)[\s]*([0-9\-\.\(\)\s]{8,20})",
-    rf"({_NUM_DOT})",
-    rf"전화[\s]*({_NUM})", rf"Tel[\s]*({_NUM})", rf"TEL[\s]*({_NUM})", rf"T[\s]*({_NUM})",
-    rf"대표번호[\s]*({_NUM})", rf"({_NUM}).*전화", rf"({_NUM}).*[Tt]el",
-    rf"(?:Phone|phone|PHONE)[\s:]*({_NUM})",
+    r"(\d{2,3}[-\.\s]?\d{3,4}[-\.\s]?\d{4})",
+    r"전화[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"Tel[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"TEL[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"T[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"대표번호[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4}).*전화",
+    r"(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4}).*[Tt]el",
+    r"(?:Phone|phone|PHONE)[\s:]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
 ]
 FAX_PATTERNS = [
     r"(?:팩스|FAX|Fax|fax|F\.|팩스번호)[\s*:?]*([0-9\-\.\(\)\s]{8,20})",
     r"(?:=팩스)[\s]*([0-9\-\.\(\)\s]{8,20})",
-    rf"팩스[\s]*({_NUM})", rf"Fax[\s]*({_NUM})", rf"FAX[\s]*({_NUM})", rf"F[\s]*({_NUM})",
-    rf"팩[\s]*({_NUM})", rf"({_NUM}).*팩스", rf"({_NUM}).*[Ff]ax",
+    r"팩스[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"Fax[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"FAX[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"F[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"팩[\s]*(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4})",
+    r"(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4}).*팩스",
+    r"(\d{2,3}[-\s]?\d{3,4}[-\s]?\d{4}).*[Ff]ax",
 ]
 EMAIL_PATTERNS = [
     r"(?:이메일|EMAIL|Email|email|E-mail|e-mail|메일|mail)[\s*:?]*([a-zA-Z0-9._%-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,})",
@@ -246,10 +254,10 @@ WEBSITE_PATTERNS = [
     r"(www\.[^\s\n]+)",
 ]
 ADDITIONAL_PHONE_PATTERNS = [
-    rf"(?:담당자|책임자|관리자|상담원)[\s]*:?[\s]*({_NUM_DOT})",
-    rf"(?:직통|내선|분관)[\s]*:?[\s]*({_NUM_DOT})",
-    rf"(?:사무실|사무소|본점|지점)[\s]*:?[\s]*({_NUM_DOT})",
-    rf"(?:예약|접수|상담)[\s]*:?[\s]*({_NUM_DOT})",
+    r"(?:담당자|책임자|관리자|상담원)[\s]*:?[\s]*(\d{2,3}[-\.\s]?\d{3,4}[-\.\s]?\d{4})",
+    r"(?:직통|내선|분관)[\s]*:?[\s]*(\d{2,3}[-\.\s]?\d{3,4}[-\.\s]?\d{4})",
+    r"(?:사무실|사무소|본점|지점)[\s]*:?[\s]*(\d{2,3}[-\.\s]?\d{3,4}[-\.\s]?\d{4})",
+    r"(?:예약|접수|상담)[\s]*:?[\s]*(\d{2,3}[-\.\s]?\d{3,4}[-\.\s]?\d{4})",
     r"(?:핸드폰|휴대폰|모바일|Mobile|mobile|HP|hp)[\s]*:?[\s]*(\d{3}[-\.\s]?\d{3,4}[-\.\s]?\d{4})",
 ]
 AGENT_PHONE_PATTERNS = [

@@ -89,6 +89,14 @@ def dash_helper(d: Column) -> Column:
     )
 
 
+def dash_page(d: Column) -> Column:
+    """Page policy: 9-11 digits under any prefix; mobile prefixes 3-4-rest."""
+    n = F.length(d)
+    mobile = F.substring(d, 1, 3).isin("010", "011", "016", "017", "018", "019", "070")
+    return F.when(n.between(9, 11), F.when(d.startswith("02") & (n == 9), _dashed(d, 2, 3)).when(d.startswith("02"), _dashed(d, 2, 4))
+                  .when(mobile, _dashed(d, 3, 4)).when(n == 10, _dashed(d, 3, 3)).otherwise(_dashed(d, 3, 4)))
+
+
 def normalize_helper(c: Column | str) -> Column:
     return dash_helper(strip_country(digits(c)))
 
@@ -212,6 +220,13 @@ def few_digits(c: Column | str) -> Column:
     return F.size(F.array_distinct(F.filter(F.split(digits(c), ""), lambda x: x != ""))) <= 2
 
 
+def valid_in_text(c: Column | str) -> Column:
+    """9-11 digits under a known area and not written like a placeholder."""
+    c = _c(c)
+    d = digits(c)
+    return F.length(d).between(9, 11) & area_code(d).isNotNull() & ~c.rlike(_DUMMY)
+
+
 def validator_verdict(value: Column, normalized: Column) -> Column:
     """'ok', 'empty', 'dummy', 'area' or 'pattern' for a value and its validator form."""
     n = F.coalesce(normalized, F.lit(""))

@@ -60,15 +60,37 @@ def extract_first_contact(texts: DataFrame, key: str = "id") -> DataFrame:
     return out.withColumn("found", (F.col("phone") != "") | (F.col("fax") != "") | (F.col("address") != "") | (F.col("postal_code") != ""))
 
 
+def _listed(matches: Column) -> Column:
+    """Stripped matches; one is skipped when its raw text is already listed."""
+    stripped = F.transform(matches, lambda x: strip(x))
+    fresh = F.filter(matches, lambda x, i: ~F.array_contains(F.slice(stripped, F.lit(1), i), x))
+    return F.transform(fresh, lambda x: strip(x))
+
+
 def extract_postal_codes(texts: DataFrame, key: str = "id") -> DataFrame:
-    """Postal codes, short-form addresses over 10 characters and validated counts."""
+    """Postal codes and short-form addresses, with the validated count of every kind."""
+    t = F.col("text")
+    none = F.array().cast("array<string>")
+    found = texts.select(
+        key, X.postal_codes("text").alias("postal_codes"),
+        F.when(t.rlike("[시군구]"), F.regexp_extract_all(t, F.lit(V.SHORT_ADDRESS_PATTERN), F.lit(0))).otherwise(none).alias("a"),
+        X._has_number(t, X.all_matches(t, V.PHONE_PATTERNS, "")).alias("p"), X._has_number(t, X.all_matches(t, V.FAX_PATTERNS, "")).alias("f"),
+        F.when(t.contains("@"), X.all_matches(t, V.EMAIL_PATTERNS, "")).otherwise(none).alias("e"))
+    long_ones = F.filter(F.array_sort(F.array_distinct("a")), lambda a: F.length(a) > 10)
+    good = lambda c: F.size(F.filter(_listed(F.col(c)), lambda x: P.valid_in_text(x)))
+    return found.select(
+        key, "postal_codes", long_ones.alias("addresses"), good("p").alias("phones_validated"), good("f").alias("faxes_validated"),
+        F.size(_listed(F.col("e"))).alias("emails_validated"), F.size(long_ones).alias("addresses_found"), F.size("postal_codes").alias("postal_codes_found"))
+
+
+def extract_contacts_page(texts: DataFrame, key: str = "id") -> DataFrame:
+    """The page policy: any prefix, full e-mail pattern, addresses with their symbols."""
     t = F.col("text")
-    addresses = F.when(t.rlike("[시군구]"), F.regexp_extract_all(t, F.lit(V.SHORT_ADDRESS_PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    long_ones = F.filter(F.array_sort(F.array_distinct(addresses)), lambda a: F.length(a) > 10)
-    phones = F.array_distinct(F.transform(X._has_number(t, X.all_matches(t, V.PHONE_PATTERNS, "")), lambda x: strip(x)))
-    valid = F.filter(phones, lambda x: P.valid_strict(x))
-    return texts.select(key, X.postal_codes("text").alias("postal_codes"), long_ones.alias("addresses"),
-                        F.size(valid).alias("phones_validated"), F.size(X.postal_codes("text")).alias("postal_codes_found"))
+    numbers = lambda pats: X.keep(X._has_number(t, X.all_matches(t, pats)), lambda x: P.dash_page(P.digits(x)))
+    addresses = X.keep(F.when(t.rlike("[시군구동로길]"), X.all_matches(t, V.ADDRESS_PATTERNS)).otherwise(F.array().cast("array<string>")),
+                       lambda x: A.clean_address(x, keep_symbols=True))
+    return texts.select(key, numbers(V.PHONE_PATTERNS).alias("phones"), numbers(V.FAX_PATTERNS).alias("faxes"),
+                        F.filter(X.emails(t), lambda x: W.email_valid(x, "strict")).alias("emails"), addresses.alias("addresses"))
 
 
 def page_record(pages: DataFrame, key: str = "id") -> DataFrame:

@@ -91,6 +91,19 @@ def fill_blank_only(orgs: DataFrame, found: DataFrame, fields: Sequence[str] = W
     return _finish(out.withColumns({f: F.when(take[f], F.col(f"new_{f}")).otherwise(F.col(f)) for f in fields}), orgs, "updated_fields")
 
 
+def fill_phone_from_list(orgs: DataFrame, found: DataFrame) -> DataFrame:
+    """Named rows without a phone take the first found number; the others are kept beside it.
+
+    ``found``: id and ``phones`` (array).
+    """
+    j = orgs.join(found.select("id", F.col("phones").alias("__p")), "id", "left")
+    take = F.coalesce(has_text("name") & is_blank("phone") & (F.size("__p") > 0), F.lit(False))
+    return j.withColumns({
+        "phone": F.when(take, F.try_element_at("__p", F.lit(1))).otherwise(F.col("phone")),
+        "additional_phones": F.when(take, F.slice("__p", 2, F.greatest(F.size("__p") - 1, F.lit(0)))).otherwise(F.array().cast("array<string>")),
+    }).select(*orgs.columns, "additional_phones")
+
+
 def merge_json(stored: Column, added: Column) -> Column:
     """Stored JSON object with the new keys laid over it; invalid JSON is replaced.
 

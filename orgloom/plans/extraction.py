@@ -167,16 +167,43 @@ def extract_additional_phones(spark, d):
 
 
 _POSTAL = r"list_sort(list_distinct(regexp_extract_all(text, '\b\d{5}\b')))"
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_STRIPPED = "list_transform({m}, lambda z: trim(z, " + _WS + "))"
+
+
+def listed(m: str) -> str:
+    return _STRIPPED.format(m=f"list_filter({m}, lambda x, i: NOT list_contains({_STRIPPED.format(m=f'{m}[1:i - 1]')}, x))")
+
+
+_DUMMY = "^(033-333-3333|02-222-2222|031-111-1111|" + "|".join(f"{n * 3}-{n * 3}-{n * 4}" for n in "0123456789") + r"|0\d{1,2}-000-0000|0\d{1,2}-123-4567|0\d{1,2}-1234-5678|000-000-0000|999-999-9999)"
+_GOOD = f"length({_YD}) BETWEEN 9 AND 11 AND ({q.area(_YD)}) IS NOT NULL AND NOT regexp_matches(y, '{_DUMMY}')"
 
 
 @query("extract_postal_codes", f"""
-WITH h AS (SELECT id, {_POSTAL} AS pc, list_filter(list_sort(list_distinct(regexp_extract_all(text, '{V.SHORT_ADDRESS_PATTERN}'))), lambda y: length(y) > 10) AS ad,
-  list_filter(list_distinct(list_transform({found('text', V.PHONE_PATTERNS, '')}, lambda y: trim(y))), lambda y: {q.valid_strict('y')}) AS ph FROM texts)
-SELECT id, {text_list('pc')} AS postal_codes, {text_list('ad')} AS addresses, CAST(len(ph) AS INTEGER) AS phones_validated, CAST(len(pc) AS INTEGER) AS postal_codes_found FROM h""", uses=TEXTS)
+WITH m AS (SELECT id, {_POSTAL} AS pc, list_filter(list_sort(list_distinct(regexp_extract_all(text, '{V.SHORT_ADDRESS_PATTERN}'))), lambda y: length(y) > 10) AS ad,
+  {found('text', V.PHONE_PATTERNS, '')} AS p, {found('text', V.FAX_PATTERNS, '')} AS f, {found('text', V.EMAIL_PATTERNS, '')} AS e FROM texts)
+SELECT id, {text_list('pc')} AS postal_codes, {text_list('ad')} AS addresses, CAST(len(list_filter({listed('p')}, lambda y: {_GOOD})) AS INTEGER) AS phones_validated,
+  CAST(len(list_filter({listed('f')}, lambda y: {_GOOD})) AS INTEGER) AS faxes_validated, CAST(len({listed('e')}) AS INTEGER) AS emails_validated,
+  CAST(len(ad) AS INTEGER) AS addresses_found, CAST(len(pc) AS INTEGER) AS postal_codes_found FROM m""", uses=TEXTS)
 def extract_postal_codes(spark, d):
     return joined(E.extract_postal_codes(T.spread(T.view(spark, d, "texts"), "id")))
 
 
+PAGE_DASH = """CASE WHEN length({d}) BETWEEN 9 AND 11 THEN CASE WHEN starts_with({d}, '02') AND length({d}) = 9 THEN substr({d},1,2) || '-' || substr({d},3,3) || '-' || substr({d},6)
+  WHEN starts_with({d}, '02') THEN substr({d},1,2) || '-' || substr({d},3,4) || '-' || substr({d},7)
+  WHEN substr({d},1,3) NOT IN ('010','011','016','017','018','019','070') AND length({d}) = 10 THEN substr({d},1,3) || '-' || substr({d},4,3) || '-' || substr({d},7)
+  ELSE substr({d},1,3) || '-' || substr({d},4,4) || '-' || substr({d},8) END END"""
+
+
+@query("extract_contacts_page", f"""
+WITH m AS (SELECT id, {mapped(found('text', V.PHONE_PATTERNS), PAGE_DASH.format(d=_YD))} AS p0, {mapped(found('text', V.FAX_PATTERNS), PAGE_DASH.format(d=_YD))} AS f0,
+  list_filter({found('text', V.EMAIL_PATTERNS)}, lambda y: regexp_matches(y, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}$')) AS e0,
+  {mapped(found('text', V.ADDRESS_PATTERNS), f"CASE WHEN length({_ADDR1}) >= 10 THEN {_ADDR1} END")} AS a0 FROM texts)
+SELECT id, {text_list(od('p0'))} AS phones, {text_list(od('f0'))} AS faxes, {text_list(od('e0'))} AS emails, {text_list(od('a0'))} AS addresses FROM m""", uses=TEXTS)
+def extract_contacts_page(spark, d):
+    return joined(E.extract_contacts_page(T.spread(T.view(spark, d, "texts"), "id")))
+
+
 _BLOCK = r"coalesce(nullif(trim(regexp_extract(text, '(?s)```json\s*(.*?)```', 1)), ''), nullif(regexp_extract(text, '(?s)(\{.*\})', 1), ''))"
 
 

@@ -38,12 +38,20 @@ def _both(make, sql) -> tuple[str, object]:
             lambda: {"phone_value": make("phone"), "fax_value": make("fax")})
 
 
+def _page_dash(d: str) -> str:
+    seoul, mobile = f"starts_with({d}, '02')", f"substr({d}, 1, 3) IN ('010','011','016','017','018','019','070')"
+    part = lambda a, b: f"substr({d}, 1, {a}) || '-' || substr({d}, {a + 1}, {b}) || '-' || substr({d}, {a + b + 1})"
+    return (f"CASE WHEN length({d}) BETWEEN 9 AND 11 THEN CASE WHEN {seoul} AND length({d}) = 9 THEN {part(2, 3)} WHEN {seoul} THEN {part(2, 4)} "
+            f"WHEN {mobile} THEN {part(3, 4)} WHEN length({d}) = 10 THEN {part(3, 3)} ELSE {part(3, 4)} END END")
+
+
 over_org("phone_digits", *_both(P.digits, q.digits))
 over_org("phone_strip_country", *_both(lambda x: P.strip_country(P.digits(x)), lambda x: q.strip(q.digits(x))))
 over_org("phone_area_code", *_both(lambda x: P.area_code(P.digits(x)), lambda x: q.area(q.digits(x))))
 over_org("phone_area_code_by_length", *_both(lambda x: P.area_code_by_length(P.digits(x)), lambda x: q.area_len(q.digits(x))))
 over_org("phone_format", *_both(P.format_phone, q.format_phone))
 over_org("phone_format_any_length", *_both(P.normalize_helper, q.normalize_helper))
+over_org("phone_format_page", *_both(lambda x: P.dash_page(P.digits(x)), lambda x: _page_dash(q.digits(x))))
 over_org("phone_group_normalize", *_both(P.normalize_groups, q.normalize_groups))
 over_org("phone_valid_strict", *_both(P.valid_strict, q.valid_strict))
 over_org("phone_valid_length_table", *_both(P.valid_length_table, q.valid_length_table))
@@ -357,6 +365,19 @@ def record_rules(spark, d):
     return orgs.select("id", F.array_join(VD.record_errors(last_year=2001), ",").alias("errors"))
 
 
+@query("user_record_rules", f"""
+WITH u AS (SELECT id, CASE WHEN team = 'team0' THEN '' ELSE username END AS username, CASE WHEN is_active THEN full_name END AS full_name,
+  CASE WHEN team = 'team1' THEN username || '@corp.co.kr' ELSE 'u' || CAST(id AS VARCHAR) || '@corp.co.kr' END AS email, CASE WHEN team = 'team2' THEN '02.123.4567' ELSE '02-123-4567' END AS phone FROM users)
+SELECT id, concat_ws(',', CASE WHEN {q.blank('username')} THEN 'username_required' END, CASE WHEN {q.blank('full_name')} THEN 'full_name_required' END,
+  CASE WHEN {q.filled('email')} AND NOT {_EM} THEN 'email_format' END, CASE WHEN NOT ({_model_sql('phone')}) THEN 'phone_format' END) AS errors FROM u""", uses=("users",))
+def user_record_rules(spark, d):
+    u = T.view(spark, d, "users").select(
+        "id", F.when(c("team") == "team0", "").otherwise(c("username")).alias("username"), F.when(c("is_active"), c("full_name")).alias("full_name"),
+        F.when(c("team") == "team1", F.concat("username", F.lit("@corp.co.kr"))).otherwise(F.concat(F.lit("u"), c("id").cast("string"), F.lit("@corp.co.kr"))).alias("email"),
+        F.when(c("team") == "team2", "02.123.4567").otherwise("02-123-4567").alias("phone"))
+    return u.select("id", F.array_join(VD.user_errors(), ",").alias("errors"))
+
+
 @query("date_coercion", """
 SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts END AS text, CASE WHEN event_id % 7 = 0 THEN '{}' ELSE props END AS json FROM events""", uses=())
 def date_coercion(spark, d):

@@ -72,8 +72,13 @@ def stream_alert_cooldown(spark, d):
 
 @query("stream_alert_cooldown_stateful", ALERTS, uses=("health",))
 def stream_alert_cooldown_stateful(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.ROCKSDB)
-    table = RT.run_to_table(J.alert_cooldown(over(spark, d, "health")), RT.new_root(spark, "alerts"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, J.ROCKSDB)
+    try:
+        table = RT.run_to_table(J.alert_cooldown(over(spark, d, "health")), RT.new_root(spark, "alerts"))
+    finally:
+        spark.conf.set(provider, before)
     return table.select("rule", "severity", F.timestamp_micros("us").cast("timestamp_ntz").alias("fired_at"))
 
 

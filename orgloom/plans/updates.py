@@ -89,6 +89,16 @@ def fill_blank_only(spark, d):
     return U.fill_blank_only(*_tables(spark, d)).select("id", *W, F.array_join("updated_fields", ",").alias("updated_fields"))
 
 
+@query("fill_phone_from_list", f"""
+WITH l AS (SELECT id, list_filter([nullif(trim(fax), ''), nullif(trim(phone), ''), '02-555-0199'], lambda x: x IS NOT NULL) AS p FROM found)
+SELECT o.id, CASE WHEN {q.blank('o.phone')} AND l.id IS NOT NULL THEN l.p[1] ELSE o.phone END AS phone,
+  CASE WHEN {q.blank('o.phone')} AND l.id IS NOT NULL THEN array_to_string(l.p[2:], ',') ELSE '' END AS additional_phones FROM org o LEFT JOIN l ON l.id = o.id""", uses=BASE)
+def fill_phone_from_list(spark, d):
+    o, f = _tables(spark, d)
+    lists = f.select("id", F.array_compact(F.array(F.nullif(F.trim("fax"), F.lit("")), F.nullif(F.trim("phone"), F.lit("")), F.lit("02-555-0199"))).alias("phones"))
+    return U.fill_phone_from_list(o, lists).select("id", "phone", F.array_join("additional_phones", ",").alias("additional_phones"))
+
+
 @query("merge_json_metadata", """
 WITH j AS (SELECT o.id, o.crawling_data AS old, f.event_id FROM org o JOIN found f ON f.id = o.id)
 SELECT id, json_extract_string(old, '$.data_quality_grade') AS grade, json_extract_string(old, '$.validation_score') AS score,
