@@ -99,12 +99,12 @@ def validation_scores(lists: DataFrame, reliability: Column | None = None, model
 
 def overall_confidence(orgs: DataFrame, key: str = "id") -> DataFrame:
     """Sum of the valid confidences over all present values; mean of the stage scores."""
-    p, f, e = P.confidence("phone"), P.confidence("fax"), W.email_confidence("email")
-    every = F.array_compact(F.array(
-        F.when(F.col("phone").isNotNull(), p), F.when(F.col("fax").isNotNull(), f), F.when(F.col("email").isNotNull(), e)))
-    total = F.aggregate(every, F.lit(0.0), lambda a, x: a + x)
-    return orgs.select(key, F.round(F.when(F.size(every) > 0, total / F.size(every)).otherwise(0.0), 6).alias("confidence"),
-                       F.round((p + f + e) / 3, 6).alias("stage_mean"))
+    scored = orgs.select(key, P.confidence("phone").alias("p"), P.confidence("fax").alias("f"), W.email_confidence("email").alias("e"),
+                         *[F.col(c).isNotNull().alias(n) for c, n in (("phone", "hp"), ("fax", "hf"), ("email", "he"))])
+    total = sum((F.when(F.col(n), F.col(c)).otherwise(0.0) for c, n in (("p", "hp"), ("f", "hf"), ("e", "he"))), F.lit(0.0))
+    count = F.col("hp").cast("int") + F.col("hf").cast("int") + F.col("he").cast("int")
+    return scored.select(key, F.round(F.when(count > 0, total / count).otherwise(0.0), 6).alias("confidence"),
+                         F.round((F.col("p") + F.col("f") + F.col("e")) / 3, 6).alias("stage_mean"))
 
 
 def adjust_confidence(scores: Column, verdicts: Column) -> Column:

@@ -17,8 +17,8 @@ c = F.col
 
 
 def events(spark, d):
-    """The event file as a stream."""
-    return RT.file_stream(spark, d, T.given(spark, d, "events").schema, "events.parquet")
+    """The event table as a stream."""
+    return RT.table_stream(spark, f"{d}/events.parquet")
 
 
 def over(spark, d, name: str):

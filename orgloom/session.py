@@ -25,6 +25,9 @@ def local_session(app: str = "orgloom", cpus: int | str = "*", **conf: str) -> S
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # the JVM never compiles methods over 8000 bytes; larger generated stages run
+        # faster as smaller per-operator functions
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)

@@ -15,7 +15,7 @@ from orgloom.functions.blank import percent
 from orgloom.operators import alerts as AL
 from orgloom.operators.ranking import first_per_key
 
-from .runtime import run
+from .runtime import run, start_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -43,8 +43,10 @@ def progress_deltas(results: DataFrame, root: str, delay: str = "1 hour") -> Dat
         counts = batch.groupBy("organization_id").agg(F.count("*").alias("processed"))
         newest.join(counts, "organization_id").write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
+    schema = StructType(results.schema.fields).add("processed", "long")
+    start_table(results.sparkSession, f"{root}/out", schema)
     run(done, root, "append", write)
-    schema = StructType(results.schema.fields).add("processed", "long").add("batch_id", "long")
+    schema = StructType(schema.fields).add("batch_id", "long")
     return results.sparkSession.read.schema(schema).parquet(f"{root}/out")
 
 
@@ -91,20 +93,19 @@ def alert_batches(health: DataFrame, root: str, rules: Sequence[tuple[str, str,
     Each batch is solved in parallel time slices; only the last fire per rule
     (one row each) is carried to the next batch, beside the alerts on disk.
     """
-    spark = health.sparkSession
+    spark, fired = health.sparkSession, "rule string, severity string, us long"
+    start_table(spark, f"{root}/out", fired)
+    start_table(spark, f"{root}/last", AL.CARRIED)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        carried = None
-        if batch_id > 0:
-            carried = spark.read.schema(AL.CARRIED).parquet(f"{root}/last/batch_id={batch_id - 1}")
+        carried = spark.read.schema(AL.CARRIED).parquet(f"{root}/last/batch_id={batch_id - 1}")
         out = f"{root}/out/batch_id={batch_id}"
         AL.alert_log(batch, rules, carried=carried).write.mode("overwrite").parquet(out)
-        last = spark.read.schema("rule string, severity string, us long").parquet(out).select("rule", F.col("us").alias("last_us"))
-        both = last if carried is None else last.unionByName(carried)
-        both.groupBy("rule").agg(F.max("last_us").alias("last_us")).write.mode("overwrite").parquet(f"{root}/last/batch_id={batch_id}")
+        last = spark.read.schema(fired).parquet(out).select("rule", F.col("us").alias("last_us"))
+        last.unionByName(carried).groupBy("rule").agg(F.max("last_us").alias("last_us")).write.mode("overwrite").parquet(f"{root}/last/batch_id={batch_id}")
 
     run(health, root, "append", write)
-    return spark.read.schema("rule string, severity string, us long, batch_id long").parquet(f"{root}/out")
+    return spark.read.schema(f"{fired}, batch_id long").parquet(f"{root}/out")
 
 
 class Cooldown(StatefulProcessor):
@@ -167,11 +168,10 @@ def recent_results(results: DataFrame, root: str, k: int = 20) -> DataFrame:
     columns = StructType(results.schema.fields)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.schema(columns).parquet(f"{root}/out/batch_id={batch_id - 1}"))
-        rows.orderBy(F.desc("ts"), F.desc("event_id")).limit(k).write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+        before = spark.read.schema(columns).parquet(f"{root}/out/batch_id={batch_id - 1}")
+        batch.unionByName(before).orderBy(F.desc("ts"), F.desc("event_id")).limit(k).write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
+    start_table(spark, f"{root}/out", columns)
     run(results, root, "append", write)
     return spark.read.schema(StructType(columns.fields).add("batch_id", "long")).parquet(f"{root}/out")
 
@@ -194,14 +194,13 @@ def split_late(events: DataFrame, root: str, delay: str = "INTERVAL 1 HOUR") ->
     spark = events.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        bound = F.lit(None).cast("timestamp_ntz")
-        if batch_id > 0:
-            seen = spark.read.schema("top timestamp_ntz, batch_id long").parquet(f"{root}/seen").filter(F.col("batch_id") < batch_id)
-            bound = seen.select(F.max("top") - F.expr(delay)).scalar()
+        seen = spark.read.schema("top timestamp_ntz, batch_id long").parquet(f"{root}/seen").filter(F.col("batch_id") < batch_id)
+        bound = seen.select(F.max("top") - F.expr(delay)).scalar()
         late = F.coalesce(F.col("ts") < bound, F.lit(False))
         batch.withColumn("late", late).write.mode("overwrite").partitionBy("late").parquet(f"{root}/out/batch_id={batch_id}")
         batch.agg(F.max("ts").alias("top")).write.mode("overwrite").parquet(f"{root}/seen/batch_id={batch_id}")
 
+    start_table(spark, f"{root}/seen", "top timestamp_ntz")
     run(events, root, "append", write)
     schema = StructType(events.schema.fields).add("batch_id", "long").add("late", "boolean")
     table = spark.read.schema(schema).parquet(f"{root}/out")

@@ -22,6 +22,17 @@ def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: s
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, whether it is a folder of files or one file."""
+    schema = spark.read.parquet(path).schema
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop_path)
+    if status.isFile():
+        folder, name = path.rsplit("/", 1)
+        return file_stream(spark, folder, schema, name, files_per_batch)
+    return file_stream(spark, path, schema, None, files_per_batch)
+
+
 def stream_view(events: DataFrame, name: str) -> DataFrame:
     """A derived view (metrics, health, results) over an event stream."""
     sql = VIEWS[name].replace("FROM events", "FROM {events}").replace("TIMESTAMP '", "TIMESTAMP_NTZ '")
@@ -41,6 +52,11 @@ def run(stream: DataFrame, root: str, mode: str, each: Callable[[DataFrame, int]
     return handle
 
 
+def start_table(spark: SparkSession, folder: str, schema: StructType | str) -> None:
+    """An empty batch -1, so that readers find a table before anything arrives."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/batch_id=-1")
+
+
 def run_to_table(stream: DataFrame, root: str, mode: str = "append") -> DataFrame:
     """Write every batch to its own partition of ``root``/out.
 
@@ -51,6 +67,7 @@ def run_to_table(stream: DataFrame, root: str, mode: str = "append") -> DataFram
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
+    start_table(stream.sparkSession, f"{root}/out", stream.schema)
     run(stream, root, mode, write)
     return stream.sparkSession.read.schema(StructType(stream.schema.fields).add("batch_id", "long")).parquet(f"{root}/out")
 
