@@ -55,12 +55,6 @@ def first_text(*cols: Column | str) -> Column:
     return F.coalesce(*[F.nullif(_c(c), F.lit("")) for c in cols])
 
 
-def keep_unless_given(new: Column | str, old: Column | str) -> Column:
-    """The new value when it has text, else the stored one."""
-    new, old = _c(new), _c(old)
-    return F.when(has_text(new), new).otherwise(old)
-
-
 def clean_value(c: Column | str) -> Column:
     """Trimmed text with placeholder words turned into ''."""
     t = F.coalesce(strip(c), F.lit(""))

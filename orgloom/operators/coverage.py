@@ -15,8 +15,7 @@ from orgloom.functions import fixed_values as V
 from orgloom.functions import phone as P
 from orgloom.functions import scoring as S
 from orgloom.functions import web as W
-from orgloom.functions.blank import (any_missing, has_text, is_filled, is_missing, missing_count,
-                                     missing_fields, percent)
+from orgloom.functions.blank import any_missing, has_text, is_filled, missing_count, percent
 
 from .validation import fax_checks
 

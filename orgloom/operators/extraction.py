@@ -8,7 +8,6 @@ from orgloom.functions import address as A
 from orgloom.functions import extract as X
 from orgloom.functions import fixed_values as V
 from orgloom.functions import phone as P
-from orgloom.functions import scoring as S
 from orgloom.functions import web as W
 from orgloom.functions.blank import strip
 

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from orgloom.functions import phone as P
 from orgloom.functions.blank import first_text, has_text, is_blank, is_filled, strip
-from orgloom.functions import scoring as S
 
 from .ranking import first_per_key, top_per_key
 

@@ -11,7 +11,7 @@ from orgloom.functions import address as A
 from orgloom.functions import fixed_values as V
 from orgloom.functions import phone as P
 from orgloom.functions import scoring as S
-from orgloom.functions.blank import any_missing, has_text, is_filled, is_missing, missing_count, missing_fields
+from orgloom.functions.blank import any_missing, has_text, is_filled, missing_count, missing_fields
 
 
 def missing_any_contact(orgs: DataFrame) -> DataFrame:

@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from orgloom.functions import fixed_values as V
-from orgloom.functions.blank import is_filled
 from orgloom.operators import ingest as I
 from orgloom.session import checkpoint_root
 from orgloom.sources import files, sinks

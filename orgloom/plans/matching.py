@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orgloom.functions import fixed_values as V
 from orgloom.functions import scoring as S
 from orgloom.functions.blank import is_filled
 from orgloom.operators import matching as M
@@ -13,7 +12,7 @@ from orgloom.sources import tables as T
 from . import sqlparts as q
 from .coverage import NESTED, nested_contacts
 from .registry import query
-from .rules import RELATION, listed, points, _PTS
+from .rules import RELATION, points, _PTS
 
 c = F.col
 
@@ -274,7 +273,7 @@ SELECT a.conv_id, a.turn, round(CASE WHEN len(list_distinct(list_concat(a.tok, b
   THEN CAST(len(list_intersect(a.tok, b.tok)) AS DOUBLE) / len(list_distinct(list_concat(a.tok, b.tok))) ELSE 0.0E0 END, 6) AS similarity
 FROM t a JOIN t b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""", uses=())
 def record_similarity(spark, d):
-    return M.neighbour_similarity(T.given(spark, d, "conversations"))
+    return M.neighbour_similarity(T.spread(T.given(spark, d, "conversations"), "turn"))
 
 
 @query("org_name_blocking", """

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from orgloom.functions import fixed_values as V
 from orgloom.operators import alerts as AL
 from orgloom.operators import metrics as M

@@ -12,12 +12,12 @@ from orgloom.functions import fixed_values as V
 from orgloom.functions import phone as P
 from orgloom.functions import scoring as S
 from orgloom.functions import web as W
-from orgloom.functions.blank import clean_value, first_nonblank, has_text, is_blank, is_filled
+from orgloom.functions.blank import clean_value, first_nonblank, is_blank, is_filled
 from orgloom.operators import validation as VD
 from orgloom.sources import tables as T
 
 from . import sqlparts as q
-from .coverage import FAXED, NESTED, nested_contacts
+from .coverage import FAXED, NESTED
 from .queues import fits_region_sql, region_city_sql, region_of_phone_sql
 from .registry import query
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orgloom.functions import fixed_values as V
-from orgloom.functions.blank import is_filled
 from orgloom.operators import updates as U
 from orgloom.sources import tables as T
 

@@ -63,7 +63,6 @@ def main(path: str, only: list[str]) -> int:
     from orgloom.session import local_session
 
     spark = local_session(cpus=8)
-    from pyspark.logger import PySparkLogger  # noqa: F401
     import logging
 
     logging.disable(logging.CRITICAL)

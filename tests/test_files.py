@@ -78,3 +78,16 @@ def test_add_columns_only_when_absent(spark):
     df = spark.createDataFrame([(True,)], "ai_crawled boolean")
     out = I.add_columns_if_absent(df, {"ai_crawled": F.lit(False), "last_crawled_at": F.lit(None).cast("timestamp_ntz")})
     assert out.first().ai_crawled is True and out.columns == ["ai_crawled", "last_crawled_at"]
+
+
+def test_scratch_folder_only_for_local_sessions():
+    from types import SimpleNamespace as N
+
+    from orgloom.session import checkpoint_root
+
+    conf = lambda value: N(get=lambda *_: value)
+    assert checkpoint_root(N(conf=conf("hdfs://x/cp/"))) == "hdfs://x/cp"
+    local = N(conf=conf(None), sparkContext=N(master="local[2]", applicationId="a"))
+    assert checkpoint_root(local) == checkpoint_root(local)
+    with pytest.raises(ValueError):
+        checkpoint_root(N(conf=conf(None), sparkContext=N(master="spark://m:7077", applicationId="b")))
