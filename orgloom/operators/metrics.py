@@ -55,16 +55,20 @@ def agent_stats(metrics: DataFrame) -> DataFrame:
 def exact_medians(df: DataFrame, key: str, values: Sequence[str], cells: int = 4096) -> DataFrame:
     """Exact medians of the positive values per key without sorting a group in one task.
 
-    1. equal values are counted on the map side; 2. counts are folded into
-    ``cells`` equal-width cells between each group's extremes and the cells that
-    hold the middle ranks are found; 3. only the values of those cells are ranked.
+    1. equal values are counted on the map side; 2. a quantile sketch brackets the
+    middle and counts are folded into ``cells`` cells inside the bracket (plus one
+    below and one above), which shows the cells that hold the middle ranks; 3. only
+    the values of those cells are ranked. The sketch decides how little is ranked,
+    never the result.
     """
     g = [key, "what"]
     long = df.select(key, F.inline(F.array(*[F.struct(F.lit(v).alias("what"), F.col(v).alias("v")) for v in values]))).filter("v > 0")
     counts = long.groupBy(*g, "v").agg(F.count("*").alias("n"))
-    span = counts.groupBy(*g).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    width = (F.col("hi") - F.col("lo")) / cells
-    cell = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(cells - 1))).otherwise(F.lit(0)).cast("int")
+    span = long.groupBy(*g).agg(F.count("*").alias("total"), F.percentile_approx("v", [0.4995, 0.5005], 10000).alias("b")).select(
+        *g, "total", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
+    v, width = F.col("v"), (F.col("hi") - F.col("lo")) / cells
+    cell = (F.when(v < F.col("lo"), 0).when(v > F.col("hi"), cells + 1)
+            .when(width > 0, 1 + F.least(F.floor((v - F.col("lo")) / width), F.lit(cells - 1))).otherwise(1).cast("int"))
     placed = counts.join(span, g).withColumn("cell", cell)
     per_cell = placed.groupBy(*g, "cell", "total").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(*g).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)

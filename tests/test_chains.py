@@ -75,10 +75,10 @@ def test_running_mean(spark):
 
 def test_exact_medians(spark):
     rnd = random.Random(4)
-    rows = [("hot", rnd.gauss(50, 20), 1.0) for _ in range(3001)] + [("even", float(i), 2.0) for i in range(1, 101)] + [("one", 7.5, 0.0), ("same", 3.0, 3.0), ("same", 3.0, 3.0)]
+    rows = [("hot", rnd.gauss(50, 20), 1.0) for _ in range(3001)] + [("even", float(i), 2.0) for i in range(1, 101)] + [("tail", 10.0 ** rnd.randint(0, 12) + rnd.random(), 1.0) for _ in range(20000)] + [("one", 7.5, 0.0), ("same", 3.0, 3.0), ("same", 3.0, 3.0)]
     df = spark.createDataFrame(rows, "k string, v double, w double")
     got = {r.k: (r.v, r.w) for r in M.exact_medians(df, "k", ["v", "w"], cells=16).collect()}
-    for key in ("hot", "even", "one", "same"):
+    for key in ("hot", "tail", "even", "one", "same"):
         positive = [v for k, v, _ in rows if k == key and v > 0]
-        assert abs(got[key][0] - statistics.median(positive)) < 1e-9
+        assert got[key][0] == pytest.approx(statistics.median(positive), rel=1e-12)
     assert got["one"][1] is None
