@@ -19,11 +19,17 @@ from orgloom.functions import fixed_values as V
 US = 1_000_000
 
 
-def triggers(health: DataFrame, rules: Sequence[tuple[str, str, str, int]] = V.ALERT_RULES) -> DataFrame:
-    """(rule, severity, cooldown_us, us, ts): samples that meet a rule; equal times once."""
+Rules = Sequence[tuple[str, str, str, int]]
+
+
+def triggers(health: DataFrame, rules: Rules = V.ALERT_RULES) -> DataFrame:
+    """(rule, cooldown_us, us): samples that meet a rule, by its number; equal times once.
+
+    Only numbers travel to Python; names and severities are put back at the end.
+    """
     hit = F.array_compact(F.array(*[
-        F.when(F.expr(cond), F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.lit(minutes * 60 * US).cast("long").alias("cooldown_us")))
-        for name, cond, severity, minutes in rules]))
+        F.when(F.expr(cond), F.struct(F.lit(i).alias("rule"), F.lit(minutes * 60 * US).cast("long").alias("cooldown_us")))
+        for i, (_, cond, _, minutes) in enumerate(rules)]))
     return health.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.inline(hit)).distinct()
 
 
@@ -88,13 +94,13 @@ def _slice_fires(pdf: pd.DataFrame) -> pd.DataFrame:
     while i < len(us):
         fired.append(i)
         i = int(link[i])
-    return pdf.iloc[fired][["rule", "severity", "us"]]
+    return pdf.iloc[fired][["rule", "us"]]
 
 
 CARRIED = "rule string, last_us long"
 
 
-def alert_log(health: DataFrame, rules: Sequence[tuple[str, str, str, int]] = V.ALERT_RULES, slice_minutes: int = 60,
+def alert_log(health: DataFrame, rules: Rules = V.ALERT_RULES, slice_minutes: int = 60,
               carried: DataFrame | None = None) -> DataFrame:
     """rule, severity and time (microseconds) of every alert.
 
@@ -107,12 +113,16 @@ def alert_log(health: DataFrame, rules: Sequence[tuple[str, str, str, int]] = V.
     hits = triggers(health, rules).withColumn("slice_start", F.col("us") - F.pmod(F.col("us"), F.lit(width)))
     by_slice = ["rule", "slice_start"]
     exits = hits.repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(
-        _per_slice(_slice_exits), "rule string, slice_start long, cooldown_us long, upto long, exit_us long")
+        _per_slice(_slice_exits), "rule int, slice_start long, cooldown_us long, upto long, exit_us long")
+    numbers = F.coalesce(*[F.when(F.col("rule") == name, F.lit(i)) for i, (name, *_) in enumerate(rules)])
     before = carried if carried is not None else health.sparkSession.createDataFrame([], CARRIED)
+    before = before.select(numbers.alias("rule"), "last_us").filter("rule IS NOT NULL")
     entries = exits.groupBy("rule").cogroup(before.groupBy("rule")).applyInPandas(
-        _real_entries, "rule string, slice_start long, blocked_until long")
-    return hits.join(entries, by_slice).repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(
-        _per_slice(_slice_fires), "rule string, severity string, us long")
+        _real_entries, "rule int, slice_start long, blocked_until long")
+    fires = hits.join(entries, by_slice).repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(
+        _per_slice(_slice_fires), "rule int, us long")
+    names, severities = (F.array(*[F.lit(r[k]) for r in rules]) for k in (0, 2))
+    return fires.select(names[F.col("rule")].alias("rule"), severities[F.col("rule")].alias("severity"), "us")
 
 
 def fired_at(alerts: DataFrame) -> DataFrame:
