@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from orgloom.llm import chat_format as chat
 from orgloom.llm import license_scan as licences
+from orgloom.llm.decontamination import decontaminate
 from orgloom.llm.exact_dedup import exact_dedup
 from orgloom.llm.secret_scan import secret_scan
+from orgloom.llm.substring_dedup import substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{}', '{}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(
+    licences.UPPER, licences.LOWER)
+
+
+@query("op3_decontamination", f"""
+WITH dw AS (SELECT doc_id, {_ALNUM_WORDS} AS w FROM documents),
+iw AS (SELECT item_id, w, least(len(w), 10) AS size FROM (SELECT item_id, {_ALNUM_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS g
+        FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS s FROM iw)),
+dg AS (SELECT doc_id, s, size, array_to_string(list_slice(w, s, s + size - 1), ' ') AS g
+       FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM dw CROSS JOIN (SELECT DISTINCT size FROM win))),
+hits AS (SELECT DISTINCT doc_id, s, size, item_id FROM dg JOIN win USING (size, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(words.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""")
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 @query("op6_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -49,6 +74,20 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_spans("base"), 256).alias("base_sha256"), _spans("spans").alias("spans"))
 
 
+@query("op8_substring_dedup", r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, s, array_to_string(list_slice(w, s, s + 19), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)),
+again AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS n FROM win) WHERE n > 1),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM again) GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(t, ' ' ORDER BY p) AS k, count(*) AS n
+         FROM (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d) x
+         WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(ps) AS p FROM gone) y WHERE y.doc_id = x.doc_id AND y.p = x.p) GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id""")
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def _canonical_sql(text: str) -> str:
     out = f"regexp_replace(translate({text}, '{licences.UPPER}', '{licences.LOWER}'), '(^|\\n)[ \\t]*(copyright|\\(c\\)|©)[^\\n]*', '\\1', 'g')"
     out = f"' ' || trim(regexp_replace({out}, '[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+', ' ', 'g')) || ' '"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from orgloom.session import checkpoint_root
 
@@ -19,3 +20,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bit_table(df: DataFrame, hash_col: str, bits: int) -> list[tuple[int, int]]:
+    """A table of ``bits`` bits (a power of two) with the slots of all hashes set, as (64-bit word, value) pairs.
+
+    Its size is fixed by ``bits``, however many rows there are; with many rows it only
+    lets more others pass. Bits are gathered before the shuffle.
+    """
+    slot = F.col(hash_col).bitwiseAND(F.lit(bits - 1))
+    word = F.shiftright(slot, 6).alias("word")
+    one = F.expr(f"shiftleft(1L, cast({hash_col} & 63 AS int))")
+    rows = df.filter(F.col(hash_col).isNotNull()).groupBy(word).agg(F.bit_or(one).alias("value")).collect()
+    return [(r.word, r.value) for r in rows]
