@@ -11,6 +11,7 @@ from orgloom.llm import chat_format as chat
 from orgloom.llm import license_scan as licences
 from orgloom.llm.decontamination import decontaminate
 from orgloom.llm.exact_dedup import exact_dedup
+from orgloom.llm.packing import pack
 from orgloom.llm.secret_scan import secret_scan
 from orgloom.llm.substring_dedup import substring_dedup
 
@@ -55,6 +56,21 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary() -> str:
+    """The place of the public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+@query("op4_best_fit_packing")
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), vocabulary())
+
+
 @query("op6_exact_dedup", """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
        sha256(coalesce(text, '')) AS text_sha256
