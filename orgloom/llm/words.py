@@ -16,6 +16,7 @@ CHUNK_BYTES = 1 << 20
 
 # Bytes that separate words.
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
+NON_LETTERS = bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -147,6 +148,15 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, separators: bytes, lower: boo
     return Words(data, start, end, np.searchsorted(start, at), hashed)
 
 
+def beginnings(words: Words, k: int) -> np.ndarray:
+    """Hashes of the words' first k bytes (of shorter words: of the bytes there are), other than any word hash of those bytes."""
+    acc = np.full(len(words.start), np.uint64(k), np.uint64)
+    for j in range(k):
+        at = words.start + j
+        acc = acc * _STEP + np.where(at < words.end, _BYTES[words.data[np.minimum(at, len(words.data) - 1)]], np.uint64(0))
+    return mix(acc)
+
+
 def pack_bits(rows: list[tuple[int, int]], bits: int) -> np.ndarray:
     out = np.zeros(max(1, bits // 64), np.uint64)
     for word, value in rows:
