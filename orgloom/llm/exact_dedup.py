@@ -1,7 +1,7 @@
 """Exact deduplication by content sort (DataFrame functions only).
 
-Rows are range-partitioned by (text, id) with splitters that Spark samples, each
-range is sorted externally, and every row is compared in full with its
+Rows are range-partitioned by content (the text's head and hash) and id with splitters
+that Spark samples, each range is sorted externally by content, whole text and id, and every row is compared in full with its
 neighbours. A splitter may fall inside a group of copies, so a hot group is dealt
 over as many ranges as its share of the data; a step over one row per range
 joins the pieces of such a group again.
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from orgloom.llm.storage import written
 
+SPLITTER_CHARS = 48
+
 
 def exact_dedup(
     docs: DataFrame,
@@ -24,7 +26,7 @@ def exact_dedup(
     normalise: Callable[[Column], Column] | None = None,
     keep: str = "smallest",
 ) -> DataFrame:
-    """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256.
+    """One row per input row: ``id_col``, keep_id, group_size, kept, text_sha256, text_key.
 
     Two rows are equal when their normalised texts are identical byte by byte;
     ``normalise`` maps the text column (None: no change). Of a group the row with
@@ -43,15 +45,18 @@ def exact_dedup(
     # the row that stays is the last of its group in this order
     order = F.desc_nulls_first("id") if keep == "smallest" else F.asc_nulls_first("id")
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a splitter holds the text's head and hash, so the sampled keys stay small; texts differ in full only within both
+    content = (F.asc("head"), F.asc("hash"))
     dealt = (
         docs.select(F.col(id_col).alias("id"), text.alias("text"))
-        .repartitionByRange(ranges, F.asc("text"), order)
+        .withColumns({"head": F.substring("text", 1, SPLITTER_CHARS), "hash": F.xxhash64("text")})
+        .repartitionByRange(ranges, *content, order)
         .withColumn("part", F.spark_partition_id())
     )
-    rows = Window.partitionBy("part").orderBy(F.asc("text"), order)
+    rows = Window.partitionBy("part").orderBy(*content, F.asc("text"), order)
     before, after = F.lag("text").over(rows), F.lead("text").over(rows)
     marked = dealt.select(
-        "id", "part", F.sha2("text", 256).alias("sha"),
+        "id", "part", "hash", F.sha2("text", 256).alias("sha"),
         F.when(before.isNull() | after.isNull(), F.col("text")).alias("edge"),
         before.isNull().alias("first"), after.isNull().alias("last"),
         F.coalesce(before != F.col("text"), F.lit(True)).alias("opens"),
@@ -63,7 +68,7 @@ def exact_dedup(
     whole = Window.partitionBy("part", "run")
     local = written(
         marked.select(
-            "id", "part", "sha", "edge", "first", "last", "closes", "run",
+            "id", "part", "hash", "sha", "edge", "first", "last", "closes", "run",
             F.max(F.when(F.col("closes"), F.struct(F.col("id").alias("id")))).over(whole)["id"].alias("keep"),
             F.count(F.lit(1)).over(whole).alias("size"),
         ),
@@ -116,5 +121,5 @@ def exact_dedup(
         F.coalesce("chain_keep", F.struct("keep"))["keep"].alias("keep_id"),
         F.coalesce("chain_size", "size").alias("group_size"),
         (F.col("closes") & ~F.coalesce("followed", F.lit(False))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
+        F.col("sha").alias("text_sha256"), F.col("hash").alias("text_key"),
     )
