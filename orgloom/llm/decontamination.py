@@ -70,7 +70,7 @@ def decontaminate(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", span: int = 10, gram: int = 5, filter_bits: int = 1 << 23,
 ) -> DataFrame:
-    """One row per document row: ``id_col``, n_words, n_hit, items, spans.
+    """One row per document row: ``id_col``, n_words, n_hit, items, spans, text_key (a hash of the text).
 
     Words are runs of a-z, 0-9 and non-ASCII characters after A-Z is lower-cased.
     Every window of ``span`` consecutive item words counts (an item of fewer words,
@@ -114,17 +114,18 @@ def decontaminate(
                 for (w, size), d in zip(found, owner):
                     tries[d].append({"start": w - int(words.first[d]), "size": size, "window": words.text(w, size)})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(serial, serial + j - i)), batch["id"].slice(i, j - i), pa.array(words.counts()),
+                    [pa.array(np.arange(serial, serial + j - i)), batch["id"].slice(i, j - i), batch["key"].slice(i, j - i), pa.array(words.counts()),
                      pa.array(tries, pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32()), ("window", pa.string())])))],
-                    ["row", "id", "n_words", "tries"])
+                    ["row", "id", "key", "n_words", "tries"])
                 serial += j - i
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    probed = rows.mapInArrow(probe, f"row bigint, id {kind}, n_words bigint, tries array<struct<start:int,size:int,window:string>>")
-    tried = probed.select("row", "id", "n_words", F.explode_outer("tries").alias("t")).select("row", "id", "n_words", "t.*")
+    probed = rows.mapInArrow(probe, f"row bigint, id {kind}, key bigint, n_words bigint, tries array<struct<start:int,size:int,window:string>>")
+    tried = probed.select("row", "id", "key", "n_words", F.explode_outer("tries").alias("t")).select("row", "id", "key", "n_words", "t.*")
     known = windows.groupBy("window").agg(F.collect_set("item").alias("found"))
-    hit = tried.join(known, "window", "left").groupBy("row", "id", "n_words").agg(
+    hit = tried.join(known, "window", "left").groupBy("row", "id", "key", "n_words").agg(
         F.sort_array(F.collect_set(F.when(F.col("found").isNotNull(), F.struct("start", (F.col("start") + F.col("size")).alias("end"))))).alias("at"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("found")))).alias("items"),
     )
@@ -137,6 +138,6 @@ def decontaminate(
                      o["start"].alias("start"), o["end"].alias("end"))),
         lambda s: F.when(s["end"] > 0, F.array_append(s["done"], F.struct(s["start"], s["end"]))).otherwise(s["done"]),
     )
-    return hit.select(F.col("id").alias(id_col), "n_words", merged.alias("spans"), "items").select(
+    return hit.select(F.col("id").alias(id_col), "n_words", merged.alias("spans"), "items", F.col("key").alias("text_key")).select(
         id_col, "n_words",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"), "items", "spans")
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_hit"), "items", "spans", "text_key")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgloom.session import checkpoint_root
@@ -33,3 +33,29 @@ def bit_table(df: DataFrame, hash_col: str, bits: int) -> list[tuple[int, int]]:
     one = F.expr(f"shiftleft(1L, cast({hash_col} & 63 AS int))")
     rows = df.filter(F.col(hash_col).isNotNull()).groupBy(word).agg(F.bit_or(one).alias("value")).collect()
     return [(r.word, r.value) for r in rows]
+
+
+def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 23) -> DataFrame:
+    """The rows of ``docs`` that ``verdicts`` (doc_id, text_key, kept) keep, with the columns of ``docs``.
+
+    Rows are named by identifier and text hash. A table of ``bits`` bits, of fixed size, tells
+    which rows surely stay; only the others, about as many as are dropped, are shuffled
+    with their texts. Of rows with one name as many stay as there are verdicts to keep; rows without a verdict stay.
+    """
+    named = verdicts.select(F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.col("kept").cast("long").alias("kept"))
+    doubtful = written(named.groupBy("id", "key").agg(F.sum("kept").alias("stay"), F.count(F.lit(1)).alias("n")).filter("stay < n"), "verdicts")
+    slot = F.xxhash64("id", "key").bitwiseAND(F.lit(bits - 1))
+    word, bit = F.shiftright(slot, 6), slot.bitwiseAND(F.lit(63)).cast("int")
+    table = doubtful.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("word").agg(
+        F.bit_or("bit").alias("value"))
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"),
+        F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("key"))
+    # at most bits / 64 rows
+    marked = rows.withColumn("word", word).join(F.broadcast(table), "word", "left")
+    sure = F.coalesce(F.call_function("shiftright", F.col("value"), bit).bitwiseAND(F.lit(1)) == 0, F.lit(True))
+    turn = F.row_number().over(Window.partitionBy("id", "key").orderBy(F.lit(0)))
+    asked = doubtful.select(F.col("id").alias("id2"), F.col("key").alias("key2"), "stay")
+    doubted = marked.filter(~sure).withColumn("turn", turn).join(
+        asked, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left").filter("stay IS NULL OR turn <= stay")
+    return marked.filter(sure).select("row.*").unionByName(doubted.select("row.*"))
