@@ -169,12 +169,33 @@ def first_valid(arr: Column, ok: object) -> Column:
 
 # --- HTML -------------------------------------------------------------------
 _DROP = r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<(meta|link)\b[^>]*>"
-# --- fixed values: entities decoded, '&amp;' last --------------------------
-_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-             ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")]
+# --- fixed values: character references decoded by name, '&amp;' last -------
+_ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
+             ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&trade;", "™"), ("&bull;", "•"), ("&hellip;", "…"),
+             ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"),
+             ("&laquo;", "«"), ("&raquo;", "»"), ("&times;", "×"), ("&commat;", "@"), ("&lpar;", "("), ("&rpar;", ")"),
+             ("&hyphen;", "-"), ("&period;", "."), ("&colon;", ":"), ("&sol;", "/"), ("&amp;", "&")]
+_NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+
+
+def _character(ref: Column) -> Column:
+    """The character of a decimal or hexadecimal reference; U+FFFD for none."""
+    body = F.regexp_replace(ref, "[&#;]", "")
+    code = F.when(F.lower(body).startswith("x"), F.conv(F.substring(body, 2, 8), 16, 10)).otherwise(body).cast("int")
+    high = F.expr("1 = 0") | ((code >= 0xD800) & (code <= 0xDFFF)) | (code > 0x10FFFF) | (code == 0)
+    wide = F.lpad(F.hex(F.when(high, 0xFFFD).when(code == 160, 32).otherwise(code)), 8, "0")
+    return F.decode(F.unhex(wide), "UTF-32")
 
 
 def decode_entities(c: Column) -> Column:
+    # numeric references first; one that gives '&' must not start another reference, so named ones are decoded in the pieces between
+    texts = F.transform(F.split(c, _NUMERIC, -1), _decode_named)
+    refs = F.regexp_extract_all(c, F.lit(_NUMERIC), F.lit(0))
+    joined = F.array_join(F.flatten(F.transform(F.arrays_zip(texts.alias("t"), refs.alias("r")), lambda z: F.array(z["t"], F.coalesce(_character(z["r"]), F.lit(""))))), "")
+    return F.when(c.contains("&#"), joined).otherwise(_decode_named(c))
+
+
+def _decode_named(c: Column) -> Column:
     for name, char in _ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     return c
@@ -185,9 +206,13 @@ def html_plain(html: Column | str) -> Column:
     return decode_entities(F.regexp_replace(F.regexp_replace(_c(html), _DROP, ""), r"(?s)<[^>]*>", ""))
 
 
+def one_line(text: Column) -> Column:
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
 def html_text(html: Column | str) -> Column:
     """The text nodes with single spaces."""
-    return strip(F.regexp_replace(html_plain(html), r"(?U)\s+", " "))
+    return one_line(html_plain(html))
 
 
 def html_title(html: Column | str) -> Column:
@@ -207,27 +232,54 @@ def html_meta(html: Column | str, attr: str, key: str) -> Column:
 
 # --- fixed values: elements that hold the main text and the contact text ------
 MAIN_TAGS = ["main", "article", "section"]
-MAIN_MARKS = r"\b(?:content|main-content|container|wrapper|page-content|post-content|entry-content|main)\b"
+MAIN_MARKS = r"\b(?:content|main-content|container|wrapper|section|page-content|post-content|entry-content|main)\b"
 CONTACT_TAGS = ["footer", "address"]
 CONTACT_MARKS = r"contact|footer|\b(?:address|phone|tel|email)\b"
+FOOTER_MARKS = "footer|bottom|contact|info"
+
+# a tag ends at the first '>' outside quotes
+_TOKEN = r"""(?s)<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
+
+
+def html_tokens(html: Column | str) -> Column:
+    """Tags and text nodes in order: array<struct<name, opens, closes, raw>>; name is NULL for text."""
+    raw = F.regexp_extract_all(F.regexp_replace(_c(html), _DROP, ""), F.lit(_TOKEN), F.lit(0))
+    name = lambda t: F.nullif(F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9]*)", 1)), F.lit(""))
+    return F.transform(raw, lambda t: F.struct(
+        name(t).alias("name"), t.rlike("^<[A-Za-z]").alias("opens"), t.startswith("</").alias("closes"), t.alias("raw")))
+
+
+def opens(tags: str, words: str | None = None, attributes: str = "class|id|role") -> str:
+    """Pattern of an opening tag, with an attribute (quoted or not) that holds one of ``words``."""
+    if words is None:
+        return rf"(?is)^<(?:{tags})(?=[\s/>])"
+    value = "|".join((rf'"[^"]*(?:{words})[^"]*"', rf"'[^']*(?:{words})[^']*'", rf"""(?!["'])[^\s>]*(?:{words})"""))
+    return rf"(?is)^<(?:{tags})(?=\s)[^>]*?\s(?:{attributes})\s*=\s*(?:{value})"
 
 
-def html_blocks(html: Column | str, tag: str) -> Column:
-    return F.regexp_extract_all(_c(html), F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
+def html_areas(tokens: Column | str, pattern: str) -> Column:
+    """Text of each element whose opening tag matches, in document order, up to the closing tag that belongs
+    to it (elements of the same name inside are counted) or the end of the page."""
+    tokens = _c(tokens)
+    starts = F.array_compact(F.transform(tokens, lambda t, i: F.when(t["opens"] & t["raw"].rlike(pattern), F.struct(i.alias("at"), t["name"].alias("name")))))
 
+    def inner(start: Column) -> Column:
+        step = lambda s, t: F.struct(
+            (s["depth"] + F.when((s["depth"] > 0) & (t["name"] == start["name"]), F.when(t["opens"], 1).when(t["closes"], -1).otherwise(0)).otherwise(0)).alias("depth"),
+            F.when((s["depth"] > 0) & t["name"].isNull(), F.concat(s["text"], t["raw"])).otherwise(s["text"]).alias("text"))
+        return decode_entities(F.aggregate(
+            F.slice(tokens, start["at"] + 2, F.size(tokens)), F.struct(F.lit(1).alias("depth"), F.lit("").alias("text")), step, lambda s: s["text"]))
 
-def html_marked(html: Column | str, tags: str, words: str, attributes: str = "class|id") -> Column:
-    """Inner HTML of elements whose class or id matches ``words`` (a pattern), in document order."""
-    return F.regexp_extract_all(_c(html), F.lit(
-        rf"""(?is)<({tags})\b[^>]*\b(?:{attributes})\s*=\s*["'][^"']*(?:{words})[^"']*["'][^>]*>(.*?)</\1\s*>"""), F.lit(2))
+    return F.transform(starts, inner)
 
 
-def html_footer(html: Column | str) -> Column:
-    """Text of footer-like blocks with more than 10 characters, else the last 1000 of the page."""
+def html_footer(html: Column | str, last: int | None = None) -> Column:
+    """Text of footer-like elements with more than 10 characters, else the whole page's (or its ``last`` characters)."""
     html = _c(html)
-    texts = F.filter(F.transform(html_marked(html, "footer|div", "footer|bottom|contact|info", "class"), lambda x: strip(html_plain(x))), lambda x: F.length(x) > 10)
+    areas = html_areas(html_tokens(html), opens("footer|div", FOOTER_MARKS, "class"))
+    texts = F.filter(F.transform(areas, lambda x: strip(x)), lambda x: F.length(x) > 10)
     whole = html_plain(html)
-    return F.when(F.size(texts) > 0, F.array_join(texts, "\n")).when(F.length(whole) > 1000, F.right(whole, F.lit(1000))).otherwise("")
+    return F.when(F.size(texts) > 0, F.array_join(texts, "\n")).otherwise(whole if last is None else F.right(whole, F.lit(last)))
 
 
 def anchor_text(html: Column) -> Column:
@@ -239,10 +291,10 @@ def anchor_text(html: Column) -> Column:
 def html_anchors(html: Column | str) -> Column:
     """array<struct<href, text>> in document order."""
     html = _c(html)
-    pattern = r"""(?is)<a\b[^>]*?href\s*=\s*["']([^"']*)["'][^>]*>(.*?)</a\s*>"""
-    href = F.regexp_extract_all(html, F.lit(pattern), F.lit(1))
-    text = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(2)), anchor_text)
-    return F.arrays_zip(href.alias("href"), text.alias("text"))
+    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*>.*?</a\s*>"), F.lit(0))
+    href = r"""(?is)^<a\s(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    at = lambda a: F.concat(*(F.regexp_extract(a, href, g) for g in (1, 2, 3)))
+    return F.transform(F.filter(found, lambda a: a.rlike(href)), lambda a: F.struct(at(a).alias("href"), anchor_text(a).alias("text")))
 
 
 _LD = "struct<`@type`:string,telephone:string,faxNumber:string,address:string,url:string>"
@@ -286,6 +338,6 @@ def response_fields(text: Column | str) -> Column:
     return F.struct(
         F.coalesce(block["summary"], line("SUMMARY"), F.lit("")).alias("summary"),
         F.coalesce(block["category"], line("CATEGORY"), F.lit(V.OTHER)).alias("category"),
-        F.slice(F.coalesce(block["main_services"], services, F.array().cast(_NO_STRINGS)), 1, 3).alias("main_services"),
+        F.coalesce(block["main_services"], services, F.array().cast(_NO_STRINGS)).alias("main_services"),
         F.coalesce(block["summary"], block["category"], line("SUMMARY"), line("CATEGORY")).isNotNull().alias("found"),
     )

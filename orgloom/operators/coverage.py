@@ -117,9 +117,11 @@ def email_domain_top(emails: DataFrame, column: str = "email", top: int = 20) ->
     return counts.orderBy(F.desc("n"), "domain").limit(top).withColumn("total_unique_domains", distinct)
 
 
-def email_domain_classes(emails: DataFrame, column: str = "email", top: int = 100) -> DataFrame:
-    """Class totals over the ``top`` domains only."""
-    best = domain_counts(emails, column).orderBy(F.desc("n"), "domain").limit(top)
+def email_domain_classes(emails: DataFrame, column: str = "email", top: int | None = None) -> DataFrame:
+    """Class totals over all domains, or the ``top`` most used ones."""
+    best = domain_counts(emails, column)
+    if top is not None:
+        best = best.orderBy(F.desc("n"), "domain").limit(top)
     return best.groupBy(W.email_class(F.col("domain")).alias("email_class")).agg(F.sum("n").alias("n"))
 
 
@@ -243,15 +245,15 @@ def type_source_distribution(active: DataFrame, source: str = "data_source") ->
              F.when(F.col("by_source") == 1, F.col(source)).otherwise(F.col("type")).alias("key"), "n")
 
 
-def summary_stats(active: DataFrame, cap: int = 1000) -> DataFrame:
-    """Headline numbers; the 'needing enrichment' count stops at ``cap``."""
+def summary_stats(active: DataFrame) -> DataFrame:
+    """Headline numbers."""
     agg = active.agg(F.count("*").alias("total_organizations"),
                      *[_n(is_filled(f)).alias(f) for f in V.CONTACT_FIELDS], _n(any_missing()).alias("needing"))
     every = sum((F.col(f) for f in V.CONTACT_FIELDS[1:]), F.col(V.CONTACT_FIELDS[0]))
     t = F.col("total_organizations")
     return agg.select(
         "total_organizations", F.round(percent(every, t * len(V.CONTACT_FIELDS), None), 6).alias("contact_completion_rate"),
-        F.least(F.col("needing"), F.lit(cap)).cast("long").alias("organizations_needing_enrichment"),
+        F.col("needing").alias("organizations_needing_enrichment"),
         (t - F.col("needing")).alias("complete_organizations"))
 
 

@@ -104,24 +104,27 @@ def page_record(pages: DataFrame, key: str = "id") -> DataFrame:
 def best_text(pages: DataFrame, key: str = "id", max_chars: int | None = None) -> DataFrame:
     """Longest of the full, main-area and contact-area text with the area it came from."""
     def area(tags: list[str], marks: str, least: int) -> Column:
-        blocks = F.concat(*[X.html_blocks("html", t) for t in tags], X.html_marked("html", "div|p|ul", marks))
-        return F.array_join(F.filter(F.transform(blocks, X.html_text), lambda x: F.length(x) > least), " ")
+        found = F.concat(*[X.html_areas("tokens", X.opens(t)) for t in tags], X.html_areas("tokens", X.opens(r"[a-z][a-z0-9]*", marks)))
+        return F.array_join(F.filter(F.transform(found, X.one_line), lambda x: F.length(x) > least), " ")
 
     def candidate(order: int, name: str, text: Column) -> Column:
         return F.struct(F.length(text).alias("n"), F.lit(-order).alias("order"), F.lit(name).alias("method"), text.alias("text"))
 
+    pages = pages.select(key, "html", X.html_tokens("html").alias("tokens"))
     texts = pages.select(key, X.html_text("html").alias("full"), area(X.MAIN_TAGS, X.MAIN_MARKS, 100).alias("main"), area(X.CONTACT_TAGS, X.CONTACT_MARKS, 20).alias("contact"))
     best = F.array_max(F.array(candidate(0, "full", F.col("full")), candidate(1, "main", F.col("main")), candidate(2, "contact", F.col("contact"))))
     text = best["text"] if max_chars is None else F.substring(best["text"], 1, max_chars)
     return texts.select(key, best["method"].alias("method"), text.alias("text"))
 
 
-def contact_links(pages: DataFrame, key: str = "id", limit: int = 5) -> DataFrame:
-    """The first links whose text holds a contact word, resolved against the page."""
+def contact_links(pages: DataFrame, key: str = "id", limit: int | None = None) -> DataFrame:
+    """All (or the first ``limit``) links whose text holds a contact word, resolved against the page."""
     words = V.CONTACT_LINK_WORDS
     links = F.transform(X.html_anchors("html"), lambda a: F.struct(
         F.coalesce(*[F.when(F.lower(a["text"]).contains(w), F.lit(w)) for w in words]).alias("keyword"), a["href"].alias("href"), a["text"].alias("text")))
-    hits = F.slice(F.filter(links, lambda x: x["keyword"].isNotNull()), 1, limit)
-    rows = pages.filter(F.lower("html").rlike("|".join(words))).select(key, "url", F.posexplode(hits).alias("pos", "link"))
+    hits = F.filter(links, lambda x: x["keyword"].isNotNull())
+    if limit is not None:
+        hits = F.slice(hits, 1, limit)
+    rows = pages.select(key, "url", F.posexplode(hits).alias("pos", "link"))
     return rows.select(key, (F.col("pos") + 1).alias("rank"), W.resolve_url(F.col("link.href"), F.col("url")).alias("url"),
                        F.col("link.text").alias("text"), F.col("link.keyword").alias("keyword"))

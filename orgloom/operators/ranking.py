@@ -83,31 +83,35 @@ def recent_results(active: DataFrame, limit: int = 5) -> DataFrame:
     ).orderBy(F.desc_nulls_first("updated_at"), "id").limit(limit)
 
 
-def missing_contacts_list(active: DataFrame, limit: int = 100) -> DataFrame:
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
+def missing_contacts_list(active: DataFrame, limit: int | None = None) -> DataFrame:
     """Most missing first, then priority as text, then newest; the list also sees blank text."""
     counted = missing_any_contact(active).withColumn("sql_missing", missing_count())
-    top = counted.orderBy(
-        F.desc("sql_missing"), F.asc_nulls_last("priority"), F.desc_nulls_first("updated_at"), "id").limit(limit)
+    top = _first(counted.orderBy(
+        F.desc("sql_missing"), F.asc_nulls_last("priority"), F.desc_nulls_first("updated_at"), "id"), limit)
     return top.withColumn("missing_fields", missing_fields()).withColumn("missing_count", F.size("missing_fields"))
 
 
-def enrichment_candidates(active: DataFrame, as_of: Column, limit: int = 50, priority: str | None = None) -> DataFrame:
+def enrichment_candidates(active: DataFrame, as_of: Column, limit: int | None = None, priority: str | None = None) -> DataFrame:
     rows = missing_any_contact(active)
     if priority:
         rows = rows.filter(F.col("priority") == priority)
     rank = F.when(F.col("priority") == "HIGH", 1).when(F.col("priority") == "MEDIUM", 2).otherwise(3)
+    ranked = rows.withColumn("missing_count", missing_count()).withColumn("rank", rank)
     return (
-        rows.withColumn("missing_count", missing_count()).withColumn("rank", rank)
-        .orderBy("rank", F.desc("missing_count"), F.asc_nulls_last("updated_at"), "id").limit(limit)
+        _first(ranked.orderBy("rank", F.desc("missing_count"), F.asc_nulls_last("updated_at"), "id"), limit)
         .withColumn("missing_fields", missing_fields())
         .withColumn("enrichment_priority", S.enrichment_priority(F.col("priority"), F.col("missing_count"), F.col("updated_at"), as_of)))
 
 
-def enrichment_requests(active: DataFrame, limit: int = 100) -> DataFrame:
+def enrichment_requests(active: DataFrame, limit: int | None = None) -> DataFrame:
     rank = F.when(F.col("priority") == "HIGH", 1).when(F.col("priority") == "MEDIUM", 2).otherwise(3)
+    ranked = missing_any_contact(active).withColumn("rank", rank).orderBy("rank", F.desc_nulls_first("updated_at"), "id")
     return (
-        missing_any_contact(active).withColumn("rank", rank)
-        .orderBy("rank", F.desc_nulls_first("updated_at"), "id").limit(limit)
+        _first(ranked, limit)
         .select("id", "name", missing_fields().alias("missing_fields")).filter(F.size("missing_fields") > 0))
 
 

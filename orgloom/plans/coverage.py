@@ -96,8 +96,7 @@ def email_domain_top(spark, d):
 
 
 @query("email_domain_classes", f"""
-WITH {_DOM}, t AS (SELECT * FROM dom ORDER BY n DESC, domain LIMIT 100)
-SELECT {q.email_class('domain')} AS email_class, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1""")
+WITH {_DOM} SELECT {q.email_class('domain')} AS email_class, CAST(sum(n) AS BIGINT) AS n FROM dom GROUP BY 1""")
 def email_domain_classes(spark, d):
     return C.email_domain_classes(T.active_organizations(spark, d))
 
@@ -119,10 +118,9 @@ def email_domain_top_documents(spark, d):
 
 
 @query("email_domain_classes_documents", f"""
-WITH {_DOC_DOM}, t AS (SELECT * FROM dom ORDER BY n DESC, domain LIMIT 50)
-SELECT {q.email_class('domain')} AS email_class, CAST(sum(n) AS BIGINT) AS n FROM t GROUP BY 1""", uses=())
+WITH {_DOC_DOM} SELECT {q.email_class('domain')} AS email_class, CAST(sum(n) AS BIGINT) AS n FROM dom GROUP BY 1""", uses=())
 def email_domain_classes_documents(spark, d):
-    return C.email_domain_classes(_doc_emails(spark, d), top=50)
+    return C.email_domain_classes(_doc_emails(spark, d))
 
 
 def _history_sql(days: int) -> str:
@@ -246,7 +244,7 @@ def type_source_distribution(spark, d):
 @query("summary_stats", f"""
 WITH a AS (SELECT count(*) AS t, {', '.join(f"{q.count(q.filled(f))} AS n_{f}" for f in q.FIELDS)}, {q.count(q.any_missing())} AS needing FROM org WHERE is_active)
 SELECT t AS total_organizations, round({q.pct('(' + _ALL_FILLED + ')', '(t * 5)', None)}, 6) AS contact_completion_rate,
-  least(needing, 1000) AS organizations_needing_enrichment, t - needing AS complete_organizations FROM a""")
+  needing AS organizations_needing_enrichment, t - needing AS complete_organizations FROM a""")
 def summary_stats(spark, d):
     return C.summary_stats(T.active_organizations(spark, d))
 

@@ -65,7 +65,7 @@ contact AS (SELECT *, {text_list(od('p0'))} AS phones, {text_list(od('f0'))} AS
 
 @query("extract_contacts", f"WITH {contacts_sql('texts')} SELECT id, phones, faxes, emails, addresses, websites FROM contact", uses=TEXTS)
 def extract_contacts(spark, d):
-    return joined(E.extract_contacts(T.spread(T.view(spark, d, "texts"), "id")))
+    return joined(E.extract_contacts(T.view(spark, d, "texts")))
 
 
 _AGENT = r"^0[2-9]{1,2}-[0-9]{3,4}-[0-9]{4}$|^01[0-9]-[0-9]{3,4}-[0-9]{4}$|^070-[0-9]{3,4}-[0-9]{4}$"
@@ -82,7 +82,7 @@ WITH a AS (SELECT id, {_agent_numbers(V.AGENT_PHONE_PATTERNS)} AS phone, {_agent
   list_sort(list_transform(list_distinct({found('text', V.AGENT_WEBSITE_PATTERNS)}), lambda y: CASE WHEN starts_with(y, 'http://') OR starts_with(y, 'https://') THEN y ELSE 'http://' || y END)) AS website FROM texts)
 SELECT id, {', '.join(f"{text_list(k)} AS {k}, CAST(len({k}) AS INTEGER) AS total_{k}" for k in ('phone', 'fax', 'email', 'website'))} FROM a""", uses=TEXTS)
 def extract_contacts_agent(spark, d):
-    return joined(E.extract_contacts_agent(T.spread(T.view(spark, d, "texts"), "id")))
+    return joined(E.extract_contacts_agent(T.view(spark, d, "texts")))
 
 
 _HELP = q.normalize_helper("y")
@@ -95,7 +95,7 @@ WITH h AS (SELECT id, {mapped("list_concat(" + found('text', V.HELPER_PHONE_PATT
   list_filter(list_transform(string_split(text, chr(10)), lambda y: trim(y)), lambda y: y <> '' AND ({_WORDS}) >= 2) AS addresses FROM texts)
 SELECT id, {text_list(od('p0'))} AS phone_numbers, {text_list('emails')} AS email_addresses, {text_list(od('f0'))} AS fax_numbers, {text_list('addresses')} AS addresses FROM h""", uses=TEXTS)
 def extract_contacts_helper(spark, d):
-    return joined(E.extract_contacts_helper(T.spread(T.view(spark, d, "texts"), "id")).drop("urls"))
+    return joined(E.extract_contacts_helper(T.view(spark, d, "texts")).drop("urls"))
 
 
 _URL_RE2 = r"(?i)https?://[-\p{L}\p{M}\p{N}\p{Pc}.]+(?:[:\d]+)?(?:/[\p{L}\p{M}\p{N}\p{Pc}/.]*(?:\?[\p{L}\p{M}\p{N}\p{Pc}&=%.]*)?(?:#[\p{L}\p{M}\p{N}\p{Pc}.]*)?)?"
@@ -103,7 +103,7 @@ _URL_RE2 = r"(?i)https?://[-\p{L}\p{M}\p{N}\p{Pc}.]+(?:[:\d]+)?(?:/[\p{L}\p{M}\p
 
 @query("extract_urls_helper", f"SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '{_URL_RE2}'))), '|') AS urls FROM texts", uses=TEXTS)
 def extract_urls_helper(spark, d):
-    return joined(E.extract_contacts_helper(T.spread(T.view(spark, d, "texts"), "id")).select("id", "urls"))
+    return joined(E.extract_contacts_helper(T.view(spark, d, "texts")).select("id", "urls"))
 
 
 _ENH = "list_filter(list_transform({m}, lambda y: replace(y, '.', '-')), lambda y: length(replace(y, '-', '')) >= 9)"
@@ -114,7 +114,7 @@ WITH h AS (SELECT id, {_ENH.format(m=found('text', V.ENHANCED_PHONE_PATTERNS))}
   {found('text', [V.HELPER_EMAIL_PATTERN], group=0)} AS e0 FROM texts)
 SELECT id, {text_list(od('p0'))} AS phones, {text_list(od('f0'))} AS faxes, {text_list(od('e0'))} AS emails FROM h""", uses=TEXTS)
 def extract_contacts_enhanced(spark, d):
-    return joined(E.extract_contacts_enhanced(T.spread(T.view(spark, d, "texts"), "id")))
+    return joined(E.extract_contacts_enhanced(T.view(spark, d, "texts")))
 
 
 _SP = V.SEARCH_PHONE_PATTERNS
@@ -126,7 +126,7 @@ _SEARCHED = f"CASE WHEN length({_YD}) BETWEEN 9 AND 11 AND len(list_distinct(str
 WITH h AS (SELECT id, {mapped('list_concat(' + found('text', _SP[:-2], group=0) + ', ' + found('text', _SP[-2:], group=1) + ')', _SEARCHED)} AS p0 FROM texts)
 SELECT id, {text_list(od('p0'))} AS phones FROM h""", uses=TEXTS)
 def extract_phones_search(spark, d):
-    return joined(T.spread(T.view(spark, d, "texts"), "id").select("id", X.search_phones("text").alias("phones")))
+    return joined(T.view(spark, d, "texts").select("id", X.search_phones("text").alias("phones")))
 
 
 _MAPOK = r"^0[0-9]{1,2}-[0-9]{3,4}-[0-9]{4}$|^01[0-9]-[0-9]{3,4}-[0-9]{4}$"
@@ -147,7 +147,7 @@ WITH h AS (SELECT id, {_first_number([r'\d{2,3}-\d{3,4}-\d{4}', r'(?:전화|TEL|
   coalesce(list_filter(regexp_extract_all(text, '\\b\\d{{5}}\\b'), lambda y: regexp_matches(y, '^[0-6]'))[1], '') AS postal_code FROM texts)
 SELECT *, phone <> '' OR fax <> '' OR address <> '' OR postal_code <> '' AS found FROM h""", uses=TEXTS)
 def extract_first_contact(spark, d):
-    return E.extract_first_contact(T.spread(T.view(spark, d, "texts"), "id"))
+    return E.extract_first_contact(T.view(spark, d, "texts"))
 
 
 @query("extract_fax_patterns", f"""
@@ -156,14 +156,14 @@ SELECT id, {text_list(od('f0'))} AS faxes, list_filter(f0, lambda y: {q.valid_pr
 def extract_fax_patterns(spark, d):
     from orgloom.functions import phone as P
 
-    faxes = T.spread(T.view(spark, d, "htmls"), "id").select("id", X.crawl_faxes("html").alias("faxes"))
+    faxes = T.view(spark, d, "htmls").select("id", X.crawl_faxes("html").alias("faxes"))
     return joined(faxes.withColumn("first_valid", X.first_valid(F.col("faxes"), P.valid_prefix)))
 
 
 @query("extract_additional_phones", f"""
 WITH h AS (SELECT id, {found('text', V.ADDITIONAL_PHONE_PATTERNS, '')} AS p0 FROM texts) SELECT id, {text_list(od('p0'))} AS phones FROM h""", uses=TEXTS)
 def extract_additional_phones(spark, d):
-    return joined(T.spread(T.view(spark, d, "texts"), "id").select("id", X.additional_phones("text").alias("phones")))
+    return joined(T.view(spark, d, "texts").select("id", X.additional_phones("text").alias("phones")))
 
 
 _POSTAL = r"list_sort(list_distinct(regexp_extract_all(text, '\b\d{5}\b')))"
@@ -186,7 +186,7 @@ SELECT id, {text_list('pc')} AS postal_codes, {text_list('ad')} AS addresses, CA
   CAST(len(list_filter({listed('f')}, lambda y: {_GOOD})) AS INTEGER) AS faxes_validated, CAST(len({listed('e')}) AS INTEGER) AS emails_validated,
   CAST(len(ad) AS INTEGER) AS addresses_found, CAST(len(pc) AS INTEGER) AS postal_codes_found FROM m""", uses=TEXTS)
 def extract_postal_codes(spark, d):
-    return joined(E.extract_postal_codes(T.spread(T.view(spark, d, "texts"), "id")))
+    return joined(E.extract_postal_codes(T.view(spark, d, "texts")))
 
 
 PAGE_DASH = """CASE WHEN length({d}) BETWEEN 9 AND 11 THEN CASE WHEN starts_with({d}, '02') AND length({d}) = 9 THEN substr({d},1,2) || '-' || substr({d},3,3) || '-' || substr({d},6)
@@ -201,7 +201,7 @@ WITH m AS (SELECT id, {mapped(found('text', V.PHONE_PATTERNS), PAGE_DASH.format(
   {mapped(found('text', V.ADDRESS_PATTERNS), f"CASE WHEN length({_ADDR1}) >= 10 THEN {_ADDR1} END")} AS a0 FROM texts)
 SELECT id, {text_list(od('p0'))} AS phones, {text_list(od('f0'))} AS faxes, {text_list(od('e0'))} AS emails, {text_list(od('a0'))} AS addresses FROM m""", uses=TEXTS)
 def extract_contacts_page(spark, d):
-    return joined(E.extract_contacts_page(T.spread(T.view(spark, d, "texts"), "id")))
+    return joined(E.extract_contacts_page(T.view(spark, d, "texts")))
 
 
 _BLOCK = r"coalesce(nullif(trim(regexp_extract(text, '(?s)```json\s*(.*?)```', 1)), ''), nullif(regexp_extract(text, '(?s)(\{.*\})', 1), ''))"
@@ -216,7 +216,7 @@ WITH r AS (SELECT id, text, {_BLOCK} AS block FROM replies), j AS (SELECT *, CAS
 SELECT id, coalesce(json_extract_string(js, '$.summary'), {_line('SUMMARY')}, '') AS summary, coalesce(json_extract_string(js, '$.category'), {_line('CATEGORY')}, '{V.OTHER}') AS category,
   coalesce(json_extract_string(js, '$.summary'), json_extract_string(js, '$.category'), {_line('SUMMARY')}, {_line('CATEGORY')}) IS NOT NULL AS found FROM j""", uses=("org", "replies"))
 def extract_json_block(spark, d):
-    return T.spread(T.view(spark, d, "replies"), "id").select("id", X.response_fields("text").alias("r")).select("id", "r.summary", "r.category", "r.found")
+    return T.view(spark, d, "replies").select("id", X.response_fields("text").alias("r")).select("id", "r.summary", "r.category", "r.found")
 
 
 _DROPPED = "html"
@@ -249,7 +249,7 @@ def plain_of(block: str) -> str:
 
 @query("html_text", f"SELECT id, {HTML_TEXT} AS text FROM htmls", uses=HTMLS)
 def html_text(spark, d):
-    return T.spread(T.view(spark, d, "htmls"), "id").select("id", X.html_text("html").alias("text"))
+    return T.view(spark, d, "htmls").select("id", X.html_text("html").alias("text"))
 
 
 _TITLE = decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
@@ -260,7 +260,7 @@ _OG = "regexp_extract(html, '(?is)<meta\\b[^>]*property\\s*=\\s*\"og:title\"[^>]
 
 @query("html_meta", f"SELECT id, trim({_TITLE}) AS title, {_DESC} AS description, {_KEYS} AS keywords, '' AS author, {_OG} AS og_title, '' AS og_description FROM htmls", uses=HTMLS)
 def html_meta(spark, d):
-    return T.spread(T.view(spark, d, "htmls"), "id").select(
+    return T.view(spark, d, "htmls").select(
         "id", X.html_title("html").alias("title"), *[X.html_meta("html", "name", k).alias(k) for k in ("description", "keywords", "author")],
         X.html_meta("html", "property", "og:title").alias("og_title"), X.html_meta("html", "property", "og:description").alias("og_description"))
 
@@ -274,9 +274,9 @@ _FOOT = f"list_concat({_marked('div', 'footer|bottom|contact|info', 'class')}, {
 
 @query("html_footer", f"""
 WITH h AS (SELECT id, list_filter(list_transform({_FOOT}, lambda y: {plain_of('y')}), lambda y: length(y) > 10) AS fs, {HTML_PLAIN} AS w FROM htmls)
-SELECT id, CASE WHEN len(fs) > 0 THEN array_to_string(fs, chr(10)) WHEN length(w) > 1000 THEN right(w, 1000) ELSE '' END AS footer FROM h""", uses=HTMLS)
+SELECT id, CASE WHEN len(fs) > 0 THEN array_to_string(fs, chr(10)) ELSE w END AS footer FROM h""", uses=HTMLS)
 def html_footer(spark, d):
-    return T.spread(T.view(spark, d, "htmls"), "id").select("id", X.html_footer("html").alias("footer"))
+    return T.view(spark, d, "htmls").select("id", X.html_footer("html").alias("footer"))
 
 
 _LD = "regexp_extract(html, '(?is)<script\\b[^>]*type\\s*=\\s*\"application/ld\\+json\"[^>]*>(.*?)</script\\s*>', 1)"
@@ -287,7 +287,7 @@ WITH h AS (SELECT id, {_LD} AS b FROM htmls), j AS (SELECT id, CASE WHEN b <> ''
 k AS (SELECT id, CASE WHEN json_extract_string(b, '$."@type"') IN ('Organization', 'LocalBusiness') THEN b END AS b FROM j)
 SELECT id, json_extract_string(b, '$.telephone') AS phone, json_extract_string(b, '$.faxNumber') AS fax, json_extract_string(b, '$.address') AS address, json_extract_string(b, '$.url') AS website FROM k""", uses=HTMLS)
 def html_jsonld(spark, d):
-    return T.spread(T.view(spark, d, "htmls"), "id").select("id", X.html_jsonld("html").alias("o")).select("id", "o.*")
+    return T.view(spark, d, "htmls").select("id", X.html_jsonld("html").alias("o")).select("id", "o.*")
 
 
 _ANCHOR = "(?is)<a\\b[^>]*?href\\s*=\\s*\"([^\"]*)\"[^>]*>(.*?)</a\\s*>"
@@ -302,15 +302,15 @@ t AS (SELECT *, trim({decoded("regexp_replace(raw, '(?s)\\s*<[^>]*>\\s*', '', 'g
 
 @query("html_contact_links", f"""
 WITH {LINKS}, k AS (SELECT *, {_KW} AS keyword FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS rank FROM k WHERE keyword IS NOT NULL)
-SELECT id, CAST(rank AS INTEGER) AS rank, {_RESOLVED} AS url, text, keyword FROM r WHERE rank <= 5""", uses=HTMLS)
+SELECT id, CAST(rank AS INTEGER) AS rank, {_RESOLVED} AS url, text, keyword FROM r""", uses=HTMLS)
 def html_contact_links(spark, d):
-    return E.contact_links(T.spread(T.view(spark, d, "htmls"), "id"))
+    return E.contact_links(T.view(spark, d, "htmls"))
 
 
 @query("url_resolve", f"""
 WITH {LINKS} SELECT id, CAST(pos AS INTEGER) AS pos, {_RESOLVED} AS resolved FROM t""", uses=HTMLS)
 def url_resolve(spark, d):
-    links = T.spread(T.view(spark, d, "htmls"), "id").select("id", "url", F.posexplode(X.html_anchors("html")).alias("pos", "a"))
+    links = T.view(spark, d, "htmls").select("id", "url", F.posexplode(X.html_anchors("html")).alias("pos", "a"))
     return links.select("id", (F.col("pos") + 1).alias("pos"), W.resolve_url(F.col("a.href"), F.col("url")).alias("resolved"))
 
 
@@ -324,12 +324,12 @@ WITH h AS (SELECT id, {HTML_TEXT} AS f, {_area_sql(X.MAIN_TAGS, X.MAIN_MARKS, 10
 SELECT id, CASE WHEN length(f) >= length(m) AND length(f) >= length(c) THEN 'full' WHEN length(m) >= length(c) THEN 'main' ELSE 'contact' END AS method,
   CASE WHEN length(f) >= length(m) AND length(f) >= length(c) THEN f WHEN length(m) >= length(c) THEN m ELSE c END AS text FROM h""", uses=HTMLS)
 def html_best_text(spark, d):
-    return E.best_text(T.spread(T.view(spark, d, "htmls"), "id"))
+    return E.best_text(T.view(spark, d, "htmls"))
 
 
 @query("page_record", f"""
 WITH h AS (SELECT id, url, trim({_TITLE}) AS title, {_DESC} AS description, {HTML_TEXT} AS text FROM htmls), {contacts_sql('h')}
 SELECT id, url, title, description, CAST(length(text) AS INTEGER) AS text_length, phones, faxes, emails, CASE WHEN length(text) < 100 THEN 'warning' ELSE 'success' END AS status FROM contact""", uses=HTMLS)
 def page_record(spark, d):
-    r = E.page_record(T.spread(T.view(spark, d, "htmls"), "id"))
+    r = E.page_record(T.view(spark, d, "htmls"))
     return joined(r.select("id", "url", "title", "description", "text_length", "contacts.phones", "contacts.faxes", "contacts.emails", "status"))

@@ -192,7 +192,7 @@ def recent_results(spark, d):
 
 @query("missing_contacts_list", f"""
 WITH m AS (SELECT id, name, priority, updated_at, {q.missing_fields()} AS mf FROM org WHERE is_active AND {q.any_missing()}
-  ORDER BY {q.missing_count()} DESC, priority ASC NULLS LAST, updated_at DESC NULLS FIRST, id LIMIT 100)
+  ORDER BY {q.missing_count()} DESC, priority ASC NULLS LAST, updated_at DESC NULLS FIRST, id)
 SELECT id, name, priority, updated_at, array_to_string(mf, ',') AS missing_fields, CAST(len(mf) AS INTEGER) AS missing_count FROM m""")
 def missing_contacts_list(spark, d):
     return R.missing_contacts_list(T.active_organizations(spark, d)).select(
@@ -214,9 +214,9 @@ def _candidates(spark, d, limit):
         "id", "name", "rank", "missing_count", F.array_join("missing_fields", ",").alias("missing_fields"), "enrichment_priority")
 
 
-@query("enrichment_candidates", _CAND + "ORDER BY rank, missing_count DESC, updated_at, id LIMIT 500")
+@query("enrichment_candidates", _CAND)
 def enrichment_candidates(spark, d):
-    return _candidates(spark, d, 500)
+    return _candidates(spark, d, None)
 
 
 @query("enrichment_candidates_page", f"""
@@ -228,7 +228,7 @@ def enrichment_candidates_page(spark, d):
 
 @query("enrichment_requests", f"""
 WITH c AS (SELECT id, name, {q.missing_fields()} AS mf FROM org WHERE is_active AND {q.any_missing()}
-  ORDER BY CASE priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, updated_at DESC NULLS FIRST, id LIMIT 100)
+  ORDER BY CASE priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, updated_at DESC NULLS FIRST, id)
 SELECT id, name, array_to_string(mf, ',') AS missing_fields FROM c WHERE len(mf) > 0""")
 def enrichment_requests(spark, d):
     return R.enrichment_requests(T.active_organizations(spark, d)).select("id", "name", F.array_join("missing_fields", ",").alias("missing_fields"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -42,12 +43,12 @@ _LOCAL_ROOTS: dict[str, str] = {}
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by ``spark.checkpoint.dir``.
 
-    A scratch folder stands in only for a local session that names none (tests).
+    A scratch folder stands in only for a session of one local process that names none (tests).
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:

@@ -167,17 +167,3 @@ def organizations(spark: SparkSession, path: str) -> DataFrame:
 def active_organizations(spark: SparkSession, path: str) -> DataFrame:
     return organizations(spark, path).filter("is_active")
 
-
-FULL_SPLIT = 128 * 1024 * 1024
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a small input one task per core before costly per-row work.
-
-    An input of less than one full split per core (by its estimated size) is
-    hashed over the cores by its unique key. Anything larger already has a split
-    for every core and is left alone, so no large table is ever moved for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * FULL_SPLIT else df
