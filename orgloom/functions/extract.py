@@ -254,7 +254,7 @@ def opens(tags: str, words: str | None = None, attributes: str = "class|id|role"
     if words is None:
         return rf"(?is)^<(?:{tags})(?=[\s/>])"
     value = "|".join((rf'"[^"]*(?:{words})[^"]*"', rf"'[^']*(?:{words})[^']*'", rf"""(?!["'])[^\s>]*(?:{words})"""))
-    return rf"(?is)^<(?:{tags})(?=\s)[^>]*?\s(?:{attributes})\s*=\s*(?:{value})"
+    return rf"(?is)^<(?:{tags})(?=\s).*?\s(?:{attributes})\s*=\s*(?:{value})"
 
 
 def html_areas(tokens: Column | str, pattern: str) -> Column:

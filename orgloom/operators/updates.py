@@ -104,15 +104,28 @@ def fill_phone_from_list(orgs: DataFrame, found: DataFrame) -> DataFrame:
     }).select(*orgs.columns, "additional_phones")
 
 
+def _quoted(text: Column) -> Column:
+    """A JSON string literal."""
+    inner = F.to_json(F.array(text))
+    return F.substring(inner, F.lit(2), F.length(inner) - 2)
+
+
 def merge_json(stored: Column, added: Column) -> Column:
-    """Stored JSON object with the new keys laid over it; invalid JSON is replaced.
+    """Stored JSON object with the new keys laid over it, every value as it was written; what is no JSON object is replaced.
 
-    ``added`` is map<string,string>; values of both sides are kept as text.
+    ``added`` is map<string,string>; its values are strings.
     """
-    old = F.from_json(stored, "map<string,string>")
-    base = F.when(F.try_parse_json(stored).isNull(), F.create_map().cast("map<string,string>")).otherwise(old)
-    keep = F.map_filter(base, lambda k, v: ~F.map_contains_key(added, k))
-    return F.to_json(F.map_concat(keep, added))
+    typed = F.try_variant_get(F.try_parse_json(stored), "$", "map<string,variant>")
+    # numbers, objects, lists as JSON text, strings without their quotes
+    texts = F.when(typed.isNull(), F.create_map().cast("map<string,string>")).otherwise(F.from_json(stored, "map<string,string>"))
+
+    def raw(k: Column, v: Column) -> Column:
+        return F.when(v.isNull(), "null").when(F.schema_of_variant(F.element_at(typed, k)) == "STRING", _quoted(v)).otherwise(v)
+
+    keep = F.map_filter(F.transform_values(texts, raw), lambda k, v: ~F.map_contains_key(added, k))
+    new = F.transform_values(added, lambda k, v: F.when(v.isNull(), "null").otherwise(_quoted(v)))
+    items = F.transform(F.map_entries(F.map_concat(keep, new)), lambda e: F.concat(_quoted(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(items, ","), F.lit("}"))
 
 
 def patch_fields(rows: DataFrame, patch: DataFrame, allowed: Sequence[str], key: str = "id", at: Column | None = None) -> DataFrame:

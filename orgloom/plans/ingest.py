@@ -30,7 +30,9 @@ def _json_docs(spark, d):
     """Documents of at most 100 organizations each, as {category: [organizations]}."""
     o = T.organizations(spark, d).select("id", *TEXT)
     per = o.groupBy(F.floor(c("id") / 100).alias("chunk"), c("category").alias("k")).agg(F.collect_list(F.struct(*TEXT[:-1])).alias("v"))
-    return per.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m")).select(F.to_json("m").alias("value"))
+    docs = per.groupBy("chunk").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("m"))
+    # beside the lists: an object and a number that are no organizations
+    return docs.select(F.concat(F.lit('{"metadata": {"version": 1, "tags": ["x"]}, "pages": 3, '), F.substring(F.to_json("m"), 2, 1 << 30)).alias("value"))
 
 
 def _written_json(spark, d, docs):
@@ -44,9 +46,11 @@ def read_json_by_category(spark, d):
     return files.read_json_by_category(spark, _written_json(spark, d, _json_docs(spark, d)), lines=True).select(*TEXT)
 
 
-@query("count_by_file_category", "SELECT category, count(*) AS n FROM org GROUP BY category")
+@query("count_by_file_category", """
+SELECT category, count(*) AS n FROM org GROUP BY category
+UNION ALL SELECT unnest(['metadata', 'pages']), count(DISTINCT id // 100) FROM org""")
 def count_by_file_category(spark, d):
-    return files.read_json_by_category(spark, _written_json(spark, d, _json_docs(spark, d)), lines=True).groupBy("category").agg(F.count("*").alias("n"))
+    return files.count_json_categories(spark, _written_json(spark, d, _json_docs(spark, d)), lines=True)
 
 
 @query("read_json_wrapped", f"SELECT {_TEXT} FROM org")
@@ -65,8 +69,8 @@ def _korean_sheet(spark, d):
     return T.organizations(spark, d).select(*[c(k).alias(v) for k, v in KOREAN.items()])
 
 
-def _written_csv(spark, df, encoding: str = "utf-8"):
-    path = scratch(spark, "csv")
+def _written_csv(spark, df, encoding: str = "utf-8", path: str | None = None):
+    path = path or scratch(spark, "csv")
     df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", encoding=files.java_charset(spark, encoding),
                  ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
@@ -77,7 +81,12 @@ _BACK = ", ".join(f"nullif({k}, '') AS \"{v}\"" for k, v in KOREAN.items())
 
 @query("read_csv_encodings", f"SELECT {_BACK} FROM org")
 def read_csv_encodings(spark, d):
-    df = files.read_csv_encodings(spark, _written_csv(spark, _korean_sheet(spark, d), "cp949"))
+    # one folder, files in two encodings
+    o = T.organizations(spark, d)
+    path = scratch(spark, "csv")
+    for i, encoding in enumerate(("cp949", "utf-8")):
+        _written_csv(spark, o.filter(c("id") % 2 == i).select(*[c(k).alias(v) for k, v in KOREAN.items()]), encoding, f"{path}/{i}")
+    df = files.read_csv_encodings(spark, f"{path}/*")
     return df.select(*[F.nullif(f"`{n}`", F.lit("")).alias(n) for n in KOREAN.values()])
 
 

@@ -98,16 +98,32 @@ def fill_phone_from_list(spark, d):
     return U.fill_phone_from_list(o, lists).select("id", "phone", F.array_join("additional_phones", ",").alias("additional_phones"))
 
 
-@query("merge_json_metadata", """
-WITH j AS (SELECT o.id, o.crawling_data AS old, f.event_id FROM org o JOIN found f ON f.id = o.id)
-SELECT id, json_extract_string(old, '$.data_quality_grade') AS grade, json_extract_string(old, '$.validation_score') AS score,
-  CAST(event_id AS VARCHAR) AS last_enrichment, 'crawler' AS enrichment_source FROM j""", uses=BASE)
+_RICHER = """json_merge_patch(CASE WHEN json_valid(o.crawling_data) THEN o.crawling_data ELSE '{}' END, '{"seen": {"by": ["a", 1, null], "deep": {"x": 1.5}}, "n": 7, "ok": true}')"""
+
+
+@query("merge_json_metadata", f"""
+WITH j AS (SELECT o.id, f.event_id, json_merge_patch({_RICHER}, json_object('last_enrichment', CAST(f.event_id AS VARCHAR), 'enrichment_source', 'crawler')) AS m
+  FROM org o JOIN found f ON f.id = o.id)
+SELECT id, len(json_keys(m)) AS n_keys, json_extract_string(m, '$.data_quality_grade') AS grade, json_extract_string(m, '$.validation_score') AS score,
+  json_extract_string(m, '$.last_enrichment') AS last_enrichment, json_extract_string(m, '$.enrichment_source') AS enrichment_source,
+  json_extract_string(m, '$.seen.by[0]') AS first, json_type(m, '$.seen.by[1]') = 'UBIGINT' AND json_type(m, '$.n') = 'UBIGINT' AS whole,
+  json_type(m, '$.seen.by[2]') = 'NULL' AS empty, json_extract_string(m, '$.seen.deep.x') AS x, json_type(m, '$.ok') = 'BOOLEAN' AS truth FROM j""", uses=BASE)
 def merge_json_metadata(spark, d):
     o, f = _tables(spark, d)
     added = F.create_map(F.lit("last_enrichment"), c("event_id").cast("string"), F.lit("enrichment_source"), F.lit("crawler"))
-    merged = o.join(f.select("id", "event_id"), "id").select("id", U.merge_json(c("crawling_data"), added).alias("j"))
-    return merged.select("id", F.get_json_object("j", "$.data_quality_grade").alias("grade"), F.get_json_object("j", "$.validation_score").alias("score"),
-                         F.get_json_object("j", "$.last_enrichment").alias("last_enrichment"), F.get_json_object("j", "$.enrichment_source").alias("enrichment_source"))
+    tail = '"seen": {"by": ["a", 1, null], "deep": {"x": 1.5}}, "n": 7, "ok": true}'
+    valid = F.try_parse_json("crawling_data").isNotNull()
+    body = F.regexp_replace(F.trim("crawling_data"), r"\}$", "")
+    richer = F.when(valid & (F.length(F.trim(body)) > 1), F.concat(body, F.lit(", " + tail))).otherwise("{" + tail)
+    merged = o.join(f.select("id", "event_id"), "id").select("id", U.merge_json(richer, added).alias("j"))
+    v = merged.select("id", "j", F.try_parse_json("j").alias("v"))
+    at = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    of = lambda path: F.schema_of_variant(at(path, "variant"))
+    return v.select(
+        "id", F.size(F.json_object_keys("j")).cast("long").alias("n_keys"), at("$.data_quality_grade").alias("grade"), F.get_json_object("j", "$.validation_score").alias("score"),
+        at("$.last_enrichment").alias("last_enrichment"), at("$.enrichment_source").alias("enrichment_source"), at("$.seen.by[0]").alias("first"),
+        ((of("$.seen.by[1]") == "BIGINT") & (of("$.n") == "BIGINT")).alias("whole"), (of("$.seen.by[2]") == "VOID").alias("empty"),
+        at("$.seen.deep.x").alias("x"), (of("$.ok") == "BOOLEAN").alias("truth"))
 
 
 @query("patch_fields", f"""

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -30,17 +34,34 @@ def _objects(items: Column, struct: str) -> Column:
     return F.transform(F.filter(items, lambda x: F.ltrim(x).startswith("{")), lambda x: F.from_json(x, struct))
 
 
-def read_json_by_category(spark: SparkSession, path: str, struct: str = ORG_STRUCT, lines: bool = False) -> DataFrame:
-    """{category: [organizations]} flattened, the key as ``category``; a bare list as it is."""
+def _categories(value: Column, strict: bool) -> Column:
+    """array<struct<key, value>> of a document's top level, values as JSON text; a bare list has the key NULL."""
+    listed = F.array(F.struct(F.lit(None).cast("string").alias("key"), value.alias("value")))
+    groups = F.when(value.startswith("["), listed).otherwise(F.map_entries(F.from_json(value, "map<string,string>")))
+    wrong = F.try_parse_json(value).isNull() & (F.length(value) > 0)
+    return F.when(wrong, F.raise_error(F.concat(F.lit("no JSON document: "), F.substring(value, 1, 200)))).otherwise(groups) if strict else groups
+
+
+def read_json_by_category(spark: SparkSession, path: str, struct: str = ORG_STRUCT, lines: bool = False, strict: bool = False) -> DataFrame:
+    """{category: [organizations]} flattened, the key as ``category``; a bare list as it is.
+
+    Values that are no lists (metadata, counts) and items that are no objects are passed over. A document
+    that is no JSON gives no rows, or an error where ``strict``.
+    """
     doc = _documents(spark, path, lines)
-    value = F.trim("value")
-    groups = F.when(value.startswith("["), F.array(F.struct(F.lit(None).cast("string").alias("key"), F.from_json(value, "array<string>").alias("value")))) \
-        .otherwise(F.map_entries(F.from_json(value, "map<string,array<string>>")))
-    rows = doc.select(F.explode(groups).alias("g")).select(F.col("g.key").alias("__key"), F.explode(_objects(F.col("g.value"), struct)).alias("o"))
+    rows = doc.select(F.explode(_categories(F.trim("value"), strict)).alias("g")).filter(F.ltrim("g.value").startswith("["))
+    rows = rows.select(F.col("g.key").alias("__key"), F.explode(_objects(F.from_json("g.value", "array<string>"), struct)).alias("o"))
     flat = rows.select("__key", "o.*")
     return flat.withColumn("category", F.coalesce("__key", "category")).drop("__key")
 
 
+def count_json_categories(spark: SparkSession, path: str, lines: bool = False, strict: bool = False) -> DataFrame:
+    """Items per top-level key over all documents: a list counts its items, anything else one, a bare list counts under 'total'."""
+    groups = _documents(spark, path, lines).select(F.explode(_categories(F.trim("value"), strict)).alias("g"))
+    items = F.when(F.ltrim("g.value").startswith("["), F.size(F.from_json("g.value", "array<string>"))).otherwise(1)
+    return groups.groupBy(F.coalesce("g.key", F.lit("total")).alias("category")).agg(F.sum(items).alias("n"))
+
+
 def read_json_wrapped(spark: SparkSession, path: str, key: str = "churches", struct: str = ORG_STRUCT, lines: bool = False) -> DataFrame:
     """{key: [...]}, a list, or a single object."""
     value = F.trim("value")
@@ -57,38 +78,82 @@ def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return spark.read.csv(path, schema="value string", sep="\u0001", quote="", encoding=java_charset(spark, encoding))
 
 
-def pick_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
-    """First encoding under which every line decodes.
+def encodings_by_file(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> dict[str, str]:
+    """For each file the first encoding under which all its lines decode (the last one is not tried).
 
-    The search stops at the first bad line, so only the fitting encoding reads
-    everything, and nothing but one row comes back.
+    One pass over the raw lines; one row per file and task is shuffled, one per file returned.
     """
-    for enc in encodings[:-1]:
-        bad = ~F.is_valid_utf8("value") if enc == "utf-8" else F.col("value").contains("\ufffd")
-        if _lines(spark, path, enc).filter(bad).isEmpty():
-            return enc
-    return encodings[-1]
-
+    tried = list(encodings[:-1])
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bad: dict[str, list[bool]] = {}
+        for batch in batches:
+            for file, raw in zip(batch["file"].to_pylist(), batch["raw"].to_pylist()):
+                flags = bad.setdefault(file, [False] * len(tried))
+                if raw is not None and not raw.isascii():
+                    for i, enc in enumerate(tried):
+                        if not flags[i]:
+                            try:
+                                raw.decode(enc)
+                            except UnicodeDecodeError:
+                                flags[i] = True
+        yield pa.RecordBatch.from_pydict({"file": pa.array(list(bad), pa.string()), "bad": pa.array(list(bad.values()), pa.list_(pa.bool_()))})
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
+    found = lines.mapInArrow(judge, "file string, bad array<boolean>")
+    rows = found.groupBy("file").agg(*(F.max(F.col("bad")[i]).alias(f"bad{i}") for i in range(len(tried)))).collect()
+    return {r.file: next((e for i, e in enumerate(tried) if not r[f"bad{i}"]), encodings[-1]) for r in rows}
 
-def read_csv_encodings(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, multi_line: bool = False) -> DataFrame:
-    """Header CSV in whichever of the encodings fits; a byte-order mark is dropped."""
-    enc = pick_encoding(spark, path, encodings)
-    df = spark.read.csv(path, header=True, encoding=java_charset(spark, enc), multiLine=multi_line, quote='"', escape='"', emptyValue="", enforceSchema=False)
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
+def pick_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> str:
+    """The encoding under which every line of all files decodes."""
+    found = set(encodings_by_file(spark, path, encodings).values())
+    return next((e for e in reversed(encodings) if e in found), encodings[0])
 
-def read_sheet(spark: SparkSession, path: str, header_row: int = 0, encoding: str = "utf-8") -> DataFrame:
-    """Exported sheet whose header stands below ``header_row`` title lines.
 
-    Only the title and header lines visit the driver. Lines equal to them are not
-    data; rows without any value are dropped.
+def read_csv_encodings(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, multi_line: bool = False) -> DataFrame:
+    """Header CSV files, each in whichever of the encodings fits it; a byte-order mark is dropped, columns are matched by name."""
+    files: dict[str, list[str]] = defaultdict(list)
+    for file, enc in sorted(encodings_by_file(spark, path, encodings).items()):
+        files[enc].append(unquote(file))
+    parts = []
+    for enc, names in files.items() or [(encodings[0], [path])]:
+        df = spark.read.csv(path if len(files) == 1 else names, header=True, encoding=java_charset(spark, enc), multiLine=multi_line, quote='"', escape='"', emptyValue="",
+                            enforceSchema=False)
+        parts.append(df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns]))
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def _without_first(n: int, width: int):
+    """Drop the first n records of each file: those of its first split, which is read in order."""
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = defaultdict(int)
+        for batch in batches:
+            keep = []
+            for file, start in zip(batch["__file"].to_pylist(), batch["__start"].to_pylist()):
+                seen[file] += start == 0
+                keep.append(start > 0 or seen[file] > n)
+            yield batch.select(list(range(width))).filter(pa.array(keep, pa.bool_()))
+
+    return drop
+
+
+def read_sheet(spark: SparkSession, path: str, header_row: int = 0, encoding: str = "utf-8", multi_line: bool = False) -> DataFrame:
+    """Exported sheet whose header stands below ``header_row`` title lines, in every file of ``path``.
+
+    The first ``header_row`` + 1 records of each file are no data, wherever else they
+    may occur again; rows without any value are dropped. ``multi_line`` admits line breaks
+    inside quoted cells; a file is then one split. Only title and header lines visit the driver.
     """
-    lines = _lines(spark, path, encoding)
-    head = [r.value for r in lines.limit(header_row + 1).collect()]
-    names = [c.lstrip("﻿").strip() or f"column{i}" for i, c in enumerate(next(csv.reader([head[header_row]])))]
+    head = [r.value for r in _lines(spark, path, encoding).limit(header_row + 1).collect()]
+    names = [c.lstrip("\ufeff").strip() or f"column{i}" for i, c in enumerate(next(csv.reader([head[header_row]])))]
     schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    rows = lines.filter(~F.col("value").isin(*head)).select(F.from_csv("value", schema, {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
-    return rows.toDF(*names).dropna(how="all")
+    rows = spark.read.csv(path, schema=schema, encoding=java_charset(spark, encoding), multiLine=multi_line, quote='"', escape='"', enforceSchema=True)
+    rows = rows.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start"))
+    return rows.mapInArrow(_without_first(header_row + 1, len(names)), schema).toDF(*names).dropna(how="all")
 
 
 POSITIONS = ("name", "phone", "fax", "email", "homepage")

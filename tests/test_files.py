@@ -91,3 +91,30 @@ def test_scratch_folder_only_for_local_sessions():
     assert checkpoint_root(local) == checkpoint_root(local)
     with pytest.raises(ValueError):
         checkpoint_root(N(conf=conf(None), sparkContext=N(master="spark://m:7077", applicationId="b")))
+
+
+def test_json_with_other_values_beside_the_lists(spark, tmp_path):
+    doc = {"churches": [{"name": "A"}, 3], "meta": {"v": 1}, "n": 4, "none": None}
+    path = put(tmp_path, "m.json", json.dumps(doc))
+    assert [(r.name, r.category) for r in files.read_json_by_category(spark, path).collect()] == [("A", "churches")]
+    assert {r.category: r.n for r in files.count_json_categories(spark, path).collect()} == {"churches": 2, "meta": 1, "n": 1, "none": 1}
+    bare = put(tmp_path, "b.json", '[{"name": "B"}, 1]')
+    assert {r.category: r.n for r in files.count_json_categories(spark, bare).collect()} == {"total": 2}
+    broken = put(tmp_path, "x.json", '{"churches": [')
+    assert files.read_json_by_category(spark, broken).count() == 0
+    with pytest.raises(Exception, match="no JSON document"):
+        files.read_json_by_category(spark, broken, strict=True).collect()
+
+
+def test_each_file_has_its_encoding(spark, tmp_path):
+    for name, encoding in (("a.csv", "utf-8"), ("b.csv", "cp949"), ("c d.csv", "utf-8")):
+        put(tmp_path, name, f"기관명,전화\n교회 {name},02\n", encoding)
+    assert sorted(r["기관명"] for r in files.read_csv_encodings(spark, str(tmp_path)).collect()) == ["교회 a.csv", "교회 b.csv", "교회 c d.csv"]
+
+
+def test_sheet_keeps_line_breaks_and_repeated_titles(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        put(tmp_path, name, f'title,,\nname,address,phone\n{name},"line 1\nline 2",1\nname,address,phone\n')
+    got = files.read_sheet(spark, str(tmp_path), header_row=1, multi_line=True)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("a.csv", "line 1\nline 2", "1"), ("b.csv", "line 1\nline 2", "1"), ("name", "address", "phone"), ("name", "address", "phone")]

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from orgloom.operators import matching as M
@@ -68,3 +69,11 @@ def test_canonical_json_matches_sorted_dump(spark):
     df = spark.createDataFrame(rows, "b string, a int, c string")
     want = [json.dumps({"a": a, "b": b, "c": c}, sort_keys=True, ensure_ascii=False) for b, a, c in rows]
     assert [r[0] for r in df.select(M.canonical_json(["b", "a", "c"])).collect()] == want
+
+
+@pytest.mark.parametrize("stored, want", [
+    ('{"a":{"b":1},"k":[1,2],"x":5,"y":0.0,"s":"5","t":true,"z":null,"q":"a\\"b\\\\"}', {"a": {"b": 1}, "k": [1, 2], "x": 5, "y": 0.0, "s": "5", "t": True, "z": None, "q": 'a"b\\'}),
+    ('{"new":[1],"o":{}}', {"o": {}}), ("not json", {}), ("[1]", {}), (None, {}), ("{}", {})])
+def test_merged_json_keeps_types(spark, stored, want):
+    row = spark.createDataFrame([(stored,)], "j string").select(U.merge_json(F.col("j"), F.create_map(F.lit("new"), F.lit("v\n"))).alias("j")).first()
+    assert json.loads(row.j) == want | {"new": "v\n"}
