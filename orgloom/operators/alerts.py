@@ -2,8 +2,11 @@
 
 Which samples fire depends on the previous fire, a chain through time. Samples
 are cut into (rule, time slice) groups that are solved side by side: first every
-slice tells, for each way it may be entered, where its chain ends; one small
-fold per rule picks the real entries; then each slice lists its fires.
+slice tells, for each way it may be entered, where its chain ends. Slices are
+composed into days and days into longer periods in the same form, so a group
+holds the summaries of one period's parts, however long the data. The entries
+of the longest periods are found in time order and handed down, and each slice
+then lists its fires.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from orgloom.functions import fixed_values as V
 
@@ -74,18 +77,59 @@ def _slice_exits(pdf: pd.DataFrame) -> pd.DataFrame:
                          "upto": us[:entries][keep], "exit_us": exits[keep]})
 
 
-def _real_entries(exits: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
-    """Walk the slices of one rule in time order and note when each may fire again."""
-    out, last = [], int(carried["last_us"].max()) if len(carried) else None
-    for start, part in exits.sort_values(["slice_start", "upto"]).groupby("slice_start", sort=True):
-        blocked = -(2**62) if last is None else last + int(part["cooldown_us"].iloc[0])
-        out.append((part["rule"].iloc[0], int(start), blocked))
-        i = int(np.searchsorted(part["upto"].to_numpy(), blocked, side="left"))
-        if i < len(part):
-            last = int(part["exit_us"].iloc[i])
+MAP = "rule int, slice_start long, cooldown_us long, upto long, exit_us long"
+
+
+def _parts(exits: pd.DataFrame, column: str = "slice_start") -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(start, upto, exit) of each part in time order."""
+    exits = exits.sort_values([column, "upto"])
+    start, upto, leave = (exits[c].to_numpy() for c in (column, "upto", "exit_us"))
+    cuts = np.append(np.flatnonzero(np.append(True, start[1:] != start[:-1])), len(start))
+    return [(int(start[i]), upto[i:j], leave[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]
+
+
+def _compose(exits: pd.DataFrame) -> pd.DataFrame:
+    """The map of a period from the maps of its parts: for each way in, the last fire inside."""
+    cooldown, period = int(exits["cooldown_us"].iloc[0]), int(exits["period"].iloc[0])
+    ways, leaves = np.empty(0, np.int64), np.empty(0, np.int64)
+    reach = period + cooldown  # a chain from before may fire again by then
+    for _, upto, leave in _parts(exits):
+        # chains that run already meet this part when their cooldown ends
+        at = np.searchsorted(upto, leaves + cooldown, side="left")
+        on = at < len(upto)
+        leaves[on] = leave[at[on]]
+        if not len(ways) or ways[-1] < reach:  # the part can still be the first to fire
+            n = int(np.searchsorted(upto, reach, side="left")) + 1
+            ways, leaves = np.append(ways, upto[:n]), np.append(leaves, leave[:n])
+    keep = np.append(leaves[1:] != leaves[:-1], True)
+    return pd.DataFrame({"rule": exits["rule"].iloc[0], "slice_start": period, "cooldown_us": cooldown, "upto": ways[keep], "exit_us": leaves[keep]})
+
+
+def _walk(exits: pd.DataFrame, blocked: int) -> pd.DataFrame:
+    """Until when each part is blocked if the first is blocked until ``blocked``."""
+    rule, cooldown, out = exits["rule"].iloc[0], int(exits["cooldown_us"].iloc[0]), []
+    for start, upto, leave in _parts(exits):
+        out.append((rule, start, blocked))
+        i = int(np.searchsorted(upto, blocked, side="left"))
+        if i < len(upto):
+            blocked = int(leave[i]) + cooldown
     return pd.DataFrame(out, columns=["rule", "slice_start", "blocked_until"])
 
 
+ENTRIES = "rule int, slice_start long, blocked_until long"
+
+
+def _first_entries(exits: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
+    """Entries of one rule's longest periods, after the last fire of earlier runs."""
+    if not len(exits):
+        return pd.DataFrame([], columns=["rule", "slice_start", "blocked_until"])
+    return _walk(exits, int(carried["last_us"].max()) + int(exits["cooldown_us"].iloc[0]) if len(carried) else -(2**62))
+
+
+def _inner_entries(exits: pd.DataFrame) -> pd.DataFrame:
+    return _walk(exits, int(exits["blocked_until"].iloc[0]))
+
+
 def _slice_fires(pdf: pd.DataFrame) -> pd.DataFrame:
     us = pdf["us"].to_numpy()
     link = _next(us, int(pdf["cooldown_us"].iloc[0]))
@@ -100,11 +144,16 @@ def _slice_fires(pdf: pd.DataFrame) -> pd.DataFrame:
 CARRIED = "rule string, last_us long"
 
 
+def _period(width: int) -> Column:
+    return F.col("slice_start") - F.pmod(F.col("slice_start"), F.lit(width))
+
+
 def alert_log(health: DataFrame, rules: Rules = V.ALERT_RULES, slice_minutes: int = 60,
-              carried: DataFrame | None = None) -> DataFrame:
+              carried: DataFrame | None = None, parts: Sequence[int] = (24, 30)) -> DataFrame:
     """rule, severity and time (microseconds) of every alert.
 
-    A slice must be longer than any cooldown. ``carried`` holds the last fire per
+    A slice must be longer than any cooldown. ``parts`` tells how many slices make
+    a period, how many of those a longer one, and so on. ``carried`` holds the last fire per
     rule of earlier runs (one row per rule).
     """
     if slice_minutes <= max(m for *_, m in rules):
@@ -112,13 +161,18 @@ def alert_log(health: DataFrame, rules: Rules = V.ALERT_RULES, slice_minutes: in
     width = slice_minutes * 60 * US
     hits = triggers(health, rules).withColumn("slice_start", F.col("us") - F.pmod(F.col("us"), F.lit(width)))
     by_slice = ["rule", "slice_start"]
-    exits = hits.repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(
-        _per_slice(_slice_exits), "rule int, slice_start long, cooldown_us long, upto long, exit_us long")
+    maps = [hits.repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(_per_slice(_slice_exits), MAP)]
+    widths = [width]
+    for n in parts:
+        widths.append(widths[-1] * n)
+        maps.append(maps[-1].withColumn("period", _period(widths[-1])).groupBy("rule", "period").applyInPandas(_compose, MAP))
     numbers = F.coalesce(*[F.when(F.col("rule") == name, F.lit(i)) for i, (name, *_) in enumerate(rules)])
     before = carried if carried is not None else health.sparkSession.createDataFrame([], CARRIED)
     before = before.select(numbers.alias("rule"), "last_us").filter("rule IS NOT NULL")
-    entries = exits.groupBy("rule").cogroup(before.groupBy("rule")).applyInPandas(
-        _real_entries, "rule int, slice_start long, blocked_until long")
+    entries = maps[-1].groupBy("rule").cogroup(before.groupBy("rule")).applyInPandas(_first_entries, ENTRIES)
+    for inner, outer in zip(maps[-2::-1], widths[:0:-1]):
+        entered = entries.withColumnRenamed("slice_start", "period")
+        entries = inner.withColumn("period", _period(outer)).join(entered, ["rule", "period"]).groupBy("rule", "period").applyInPandas(_inner_entries, ENTRIES)
     fires = hits.join(entries, by_slice).repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(
         _per_slice(_slice_fires), "rule int, us long")
     names, severities = (F.array(*[F.lit(r[k]) for r in rules]) for k in (0, 2))

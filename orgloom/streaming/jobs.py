@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -38,10 +39,10 @@ def progress_deltas(results: DataFrame, root: str, delay: str = "1 hour") -> Dat
     done = watermarked(results, "ts", delay).dropDuplicatesWithinWatermark(["event_id"]).filter("status = 'COMPLETED'")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("ts", _plain("ts"))
-        newest = first_per_key(batch, ["organization_id"], [F.desc("ts"), F.desc("event_id")])
-        counts = batch.groupBy("organization_id").agg(F.count("*").alias("processed"))
-        newest.join(counts, "organization_id").write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+        # one aggregate, so that the batch and its deduplication state are evaluated once
+        row = F.struct("ts", "event_id", *[f for f in batch.columns if f not in ("ts", "event_id")])
+        newest = batch.withColumn("ts", _plain("ts")).groupBy("organization_id").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r"), F.count("*").alias("processed"))
+        newest.select(*[F.col("r")[f].alias(f) for f in batch.columns], "processed").write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
 
     schema = StructType(results.schema.fields).add("processed", "long")
     start_table(results.sparkSession, f"{root}/out", schema)
@@ -115,20 +116,23 @@ class Cooldown(StatefulProcessor):
         self._last = handle.getValueState("last_fired", StructType([StructField("us", LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        # only samples that met the rule arrive here, as two numbers each
-        hits = pd.concat(list(rows)).sort_values("us")
-        times = hits["us"].to_numpy()
-        last = self._last.get()[0] if self._last.exists() else None
-        cooldown, fired, i = int(hits["cooldown_us"].iloc[0]), [], 0
+        # only samples that met the rule arrive here; of each its time is held, eight bytes, as chunks come in no order of time
+        times, rule, severity, cooldown = [], None, None, 0
+        for hits in rows:
+            if len(hits):
+                rule, severity, cooldown = hits["rule"].iloc[0], hits["severity"].iloc[0], int(hits["cooldown_us"].iloc[0])
+                times.append(hits["us"].to_numpy())
+        times = np.unique(np.concatenate(times)) if times else np.empty(0, np.int64)
+        last, fired = self._last.get()[0] if self._last.exists() else None, []
         while True:
-            i = i if last is None else int(times.searchsorted(last + cooldown, side="left"))
+            i = 0 if last is None else int(times.searchsorted(last + cooldown, side="left"))
             if i >= len(times):
                 break
             last = int(times[i])
-            fired.append(i)
+            fired.append(last)
         if fired:
             self._last.update((last,))
-            yield hits.iloc[fired][["rule", "severity", "us"]]
+            yield pd.DataFrame({"rule": rule, "severity": severity, "us": fired})
 
     def close(self) -> None:
         pass

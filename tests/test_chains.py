@@ -44,6 +44,32 @@ def test_alert_log_equals_fold(spark, gap, slice_minutes):
     assert got == fold(rows, V.ALERT_RULES)
 
 
+@pytest.mark.parametrize("gap, parts", [([1, 2, 7], (2, 3)), ([200, 400, 5000], (3, 2, 2)), ([30, 60, 301], ()), ([3600, 9000], (4,))])
+def test_periods_of_periods(spark, gap, parts):
+    rows = health(1200, 17, gap)
+    got = {(r.rule, r.us) for r in AL.alert_log(frame(spark, rows), slice_minutes=11, parts=parts).collect()}
+    assert got == fold(rows, V.ALERT_RULES)
+
+
+def test_composed_maps_stay_small():
+    """Dense hits: the map of a day is no larger than its first cooldown asks for."""
+    import pandas as pd
+
+    step, cooldown, hour = 36_000, 300 * AL.US, 3600 * AL.US
+    slices = []
+    for h in range(24):
+        us = range(h * hour, (h + 1) * hour, step)
+        slices.append(AL._slice_exits(pd.DataFrame({"rule": 1, "us": us, "cooldown_us": cooldown, "slice_start": h * hour})))
+    day = AL._compose(pd.concat(slices).assign(period=0))
+    assert len(day) <= len(slices[0]) + 1
+    for blocked in (-5, 0, 17_000_000, 299_999_999, 300 * AL.US):
+        last, t = None, max(0, -(-blocked // step) * step)
+        while t < 24 * hour:
+            last, t = t, -(-(t + cooldown) // step) * step
+        i = day["upto"].to_numpy().searchsorted(blocked)
+        assert int(day["exit_us"].iloc[i]) == last
+
+
 def test_alert_log_carries_the_last_fire(spark):
     rows = health(600, 5, [10, 45])
     first, second = rows[:300], rows[300:]
