@@ -164,16 +164,9 @@ def _packed_stage(rows: DataFrame, judge: Callable[[list[dict]], Iterator[tuple[
 
 
 def _united(docs: DataFrame) -> DataFrame:
-    """One row per (id, key): rows that repeat a document unite what was found for each."""
-
-    def unite(key: tuple, table: pa.Table) -> pa.Table:
-        if len(table) == 1:
-            return table
-        rows = table.to_pylist()
-        union = lambda c: np.unique(np.concatenate([np.frombuffer(r[c], np.uint32) for r in rows])).tobytes()
-        return pa.Table.from_pylist([rows[0] | {"hits": union("hits"), "repeats": union("repeats")}], table.schema)
-
-    return docs.groupBy("id", "key").applyInArrow(unite, _DOC)
+    """One row per document in which something was found; rows that repeat a document add to its lists."""
+    return docs.filter("length(hits) + length(repeats) > 0").groupBy("id", "key").agg(
+        F.collect_list("hits").alias("hits"), F.collect_list("repeats").alias("repeats"))
 
 
 def anchors(keyed: DataFrame, window: int, block: int) -> DataFrame:
@@ -262,13 +255,13 @@ def _with_found(keyed: DataFrame, found: DataFrame, filter_bits: int, keep_other
 
 def repeated_windows(keyed: DataFrame, found: DataFrame, window: int, block: int, filter_bits: int) -> DataFrame:
     """Per document: the windows around its anchors that repeat an earlier window (hits)."""
-    rows = _with_found(keyed, found.filter(F.length("hits") > 0).select("id", "key", "hits"), filter_bits, False).select("id", "key", "text", "hits")
+    rows = _with_found(keyed, found.filter(F.exists("hits", lambda h: F.length(h) > 0)).select("id", "key", "hits"), filter_bits, False).select("id", "key", "text", "hits")
     parts = _parts(keyed)
     shift = np.uint64(64 - parts.bit_length() + 1)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for serial, batch, words in _stretches(batches):
-            places = [np.frombuffer(b, np.uint32) + f for b, f in zip(batch["hits"].to_pylist(), words.first)]
+            places = [np.frombuffer(b, np.uint32) + f for own, f in zip(batch["hits"].to_pylist(), words.first) for b in own]
             hits = np.concatenate(places) if places else np.empty(0, np.int64)
             # windows from window - block words before an anchor to the anchor itself
             near = _cover(np.maximum(hits - (window - block), 0), window - block + 1, len(words.hash))
@@ -312,11 +305,11 @@ def substring_dedup(
     if window < 2 * block - 1:
         raise ValueError("a window must be able to hold a whole reference block: window >= 2 * block - 1")
     keyed = _keyed(docs, id_col, text_col)
-    first = written(anchors(keyed, window, block).filter(F.length("hits") + F.length("repeats") > 0), "anchors")
+    first = written(anchors(keyed, window, block), "anchors")
     second = repeated_windows(keyed, first, window, block, filter_bits)
-    both = first.select("id", "key", "repeats").unionByName(
-        second.select("id", "key", "repeats")).unionByName(second.select("id", "key", F.col("hits").alias("repeats"))).filter(F.length("repeats") > 0)
-    found = written(both.groupBy("id", "key").agg(F.collect_list("repeats").alias("repeats")), "repeats")
+    both = first.select("id", "key", "repeats").unionByName(second.select("id", "key", F.concat("repeats", "hits").alias("repeats")))
+    told = both.select("id", "key", F.filter("repeats", lambda r: F.length(r) > 0).alias("repeats")).filter(F.size("repeats") > 0)
+    found = written(told.groupBy("id", "key").agg(F.flatten(F.collect_list("repeats")).alias("repeats")), "repeats")
     rows = _with_found(keyed, found, filter_bits, True)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
