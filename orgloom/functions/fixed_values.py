@@ -204,15 +204,23 @@ SAVE_PREFIXES = [
     "02", "031", "032", "033", "041", "042", "043", "044", "051", "052", "053", "054", "055",
     "061", "062", "063", "064", "070", "010", "011", "016", "017", "018", "019",
 ]
-# placeholder numbers; the repeated-digit rule (ddd-dddd-dddd) is spelled out per digit
+# placeholder numbers; the back-reference counts from the pattern's own first group
 DUMMY_PHONES = [
     "033-333-3333", "02-222-2222", "031-111-1111",
-    *(f"{d}{d}{d}-{d}{d}{d}-{d}{d}{d}{d}" for d in "0123456789"),
+    r"(\d)\1{2}-\1{3}-\1{4}",
     r"0\d{1,2}-000-0000", r"0\d{1,2}-123-4567", r"0\d{1,2}-1234-5678",
     "000-000-0000", "999-999-9999",
 ]
 EMAIL_ANCHORED = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"
 
+# --- fixed values: patterns of the first-contact job --------------------------
+FIRST_PHONES = [r"\d{2,3}-\d{3,4}-\d{4}", r"(?:전화|TEL|Tel|tel)[:\s]*(\d{2,3}[-\s]\d{3,4}[-\s]\d{4})"]
+FIRST_FAXES = [r"(?:팩스|FAX|Fax|fax)[:\s]*(\d{2,3}[-\s]\d{3,4}[-\s]\d{4})", r"(?:F|f)[:\s]*(\d{2,3}[-\s]\d{3,4}[-\s]\d{4})"]
+FIRST_ADDRESSES = [
+    r"[가-힣]+[시도]\s[가-힣]+[시군구]\s[가-힣0-9\s\-]+", r"\d{5}\s*[가-힣]+[시도]\s[가-힣]+[시군구][가-힣0-9\s\-]+",
+    r"(?:주소|위치|소재지)[:\s]*([가-힣0-9\s\-,]+[시도구군][가-힣0-9\s\-,]*)",
+]
+
 # --- fixed values: extraction patterns, in the order they are tried ----------
 PHONE_PATTERNS = [
     r"(?:전화|TEL|Tel|tel|T\.|전화번호|연락처|대표번호)[\s*:?]*([0-9\-\.\(\)\s]{8,20})",

@@ -206,7 +206,7 @@ def confidence(c: Column | str) -> Column:
     )
 
 
-_DUMMY = "^(" + "|".join(V.DUMMY_PHONES) + ")"
+_DUMMY = "^(?:" + "|".join(V.DUMMY_PHONES) + ")"
 
 
 def is_dummy(c: Column | str) -> Column:

@@ -38,16 +38,7 @@ def extract_first_contact(texts: DataFrame, key: str = "id") -> DataFrame:
     """First valid phone, fax, address and postal code of a text."""
     t = F.col("text")
     number = lambda arr: X.first_valid(F.transform(arr, lambda x: F.regexp_replace(x, "[^0-9-]", "")), lambda x: P.valid_loose(x, "map"))
-    phones = F.concat(
-        F.regexp_extract_all(t, F.lit(r"\d{2,3}-\d{3,4}-\d{4}"), F.lit(0)),
-        F.regexp_extract_all(t, F.lit(r"(?:전화|TEL|Tel|tel)[:\s]*(\d{2,3}[-\s]\d{3,4}[-\s]\d{4})"), F.lit(1)))
-    faxes = F.concat(
-        F.regexp_extract_all(t, F.lit(r"(?:팩스|FAX|Fax|fax)[:\s]*(\d{2,3}[-\s]\d{3,4}[-\s]\d{4})"), F.lit(1)),
-        F.regexp_extract_all(t, F.lit(r"(?:F|f)[:\s]*(\d{2,3}[-\s]\d{3,4}[-\s]\d{4})"), F.lit(1)))
-    addresses = F.concat(
-        F.regexp_extract_all(t, F.lit(r"[가-힣]+[시도]\s[가-힣]+[시군구]\s[가-힣0-9\s\-]+"), F.lit(0)),
-        F.regexp_extract_all(t, F.lit(r"\d{5}\s*[가-힣]+[시도]\s[가-힣]+[시군구][가-힣0-9\s\-]+"), F.lit(0)),
-        F.regexp_extract_all(t, F.lit(r"(?:주소|위치|소재지)[:\s]*([가-힣0-9\s\-,]+[시도구군][가-힣0-9\s\-,]*)"), F.lit(1)))
+    phones, faxes, addresses = (X.all_matches(t, pats, "") for pats in (V.FIRST_PHONES, V.FIRST_FAXES, V.FIRST_ADDRESSES))
     fit = lambda a: (F.length(a) > 10) & A.contains_any(a, ["시", "구", "군"])
     empty = F.array().cast("array<string>")
     has_digits = t.rlike(X._LONG_RUN)

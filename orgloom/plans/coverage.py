@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orgloom.functions import extract as X
@@ -10,6 +12,8 @@ from orgloom.functions import scoring as S
 from orgloom.functions.blank import is_filled, missing_fields
 from orgloom.operators import coverage as C
 from orgloom.operators import ranking as R
+from orgloom.session import checkpoint_root
+from orgloom.sources import sinks
 from orgloom.sources import tables as T
 
 from . import sqlparts as q
@@ -23,6 +27,18 @@ def as_of_org():
     return F.expr(f"TIMESTAMP_NTZ '{T.AS_OF_ORG}'")
 
 
+def scratch(spark, name: str) -> str:
+    """A fresh folder in the shared checkpoint area."""
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def exported(spark, df, sort: str | None = None):
+    """``df`` as CSV files, and what they hold."""
+    path = scratch(spark, "export")
+    sinks.write_csv(df, path, sort)
+    return sinks.read_back(df, path)
+
+
 def _counts(fields=COVERED) -> str:
     return ", ".join(f"{q.count(q.filled(f))} AS {f}_count" for f in fields)
 
@@ -61,7 +77,7 @@ def category_ranking(spark, d):
 SELECT category AS "Category", total AS "Total", phone_coverage AS "Phone_Coverage", fax_coverage AS "Fax_Coverage",
   email_coverage AS "Email_Coverage", homepage_coverage AS "Homepage_Coverage" FROM cov""")
 def export_category_csv(spark, d):
-    return C.category_csv(T.active_organizations(spark, d))
+    return exported(spark, C.category_csv(T.active_organizations(spark, d)))
 
 
 _BOTH = """both_numbers AS (SELECT 'phone' AS kind, phone AS number FROM org WHERE is_active

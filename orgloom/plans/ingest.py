@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from orgloom.functions import fixed_values as V
 from orgloom.operators import ingest as I
-from orgloom.session import checkpoint_root
 from orgloom.sources import files, sinks
 from orgloom.sources import tables as T
 
 from . import sqlparts as q
-from .coverage import NESTED, joined, nested_contacts
+from .coverage import NESTED, exported, joined, nested_contacts, scratch
 from .registry import query
 
 c = F.col
@@ -21,9 +18,6 @@ TEXT = ["name", "homepage", "phone", "fax", "email", "address", "category"]
 _TEXT = ", ".join(TEXT)
 
 
-def scratch(spark, name: str) -> str:
-    """A fresh folder in the shared checkpoint area."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _json_docs(spark, d):
@@ -181,23 +175,20 @@ FLAT = f"""flat AS (SELECT id, name, coalesce(nullif(phone, ''), {joined('phones
 
 @query("export_contact_flat", f"WITH {NESTED}, {FLAT} SELECT name, phone, fax, email, url FROM flat")
 def export_contact_flat(spark, d):
-    path = scratch(spark, "export")
-    sinks.write_csv(sinks.contact_flat(nested_contacts(spark, d)), path)
-    back = spark.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return back.select(*[F.coalesce(x, F.lit("")).alias(x) for x in ("name", "phone", "fax", "email", "url")])
+    return exported(spark, sinks.contact_flat(nested_contacts(spark, d)))
 
 
 @query("export_sheet_with_flag", f"""
 WITH {NESTED}, {FLAT} SELECT name, phone, fax, email, url, CASE WHEN phone <> '' OR email <> '' THEN '검증완료' ELSE '정보부족' END AS review_status,
   CASE WHEN phone <> '' OR email <> '' THEN '100' ELSE '50' END AS review_score, CASE WHEN phone <> '' OR email <> '' THEN '높음' ELSE '낮음' END AS confidence FROM flat""")
 def export_sheet_with_flag(spark, d):
-    return sinks.sheet_with_flag(sinks.contact_flat(nested_contacts(spark, d)))
+    return exported(spark, sinks.sheet_with_flag(sinks.contact_flat(nested_contacts(spark, d))))
 
 
 @query("export_org_snapshot", f"""
 SELECT id, {', '.join(f"coalesce({f}, '') AS {f}" for f in ('name', 'type', 'category', 'homepage', 'phone', 'fax', 'email'))}, '' AS postal_code, coalesce(address, '') AS address FROM org WHERE is_active ORDER BY id""")
 def export_org_snapshot(spark, d):
-    return sinks.org_snapshot(T.active_organizations(spark, d))
+    return exported(spark, sinks.org_snapshot(T.active_organizations(spark, d)), "id")
 
 
 @query("exclude_and_reorder", "SELECT name, category, phone, fax, email, address, id, type, priority FROM org")

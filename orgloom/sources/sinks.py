@@ -14,6 +14,12 @@ def write_csv(df: DataFrame, path: str, sort: str | None = None) -> None:
                                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def read_back(df: DataFrame, path: str) -> DataFrame:
+    """What :func:`write_csv` wrote of ``df``, with its types; empty cells are ''."""
+    back = df.sparkSession.read.csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return back.select(*[F.coalesce(F.col(n), F.lit("")).alias(n) if t == "string" else F.col(n).cast(t).alias(n) for n, t in df.dtypes])
+
+
 def contact_flat(nested: DataFrame) -> DataFrame:
     """name, phone, fax, email, url: stored number first, else the joined list; e-mail only from the list."""
     return nested.select(
