@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from orgloom.plans import registry
 from tests.compare import compare, connect
 
 from .conftest import SMALL
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registry.load()
 
 
 @pytest.fixture(scope="module")
@@ -24,5 +25,9 @@ def test_query(spark, con, small, name):
     assert compare(spark, con, small, name, QUERIES[name], ORACLES[name]) is None
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 5
