@@ -360,11 +360,10 @@ def purge_counts(orgs: DataFrame) -> DataFrame:
 
 
 def dataset_basic_stats(df: DataFrame) -> DataFrame:
-    return df.agg(
-        F.count("*").alias("total_records"),
-        F.countDistinct(F.nullif("name", F.lit(""))).alias("unique_names"),
-        F.countDistinct(F.nullif("category", F.lit(""))).alias("unique_categories"),
-        *[_n(is_filled(f)).alias(f"has_{f}") for f in ("homepage", "phone", "email")])
+    """Counts over all rows; each number of different values is an aggregate of its own, so no row is repeated."""
+    unique = {f: df.select(F.nullif(c, F.lit("")).alias("v")).distinct().select(F.count("v")).scalar() for f, c in (("unique_names", "name"), ("unique_categories", "category"))}
+    counts = df.agg(F.count("*").alias("total_records"), *[_n(is_filled(f)).alias(f"has_{f}") for f in ("homepage", "phone", "email")])
+    return counts.select("total_records", *[v.alias(f) for f, v in unique.items()], *[f"has_{f}" for f in ("homepage", "phone", "email")])
 
 
 def dataset_field_fill(df: DataFrame) -> DataFrame:

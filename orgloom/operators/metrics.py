@@ -52,25 +52,30 @@ def agent_stats(metrics: DataFrame) -> DataFrame:
     ).fillna({"running_confidence": 0.0})
 
 
+def _local_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` as known rows if it has at most ``rows``, so that a join can tell its size and spare the other side a shuffle."""
+    got = df.limit(rows + 1).collect()
+    return df.sparkSession.createDataFrame(got, df.schema) if len(got) <= rows else df
+
+
 def exact_medians(df: DataFrame, key: str, values: Sequence[str], cells: int = 4096) -> DataFrame:
     """Exact medians of the positive values per key without sorting a group in one task.
 
-    1. equal values are counted on the map side; 2. a quantile sketch brackets the
-    middle and counts are folded into ``cells`` cells inside the bracket (plus one
-    below and one above), which shows the cells that hold the middle ranks; 3. only
-    the values of those cells are ranked. The sketch decides how little is ranked,
-    never the result.
+    1. a quantile sketch brackets the middle; 2. rows are counted into ``cells`` cells
+    inside the bracket (plus one below and one above) before they are shuffled, which
+    shows the cells that hold the middle ranks; 3. only the values of those cells are
+    counted and ranked. The sketch decides how little is ranked, never the result.
     """
     g = [key, "what"]
     long = df.select(key, F.inline(F.array(*[F.struct(F.lit(v).alias("what"), F.col(v).alias("v")) for v in values]))).filter("v > 0")
-    counts = long.groupBy(*g, "v").agg(F.count("*").alias("n"))
     span = long.groupBy(*g).agg(F.count("*").alias("total"), F.percentile_approx("v", [0.4995, 0.5005], 10000).alias("b")).select(
         *g, "total", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
+    span = _local_if_small(span)
     v, width = F.col("v"), (F.col("hi") - F.col("lo")) / cells
     cell = (F.when(v < F.col("lo"), 0).when(v > F.col("hi"), cells + 1)
             .when(width > 0, 1 + F.least(F.floor((v - F.col("lo")) / width), F.lit(cells - 1))).otherwise(1).cast("int"))
-    placed = counts.join(span, g).withColumn("cell", cell)
-    per_cell = placed.groupBy(*g, "cell", "total").agg(F.sum("n").alias("n"))
+    placed = long.join(span, g).withColumn("cell", cell)
+    per_cell = placed.groupBy(*g, "cell", "total").agg(F.count("*").alias("n"))
     upto = Window.partitionBy(*g).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     first, second = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
 
@@ -79,8 +84,10 @@ def exact_medians(df: DataFrame, key: str, values: Sequence[str], cells: int = 4
 
     middle = per_cell.withColumn("end", F.sum("n").over(upto)).withColumn("before", F.col("end") - F.col("n")).filter(
         holds(first) | holds(second)).select(*g, "cell", F.col("before").alias("base"))
+    middle = _local_if_small(middle)
     inside = Window.partitionBy(*g, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.join(middle, [*g, "cell"]).withColumn("end", F.col("base") + F.sum("n").over(inside)).withColumn("before", F.col("end") - F.col("n"))
+    chosen = placed.join(middle, [*g, "cell"]).groupBy(*g, "cell", "base", "total", "v").agg(F.count("*").alias("n"))
+    ranked = chosen.withColumn("end", F.col("base") + F.sum("n").over(inside)).withColumn("before", F.col("end") - F.col("n"))
     both = ranked.groupBy(*g).agg(
         ((F.max(F.when(holds(first), F.col("v"))) + F.max(F.when(holds(second), F.col("v")))) / 2).alias("m"))
     # one row per key and column is left
@@ -101,12 +108,14 @@ def task_type_stats(metrics: DataFrame) -> DataFrame:
 
 
 def system_overview(metrics: DataFrame, as_of: Column) -> DataFrame:
-    return metrics.agg(
+    """Headline numbers; each number of different values is an aggregate of its own, so no row is repeated."""
+    unique = {f: metrics.select(F.col(c).alias("v")).distinct().select(F.count("v")).scalar() for f, c in (("active_agents", "agent_name"), ("unique_task_types", "task_type"))}
+    counts = metrics.agg(
         F.count("*").alias("total_tasks"), F.count_if("success").alias("successful_tasks"), F.count_if(~F.col("success")).alias("failed_tasks"),
         F.round(F.avg(F.col("success").cast("int")), 6).alias("overall_success_rate"),
         F.count_if(F.col("start_time") >= as_of - F.expr("INTERVAL 60 MINUTES")).alias("recent_tasks_count"),
-        F.round(_mean("duration"), 6).alias("average_duration"), F.round(_mean("confidence_score"), 6).alias("average_confidence"),
-        F.countDistinct("agent_name").alias("active_agents"), F.countDistinct("task_type").alias("unique_task_types"))
+        F.round(_mean("duration"), 6).alias("average_duration"), F.round(_mean("confidence_score"), 6).alias("average_confidence"))
+    return counts.select("*", *[v.alias(f) for f, v in unique.items()])
 
 
 def hourly_trend(metrics: DataFrame, as_of: Column | None = None, hours: int | None = None) -> DataFrame:

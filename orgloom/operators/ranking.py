@@ -54,6 +54,22 @@ def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int) -
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], last: Sequence[object] | None, size: int) -> DataFrame:
+    """The ``size`` rows after a row with the values ``last`` of the ordering columns (None: from the start).
+
+    ``order`` holds (column, descending); nulls come first and the columns together are unique. However deep
+    the page, a task keeps ``size`` rows.
+    """
+    if last is not None:
+        after, equal = F.lit(False), F.lit(True)
+        for (name, descending), value in zip(order, last):
+            c, v = F.col(name), F.lit(value)
+            further = c.isNotNull() if value is None else F.coalesce((c < v) if descending else (c > v), F.lit(False))
+            after, equal = after | (equal & further), equal & c.eqNullSafe(v)
+        df = df.filter(after)
+    return df.orderBy(*[F.desc_nulls_first(c) if d else F.asc_nulls_first(c) for c, d in order]).limit(size)
+
+
 def page_totals(df: DataFrame, number: int, size: int) -> DataFrame:
     return df.agg(F.count("*").alias("total_count")).select(
         F.lit(number).alias("page"), F.lit(size).alias("per_page"), "total_count",

@@ -36,6 +36,21 @@ def test_top_per_key_on_a_hot_key(hot):
     assert sorted(r.seq for r in df.filter("name = 'hot'").collect()) == [59991, 59994, 59997]
 
 
+def test_pages_after_a_row(spark):
+    rows = [(i, None if i % 7 == 0 else i % 5) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, rank int")
+    order, last, seen = [("rank", True), ("id", False)], None, []
+    while part := R.page_after(df, order, last, 9).collect():
+        seen += [r.id for r in part]
+        last = (part[-1].rank, part[-1].id)
+    assert seen == [i for i, _ in sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0), r[0]))]
+
+
+def test_distinct_counts_repeat_no_row(spark, small):
+    for name in ("dataset_basic_stats", "system_overview"):
+        assert "Expand" not in plan(entry.queries()[name](spark, small))
+
+
 def test_merge_does_not_multiply_a_hot_name(spark, hot):
     second = hot.select("name", "seq", F.col("id").cast("string").alias("phone"))
     out = M.merge_with_validation(hot.select("id", "name", F.lit("").alias("phone")), second, ["phone"])
