@@ -18,9 +18,18 @@ from . import web as W
 _NO_STRINGS = "array<string>"
 
 
+# --- fixed values: white space beyond ASCII, which the patterns' \s is meant to take ---
+_SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def spaced(text: Column | str) -> Column:
+    """Every kind of white space but line ends as a space; as long as before."""
+    return F.translate(_c(text), _SPACES, " " * len(_SPACES))
+
+
 def all_matches(text: Column | str, patterns: list[str], flags: str = "(?i)", group: int | None = None) -> Column:
     """Matches of each pattern in turn, concatenated in pattern order."""
-    text = _c(text)
+    text = spaced(text)
     parts = []
     for p in patterns:
         g = group if group is not None else (1 if "(" in p.replace("(?:", "").replace(r"\(", "") else 0)
@@ -46,7 +55,7 @@ def keep(arr: Column, to: object) -> Column:
 
 
 def phones(text: Column | str, patterns: list[str] = V.PHONE_PATTERNS) -> Column:
-    text = _c(text)
+    text = spaced(text)
     return keep(_has_number(text, all_matches(text, patterns, "(?im)")), lambda x: P.format_digits(P.digits(x)))
 
 
@@ -55,17 +64,17 @@ def faxes(text: Column | str) -> Column:
 
 
 def emails(text: Column | str, patterns: list[str] = V.EMAIL_PATTERNS) -> Column:
-    text = _c(text)
+    text = spaced(text)
     return F.array_distinct(_guard(text, "@", all_matches(text, patterns)))
 
 
 def addresses(text: Column | str) -> Column:
-    text = _c(text)
+    text = spaced(text)
     return keep(_guard(text, "[시군구동로길]", all_matches(text, V.ADDRESS_PATTERNS, "(?im)")), lambda x: A.clean_address(x))
 
 
 def websites(text: Column | str) -> Column:
-    text = _c(text)
+    text = spaced(text)
     return keep(_guard(text, r"(?i)https?://|www\.|홈페이지|웹사이트|website|homepage",
                        all_matches(text, V.WEBSITE_PATTERNS)), W.url_or_null)
 
@@ -79,7 +88,7 @@ def contacts(text: Column | str) -> Column:
 
 def agent_items(text: Column | str, kind: str) -> Column:
     """Validated, sorted items of one kind (phone, fax, email, website)."""
-    text = _c(text)
+    text = spaced(text)
     if kind in ("phone", "fax"):
         pats = V.AGENT_PHONE_PATTERNS if kind == "phone" else V.AGENT_FAX_PATTERNS
         raw = F.array_distinct(_has_number(text, all_matches(text, pats)))
@@ -94,7 +103,7 @@ def agent_items(text: Column | str, kind: str) -> Column:
 
 
 def helper_phones(text: Column | str) -> Column:
-    text = _c(text)
+    text = spaced(text)
     pats = V.HELPER_PHONE_PATTERNS[:-1]
     raw = F.concat(all_matches(text, pats, group=0),
                    F.regexp_extract_all(text, F.lit(r"\+82-(\d{1,2}-\d{3,4}-\d{4})"), F.lit(1)))
@@ -102,18 +111,18 @@ def helper_phones(text: Column | str) -> Column:
 
 
 def helper_faxes(text: Column | str) -> Column:
-    text = _c(text)
+    text = spaced(text)
     return keep(_has_number(text, all_matches(text, V.HELPER_FAX_PATTERNS)), P.normalize_helper)
 
 
 def helper_emails(text: Column | str) -> Column:
-    text = _c(text)
+    text = spaced(text)
     found = _guard(text, "@", all_matches(text, [V.HELPER_EMAIL_PATTERN], group=0))
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
 def helper_urls(text: Column | str) -> Column:
-    text = _c(text)
+    text = spaced(text)
     return F.array_sort(F.array_distinct(
         _guard(text, "(?i)https?://", all_matches(text, [V.HELPER_URL_PATTERN], "(?iU)", group=0))))
 
@@ -129,7 +138,7 @@ def helper_addresses(text: Column | str) -> Column:
 
 
 def enhanced_numbers(text: Column | str, kind: str = "phone") -> Column:
-    text = _c(text)
+    text = spaced(text)
     pats = V.ENHANCED_PHONE_PATTERNS if kind == "phone" else V.ENHANCED_FAX_PATTERNS
     dashed = F.transform(_has_number(text, all_matches(text, pats)), lambda x: F.regexp_replace(x, r"\.", "-"))
     return F.array_distinct(F.filter(dashed, lambda x: F.length(P.digits(x)) >= 9))
@@ -137,7 +146,7 @@ def enhanced_numbers(text: Column | str, kind: str = "phone") -> Column:
 
 def search_phones(text: Column | str) -> Column:
     """Search-page patterns; 9-11 digits with more than two different ones."""
-    text = _c(text)
+    text = spaced(text)
     pats = V.SEARCH_PHONE_PATTERNS
     raw = F.concat(all_matches(text, pats[:-2], group=0), all_matches(text, pats[-2:], group=1))
     return keep(_has_number(text, raw), lambda x: F.when(
@@ -146,19 +155,19 @@ def search_phones(text: Column | str) -> Column:
 
 def crawl_faxes(text: Column | str) -> Column:
     """Labelled fax numbers, digit groups joined by dashes."""
-    text = _c(text)
+    text = spaced(text)
     return F.array_distinct(F.transform(
         _has_number(text, all_matches(text, V.CRAWL_FAX_PATTERNS)), P.normalize_groups))
 
 
 def additional_phones(text: Column | str) -> Column:
-    text = _c(text)
+    text = spaced(text)
     return F.array_distinct(_has_number(text, all_matches(text, V.ADDITIONAL_PHONE_PATTERNS, "")))
 
 
 def postal_codes(text: Column | str) -> Column:
     """Distinct five-digit tokens, sorted."""
-    text = _c(text)
+    text = spaced(text)
     return F.array_sort(F.array_distinct(
         _guard(text, "[0-9]{5}", F.regexp_extract_all(text, F.lit(r"\b\d{5}\b"), F.lit(0)))))
 

@@ -81,3 +81,12 @@ def test_resolve_url(spark):
 def test_completeness_rounds_half_up(spark):
     df = spark.createDataFrame([("1", "", None, " ", "x")], "phone string, fax string, email string, homepage string, address string")
     assert df.select(S.completeness()).first()[0] == 40
+
+
+@pytest.mark.parametrize("space", [" ", "　", " ", " "])
+def test_numbers_with_any_white_space(spark, space):
+    from orgloom.functions import extract as X
+
+    text = f"전화{space}02{space}1234{space}5678 팩스:{space}031{space}123{space}4567"
+    row = spark.createDataFrame([(text,)], "text string").select(X.phones("text").alias("p"), X.faxes("text").alias("f")).first()
+    assert "02-1234-5678" in row.p and "031-123-4567" in row.f
