@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgloom.llm import words as W
-from orgloom.llm.storage import bit_table, written
+from orgloom.llm.storage import bit_table, tidy, written
 
 
 def fingerprints(words: W.Words, span: int, gram: int) -> np.ndarray:
@@ -63,7 +63,7 @@ def _item_windows(items: DataFrame, id_col: str, text_col: str, span: int, gram:
                      pa.array(cols[3], pa.list_(pa.int64()))], ["item", "size", "window", "prints"])
 
     rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(cut, "item string, size int, window string, prints array<bigint>")
+    return rows.mapInArrow(tidy(cut), "item string, size int, window string, prints array<bigint>")
 
 
 def decontaminate(
@@ -122,7 +122,7 @@ def decontaminate(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    probed = rows.mapInArrow(probe, f"row bigint, id {kind}, key bigint, n_words bigint, tries array<struct<start:int,size:int,window:string>>")
+    probed = rows.mapInArrow(tidy(probe), f"row bigint, id {kind}, key bigint, n_words bigint, tries array<struct<start:int,size:int,window:string>>")
     tried = probed.select("row", "id", "key", "n_words", F.explode_outer("tries").alias("t")).select("row", "id", "key", "n_words", "t.*")
     known = windows.groupBy("window").agg(F.collect_set("item").alias("found"))
     hit = tried.join(known, "window", "left").groupBy("row", "id", "key", "n_words").agg(

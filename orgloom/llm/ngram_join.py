@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from orgloom.llm import words as W
 from orgloom.llm.components import components
-from orgloom.llm.storage import bit_table, written
+from orgloom.llm.storage import bit_table, tidy, written
 
 SKETCH_BITS = 20
 SKETCH_PARTS = 64
@@ -93,7 +93,7 @@ def _described(docs: DataFrame, k: int) -> DataFrame:
             none = pa.nulls(len(cells), pa.int64())
             yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(cells, pa.int32()), pa.array(packed, pa.binary())], names)
 
-    return docs.mapInArrow(describe, "id bigint, key bigint, n bigint, node bigint, cell int, counts binary")
+    return docs.mapInArrow(tidy(describe), "id bigint, key bigint, n bigint, node bigint, cell int, counts binary")
 
 
 def _sketch(described: DataFrame) -> np.ndarray:
@@ -166,7 +166,7 @@ def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, documen
                     [pa.array(node[large]), pa.array(size[large]), pa.array(need[large].astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(flat))],
                     ["node", "n", "need", "shingles"])
 
-    rows = docs.select("text").mapInArrow(choose, "node bigint, n bigint, need int, shingles array<bigint>")
+    rows = docs.select("text").mapInArrow(tidy(choose), "node bigint, n bigint, need int, shingles array<bigint>")
     return rows.groupBy("node").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first("shingles").alias("shingles"))
 
 
@@ -239,7 +239,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, filter_bits: int) -> DataF
                 packed = [tokens[at[d]:at[d + 1]].tobytes() for d in some]
                 yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(packed, pa.binary())], ["node", "shingles"])
 
-    found = docs.select("key", "text").mapInArrow(collect, "node bigint, shingles binary")
+    found = docs.select("key", "text").mapInArrow(tidy(collect), "node bigint, shingles binary")
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orgloom.llm.storage import written
+from orgloom.llm.storage import tidy, written
 
 Runs = list[tuple[int, int, int]]  # (length, first rank, number of pieces)
 
@@ -39,7 +39,7 @@ class WordTokens:
     ids come from the tokenizer; at most ``memory`` words are remembered.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -120,7 +120,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: in
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, part int, serial bigint")
+    return rows.mapInArrow(tidy(cut), f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary, part int, serial bigint")
 
 
 def _configuration(sizes: list[int], left: list[int], capacity: int) -> list[int]:
@@ -270,4 +270,4 @@ def pack(
     kind = pieces.schema["id"].dataType.simpleString()
     schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
     columns = ["id", "piece", "start", "length", "ids_crc32", "rank", *(["ids"] if keep_ids else [])]
-    return ranked.select(*columns).mapInArrow(place, schema + (", ids binary" if keep_ids else "")).withColumnRenamed("id", id_col)
+    return ranked.select(*columns).mapInArrow(tidy(place), schema + (", ids binary" if keep_ids else "")).withColumnRenamed("id", id_col)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from orgloom.llm import words as W
 from orgloom.llm.labels import fitting_labels, held_out
+from orgloom.llm.storage import tidy
 
 BITS = 18
 BYTE_GRAM = 3
@@ -175,7 +176,7 @@ def sampled_indicators(docs: DataFrame, labels: DataFrame, id_col: str, text_col
             yield pa.RecordBatch.from_arrays([batch["turn"], batch["id"], batch["label"], pa.array(slots, pa.binary())], ["turn", "id", "label", "slots"])
 
     # the sample is bounded by ``rows``
-    chosen = texts.join(F.broadcast(sample), "id").mapInArrow(reduce, "turn bigint, id bigint, label int, slots binary")
+    chosen = texts.join(F.broadcast(sample), "id").mapInArrow(tidy(reduce), "turn bigint, id bigint, label int, slots binary")
     got = chosen.orderBy("turn", "id", "slots").limit(rows).toArrow()
     return [np.frombuffer(s, np.int32) for s in got["slots"].to_pylist()], got["label"].to_numpy().astype(np.int64)
 
@@ -204,5 +205,5 @@ def quality_scores(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, "score"])
 
     schema = kept.withColumn("score", F.lit(0.0)).schema
-    return kept.mapInArrow(score, schema).withColumns({
+    return kept.mapInArrow(tidy(score), schema).withColumns({
         "held_out": held_out(F.col(id_col)), "predicted": (F.col("score") >= threshold).cast("int")})

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orgloom.llm.storage import tidy
+
 # The patterns of the kinds, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex", "opaque")
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -187,4 +189,4 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(scan, f"id {kind}, base {span}, spans {span}").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidy(scan), f"id {kind}, base {span}, spans {span}").withColumnRenamed("id", id_col)

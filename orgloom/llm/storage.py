@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,3 +62,17 @@ def keep_rows(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id", text
     doubted = marked.filter(~sure).withColumn("turn", turn).join(
         asked, F.col("id").eqNullSafe(F.col("id2")) & (F.col("key") == F.col("key2")), "left").filter("stay IS NULL OR turn <= stay")
     return marked.filter(sure).select("row.*").unionByName(doubted.select("row.*"))
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` for mapInArrow; its freed memory goes back to the system at the end of a task, as Python workers live on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not this C library
+            pass
+
+    return run

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgloom.llm import words as W
-from orgloom.llm.storage import bit_table, written
+from orgloom.llm.storage import bit_table, tidy, written
 
 STRETCH_BYTES = 4 << 20
 LAST = (1 << 63) - 1  # stands for a null identifier: larger than all others
@@ -207,7 +207,7 @@ def anchors(keyed: DataFrame, window: int, block: int) -> DataFrame:
             yield r["stretch"], _places(r["places"])[hit[end:end + len(own)]].astype(np.uint32)
             end += len(own)
 
-    return _united(_packed_stage(keyed.mapInArrow(probe, _PACKED), judge))
+    return _united(_packed_stage(keyed.mapInArrow(tidy(probe), _PACKED), judge))
 
 
 def _earlier_or_same(words: W.Words, batch: pa.RecordBatch, whole: np.ndarray, window: int) -> np.ndarray:
@@ -249,7 +249,7 @@ def _with_found(keyed: DataFrame, found: DataFrame, filter_bits: int, keep_other
             yield pa.RecordBatch.from_arrays([batch["id"], batch["key"], text, pa.array(counts), pa.array(digest, pa.string())],
                                              ["id", "key", "text", "n", "digest"])
 
-    picked = keyed.withColumn("slot", F.xxhash64("id", "key")).mapInArrow(pick, "id bigint, key bigint, text string, n bigint, digest string")
+    picked = keyed.withColumn("slot", F.xxhash64("id", "key")).mapInArrow(tidy(pick), "id bigint, key bigint, text string, n bigint, digest string")
     return picked.join(found, ["id", "key"], "left" if keep_others else "inner")
 
 
@@ -285,7 +285,7 @@ def repeated_windows(keyed: DataFrame, found: DataFrame, window: int, block: int
             yield r["stretch"], own[again[end:end + len(own)]]
             end += len(own)
 
-    return _united(_packed_stage(rows.mapInArrow(extend, _PACKED), judge))
+    return _united(_packed_stage(rows.mapInArrow(tidy(extend), _PACKED), judge))
 
 
 def substring_dedup(
@@ -334,5 +334,5 @@ def substring_dedup(
                 [batch["id"], pa.array(counts), pa.array(removed), pa.array(digests, pa.string()), pa.array(kept, pa.string()), pa.array(spans, span)],
                 ["id", "n_words", "n_removed", "kept_sha256", "kept", "removed"])
 
-    out = rows.mapInArrow(cut, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, removed array<struct<start:bigint,end:bigint>>")
+    out = rows.mapInArrow(tidy(cut), "id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept string, removed array<struct<start:bigint,end:bigint>>")
     return out.select(F.when(F.col("id") != LAST, F.col("id")).alias(id_col), "n_words", "n_removed", "kept_sha256", "kept", "removed")

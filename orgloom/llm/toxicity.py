@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from orgloom.llm import words as W
 from orgloom.llm.labels import fitting_labels, held_out
-from orgloom.llm.storage import written
+from orgloom.llm.storage import tidy, written
 
 # Common words of abuse, and pronouns of the second person, in four languages.
 ABUSE = (
@@ -153,7 +153,7 @@ def toxicity_scores(
             yield pa.RecordBatch.from_arrays([batch["turn"], batch["label"], pa.array(slots, pa.binary())], ["turn", "label", "slots"])
 
     chosen = rows.withColumn("id", F.col("id").cast("long")).join(F.broadcast(sample), "id").select("turn", "label", "text")
-    got = chosen.mapInArrow(reduce, "turn bigint, label int, slots binary").orderBy("turn", "slots").limit(sample_rows).toArrow()
+    got = chosen.mapInArrow(tidy(reduce), "turn bigint, label int, slots binary").orderBy("turn", "slots").limit(sample_rows).toArrow()
     lexicon = learn_lexicon([np.frombuffer(s, np.int32) for s in got["slots"].to_pylist()], got["label"].to_numpy().astype(np.int64))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +163,7 @@ def toxicity_scores(
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(found, pa.list_(pa.float64()))], ["id", "found"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    described = written(rows.mapInArrow(describe, f"id {kind}, found array<double>"), "features")
+    described = written(rows.mapInArrow(tidy(describe), f"id {kind}, found array<double>"), "features")
     rest = described.join(usable.withColumnRenamed("id", "key"), F.col("id").cast("long") == F.col("key")).filter("third >= 4")
     rest = written(rest.select("third", "label", "found"), "labelled").withColumn("features", array_to_vector("found")).withColumn("label", F.col("label").cast("double"))
     seen = {(r.label, r.grown): r.n for r in rest.groupBy("label", (F.col("third") < 8).alias("grown")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -181,7 +181,7 @@ def toxicity_scores(
                 yield pa.RecordBatch.from_arrays([batch["id"], pa.array(score)], ["id", "score"])
 
         margin = _margin(trees, described.withColumn("features", array_to_vector("found"))).select("id", "margin")
-        scored = margin.mapInArrow(calibrate, f"id {kind}, score double")
+        scored = margin.mapInArrow(tidy(calibrate), f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
