@@ -34,7 +34,7 @@ SKETCH_PARTS = 64
 LONGEST = 4  # largest number of shared prefix shingles asked for
 VERIFY_COST = 8.0  # of a candidate, in postings
 PAIRED = 64  # a shingle in more prefixes is not turned into pairs
-BLOCK = 256  # nodes compared with as many others in one task
+BLOCK = 128  # nodes compared with as many others in one task
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
