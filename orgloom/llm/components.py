@@ -11,7 +11,8 @@ from orgloom.llm.storage import written
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Tie the larger (large) or smaller (small) neighbours of each node to the smallest of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # written, so that the join's two sides are plain exchanges and a hub's neighbours can be split over tasks
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     tied = both.join(least, "a")
     if large:
         out = tied.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
