@@ -16,6 +16,7 @@ import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -107,8 +108,21 @@ def _inflate(raw: bytes, most: int) -> bytes | None:
     return got if len(got) <= most else b""
 
 
+def _decoded(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """(text, first byte, bytes per character) as UTF-8 or else latin-1, and where bytes are zero as UTF-16; patterns are ASCII, so other characters of UTF-16 are one sign."""
+    try:
+        yield raw.decode("utf-8"), 0, 0 if not raw.isascii() else 1
+    except UnicodeDecodeError:
+        yield raw.decode("latin-1"), 0, 1
+    if b"\0" in raw:
+        for first in (0, 1):
+            for order in ("<u2", ">u2"):
+                wide = np.frombuffer(raw, order, (len(raw) - first) // 2, first) if len(raw) > first + 1 else np.empty(0, np.uint16)
+                yield np.where(wide < 128, wide, 255).astype(np.uint8).tobytes().decode("latin-1"), first, 2
+
+
 def _base64(text: str, at: Map, most: int, too_large: list[tuple[int, int]]) -> Iterator[tuple[str, Map]]:
-    """One layer for each stretch that is base64 of UTF-8 text, plain or compressed."""
+    """One layer for each stretch that is base64 of text in any encoding, plain or compressed."""
     for m in BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
@@ -126,12 +140,9 @@ def _base64(text: str, at: Map, most: int, too_large: list[tuple[int, int]]) ->
             if not raw:
                 too_large.append(span)
                 break
-        try:
-            got = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if got and sum(c.isprintable() or c in "\t\r\n" for c in got) == len(got):
-            yield got, [span] * len(got)
+        for got, _, _ in _decoded(raw):
+            if got:
+                yield got, [span] * len(got)
 
 
 def _origin(at: Map, lo: int, hi: int) -> tuple[int, int]:

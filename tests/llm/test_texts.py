@@ -68,6 +68,15 @@ def test_decoded_positions_and_cycles():
     assert scan_text(bomb, max_layer_bytes=1000)[1] == [(0, len(bomb.rstrip("=")) + bomb.count("="), "opaque")]
 
 
+@pytest.mark.parametrize("raw", [
+    f"l'\u00e9t\u00e9\u00a0: {SECRET}", f"\ufeff{SECRET}", f"\U0001f468\u200d\U0001f469 {SECRET}", f"\u5bc6\u3000\x0c\x1b {SECRET}",
+    f"\u00e9 {SECRET}".encode("latin-1"), SECRET.encode("utf-16"), b"x" + SECRET.encode("utf-16-be"), b"\0\1\xff" + SECRET.encode() + b"\0\xfe"])
+def test_layers_in_any_encoding(raw):
+    raw = raw if isinstance(raw, bytes) else raw.encode()
+    for hidden in (b64(raw), b64(gzip.compress(raw)), b64(b64(raw))):
+        assert any(s == (5, 5 + len(hidden), "assign") for s in scan_text(f"head {hidden} tail")[1]), hidden
+
+
 def test_licences(spark):
     mit = next(b for i, b in L.KNOWN if i == "MIT" and len(b) > 300)
     rows = [(1, "Copyright (c) 2020 A. Person\n" + mit.upper().replace("LICENSE", "LICENCE")), (2, "text\nReleased  under the MIT Licence\nmore"), (3, None),
