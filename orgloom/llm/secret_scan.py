@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
+import itertools
 import lzma
 import re
 import zlib
@@ -32,8 +34,12 @@ URL = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 NAMES = re.compile(r"[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss][Ww]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
+# Compressed layers are read in pieces of so many bytes, cut after a byte that can stand in no secret and in no encoded stretch.
+PIECE = 1 << 22
+BREAK = re.compile(rb"""(?s).*(?:[^A-Za-z0-9+/_=.\-"':%\\{}\s\0>]|\0\0)""")
 
-Map = list[tuple[int, int]] | None
+#: For each character its stretch of the original text, one stretch for all, or None for the original text itself.
+Map = list[tuple[int, int]] | tuple[int, int] | None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -90,22 +96,67 @@ def _escapes(text: str, at: Map) -> Iterator[tuple[str, Map]]:
     yield "".join(out), place
 
 
-def _inflate(raw: bytes, most: int) -> bytes | None:
-    """The bytes behind a compression header; b"" beyond ``most`` bytes, None if it is none."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            got = zlib.decompressobj(31).decompress(raw, most + 1)
-        elif raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            got = zlib.decompressobj().decompress(raw, most + 1)
-        elif raw[:3] == b"BZh":
-            got = bz2.BZ2Decompressor().decompress(raw, most + 1)
-        elif raw[:6] == b"\xfd7zXZ\x00":
-            got = lzma.LZMADecompressor().decompress(raw, most + 1)
+def _opened(raw: bytes):
+    """A decompressor for bytes that begin with a compression header, else None."""
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor() if raw[:6] == b"\xfd7zXZ\x00" else None
+
+
+def _inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes behind all members of a compressed stream, in pieces; what turns out not to be compressed comes as it is."""
+    data = _take(pieces, 6)
+    while data:
+        machine = _opened(data)
+        if machine is None:
+            yield data
+            yield from pieces
+            return
+        while not machine.eof:
+            try:
+                got = machine.decompress(data, PIECE)
+            except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+                yield data
+                yield from pieces
+                return
+            data = getattr(machine, "unconsumed_tail", b"")
+            if got:
+                yield got
+            if not machine.eof and not data and (not got or getattr(machine, "needs_input", True)):
+                data = next(pieces, b"")
+                if not data and not got:
+                    return  # cut short
+        data = machine.unused_data.lstrip(b"\0")
+        if len(data) < 6:
+            data = (data + _take(pieces, 6)).lstrip(b"\0")
+
+
+def _take(pieces: Iterator[bytes], least: int) -> bytes:
+    """At least that many bytes, or all."""
+    got: list[bytes] = []
+    n = 0
+    while n < least and (piece := next(pieces, None)) is not None:
+        got.append(piece)
+        n += len(piece)
+    return b"".join(got)
+
+
+def _blocks(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The bytes cut where no secret and no encoded stretch of any layer can go on; only a stretch without such a place grows."""
+    held: list[bytes] = []
+    for piece in pieces:
+        m = BREAK.match(piece)
+        if m is None:
+            held.append(piece)
         else:
-            return None
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    return got if len(got) <= most else b""
+            yield b"".join([*held, piece[:m.end()]])
+            held = [piece[m.end():]]
+    if rest := b"".join(held):
+        yield rest
 
 
 def _decoded(raw: bytes) -> Iterator[tuple[str, int, int]]:
@@ -121,8 +172,30 @@ def _decoded(raw: bytes) -> Iterator[tuple[str, int, int]]:
                 yield np.where(wide < 128, wide, 255).astype(np.uint8).tobytes().decode("latin-1"), first, 2
 
 
-def _base64(text: str, at: Map, most: int, too_large: list[tuple[int, int]]) -> Iterator[tuple[str, Map]]:
-    """One layer for each stretch that is base64 of text in any encoding, plain or compressed."""
+def _unfolded(raw: bytes, span: tuple[int, int], most: int | None, too_large: list[tuple[int, int]]) -> Iterator[tuple[str, Map]]:
+    """The layers of bytes that may be compressed, again and again; block by block, so that a large layer need not fit into memory."""
+    pieces, above = iter([raw]), set()
+    while True:
+        first = _take(pieces, PIECE)
+        name = hashlib.sha256(first).digest()
+        pieces = itertools.chain([first], pieces)
+        if name in above or _opened(first) is None:
+            break
+        above.add(name)
+        pieces = _inflated(pieces)
+        if most is not None:
+            first = _take(pieces, most + 1)
+            if len(first) > most:
+                too_large.append(span)
+                return
+            pieces = iter([first])
+    for block in _blocks(pieces):
+        for text, _, _ in _decoded(block):
+            yield text, span
+
+
+def _base64(text: str, at: Map, most: int | None, too_large: list[tuple[int, int]]) -> Iterator[tuple[str, Map]]:
+    """The layers of each stretch that is base64, of text in any encoding or of compressed bytes."""
     for m in BASE64.finditer(text):
         body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
         if len(body) % 4 == 1:
@@ -131,59 +204,56 @@ def _base64(text: str, at: Map, most: int, too_large: list[tuple[int, int]]) ->
             raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        span = _origin(at, m.start(), m.end())
-        for _ in range(64):  # compressed bytes may be compressed again
-            inner = _inflate(raw, most)
-            if inner is None:
-                break
-            raw = inner
-            if not raw:
-                too_large.append(span)
-                break
-        for got, _, _ in _decoded(raw):
-            if got:
-                yield got, [span] * len(got)
+        yield from _unfolded(raw, _origin(at, m.start(), m.end()), most, too_large)
 
 
 def _origin(at: Map, lo: int, hi: int) -> tuple[int, int]:
-    return (lo, hi) if at is None else (at[lo][0], at[hi - 1][1])
+    if at is None:
+        return lo, hi
+    return at if isinstance(at, tuple) else (at[lo][0], at[hi - 1][1])
 
 
-def scan_text(text: str, max_layer_bytes: int = 1 << 24) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
+def _inner(layer: str, at: Map, most: int | None, too_large: list[tuple[int, int]]) -> Iterator[tuple[str, Map]]:
+    """The layers directly inside a layer."""
+    if URL.search(layer):
+        yield from _percent(layer, at)
+    if "\\" in layer and UNICODE.search(layer):
+        yield from _escapes(layer, at)
+    yield from _base64(layer, at, most, too_large)
+
+
+def scan_text(text: str, max_layer_bytes: int | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of one text, each as sorted (start, end, kind)."""
     base = base_spans(text)
     found = set(base)
     seen = {text}
-    work: list[tuple[str, Map]] = [(text, None)]
     too_large: list[tuple[int, int]] = []
+    work = [_inner(text, None, max_layer_bytes, too_large)]  # one open layer for each depth
     while work:
-        layer, at = work.pop()
-        if at is not None:
-            found |= {(*_origin(at, lo, hi), kind) for lo, hi, kind in base_spans(layer)}
-        new: list[tuple[str, Map]] = []
-        if URL.search(layer):
-            new += _percent(layer, at)
-        if "\\" in layer and UNICODE.search(layer):
-            new += _escapes(layer, at)
-        new += _base64(layer, at, max_layer_bytes, too_large)
-        for inner, place in new:
-            # the same text from another place is another layer, but nothing is its own ancestor twice
-            key = inner if place is None or len(set(place)) != 1 else f"{place[0]}:{inner}"
-            if key not in seen:
-                seen.add(key)
-                work.append((inner, place))
+        layer, at = next(work[-1], (None, None))
+        if layer is None:
+            work.pop()
+            continue
+        # the same text from another place is another layer, but nothing is its own ancestor twice
+        places = {at} if isinstance(at, tuple) else set(at)
+        key = (*places, hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()) if len(places) == 1 else layer
+        if key in seen:
+            continue
+        seen.add(key)
+        found |= {(*_origin(at, lo, hi), kind) for lo, hi, kind in base_spans(layer)}
+        work.append(_inner(layer, at, max_layer_bytes, too_large))
     found |= {(lo, hi, "opaque") for lo, hi in too_large}
     return base, sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 
-def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer_bytes: int = 1 << 24) -> DataFrame:
+def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_layer_bytes: int | None = None) -> DataFrame:
     """One row per document row: ``id_col``, base and spans as arrays of (start, end, kind).
 
     ``base`` are the plainly written secrets, leftmost and non-overlapping within
     a kind; ``spans`` adds those found in decoded layers, mapped to the original
-    text (code points, end exclusive). A compressed layer of more than
-    ``max_layer_bytes`` is not unfolded into memory; its stretch is reported whole as
-    kind "opaque", so nothing is passed over in silence.
+    text (code points, end exclusive). Compressed layers of any size are unfolded
+    block by block. A caller may set ``max_layer_bytes``: then a larger compressed layer
+    is not unfolded and its stretch is reported whole as kind "opaque".
 
     A null text is empty and has no spans, a null identifier stays null, repeated
     rows are scanned one by one, an empty table gives no rows, texts are read

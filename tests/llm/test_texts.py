@@ -3,6 +3,7 @@
 import base64
 import bz2
 import gzip
+import lzma
 import re
 import zlib
 
@@ -77,6 +78,23 @@ def test_layers_in_any_encoding(raw):
         assert any(s == (5, 5 + len(hidden), "assign") for s in scan_text(f"head {hidden} tail")[1]), hidden
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_members_and_sizes(pack):
+    def found(raw):
+        return (0, len(b64(raw)), "assign") in scan_text(b64(raw))[1]
+
+    assert found(pack(b"plain text") + pack(SECRET.encode())) and found(pack(b"") + pack(b"") + pack(SECRET.encode()))
+    assert found(pack(b"some, words " * 1_500_000 + SECRET.encode() + b" and (more) " * 10))  # over 16 MiB
+    assert found(pack(pack(bytes(17 << 20) + SECRET.encode())))
+
+
+def test_deep_compression():
+    raw = SECRET.encode()
+    for _ in range(100):
+        raw = gzip.compress(raw)
+    assert (0, len(b64(raw)), "assign") in scan_text(b64(raw))[1]
+
+
 def test_licences(spark):
     mit = next(b for i, b in L.KNOWN if i == "MIT" and len(b) > 300)
     rows = [(1, "Copyright (c) 2020 A. Person\n" + mit.upper().replace("LICENSE", "LICENCE")), (2, "text\nReleased  under the MIT Licence\nmore"), (3, None),
