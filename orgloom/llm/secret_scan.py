@@ -9,7 +9,6 @@ layer are mapped back to the characters of the original text they came from.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import itertools
@@ -33,10 +32,20 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 URL = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# A line break inside base64: of the text, or written as an escape, with quotes, comment signs and indentation around it.
+LINE_BREAK = re.compile(r"""[\x20\t"']*+(?:\r\n?|\n|(?:\\r)?\\n)[\x20\t>#*"']*+""")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+(?:{LINE_BREAK.pattern}[A-Za-z0-9+/_-]++)+={{0,2}}")
+# Stretches that may be escaped bytes, and how their signs are told apart.
+URL_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~/+-])+")
+URL_SIGN = re.compile(r"%[0-9A-Fa-f]{2}|.")
+ESCAPED_SIGN = re.compile(r"\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\u\{0*[0-9A-Fa-f]{1,2}\}|\\[0-3]?[0-7]{1,2}|\\[abfnrtv\\'\"/]|[\x20-\x5b\x5d-\xff]")
+ESCAPED_BYTES = re.compile(f"(?:{ESCAPED_SIGN.pattern})+")
+SHORT = dict(zip("abfnrtv", b"\a\b\f\n\r\t\v"))
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
 NAMES = re.compile(r"[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Pp][Aa][Ss][Ss][Ww]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]")
 # Compressed layers are read in pieces of so many bytes, cut after a byte that can stand in no secret and in no encoded stretch.
 PIECE = 1 << 22
-BREAK = re.compile(rb"""(?s).*(?:[^A-Za-z0-9+/_=.\-"':%\\{}\s\0>]|\0\0)""")
+BREAK = re.compile(rb"""(?s).*(?:[^A-Za-z0-9+/_=.\-"':%\\{}\s\0>#*]|\0\0)""")
 
 #: For each character its stretch of the original text, one stretch for all, or None for the original text itself.
 Map = list[tuple[int, int]] | tuple[int, int] | None
@@ -172,16 +181,31 @@ def _decoded(raw: bytes) -> Iterator[tuple[str, int, int]]:
                 yield np.where(wide < 128, wide, 255).astype(np.uint8).tobytes().decode("latin-1"), first, 2
 
 
-def _unfolded(raw: bytes, span: tuple[int, int], most: int | None, too_large: list[tuple[int, int]]) -> Iterator[tuple[str, Map]]:
-    """The layers of bytes that may be compressed, again and again; block by block, so that a large layer need not fit into memory."""
-    pieces, above = iter([raw]), set()
+def _headers(raw: bytes) -> Iterator[int]:
+    """Where a compressed stream begins behind other bytes."""
+    for m in COMPRESSED.finditer(raw, 1):
+        head = raw[m.start():m.start() + 4096]
+        try:
+            if (machine := _opened(head)) is None:
+                continue
+            machine.decompress(head, 64)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            continue
+        yield m.start()
+
+
+def _unfolded(
+    raw: bytes, span: tuple[int, int], most: int | None, too_large: list[tuple[int, int]], above: frozenset[bytes] = frozenset(),
+) -> Iterator[tuple[str, Map]]:
+    """The layers of bytes that may be or hold compressed ones, again and again; block by block, so that a large layer need not fit into memory."""
+    pieces = iter([raw])
     while True:
         first = _take(pieces, PIECE)
         name = hashlib.sha256(first).digest()
         pieces = itertools.chain([first], pieces)
         if name in above or _opened(first) is None:
             break
-        above.add(name)
+        above |= {name}
         pieces = _inflated(pieces)
         if most is not None:
             first = _take(pieces, most + 1)
@@ -192,19 +216,71 @@ def _unfolded(raw: bytes, span: tuple[int, int], most: int | None, too_large: li
     for block in _blocks(pieces):
         for text, _, _ in _decoded(block):
             yield text, span
+        for place in _headers(block):
+            yield from _unfolded(block[place:], span, most, too_large, above)
+
+
+def _phases(body: str) -> Iterator[tuple[int, bytes]]:
+    """(phase, bytes) of base64 signs from each of the first four on: a run may be glued to other signs."""
+    body = body.replace("-", "+").replace("_", "/")
+    for phase in range(4):
+        part = body[phase:len(body) - ((len(body) - phase) % 4 == 1)]
+        if part:
+            yield phase, base64.b64decode(part + "=" * (-len(part) % 4))
 
 
 def _base64(text: str, at: Map, most: int | None, too_large: list[tuple[int, int]]) -> Iterator[tuple[str, Map]]:
     """The layers of each stretch that is base64, of text in any encoding or of compressed bytes."""
     for m in BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
+        for _, raw in _phases(m[0].rstrip("=")):
+            yield from _unfolded(raw, _origin(at, m.start(), m.end()), most, too_large)
+
+
+def _wrapped(text: str, at: Map, most: int | None, too_large: list[tuple[int, int]]) -> Iterator[tuple[str, Map]]:
+    """The layers of base64 that goes over line breaks; each character comes from the lines that hold its signs."""
+    for m in WRAPPED.finditer(text):
+        breaks = [(b.start(), b.end()) for b in LINE_BREAK.finditer(text, m.start(), m.end())]
+        lines = list(zip([m.start(), *(e for _, e in breaks)], [*(b for b, _ in breaks), m.end()]))
+        parts = [text[lo:hi].rstrip("=") for lo, hi in lines]
+        body = "".join(parts)
+        if len(body) < 16:
             continue
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
+        line = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+        for phase, raw in _phases(body):
+            byte = np.arange(len(raw))
+            sign = phase + 4 * (byte // 3) + byte % 3
+            place = [_origin(at, lines[i][0], lines[j][1]) for i, j in zip(line[sign].tolist(), line[sign + 1].tolist())]
+            for got, first, step in _decoded(raw):
+                if not step:
+                    got, step = raw.decode("latin-1"), 1
+                yield got, place[first::step][:len(got)]
+            for begin in [*([0] if _opened(raw) else []), *_headers(raw)]:
+                yield from _unfolded(raw[begin:], (place[begin][0], place[-1][1]), most, too_large)
+
+
+def _value(sign: str) -> int:
+    """The byte that an escape or a plain sign stands for."""
+    if len(sign) == 1:
+        return ord(sign)
+    if sign[0] == "%" or sign[1] in "xu":
+        return int(sign[1:] if sign[0] == "%" else sign[2:].strip("{}"), 16)
+    return int(sign[1:], 8) if sign[1] in "01234567" else SHORT.get(sign[1], ord(sign[1]))
+
+
+def _escaped_bytes(
+    text: str, at: Map, stretch: re.Pattern, sign: re.Pattern, mark: str, most: int | None, too_large: list[tuple[int, int]],
+) -> Iterator[tuple[str, Map]]:
+    """The layers of compressed bytes that are written with escapes."""
+    for m in stretch.finditer(text):
+        if mark not in m[0]:
             continue
-        yield from _unfolded(raw, _origin(at, m.start(), m.end()), most, too_large)
+        signs = [(x.start(), _value(x[0])) for x in sign.finditer(text, m.start(), m.end())]
+        plain = bytes(v for _, v in signs)
+        # a plus sign may stand for a space
+        spaced = bytes(32 if text[i] == "+" else v for i, v in signs) if mark == "%" and "+" in m[0] else plain
+        for raw in {plain, spaced}:
+            for begin in [*([0] if _opened(raw) else []), *_headers(raw)]:
+                yield from _unfolded(raw[begin:], _origin(at, signs[begin][0], m.end()), most, too_large)
 
 
 def _origin(at: Map, lo: int, hi: int) -> tuple[int, int]:
@@ -217,16 +293,21 @@ def _inner(layer: str, at: Map, most: int | None, too_large: list[tuple[int, int
     """The layers directly inside a layer."""
     if URL.search(layer):
         yield from _percent(layer, at)
-    if "\\" in layer and UNICODE.search(layer):
-        yield from _escapes(layer, at)
+        yield from _escaped_bytes(layer, at, URL_BYTES, URL_SIGN, "%", most, too_large)
+    if "\\" in layer:
+        if UNICODE.search(layer):
+            yield from _escapes(layer, at)
+        yield from _escaped_bytes(layer, at, ESCAPED_BYTES, ESCAPED_SIGN, "\\", most, too_large)
     yield from _base64(layer, at, most, too_large)
+    if "\n" in layer or "\r" in layer or "\\n" in layer:
+        yield from _wrapped(layer, at, most, too_large)
 
 
 def scan_text(text: str, max_layer_bytes: int | None = None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """(base spans, all spans) of one text, each as sorted (start, end, kind)."""
     base = base_spans(text)
     found = set(base)
-    seen = {text}
+    seen: set[tuple] = set()
     too_large: list[tuple[int, int]] = []
     work = [_inner(text, None, max_layer_bytes, too_large)]  # one open layer for each depth
     while work:
@@ -235,8 +316,7 @@ def scan_text(text: str, max_layer_bytes: int | None = None) -> tuple[list[tuple
             work.pop()
             continue
         # the same text from another place is another layer, but nothing is its own ancestor twice
-        places = {at} if isinstance(at, tuple) else set(at)
-        key = (*places, hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest()) if len(places) == 1 else layer
+        key = (at if isinstance(at, tuple) else hash(tuple(at)), hashlib.sha256(layer.encode("utf-8", "surrogatepass")).digest())
         if key in seen:
             continue
         seen.add(key)

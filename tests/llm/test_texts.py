@@ -6,6 +6,7 @@ import gzip
 import lzma
 import re
 import zlib
+from urllib.parse import quote, quote_plus
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,6 +96,29 @@ def test_deep_compression():
     assert (0, len(b64(raw)), "assign") in scan_text(b64(raw))[1]
 
 
+def test_base64_over_line_breaks_and_glued():
+    long = f"some words before it, as many as a line takes {SECRET} and some after, until the line is full again"
+    for raw in (long.encode(), gzip.compress(long.encode()), zlib.compress(long.encode()), long.encode("utf-16"), ("é" * 30 + long).encode()):
+        for width in (12, 57, 64, 76):
+            for line_break in ("\n", "\r\n", "\n    ", "\\n"):
+                hidden = line_break.join(re.findall(f".{{1,{width}}}", b64(raw)))
+                text = f"head:\n\n{hidden}\n\ntail"
+                assert any(k == "assign" and 5 < a < b <= 7 + len(hidden) for a, b, k in scan_text(text)[1]), (raw, width, line_break)
+    twice = "\n".join(re.findall(".{1,20}", b64(SECRET)))
+    assert [k for *_, k in scan_text(f"{twice} !\n! {twice}")[1]].count("assign") == 2
+    for glue in ("path/", "user_", "a-b-", "ab/", "xyz", "+"):
+        for raw in (SECRET.encode(), gzip.compress(SECRET.encode()), zlib.compress(SECRET.encode()), bz2.compress(SECRET.encode())):
+            assert any(k == "assign" for *_, k in scan_text(f"see {glue}{b64(raw)} there")[1]), (glue, raw)
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_escaped_compressed_bytes(pack):
+    raw = pack(SECRET.encode())
+    for hidden in (quote(raw), quote_plus(raw), "".join(f"%{x:02x}" for x in raw), "".join(f"\\x{x:02x}" for x in raw), "".join(f"\\u{x:04x}" for x in raw),
+                   repr(raw), "".join(f"\\{x:03o}" for x in raw), b64(quote(raw))):
+        assert any(k == "assign" for *_, k in scan_text(f"q={hidden}")[1]), hidden
+
+
 def test_licences(spark):
     mit = next(b for i, b in L.KNOWN if i == "MIT" and len(b) > 300)
     rows = [(1, "Copyright (c) 2020 A. Person\n" + mit.upper().replace("LICENSE", "LICENCE")), (2, "text\nReleased  under the MIT Licence\nmore"), (3, None),
