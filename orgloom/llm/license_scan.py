@@ -8,6 +8,9 @@ notices inside longer documents, single lines and paragraphs as whole texts of t
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,20 @@ KNOWN = (
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+# The whole texts in the folder licenses, by file name; titles that stand before texts without one, and clauses that other texts leave out.
+TEXTS = Path(__file__).with_name("licenses")
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "(The MIT License)", "The MIT License:"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause", "3-Clause BSD License", "New BSD License", "BSD License", "The BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause", "2-Clause BSD License", "Simplified BSD License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"), "Unlicense": ("The Unlicense", "Unlicense"),
+}
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+FREE_SOFTWARE = (
+    "{0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software Foundation{3}\n\n"
+    "{0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS "
+    "FOR A PARTICULAR PURPOSE. See the GNU {2} for more details.\n\nYou should have received a copy of the GNU {2} along with {4}{5}")
 # Spellings that count as one, after case and punctuation are gone.
 SPELLINGS = (
     ("licence", "license"), ("licenced", "licensed"), ("sublicence", "sublicense"), ("acknowledgement", "acknowledgment"),
@@ -63,8 +80,53 @@ def canonical(text: Column) -> Column:
     return F.trim(out)
 
 
+def _headers() -> list[tuple[str, str]]:
+    """The notices that the GNU licences and the MPL ask for in each source file."""
+    out = [("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+            "file, You can obtain one at http://mozilla.org/MPL/2.0/.")]
+    names = (("GPL", "General Public License", ("2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")), ("AGPL", "Affero General Public License", ("3",)))
+    web = tuple(f". If not, see {a}https://www.gnu.org/licenses/{b}." for a, b in (("", ""), ("<", ">")))
+    post = tuple(f"; if not, write to the Free Software Foundation, Inc., {a}" for a in (
+        "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA",
+        "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA"))
+    for short, name, versions in names:
+        for version in versions:
+            number = version if "." in version else f"{version}.0"
+            for tail, which in (("or-later", f"either version {version} of the License, or (at your option) any later version."), ("only", f"version {version} of the License.")):
+                for what, it in (("This program", "this program"), ("This library", "this library"), ("This file", "this file")):
+                    for end in web + post:
+                        for link in (", ", "; "):
+                            out.append((f"{short}-{number}-{tail}", FREE_SOFTWARE.format(what, ":", name, link + which, it, end)))
+    return out
+
+
+def license_table() -> list[tuple[str, str]]:
+    """(license, body): KNOWN, the whole texts with and without title and what follows their terms, and the notices for source files."""
+    out = [*KNOWN, *_headers()]
+    texts = {f.stem: f.read_text() for f in sorted(TEXTS.glob("*.txt"))}
+    third = re.compile(r"\* Neither the name.*?\n\n", re.S)
+    texts["BSD-2-Clause"] = third.sub("", texts["BSD-3-Clause"])
+    for name, text in texts.items():
+        license = name.removesuffix("-UC")
+        forms = [text]
+        if license.startswith("BSD"):
+            numbers = iter("123")
+            forms += [re.sub(r"(?m)^\* ", lambda _: f"{next(numbers)}. ", text)]
+            forms += [x.replace(" HOLDER OR", " OWNER OR") for x in forms] + [x.replace(" HOLDER OR", " HOLDERS OR") for x in forms]
+            forms += [x.replace("the copyright holder nor", "the copyright holders nor") for x in forms]
+        if END_OF_TERMS in text:
+            before = text.partition(END_OF_TERMS)[0]
+            forms += [before, before + END_OF_TERMS]
+        if license in TITLES:
+            forms += [f"{title}\n\n{form}" for title in TITLES[license] for form in forms]
+        else:  # the first paragraph is the title
+            forms += [form.strip().partition("\n\n")[2] for form in forms]
+        out += [(license, form) for form in dict.fromkeys(forms)]
+    return out
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN, "license string, body string")
+    return spark.createDataFrame(license_table(), "license string, body string")
 
 
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -128,6 +128,24 @@ def test_licences(spark):
     assert got == {1: ("MIT", 2, "MIT"), 2: (None, 1, "MIT"), 3: (None, 0, ""), 4: (None, 1, "MIT"), 5: (None, 0, "")}
 
 
+def licences_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.license, r.notices.split(",")) for r in L.license_scan(rows, L.known_licenses(spark)).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_licence_texts_as_distributed(spark):
+    files = {f.stem: f.read_text() for f in L.TEXTS.glob("*.txt")}
+    whole = {n: t for n, t in files.items() if n != "BSD-3-Clause-UC"}
+    head = "Copyright (c) 2021, A. Person <a@b.c>\n\n"
+    whole |= {"MIT ": "MIT License\n\nCopyright (c) 2020 X\n\n" + files["MIT"], "ISC ": "ISC License\n\nCopyright 2020 X\n\n" + files["ISC"],
+              "BSD-3-Clause ": "BSD 3-Clause License\n\n" + head + files["BSD-3-Clause"],
+              "Apache-2.0 ": files["Apache-2.0"].partition("END OF TERMS")[0], "Apache-2.0  ": files["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 X")}
+    whole["BSD-2-Clause"] = "BSD 2-Clause License\n\n" + head + re.sub(r"\* Neither the name.*?\n\n", "", files["BSD-3-Clause"], flags=re.S)
+    got = licences_of(spark, list(whole.values()))
+    assert {n: g[0] for n, g in zip(whole, got)} == {n: n.strip() for n in whole}
+
+
 def test_chat_events(spark):
     rows = [("c", 0, 0, "message", "user", "q"), ("c", 1, 3, "delta", "assistant", "lo"), ("c", 1, 2, "delta", "assistant", "hel"),
             ("c", 1, 4, "regenerate", None, None), ("c", 1, 5, "delta", None, "new"), ("c", 1, 6, "delta", None, "!"), ("c", 0, 9, "edit", None, "Q</s>"),
