@@ -2,8 +2,8 @@
 
 A text is brought into a canonical form (case, punctuation, copyright lines and
 equivalent spellings do not matter) and its SHA-256 digest is joined with the
-digests of known licence texts. The units are whole texts and, for
-notices inside longer documents, single lines and paragraphs as whole texts of their own.
+digests of known licence texts. The units are whole texts and, for notices inside longer
+documents, single lines, paragraphs and runs of paragraphs as whole texts of their own.
 """
 
 from __future__ import annotations
@@ -66,20 +66,30 @@ SPELLINGS = (
     ("non infringement", "noninfringement"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-# Fixed value: a line that only states a copyright.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*"
+# A line that only states a copyright, by a mark with a year or holder; wrapped licence lines begin with the word too.
+_WORD, _MARK, _YEAR = r"(?:[Cc]opyright|COPYRIGHT)", r"(?:\([cC]\)|©)", r"(?:[\[<{(]?(?:(?:19|20)[0-9][0-9]|yyyy|YYYY|year|YEAR)\b)"
+_OTHER = r"(?i:holders?|owners?|notices?|licen[cs]es?|laws?|acts?|and|or|statements?|interests?|rights?|treat(?:y|ies)|permissions?|infring[a-z]*|protection|in|to|of|on|for|is)\b"
+COPYRIGHT_LINE = (
+    rf"(^|\n)[ \t]*(?:[Pp]ortions )?(?:{_WORD}[ \t:,]*(?:{_MARK}|{_YEAR}|[Bb][Yy]\b|[\[<{{]|(?!{_OTHER})[A-Z])|{_MARK}[ \t:,]*(?:{_WORD}|{_YEAR})|©)[^\n]*"
+    r"(?:\n[ \t]*[Aa]ll [Rr]ights [Rr]eserved\.?[ \t]*(?=\n|$))?")
+# Fixed value: a comment mark at the beginning of a line.
+COMMENT_MARK = r"(?m)^[ \t]*(?:/\*+|\*+/|\*{1,2}(?!\*)|//+[!/]*|#+|;+|--(?!-)|%+|<!--)"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form: words of a-z, 0-9 and non-ASCII characters, one space between."""
-    out = F.translate(text, UPPER, LOWER)
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "$1")
+    out = F.translate(F.regexp_replace(text, COPYRIGHT_LINE, "$1"), UPPER, LOWER)
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, "[\\x00-\\x2f\\x3a-\\x60\\x7b-\\x7f]+", " ")), F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(f" {old} "), F.lit(f" {new} "))
     return F.trim(out)
 
 
+def uncommented(text: Column) -> Column:
+    """The text with plain line breaks and without comment marks."""
+    return F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), COMMENT_MARK, "")
+
+
 def _headers() -> list[tuple[str, str]]:
     """The notices that the GNU licences and the MPL ask for in each source file."""
     out = [("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
@@ -129,6 +139,29 @@ def known_licenses(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(license_table(), "license string, body string")
 
 
+def _runs(text: Column, known: DataFrame) -> Column:
+    """Canonical forms of the runs of two or more paragraphs that begin with the first word of a known text and are as long."""
+    forms = known.select(F.split("form", " ").alias("w")).select(F.col("w")[0].alias("first"), F.size("w").alias("n"))
+    sizes = {r["first"]: sorted(r["sizes"]) for r in forms.groupBy("first").agg(F.collect_set("n").alias("sizes")).collect()}  # a few numbers for each known text
+    none = F.array().cast("array<string>")
+    if not sizes:
+        return none
+    lengths = F.create_map(*(F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for pair in sizes.items() for x in pair))
+    paragraphs = F.filter(F.transform(F.split(text, "\n[ \t]*\n"), canonical), lambda p: p != "")
+    ends = F.aggregate(paragraphs, F.array(F.lit(0)), lambda done, p: F.concat(done, F.array(F.element_at(done, -1) + F.size(F.split(p, " ")))))
+
+    def found(row: Column) -> Column:
+        words, at = F.split(F.array_join(row["paragraphs"], " "), " "), row["ends"]
+        # a run that begins at paragraph i (from 0 on) ends behind paragraph i + 1 or later
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(at) - 2), lambda i: F.transform(
+            F.filter(F.coalesce(F.try_element_at(lengths, F.get(words, F.get(at, i - 1))), F.array().cast("array<int>")),
+                     lambda n: F.array_contains(F.slice(at, i + 2, F.size(at)), F.get(at, i - 1) + n)),
+            lambda n: F.array_join(F.slice(words, F.get(at, i - 1) + 1, n), " "))))
+
+    rows = F.filter(F.array(F.struct(paragraphs.alias("paragraphs"), ends.alias("ends"))), lambda row: F.size(row["ends"]) > 2)
+    return F.when(F.rlike(text, F.lit("\n[ \t]*\n")), F.flatten(F.transform(rows, found))).otherwise(none)
+
+
 def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document row: ``id_col``, text_sha256, license, n_notices, notices.
 
@@ -142,16 +175,17 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     A null text is empty and matches nothing; repeated rows are scanned one by one;
     a null identifier stays null; an empty table gives no rows; other columns are ignored.
     """
+    forms = known.select("license", canonical(uncommented(F.col("body"))).alias("form")).filter("form <> ''")
     digests = (
-        known.select("license", canonical(F.col("body")).alias("form")).filter("form <> ''")
-        .groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
+        forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
     )
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = uncommented(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text")).withColumn("row", F.monotonically_increasing_id())
     lines, paragraphs = F.split("text", "\n"), F.filter(F.split("text", "\n[ \t]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    units = F.concat(F.array("text"), lines, paragraphs)
+    plain = F.transform(F.concat(F.array("text"), lines, paragraphs), lambda u: F.struct(u.alias("text"), F.lit(False).alias("done")))
+    units = F.concat(plain, F.transform(_runs(F.col("text"), forms), lambda u: F.struct(u.alias("text"), F.lit(True).alias("done"))))
     one = rows.select("id", "row", F.posexplode(units).alias("place", "unit")).select(
-        "id", "row", "place", F.sha2(canonical(F.col("unit")), 256).alias("digest"))
+        "id", "row", "place", F.sha2(F.when(F.col("unit.done"), F.col("unit.text")).otherwise(canonical(F.col("unit.text"))), 256).alias("digest"))
     hit = one.join(digests, "digest", "left")
     return hit.groupBy("id", "row").agg(
         F.max(F.when(F.col("place") == 0, F.col("digest"))).alias("text_sha256"),

@@ -5,6 +5,7 @@ import bz2
 import gzip
 import lzma
 import re
+import textwrap
 import zlib
 from urllib.parse import quote, quote_plus
 
@@ -137,15 +138,30 @@ def licences_of(spark, texts):
 def test_licence_texts_as_distributed(spark):
     files = {f.stem: f.read_text() for f in L.TEXTS.glob("*.txt")}
     whole = {n: t for n, t in files.items() if n != "BSD-3-Clause-UC"}
-    head = "Copyright (c) 2021, A. Person <a@b.c>\n\n"
+    head = "Copyright (c) 2021, A. Person <a@b.c>\nAll rights reserved.\n\n"
     whole |= {"MIT ": "MIT License\n\nCopyright (c) 2020 X\n\n" + files["MIT"], "ISC ": "ISC License\n\nCopyright 2020 X\n\n" + files["ISC"],
-              "BSD-3-Clause ": "BSD 3-Clause License\n\n" + head + files["BSD-3-Clause"],
+              "BSD-3-Clause ": "BSD 3-Clause License\n\n" + head + files["BSD-3-Clause"].replace("\n", "\r\n"),
               "Apache-2.0 ": files["Apache-2.0"].partition("END OF TERMS")[0], "Apache-2.0  ": files["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 X")}
     whole["BSD-2-Clause"] = "BSD 2-Clause License\n\n" + head + re.sub(r"\* Neither the name.*?\n\n", "", files["BSD-3-Clause"], flags=re.S)
     got = licences_of(spark, list(whole.values()))
     assert {n: g[0] for n, g in zip(whole, got)} == {n: n.strip() for n in whole}
 
 
+def test_licences_inside_documents(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 X\n\n" + (L.TEXTS / "MIT.txt").read_text()
+    apache = next(b for i, b in L.KNOWN if i == "Apache-2.0" and len(b) > 100).replace("License. You", "License.\nYou").replace(" Unless", "\n\nUnless")
+    apache = "Copyright 2020 X\n\n" + "\n".join(textwrap.fill(x, 60) if x else "" for x in apache.split("\n"))
+    narrow = mit.replace("above copyright", "above\ncopyright").replace("OR COPYRIGHT", "OR\nCOPYRIGHT")
+    assert re.search("(?m)^copyright notice", narrow) and re.search("(?m)^COPYRIGHT HOLDERS", narrow)
+    gpl = next(b for i, b in L.license_table() if i == "GPL-3.0-or-later")
+    texts = ["# Tool\n\nSome words.\n\n## Licence\n\n" + mit + "\nThe end.", ("intro\n\n" + mit + "\n\nend").replace("\n", "\r\n"), "words\n\n" + narrow + "\n\nwords",
+             "".join(f"# {x}\n" for x in apache.split("\n")) + "\nimport os\n", "/*\n" + "".join(f" * {x}".rstrip() + "\n" for x in apache.split("\n")) + " */\n\nint x;\n",
+             "// Copyright 2020 X\n//\n" + "".join(f"// {x}".rstrip() + "\n" for x in gpl.split("\n")) + "\nint x;\n", mit.replace("restriction", "limits") + "\n\nend"]
+    got = [g[1] for g in licences_of(spark, texts)]
+    assert got == [["MIT"]] * 3 + [["Apache-2.0"]] * 2 + [["GPL-3.0-or-later"], ["MIT"]]
+    assert [g[1] for g in licences_of(spark, [t.replace("MIT License", "Text") for t in texts[:3] + texts[6:]])] == [["MIT"]] * 3 + [[""]]
+
+
 def test_chat_events(spark):
     rows = [("c", 0, 0, "message", "user", "q"), ("c", 1, 3, "delta", "assistant", "lo"), ("c", 1, 2, "delta", "assistant", "hel"),
             ("c", 1, 4, "regenerate", None, None), ("c", 1, 5, "delta", None, "new"), ("c", 1, 6, "delta", None, "!"), ("c", 0, 9, "edit", None, "Q</s>"),
