@@ -108,7 +108,7 @@ def features(raw: np.ndarray, lexicon: np.ndarray) -> list[float]:
     marks = by_byte[[35, 36, 37, 38, 42, 64]].sum()
     odd = 0
     hidden = 0
-    if marks + by_byte[48:58].sum() + by_byte[33]:
+    if marks + by_byte[48:58].sum() + by_byte[33] + by_byte[124]:
         for m in _OBFUSCATED.finditer(raw.tobytes().decode("utf-8", "replace")):
             odd += 1
             core = m[0].lower().translate(DISGUISE).strip(".,;:?*")

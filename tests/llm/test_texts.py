@@ -9,11 +9,13 @@ import textwrap
 import zlib
 from urllib.parse import quote, quote_plus
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from orgloom.llm import chat_format as C
 from orgloom.llm import license_scan as L
+from orgloom.llm import toxicity as X
 from orgloom.llm.packing import WordTokens, pack, packing_plan
 from orgloom.llm.queries import QUERIES, vocabulary
 from orgloom.llm.secret_scan import scan_text
@@ -247,3 +249,10 @@ def test_held_out_accuracy(spark, name, label, accuracy):
     scored = QUERIES[name](spark, path).filter("held_out").join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id")
     right, n = scored.agg(F.sum((F.col("predicted") == F.col(label)).cast("int")), F.count(F.lit(1))).first()
     assert n > 900 and right / n >= accuracy
+
+
+def test_every_disguise_mark_is_looked_for():
+    lexicon = np.zeros(1 << X.TABLE_BITS, np.float32)
+    for mark in "|!1":
+        got = dict(zip(X.NAMES, X.features(np.frombuffer(f"you id{mark}ot".encode(), np.uint8), lexicon)))
+        assert got["obfuscated"] > 0 and got["disguised_abuse"] > 0, mark
