@@ -5,8 +5,8 @@ reference blocks). All rolling windows of ``block`` words probe them. As a passa
 2 * block - 1 words contains a whole reference block wherever it starts, a repeated
 window of ``window`` >= 2 * block - 1 words has an anchor: its text is probed
 by a reference block of the other occurrence. Anchors are then
-extended: the windows around them are compared, and neighbouring repeated windows
-merge into maximal repeats.
+extended: the windows around them are compared by 96 bits of two independent hashes, and
+neighbouring repeated windows merge into maximal repeats.
 
 Hashes travel as packed arrays, one row per stretch of texts and hash range. Repeats
 within a stretch are settled before the shuffle, so a passage that a third of
@@ -30,8 +30,8 @@ from orgloom.llm.storage import bit_table, tidy, written
 STRETCH_BYTES = 4 << 20
 LAST = (1 << 63) - 1  # stands for a null identifier: larger than all others
 
-_PACKED = "part int, stretch bigint, hashes binary, places binary, ids binary, starts binary, info binary"
-_PACKED_NAMES = ["part", "stretch", "hashes", "places", "ids", "starts", "info"]
+_PACKED = "part int, stretch bigint, hashes binary, checks binary, places binary, ids binary, starts binary, info binary"
+_PACKED_NAMES = ["part", "stretch", "hashes", "checks", "places", "ids", "starts", "info"]
 _DOC = "id bigint, key bigint, n_words bigint, hits binary, repeats binary"
 
 
@@ -65,26 +65,29 @@ def _words(raw: np.ndarray, at: np.ndarray) -> W.Words:
         np.concatenate([[0], *(p.first[1:] + n for p, n in zip(parts, words))]), np.concatenate([p.hash for p in parts]))
 
 
-def _earlier(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Whether an entry's hash also belongs to an entry with smaller (id, start)."""
+def _earlier(hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether an entry's hash and check also belong to an entry with smaller (id, start)."""
     if not len(hashes):
         return np.empty(0, bool)
-    order = np.lexsort((starts, ids, hashes))
-    h, i, s = hashes[order], ids[order], starts[order]
-    opens = np.concatenate([[True], h[1:] != h[:-1]])
+    order = np.lexsort((starts, ids, checks, hashes))
+    h, c, i, s = hashes[order], checks[order], ids[order], starts[order]
+    opens = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
     head = np.maximum.accumulate(np.where(opens, np.arange(len(h)), 0))
     out = np.empty(len(h), bool)
     out[order] = (i != i[head]) | (s != s[head])
     return out
 
 
-def _earlier_in_order(hashes: np.ndarray) -> np.ndarray:
+def _earlier_in_order(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
     """As :func:`_earlier` for entries that come by strictly rising (id, start)."""
     out = np.zeros(len(hashes), bool)
     if len(hashes):
         order = np.argsort(hashes, kind="stable")
-        h = hashes[order]
-        out[order[1:]] = h[1:] == h[:-1]
+        h, c = hashes[order], checks[order]
+        same = h[1:] == h[:-1]
+        if (c[1:][same] != c[:-1][same]).any():  # one hash, other words
+            return _earlier(hashes, checks, np.arange(len(h)), np.zeros(len(h), np.uint32))
+        out[order[1:]] = same
     return out
 
 
@@ -107,8 +110,8 @@ def _deal(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
-    cols = list(zip(*rows)) or [[]] * 7
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    cols = list(zip(*rows)) or [[]] * 8
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], _PACKED_NAMES)
 
 
@@ -187,9 +190,9 @@ def anchors(keyed: DataFrame, window: int, block: int) -> DataFrame:
             owner = np.searchsorted(words.first, place, "right") - 1
             reference = ((place - words.first[owner]) % block == 0) if len(place) else np.empty(0, bool)
             short = ((hashes.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | reference.astype(np.uint32))
-            out = [(-1, serial, None, None, None, None, _info(batch, words, whole[again]))]
+            out = [(-1, serial, None, None, None, None, None, _info(batch, words, whole[again]))]
             for p, (h, at) in _deal((hashes >> shift).astype(np.int64), short, place):
-                out.append((p, serial, h.tobytes(), _steps(at), None, None, None))
+                out.append((p, serial, h.tobytes(), None, _steps(at), None, None, None))
             yield _rows(out)
 
     def judge(rows: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
@@ -211,12 +214,14 @@ def anchors(keyed: DataFrame, window: int, block: int) -> DataFrame:
 
 
 def _earlier_or_same(words: W.Words, batch: pa.RecordBatch, whole: np.ndarray, window: int) -> np.ndarray:
-    hashes = words.windows(window)[whole] if len(whole) else np.empty(0, np.uint64)
+    if not len(whole):
+        return np.empty(0, bool)
+    hashes, checks = words.windows(window)[whole], words.second(window, whole)
     ids = batch["id"].to_numpy()
     if len(ids) < 2 or (ids[1:] > ids[:-1]).all():
-        return _earlier_in_order(hashes)
+        return _earlier_in_order(hashes, checks)
     owner = np.searchsorted(words.first, whole, "right") - 1
-    return _earlier(hashes, ids[owner], whole - words.first[owner])
+    return _earlier(hashes, checks, ids[owner], whole - words.first[owner])
 
 
 def _steps(place: np.ndarray) -> bytes:
@@ -271,15 +276,16 @@ def repeated_windows(keyed: DataFrame, found: DataFrame, window: int, block: int
             hashes = words.windows(window)[open_] if len(open_) else np.empty(0, np.uint64)
             owner = np.searchsorted(words.first, open_, "right") - 1
             ids = batch["id"].to_numpy()[owner] if len(open_) else np.empty(0, np.int64)
-            out = [(-1, serial, None, None, None, None, _info(batch, words, whole[again]))]
-            for p, (h, at, i, s) in _deal((hashes >> shift).astype(np.int64), hashes, open_, ids, open_ - words.first[owner]):
-                out.append((p, serial, h.tobytes(), at.astype(np.uint32).tobytes(), i.tobytes(), s.astype(np.uint32).tobytes(), None))
+            out = [(-1, serial, None, None, None, None, None, _info(batch, words, whole[again]))]
+            checks = words.second(window, open_) if len(open_) else np.empty(0, np.uint32)
+            for p, (h, c, at, i, s) in _deal((hashes >> shift).astype(np.int64), hashes, checks, open_, ids, open_ - words.first[owner]):
+                out.append((p, serial, h.tobytes(), c.tobytes(), at.astype(np.uint32).tobytes(), i.tobytes(), s.astype(np.uint32).tobytes(), None))
             yield _rows(out)
 
     def judge(rows: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
         column = lambda c, t: [np.frombuffer(r[c], t) for r in rows]
         hashes, places = column("hashes", np.uint64), column("places", np.uint32)
-        again = _earlier(np.concatenate(hashes), np.concatenate(column("ids", np.int64)), np.concatenate(column("starts", np.uint32)))
+        again = _earlier(np.concatenate(hashes), np.concatenate(column("checks", np.uint32)), np.concatenate(column("ids", np.int64)), np.concatenate(column("starts", np.uint32)))
         end = 0
         for r, own in zip(rows, places):
             yield r["stretch"], own[again[end:end + len(own)]]

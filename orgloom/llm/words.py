@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK_BYTES = 1 << 20
 
@@ -19,9 +20,10 @@ SPACES = bytes([0x20, *range(0x09, 0x0E)])
 NON_LETTERS = bytes([*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 NON_ALNUM = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_SEED = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
+_STEP2 = np.uint64(0xA0761D6478BD642F)
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,22 +36,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
-_POWERS = np.ones(1, np.uint64)
-_BACK = np.ones(1, np.uint64)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _SEED)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _BACK
-    if len(_POWERS) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        up, down = np.full(size, _BASE), np.full(size, _INVERSE)
-        up[0] = down[0] = 1
-        up, down = np.cumprod(up), np.cumprod(down)
-        if size > 16 * CHUNK_BYTES:  # of one very long text; not kept
-            return up, down
-        _POWERS, _BACK = up, down
-    return _POWERS, _BACK
+def lanes_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def lane(lanes: np.ndarray, start: np.ndarray, size: np.ndarray, j: int) -> np.ndarray:
+    """Bytes 8 * j to 8 * j + 8 of the words of ``size`` bytes at ``start``, zero behind their ends."""
+    at = np.minimum(start + 8 * j, len(lanes) - 1)
+    return lanes[at] & _MASKS[np.clip(size - 8 * j, 0, 8)]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words data[start:end].
+
+    Every eight bytes are mixed into all bits before the next come, so words of at most eight bytes
+    and one size never share a hash, and there is no algebraic relation between longer ones.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * _SEED + _STEP2)
+    lanes = lanes_of(data)
+    rest = np.flatnonzero(size <= LONG_WORD)
+    for j in range(LONG_WORD // 8):
+        rest = rest[size[rest] > 8 * j]
+        if not len(rest):
+            break
+        out[rest] = mix((out[rest] ^ lane(lanes, start[rest], size[rest], j)) * _STEP + np.uint64(j))
+    for w in np.flatnonzero(size > LONG_WORD).tolist():
+        out[w] = xxhash.xxh3_64_intdigest(data[start[w]:end[w]].tobytes(), seed=int(_SEED))
+    return out
 
 
 def _tables(separators: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +106,14 @@ class Words:
             out += self.hash[j:n + j]
         return mix(out)
 
+    def second(self, k: int, at: np.ndarray) -> np.ndarray:
+        """32 further bits of the windows of k words at ``at``, from other factors than :meth:`windows`."""
+        out = mix(self.hash[at] ^ _STEP2)
+        for j in range(1, k):
+            out *= _STEP2
+            out += self.hash[at + j]
+        return (mix(out) >> np.uint64(32)).astype(np.uint32)
+
     def inside(self, k: int) -> np.ndarray:
         """Whether the window of k words from a position on lies in one text; as long as :meth:`windows`."""
         n = max(0, len(self.hash) - k + 1)
@@ -125,8 +154,8 @@ def stretches(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[i
         i = j
 
 
-def words_of(raw: np.ndarray, offsets: np.ndarray, separators: bytes, lower: bool) -> Words:
-    """The words of the texts at ``offsets`` in ``raw`` (offsets[0] may lie inside)."""
+def words_of(raw: np.ndarray, offsets: np.ndarray, separators: bytes, lower: bool, hashed: bool = True) -> Words:
+    """The words of the texts at ``offsets`` in ``raw`` (offsets[0] may lie inside); ``hashed``: with their hashes."""
     fold, is_word = _tables(separators, lower)
     data = raw[offsets[0]:offsets[-1]]
     at = offsets - offsets[0]
@@ -140,12 +169,8 @@ def words_of(raw: np.ndarray, offsets: np.ndarray, separators: bytes, lower: boo
     opens[1:] &= ~inner[:-1] | edge[1:n]
     closes[:-1] &= ~inner[1:] | edge[1:n]
     start, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    up, down = _powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[data] * up[:n], out=total[1:])
-    hashed = (total[end] - total[start]) * down[start]
-    hashed = mix(hashed ^ ((end - start).astype(np.uint64) * _STEP))
-    return Words(data, start, end, np.searchsorted(start, at), hashed)
+    return Words(data, start, end, np.searchsorted(start, at), word_hashes(data, start, end) if hashed else np.empty(0, np.uint64))
+
 
 
 def beginnings(words: Words, k: int) -> np.ndarray:

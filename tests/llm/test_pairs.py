@@ -128,3 +128,31 @@ def test_exact_dedup_splits_a_hot_group(spark):
         for r in got:
             ids = want[text[r.doc_id]]
             assert (r.keep_id, r.group_size, r.kept) == (fn(ids), len(ids), r.doc_id == fn(ids))
+
+
+def alike_under_powers():
+    """Two words that every polynomial with an odd base modulo 2**64 gives one value."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_long_words_keep_apart(spark):
+    a, b = alike_under_powers()
+    same = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{same} {a}"), (2, f"{same} {b}"), (3, a), (4, b)], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0}
+    assert {r.doc_id: r.component_id for r in J.ngram_join(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_word_hashes_differ():
+    import numpy as np
+    import pyarrow as pa
+
+    from orgloom.llm import words as W
+
+    texts = ["a" * n for n in range(1, 200)] + ["a" * n + "b" for n in range(200)] + ["\0" * n for n in range(1, 100)] + list(alike_under_powers())
+    raw, at = W.raw_column(pa.array(texts))
+    words = W.words_of(raw, at, b" ", False)
+    assert len(np.unique(words.hash)) == len(texts) == len(words.hash)
