@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,12 @@ from orgloom.llm.decontamination import decontaminate
 from orgloom.llm.exact_dedup import exact_dedup
 from orgloom.llm.ngram_join import ngram_join
 from orgloom.llm.packing import pack
+from orgloom.llm.periodic_runs import periodic_runs
 from orgloom.llm.quality import quality_scores
 from orgloom.llm.secret_scan import secret_scan
+from orgloom.llm.spelling import DAMAGE, spelling_groups
 from orgloom.llm.substring_dedup import substring_dedup
+from orgloom.llm.token_files import read_token_files, write_token_files
 from orgloom.llm.toxicity import toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,14 +83,11 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-VOCABULARY = "word_bpe_49k.json"
-
-
-def vocabulary() -> str:
-    """The place of the public vocabulary file."""
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public vocabulary file."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 @query("op4_best_fit_packing")
@@ -195,3 +196,30 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, files = write_token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return read_token_files(folder, files).withColumnRenamed("id", "doc_id")
+
+
+def planted_period(doc_id: int, n: int) -> tuple[int, int] | None:
+    """Which words of a tenth of the documents are made periodic: (first, period)."""
+    h = zlib.crc32(str(doc_id).encode())
+    if h % 10:
+        return None
+    g = h // 10
+    a = g % n
+    return a, 1 + (n - a) // (3 + g % 8)
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_period).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+@query("op11_spelling_groups")
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"), damage=DAMAGE)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from orgloom.session import checkpoint_root
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` below the folder named by ``spark.checkpoint.dir`` and read it back.
 
     This cuts the lineage: later steps reread files that every executor sees, so a
@@ -21,7 +21,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

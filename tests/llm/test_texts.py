@@ -10,15 +10,17 @@ import zlib
 from urllib.parse import quote, quote_plus
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from orgloom.llm import chat_format as C
 from orgloom.llm import license_scan as L
 from orgloom.llm import toxicity as X
-from orgloom.llm.packing import WordTokens, pack, packing_plan
+from orgloom.llm.packing import pack, packing_plan
 from orgloom.llm.queries import QUERIES, vocabulary
 from orgloom.llm.secret_scan import scan_text
+from orgloom.llm.tokens import ChunkTable, TextIds
 from tests.conftest import SMALL
 
 SECRET = 'password = "abcdef0123456789XYZ"'
@@ -188,10 +190,19 @@ TEXTS = ["", "  ", "Don't I'LL naïve Ünïcode Σας ΣΑΣ <|endoftext|>x İs
          "one, two. three!! four###", "word " * 9000, "日本語テキスト \U0001f600\U0001f600 mixed漢字abc", "A" * 3000]
 
 
-def test_words_are_tokenised_as_whole_texts():
-    tokens = WordTokens(vocabulary(), memory=5)
-    for text in TEXTS * 2:
-        assert tokens.ids(text) == tokens._encode(text).tobytes()
+@pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+@pytest.mark.parametrize("slots,room", [(4, 8), (1 << 18, 1 << 21)])
+def test_chunks_are_tokenised_as_whole_texts(name, spaced, slots, room):
+    import public_tokenizers
+
+    reader = TextIds(public_tokenizers.path(name), spaced)
+    reader.table = ChunkTable(reader._encode, slots, room)
+    texts = [*TEXTS, None, "  a  b ", "x\u00a0y\u3000 z \u2003 w", "\u00e9 la \u0085 b\u1680 c", "foo<|endoftext|>  bar <|STARTOFTEXT|> <|startoftext|>x", "x\x1c q\x1f \u200a w",
+             "don't'VE I'll (it's) 'tis,'so 12 345a1b", "a" * 30 + ",b" * 30 + " " + "ab" * 13, "e\u0301,\u0338 <\u0338 \u1f600", "one-two--three/four|five|six", "y" * 70000]
+    for column in (pa.array(texts), pa.array(texts * 2, pa.large_string()).slice(3)):
+        for i, j, at, ids in reader.batches(column):
+            for n in range(i, j):
+                assert ids[at[n - i]:at[n - i + 1]].tolist() == reader._ids(column[n].as_py() or ""), column[n]
 
 
 def test_packing(spark):
