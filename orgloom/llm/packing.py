@@ -12,7 +12,6 @@ length and looks their places up.
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,100 +22,38 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgloom.llm.storage import tidy, written
+from orgloom.llm.tokens import text_ids
 
 Runs = list[tuple[int, int, int]]  # (length, first rank, number of pieces)
 
-# Words of these letters, with such marks behind them, keep their parts apart in the vocabulary's
-# splitting rule, and their lower case is letter by letter.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*|]*)")
-CHUNK = re.compile(r"[^ \t\r\n]+")
-
-
-class WordTokens:
-    """Token ids of texts by a word-end vocabulary, remembered word by word.
-
-    White space always parts tokens, so a text's ids are those of its words in turn. The
-    ids come from the tokenizer; at most ``memory`` words are remembered.
-    """
-
-    def __init__(self, path: str, memory: int = 300_000):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memory = memory
-        self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) > self.memory:
-            self.words.clear()
-        if len(self.cores) > self.memory:
-            self.cores.clear()
-        split = [(w, m[1].lower(), m[2]) for w in new if (m := PLAIN.fullmatch(w))]
-        cores = list({c for _, c, _ in split if c not in self.cores})
-        for i in range(0, len(cores), 500):
-            some = cores[i:i + 500]
-            ids = self._encode(" ".join(some))
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(some):  # not as this vocabulary splits; ask for each
-                self.cores |= {c: self._encode(c).tobytes() for c in some}
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
-            self.cores |= {c: raw[a:b] for c, a, b in zip(some, at[:-1], at[1:])}
-        for mark in {m for _, _, m in split if m and m not in self.words}:
-            self.words[mark] = self._encode(mark).tobytes()
-        for word, core, mark in split:
-            self.words[word] = self.cores[core] + self.words[mark] if mark else self.cores[core]
-        for word in [w for w in new if w not in self.words]:
-            self.words[word] = self._encode(word).tobytes()
-
-    def ids(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        words = CHUNK.findall(text)
-        new = set(words).difference(self.words)
-        if new:
-            self._learn(new)
-            missing = set(words).difference(self.words)  # forgotten while new ones were learnt
-            if missing:
-                self._learn(missing)
-        return b"".join(map(self.words.__getitem__, words))
-
-
-_REMEMBERED: dict[str, WordTokens] = {}  # of this Python worker, by vocabulary file
-
-
 def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str, text_col: str, keep_ids: bool) -> DataFrame:
     """(id, piece, start, length, ids_crc32, ids, part, serial): every document's ids and ``end_id``, cut only where longer than ``capacity``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _REMEMBERED:
-            _REMEMBERED[vocabulary] = WordTokens(vocabulary)
-        tokens = _REMEMBERED[vocabulary]
+        tokens = text_ids(vocabulary, spaced=False)
         context = TaskContext.get()
         part, serial = context.partitionId() if context else 0, 0
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                some = batch.slice(lo, 512)
-                rows: list[tuple] = []
-                for n, text in enumerate(some["text"].to_pylist()):
-                    raw = tokens.ids(text or "") + end
-                    for k in range(0, len(raw), 4 * capacity):
-                        piece = raw[k:k + 4 * capacity]
-                        rows.append((n, k // (4 * capacity), k // 4, len(piece) // 4, zlib.crc32(piece), piece if keep_ids else None))
-                n, piece, start, length, crc, ids = zip(*rows)
+            for i, j, at, ids in tokens.batches(batch["text"]):
+                # one end id behind each text
+                at = at + np.arange(j - i + 1)
+                raw = np.full(int(at[-1]), end_id, "<u4")
+                inner = np.ones(len(raw), bool)
+                inner[at[1:] - 1] = False
+                raw[inner] = ids
+                count = -(-np.diff(at) // capacity)
+                n = np.repeat(np.arange(j - i), count)
+                piece = np.arange(len(n)) - np.repeat(np.cumsum(count) - count, count)
+                lo = at[n] + piece * capacity
+                hi = np.minimum(lo + capacity, at[n + 1])
+                view = memoryview(raw).cast("B")
+                cuts = [view[4 * x:4 * y] for x, y in zip(lo.tolist(), hi.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [some["id"].take(pa.array(n)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                     pa.array(crc, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(rows), pa.int32()),
-                     pa.array(range(serial, serial + len(rows)), pa.int64())],
+                    [batch["id"].take(pa.array(n + i)), pa.array(piece, pa.int32()), pa.array(piece * capacity), pa.array(hi - lo),
+                     pa.array([zlib.crc32(c) for c in cuts], pa.int64()), pa.array([bytes(c) for c in cuts] if keep_ids else [None] * len(n), pa.binary()),
+                     pa.array(np.full(len(n), part), pa.int32()), pa.array(np.arange(serial, serial + len(n)))],
                     ["id", "piece", "start", "length", "ids_crc32", "ids", "part", "serial"])
-                serial += len(rows)
+                serial += len(n)
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
