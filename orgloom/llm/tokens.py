@@ -8,7 +8,6 @@ bytes; only chunks that are not there go to the tokenizer.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ class ChunkTable:
     replaces what stood in its place; when ``room`` is used up the table starts empty.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], slots: int = 1 << 18, room: int = 1 << 21):
+    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 19, room: int = 1 << 22):
         self.encode, self.slots, self.room = encode, slots, room
         self._clear()
 
@@ -38,15 +37,14 @@ class ChunkTable:
         self.pool = np.zeros(self.room, np.uint32)
         self.used = 0
 
-    def _store(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(place, number) in the pool of each list of ids."""
-        count = np.array([len(f) for f in found], np.int32)
-        total = int(count.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(total, self.room), np.uint32)])
-        self.pool[self.used:self.used + total] = [i for f in found for i in f]
+    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) in the pool of each chunk's ids, which the tokenizer gives."""
+        count, ids = self.encode(data, start, end)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(len(ids), self.room), np.uint32)])
+        self.pool[self.used:self.used + len(ids)] = ids
         at = self.used + np.cumsum(count) - count
-        self.used += total
+        self.used += len(ids)
         return at, count
 
     def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,14 +64,13 @@ class ChunkTable:
         at, count = self.at[slot], self.count[slot]
         short = np.flatnonzero(~known & (size <= SHORT))
         if len(short):
-            raw = data.tobytes()
             _, first, which = np.unique(hashed[short], return_index=True, return_inverse=True)
             model = short[first]
             like = model[which]
             equal = size[short] == size[like]
             for one in lanes:
                 equal &= one[short] == one[like]
-            new_at, new_count = self._store(self.encode([raw[a:b] for a, b in zip(start[model].tolist(), end[model].tolist())]))
+            new_at, new_count = self._learn(data, start[model], end[model])
             at[short], count[short] = new_at[which], new_count[which]
             here = slot[model]
             self.size[here], self.at[here], self.count[here] = size[model], new_at, new_count
@@ -86,9 +83,10 @@ class ChunkTable:
         keep = self.used
         if len(other):
             texts = [data[a:b].tobytes() for a, b in zip(start[other].tolist(), end[other].tolist())]
-            unique = {t: i for i, t in enumerate(dict.fromkeys(texts))}
-            new_at, new_count = self._store(self.encode(list(unique)))
-            which = np.fromiter((unique[t] for t in texts), np.int64, len(texts))
+            model: dict[bytes, int] = {}
+            which = np.array([model.setdefault(t, len(model)) for t in texts])
+            unique = other[np.unique(which, return_index=True)[1]]
+            new_at, new_count = self._learn(data, start[unique], end[unique])
             at[other], count[other] = new_at[which], new_count[which]
         begins = np.cumsum(count) - count
         out = self.pool[np.repeat(at - begins, count) + np.arange(int(count.sum()))]
@@ -112,6 +110,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Whether a byte belongs to a letter A-Z, a-z or U+00C0 to U+00FF (without the two signs among them)."""
+    out = _LETTER[data]
+    if len(data) > 1:
+        pair = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+        out[:-1] |= pair
+        out[1:] |= pair
+    return out
+
+
 def _mark_cuts(data: np.ndarray) -> np.ndarray:
     """Whether a place lies between a Latin letter and a mark."""
     out = np.zeros(len(data), bool)
@@ -161,9 +169,6 @@ def spaced_chunks(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return data, start, np.append(start[1:], n) if len(start) else start, np.searchsorted(start, at)
 
 
-_ONE_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-
-
 class TextIds:
     """Ids of texts by a tokenizers file with a byte-level vocabulary. ``spaced``: whether it keeps white space."""
 
@@ -173,32 +178,53 @@ class TextIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.cut = spaced_chunks if spaced else word_chunks
-        self.lead = b" " if spaced else b""
+        self.spaced = spaced
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.bytes[i] = len(token) - (0 if spaced else 4 * token.endswith("</w>"))
         self.table = ChunkTable(self._encode)
 
-    def _encode(self, chunks: list[bytes]) -> list[list[int]]:
-        """Single words of letters are asked for many at a time, as one text; others one by one."""
-        out: list = [None] * len(chunks)
-        alone, joint = [], []
-        for i, c in enumerate(chunks):
-            (joint if c[:1] == self.lead[:1] or not self.lead else alone).append(i) if _ONE_WORD.fullmatch(c) else alone.append(i)
-        for k in range(0, len(joint), 500):
-            some = joint[k:k + 500]
-            ids = self._ids((b"" if self.lead else b" ").join(chunks[i] for i in some).decode())
+    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each chunk, all ids in order). Single words are asked for many at a time, as one text with blanks
+        between them; others one by one."""
+        lead = int(self.spaced)  # the blank belongs to the chunk
+        other = np.concatenate([[0], np.cumsum(~_letters(data))])
+        joint = (other[end] == other[np.minimum(start + lead, end)]) & (end - start > lead)
+        if lead:
+            joint &= data[start] == 0x20
+        found: list[np.ndarray | None] = [None] * len(start)
+        alone = np.flatnonzero(~joint).tolist()
+        joint = np.flatnonzero(joint)
+        count = np.zeros(len(start), np.int64)
+        raw = data.tobytes()
+        batches = [joint[i:i + 500] for i in range(0, len(joint), 500)]
+        texts = [(b"" if lead else b" ").join([raw[a:b] for a, b in zip(start[some].tolist(), end[some].tolist())]).decode() for some in batches]
+        for some, ids in zip(batches, self._many(texts)):
             passed = np.cumsum(self.bytes[ids])
-            ends = np.cumsum([len(chunks[i]) for i in some])
+            ends = np.cumsum(end[some] - start[some])
             at = np.searchsorted(passed, ends) + 1
             if len(ids) != at[-1] or (passed[at - 1] != ends).any():  # not as this vocabulary splits
-                alone += some
+                alone += some.tolist()
                 continue
-            for i, a, b in zip(some, [0, *at[:-1].tolist()], at.tolist()):
-                out[i] = ids[a:b]
-        for i in alone:
-            out[i] = self._ids(chunks[i].decode())
-        return out
+            count[some] = np.diff(at, prepend=0)
+            found[int(some[0])] = ids
+        # ids of joint chunks stand behind the first chunk of their batch
+        order = [*(some for some in batches if found[int(some[0])] is not None)]
+        pool = [found[int(some[0])] for some in order]
+        if alone:
+            for i, ids in zip(alone, self._many([raw[start[i]:end[i]].decode() for i in alone])):
+                order.append(np.array([i]))
+                pool.append(ids)
+                count[i] = len(ids)
+        place = np.zeros(len(start), np.int64)
+        turn = np.concatenate(order) if order else np.empty(0, np.int64)
+        place[turn] = np.cumsum(count[turn]) - count[turn]
+        begins = np.cumsum(count) - count
+        flat = np.concatenate([*pool, np.empty(0, np.uint32)])
+        return count, flat[np.repeat(place - begins, count) + np.arange(int(count.sum()))]
+
+    def _many(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids

@@ -191,7 +191,7 @@ TEXTS = ["", "  ", "Don't I'LL naïve Ünïcode Σας ΣΑΣ <|endoftext|>x İs
 
 
 @pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-@pytest.mark.parametrize("slots,room", [(4, 8), (1 << 18, 1 << 21)])
+@pytest.mark.parametrize("slots,room", [(4, 8), (1 << 19, 1 << 22)])
 def test_chunks_are_tokenised_as_whole_texts(name, spaced, slots, room):
     import public_tokenizers
 
