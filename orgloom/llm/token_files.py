@@ -203,7 +203,7 @@ def _decoded(handle, coder: Coder, points: np.ndarray, first: int) -> Iterator[n
     while first < len(points):
         size = points["ids"][first]
         end = first + 1
-        while end < min(len(points), first + GROUP) and points["ids"][end] == size:
+        while end < min(len(points), first + GROUP + 8) and points["ids"][end] == size:
             end += 1
         some = points[first:end]
         handle.seek(int(some["place"][0]))
@@ -271,6 +271,7 @@ def _stretch(handle, coder: Coder, base: int, first: int, blocks: int, keep_ids:
     begins = start[lo:hi].tolist()
     crcs, parts = [0] * (hi - lo), [[] for _ in range(hi - lo)]
     doc, place = 0, first * block
+    points = points[:-(-ends[-1] // block)]
     for ids in _decoded(handle, coder, points, first):
         view = memoryview(ids.astype("<u4")).cast("B")
         until = place + len(ids)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,17 @@ from orgloom.llm import words as W
 SHORT = 24  # bytes of a chunk that the table can hold
 
 
+@dataclass
+class Chunks:
+    """Chunk c is data[start[c]:end[c]]; text d has chunks first[d] to first[d + 1]. ``letter``: whether a byte belongs to a Latin letter."""
+
+    data: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
+    letter: np.ndarray
+
+
 class ChunkTable:
     """Ids of chunks of bytes, remembered in ``slots`` places and about ``room`` ids.
 
@@ -25,7 +37,7 @@ class ChunkTable:
     replaces what stood in its place; when ``room`` is used up the table starts empty.
     """
 
-    def __init__(self, encode: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 19, room: int = 1 << 22):
+    def __init__(self, encode: Callable[[Chunks, np.ndarray], tuple[np.ndarray, np.ndarray]], slots: int = 1 << 19, room: int = 1 << 22):
         self.encode, self.slots, self.room = encode, slots, room
         self._clear()
 
@@ -37,9 +49,9 @@ class ChunkTable:
         self.pool = np.zeros(self.room, np.uint32)
         self.used = 0
 
-    def _learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, number) in the pool of each chunk's ids, which the tokenizer gives."""
-        count, ids = self.encode(data, start, end)
+    def _learn(self, chunks: Chunks, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, number) in the pool of the ids of some chunks, which the tokenizer gives."""
+        count, ids = self.encode(chunks, some)
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool[:self.used], np.zeros(max(len(ids), self.room), np.uint32)])
         self.pool[self.used:self.used + len(ids)] = ids
@@ -47,16 +59,21 @@ class ChunkTable:
         self.used += len(ids)
         return at, count
 
-    def ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each chunk data[start:end], all ids in order)."""
+    def ids(self, chunks: Chunks) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each chunk, all ids in order)."""
+        data, start, end = chunks.data, chunks.start, chunks.end
         if self.used > self.room:
             self._clear()
         size = end - start
         own = W.lanes_of(data)
-        lanes = [W.lane(own, start, size, j) for j in range(SHORT // 8)]
-        hashed = W.mix(size.astype(np.uint64))
-        for one in lanes:
-            hashed = W.mix(hashed ^ one)
+        lanes = [W.lane(own, start, size, 0)]
+        hashed = W.mix(lanes[0] ^ (size.astype(np.uint64) << np.uint64(59)))
+        for j in range(1, SHORT // 8):
+            longer = np.flatnonzero(size > 8 * j)
+            one = np.zeros(len(size), np.uint64)
+            one[longer] = W.lane(own, start[longer], size[longer], j)
+            hashed[longer] = W.mix(hashed[longer] ^ one[longer])
+            lanes.append(one)
         slot = (hashed & np.uint64(self.slots - 1)).astype(np.int64)
         known = self.size[slot] == size  # longer chunks are never stored
         for mine, one in zip(self.lanes, lanes):
@@ -70,7 +87,7 @@ class ChunkTable:
             equal = size[short] == size[like]
             for one in lanes:
                 equal &= one[short] == one[like]
-            new_at, new_count = self._learn(data, start[model], end[model])
+            new_at, new_count = self._learn(chunks, model)
             at[short], count[short] = new_at[which], new_count[which]
             here = slot[model]
             self.size[here], self.at[here], self.count[here] = size[model], new_at, new_count
@@ -86,7 +103,7 @@ class ChunkTable:
             model: dict[bytes, int] = {}
             which = np.array([model.setdefault(t, len(model)) for t in texts])
             unique = other[np.unique(which, return_index=True)[1]]
-            new_at, new_count = self._learn(data, start[unique], end[unique])
+            new_at, new_count = self._learn(chunks, unique)
             at[other], count[other] = new_at[which], new_count[which]
         begins = np.cumsum(count) - count
         out = self.pool[np.repeat(at - begins, count) + np.arange(int(count.sum()))]
@@ -96,23 +113,15 @@ class ChunkTable:
         return count, out
 
 
-def _letters_and_marks() -> tuple[np.ndarray, np.ndarray]:
-    letter, mark = np.zeros(256, bool), np.zeros(256, bool)
-    letter[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
-    mark[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'|"]] = True
-    return letter, mark
-
-
 # Both splitting rules part letters from marks. Contractions begin with an apostrophe and names of special tokens
 # stand between bars, so there is no cut beside these two.
-_LETTER, _MARK = _letters_and_marks()
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'|"]] = True
 
 
 def _letters(data: np.ndarray) -> np.ndarray:
     """Whether a byte belongs to a letter A-Z, a-z or U+00C0 to U+00FF (without the two signs among them)."""
-    out = _LETTER[data]
+    out = (data | np.uint8(32)) - np.uint8(97) < np.uint8(26)
     if len(data) > 1:
         pair = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
         out[:-1] |= pair
@@ -120,53 +129,49 @@ def _letters(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def _mark_cuts(data: np.ndarray) -> np.ndarray:
+def _mark_cuts(data: np.ndarray, letter: np.ndarray) -> np.ndarray:
     """Whether a place lies between a Latin letter and a mark."""
     out = np.zeros(len(data), bool)
-    if len(data) > 1:
-        left, right = data[:-1], data[1:]
-        accented = np.zeros(len(left), bool)
-        accented[1:] = (data[:-2] == 0xC3) & (left[1:] != 0x97) & (left[1:] != 0xB7)
-        out[1:] = ((_LETTER[left] | accented) & _MARK[right]) | (_MARK[left] & _LETTER[right])
+    mark = _MARK[data]
+    out[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
     return out
 
 
-def word_chunks(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, starts, ends, first chunk of each text) for vocabularies that drop white space, ignore case and never join across white space."""
+def word_chunks(raw: np.ndarray, at: np.ndarray) -> Chunks:
+    """For vocabularies that drop white space, ignore case and never join across white space: runs without blanks."""
     data, at = raw[at[0]:at[-1]], at - at[0]
     n = len(data)
     if b"<|" not in data.tobytes():  # else case may tell a special token from its name
-        data = np.where((data >= 65) & (data < 91), data + np.uint8(32), data)
+        data = data + ((data - np.uint8(65) < np.uint8(26)).view(np.uint8) << np.uint8(5))
+    letter = _letters(data)
     inner = (data != 0x20) & (data != 0x09) & (data != 0x0A) & (data != 0x0D)
-    cut = _mark_cuts(data)
+    cut = _mark_cuts(data, letter)
     cut[at[:-1][at[:-1] < n]] = True
     opens, closes = inner.copy(), inner.copy()
     opens[1:] &= ~inner[:-1] | cut[1:]
     closes[:-1] &= ~inner[1:] | cut[1:]
     start = np.flatnonzero(opens)
-    return data, start, np.flatnonzero(closes) + 1, np.searchsorted(start, at)
+    return Chunks(data, start, np.flatnonzero(closes) + 1, np.searchsorted(start, at), letter)
 
 
-def spaced_chunks(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As :func:`word_chunks` for byte-level vocabularies, whose splitting rule puts no white space behind other characters
-    into one part: chunks of white space and what follows it, all bytes kept. A blank opens a chunk only behind a character that is surely no
-    white space of any alphabet."""
+def spaced_chunks(raw: np.ndarray, at: np.ndarray) -> Chunks:
+    """For byte-level vocabularies, whose splitting rule puts no white space behind other characters into one part: chunks of
+    white space and what follows it, all bytes kept. A blank opens a chunk only behind a character that is surely no white space of any alphabet."""
     data, at = raw[at[0]:at[-1]], at - at[0]
     n = len(data)
-    before = np.zeros(n, bool)
-    if n > 1:
-        last = data[:-1]
-        two = np.zeros(n - 1, np.uint8)
-        two[1:] = data[:-2]
-        three = np.zeros(n - 1, np.uint8)
-        three[2:] = data[:-3]
-        blank = ((two == 0xC2) & ((last == 0x85) | (last == 0xA0))) | ((three == 0xE1) & (two == 0x9A)) | (
-            ((three == 0xE2) | (three == 0xE3)) & ((two == 0x80) | (two == 0x81)))
-        before[1:] = ((last > 0x20) & (last < 0x7F)) | ((last >= 0x80) & ~blank)
-    opens = (_SPACE[data] & before) | _mark_cuts(data)
+    letter = _letters(data)
+    space = (data == 0x20) | (data - np.uint8(9) < np.uint8(5))
+    opens = _mark_cuts(data, letter)
+    place = np.flatnonzero(space[1:] & ~space[:-1] & (data[:-1] > 0x20)) + 1 if n > 1 else np.empty(0, np.int64)
+    last = data[place - 1]
+    two = np.where(place > 1, data[place - 2], 0)
+    three = np.where(place > 2, data[place - 3], 0)
+    blank = ((two == 0xC2) & ((last == 0x85) | (last == 0xA0))) | ((three == 0xE1) & (two == 0x9A)) | (
+        ((three == 0xE2) | (three == 0xE3)) & ((two == 0x80) | (two == 0x81)))
+    opens[place[(last != 0x7F) & ~blank]] = True
     opens[at[:-1][at[:-1] < n]] = True
     start = np.flatnonzero(opens)
-    return data, start, np.append(start[1:], n) if len(start) else start, np.searchsorted(start, at)
+    return Chunks(data, start, np.append(start[1:], n) if len(start) else start, np.searchsorted(start, at), letter)
 
 
 class TextIds:
@@ -184,11 +189,12 @@ class TextIds:
             self.bytes[i] = len(token) - (0 if spaced else 4 * token.endswith("</w>"))
         self.table = ChunkTable(self._encode)
 
-    def _encode(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each chunk, all ids in order). Single words are asked for many at a time, as one text with blanks
+    def _encode(self, chunks: Chunks, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each chosen chunk, all their ids in order). Single words are asked for many at a time, as one text with blanks
         between them; others one by one."""
         lead = int(self.spaced)  # the blank belongs to the chunk
-        other = np.concatenate([[0], np.cumsum(~_letters(data))])
+        data, start, end = chunks.data, chunks.start[chosen], chunks.end[chosen]
+        other = np.concatenate([[0], np.cumsum(~chunks.letter, dtype=np.int32)])
         joint = (other[end] == other[np.minimum(start + lead, end)]) & (end - start > lead)
         if lead:
             joint &= data[start] == 0x20
@@ -233,9 +239,9 @@ class TextIds:
         """(first text, text after the last, offsets of their ids, ids) of bounded stretches of whole texts; null texts are empty."""
         raw, at = W.raw_column(column)
         for i, j in W.stretches(at):
-            data, start, end, first = self.cut(raw, at[i:j + 1])
-            count, ids = self.table.ids(data, start, end)
-            yield i, j, np.concatenate([[0], np.cumsum(count)])[first], ids
+            chunks = self.cut(raw, at[i:j + 1])
+            count, ids = self.table.ids(chunks)
+            yield i, j, np.concatenate([[0], np.cumsum(count)])[chunks.first], ids
 
 
 _OPEN: dict[tuple[str, bool], TextIds] = {}  # of this Python worker; tables of fixed size
