@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orgloom.functions import fixed_values as V
 from orgloom.operators import ingest as I
-from orgloom.sources import files, sinks
+from orgloom.sources import files, sinks, workbooks
 from orgloom.sources import tables as T
 
 from . import sqlparts as q
@@ -102,6 +102,25 @@ def read_sheet_positional(spark, d):
     return files.read_sheet_positional(spark, _written_csv(spark, o))
 
 
+def _written_workbooks(spark, df, **options):
+    path = scratch(spark, "xlsx")
+    workbooks.write_workbooks(df, path, **options)
+    return path
+
+
+@query("read_workbook", f"SELECT {', '.join(f'nullif({k}, {chr(39) * 2}) AS {k}' for k in KOREAN)} FROM org")
+def read_workbook(spark, d):
+    # title lines above the header, as in exported lists
+    path = _written_workbooks(spark, _korean_sheet(spark, d), title="기관 현황\n기준 2024")
+    return workbooks.read_workbook(spark, path, header_row=2).select(*[c(f"`{v}`").alias(k) for k, v in KOREAN.items()])
+
+
+@query("read_workbook_positional", f"SELECT name, {_tidy('phone')}, {_tidy('fax')}, coalesce(email, '') AS email, coalesce(homepage, '') AS homepage FROM org WHERE {q.filled('name')}")
+def read_workbook_positional(spark, d):
+    o = T.organizations(spark, d).select("name", "phone", "fax", "email", "homepage")
+    return files.positional(workbooks.read_workbook(spark, _written_workbooks(spark, o), sheet="active"))
+
+
 def _clean(f: str) -> str:
     return f"CASE WHEN trim(coalesce({f}, '')) IN {q.in_list(V.BLANK_WORDS)} THEN '' ELSE trim(coalesce({f}, '')) END"
 
@@ -185,6 +204,14 @@ def export_sheet_with_flag(spark, d):
     return exported(spark, sinks.sheet_with_flag(sinks.contact_flat(nested_contacts(spark, d))))
 
 
+@query("export_workbook_with_flag", f"""
+WITH {NESTED}, {FLAT} SELECT name, nullif(phone, '') AS phone, nullif(fax, '') AS fax, nullif(email, '') AS email, nullif(url, '') AS url,
+  CASE WHEN phone <> '' OR email <> '' THEN '검증완료' ELSE '정보부족' END AS review_status,
+  CASE WHEN phone <> '' OR email <> '' THEN '100' ELSE '50' END AS review_score, CASE WHEN phone <> '' OR email <> '' THEN '높음' ELSE '낮음' END AS confidence FROM flat""")
+def export_workbook_with_flag(spark, d):
+    return workbooks.read_workbook(spark, _written_workbooks(spark, sinks.sheet_with_flag(sinks.contact_flat(nested_contacts(spark, d))), sheet_name="연락처"), sheet="연락처")
+
+
 @query("export_org_snapshot", f"""
 SELECT id, {', '.join(f"coalesce({f}, '') AS {f}" for f in ('name', 'type', 'category', 'homepage', 'phone', 'fax', 'email'))}, '' AS postal_code, coalesce(address, '') AS address FROM org WHERE is_active ORDER BY id""")
 def export_org_snapshot(spark, d):

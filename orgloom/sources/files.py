@@ -161,10 +161,14 @@ POSITIONS = ("name", "phone", "fax", "email", "homepage")
 
 def read_sheet_positional(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """Columns by position; rows without a name are skipped, numbers formatted when valid."""
+    return positional(spark.read.csv(path, header=header, quote='"', escape='"', enforceSchema=False))
+
+
+def positional(df: DataFrame) -> DataFrame:
+    """The first columns of a sheet as name, phone, fax, email and homepage; rows without a name are skipped, numbers formatted when valid."""
     from orgloom.functions import phone as P
     from orgloom.functions.blank import is_filled
 
-    df = spark.read.csv(path, header=header, quote='"', escape='"', enforceSchema=False)
     named = df.select(*[F.coalesce(F.col(df.columns[i]), F.lit("")).alias(n) for i, n in enumerate(POSITIONS) if i < len(df.columns)])
     tidy = lambda c: F.when(P.valid_strict(c), P.format_phone(c)).otherwise(F.col(c)).alias(c)
     return named.filter(is_filled("name")).select("name", tidy("phone"), tidy("fax"), "email", "homepage")
