@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from orgloom.functions import fixed_values as V
@@ -56,6 +57,25 @@ def read_json_wrapped(spark, d):
     return files.read_json_wrapped(spark, _written_json(spark, d, docs), lines=True).select(*TEXT)
 
 
+@query("read_json_document", f"SELECT {_TEXT} FROM org")
+def read_json_document(spark, d):
+    """Documents of many lines, one per file, each {category: [organizations]}."""
+    o = T.organizations(spark, d).select("id", *TEXT).withColumn("chunk", F.floor(c("id") / 500))
+    w = Window.partitionBy("chunk")
+    inner = Window.partitionBy("chunk", "category").orderBy("id")
+    turn, last = F.row_number().over(inner), F.count("*").over(Window.partitionBy("chunk", "category"))
+    opens = F.when(turn == 1, F.concat(F.to_json(F.struct(F.array("category").alias("k"))), F.lit("")))
+    key = F.concat(F.substring(opens, 7, 1 << 20).substr(F.lit(1), F.length(opens) - 8), F.lit(": [\n"))
+    first = c("category") == F.min("category").over(w)
+    final = c("category") == F.max("category").over(w)
+    start = F.when(turn == 1, F.concat(F.when(first, "{\n").otherwise(",\n"), key)).otherwise(",\n")
+    end = F.when(turn == last, F.concat(F.lit("\n]"), F.when(final, "\n}").otherwise(""))).otherwise("")
+    lines = o.select("chunk", "category", "id", F.concat(start, F.to_json(F.struct(*TEXT[:-1])), end).alias("value"))
+    path = scratch(spark, "json")
+    lines.repartition("chunk").sortWithinPartitions("chunk", "category", "id").select("chunk", "value").write.partitionBy("chunk").text(path)
+    return files.read_json_by_category(spark, f"{path}/*").select(*TEXT)
+
+
 KOREAN = {"name": "기관명", "category": "분류", "phone": "전화번호", "fax": "팩스번호", "email": "이메일", "homepage": "홈페이지", "address": "주소"}
 
 
@@ -65,8 +85,9 @@ def _korean_sheet(spark, d):
 
 def _written_csv(spark, df, encoding: str = "utf-8", path: str | None = None):
     path = path or scratch(spark, "csv")
-    df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", encoding=files.java_charset(spark, encoding),
-                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    with files.jvm_charsets(spark):
+        df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", encoding=files.java_charset(spark, encoding),
+                     ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path
 
 
@@ -84,6 +105,13 @@ def read_csv_encodings(spark, d):
     return df.select(*[F.nullif(f"`{n}`", F.lit("")).alias(n) for n in KOREAN.values()])
 
 
+@query("read_csv_multi_line", f"SELECT {_BACK.replace('nullif(address', 'nullif(replace(address, chr(32), chr(10))')} FROM org")
+def read_csv_multi_line(spark, d):
+    # addresses of several lines, in quotes
+    o = _korean_sheet(spark, d).withColumn("주소", F.replace(c("주소"), F.lit(" "), F.lit("\n")))
+    return files.read_csv_encodings(spark, _written_csv(spark, o), multi_line=True)
+
+
 @query("read_sheet", f"SELECT {', '.join(f'nullif({k}, {chr(39) * 2}) AS {k}' for k in KOREAN)} FROM org")
 def read_sheet(spark, d):
     path = _written_csv(spark, _korean_sheet(spark, d))

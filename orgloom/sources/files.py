@@ -5,12 +5,15 @@ from __future__ import annotations
 import csv
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from orgloom.sources.blocks import csv_records, documents_without, json_records
+
 ORG_STRUCT = "struct<name:string,homepage:string,phone:string,fax:string,email:string,mobile:string,postal_code:string,address:string,category:string>"
 ENCODINGS = ("utf-8", "cp949", "euc-kr", "latin1")
 # --- fixed values: Java names of the encodings ------------------------------
@@ -24,6 +27,18 @@ def java_charset(spark: SparkSession, encoding: str) -> str:
     return _JAVA[encoding]
 
 
+@contextmanager
+def jvm_charsets(spark: SparkSession) -> Iterator[None]:
+    """Lets the session write Korean charsets; its setting is as before afterwards."""
+    name = "spark.sql.legacy.javaCharsets"
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if held is None else spark.conf.set(name, held)
+
+
 def _documents(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     """One JSON document per file, or per line where files hold many (splittable)."""
     return spark.read.text(path, wholetext=not lines)
@@ -46,8 +61,13 @@ def read_json_by_category(spark: SparkSession, path: str, struct: str = ORG_STRU
     """{category: [organizations]} flattened, the key as ``category``; a bare list as it is.
 
     Values that are no lists (metadata, counts) and items that are no objects are passed over. A document
-    that is no JSON gives no rows, or an error where ``strict``.
+    that is no JSON gives no rows, or an error where ``strict``. Without ``lines`` a file is one document; it is read
+    by as many tasks as it has byte ranges (:mod:`orgloom.sources.blocks`).
     """
+    if not lines:
+        parsed = json_records(spark, path, strict).select("key", F.from_json("text", struct).alias("o"))
+        flat = parsed.select(F.col("key").alias("__key"), "o.*")
+        return flat.withColumn("category", F.coalesce("__key", "category")).drop("__key")
     doc = _documents(spark, path, lines)
     rows = doc.select(F.explode(_categories(F.trim("value"), strict)).alias("g")).filter(F.ltrim("g.value").startswith("["))
     rows = rows.select(F.col("g.key").alias("__key"), F.explode(_objects(F.from_json("g.value", "array<string>"), struct)).alias("o"))
@@ -63,12 +83,22 @@ def count_json_categories(spark: SparkSession, path: str, lines: bool = False, s
 
 
 def read_json_wrapped(spark: SparkSession, path: str, key: str = "churches", struct: str = ORG_STRUCT, lines: bool = False) -> DataFrame:
-    """{key: [...]}, a list, or a single object."""
+    """{key: [...]}, a list, or a single object. Without ``lines`` a file is one document, read by as many tasks as it has byte ranges;
+    only files that hold a single object are read whole."""
+    if not lines:
+        found = json_records(spark, path)
+        listed = found.filter((F.col("top") == "[") | (F.col("key") == key)).select(F.from_json("text", struct).alias("o")).select("o.*")
+        single = documents_without(spark, found, path, key)
+        return listed.unionByName(_wrapped(spark.read.text([unquote(f) for f in single], wholetext=True), key, struct)) if single else listed
+    return _wrapped(_documents(spark, path, lines), key, struct)
+
+
+def _wrapped(documents: DataFrame, key: str, struct: str) -> DataFrame:
     value = F.trim("value")
     wrapped = F.get_json_object(value, f"$.{key}")
     items = (F.when(value.startswith("["), F.from_json(value, "array<string>"))
              .when(wrapped.isNotNull(), F.from_json(wrapped, "array<string>")).otherwise(F.array(value)))
-    return _documents(spark, path, lines).select(F.explode(_objects(items, struct)).alias("o")).select("o.*")
+    return documents.select(F.explode(_objects(items, struct)).alias("o")).select("o.*")
 
 
 def _lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
@@ -112,13 +142,21 @@ def pick_encoding(spark: SparkSession, path: str, encodings: Sequence[str] = ENC
 
 
 def read_csv_encodings(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS, multi_line: bool = False) -> DataFrame:
-    """Header CSV files, each in whichever of the encodings fits it; a byte-order mark is dropped, columns are matched by name."""
+    """Header CSV files, each in whichever of the encodings fits it; a byte-order mark is dropped, columns are matched by name.
+
+    With ``multi_line`` quoted cells may hold line breaks, and files are still read by byte ranges. Korean encodings are decoded
+    in the tasks, so no session setting is needed or changed.
+    """
+    by_file = encodings_by_file(spark, path, encodings)
+    if multi_line:
+        return _by_header(csv_records(spark, path, by_file))
     files: dict[str, list[str]] = defaultdict(list)
-    for file, enc in sorted(encodings_by_file(spark, path, encodings).items()):
+    for file, enc in sorted(by_file.items()):
         files[enc].append(unquote(file))
-    parts = []
-    for enc, names in files.items() or [(encodings[0], [path])]:
-        df = spark.read.csv(path if len(files) == 1 else names, header=True, encoding=java_charset(spark, enc), multiLine=multi_line, quote='"', escape='"', emptyValue="",
+    korean = [f for enc in ("cp949", "euc-kr") for f in files.pop(enc, [])]
+    parts = [_by_header(csv_records(spark, korean, by_file))] if korean else []
+    for enc, names in files.items() or ([] if korean else [(encodings[0], [path])]):
+        df = spark.read.csv(path if len(files) == 1 and not korean else names, header=True, encoding=java_charset(spark, enc), multiLine=multi_line, quote='"', escape='"', emptyValue="",
                             enforceSchema=False)
         parts.append(df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns]))
     out = parts[0]
@@ -127,6 +165,20 @@ def read_csv_encodings(spark: SparkSession, path: str, encodings: Sequence[str]
     return out
 
 
+def _by_header(records: DataFrame) -> DataFrame:
+    """Records as columns named by the first record of their file; files with one header are read together."""
+    heads = records.filter("first").select("file", F.col("cells").alias("head"))
+    layouts = [r.head for r in heads.select("head").distinct().collect()]  # one row per layout
+    rows = records.filter("NOT first").join(F.broadcast(heads), "file")  # one row per file
+    out = None
+    for head in layouts:
+        names = [c.lstrip("\ufeff").strip() for c in head]
+        part = rows.filter(F.col("head") == F.array(*map(F.lit, head))).select(
+            *[F.nullif(F.try_element_at("cells", F.lit(i + 1)), F.lit("")).alias(n) for i, n in enumerate(names)])
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out if out is not None else records.select()
+
+
 def _without_first(n: int, width: int):
     """Drop the first n records of each file: those of its first split, which is read in order."""
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -118,3 +118,14 @@ def test_sheet_keeps_line_breaks_and_repeated_titles(spark, tmp_path):
     got = files.read_sheet(spark, str(tmp_path), header_row=1, multi_line=True)
     assert sorted(tuple(r) for r in got.collect()) == [
         ("a.csv", "line 1\nline 2", "1"), ("b.csv", "line 1\nline 2", "1"), ("name", "address", "phone"), ("name", "address", "phone")]
+
+
+def test_readers_leave_the_session_as_it_was(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("기관명\n교회\n".encode("cp949"))
+    name = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(name, None)
+    assert [r[0] for r in files.read_csv_encodings(spark, str(tmp_path)).collect()] == ["교회"]
+    assert spark.conf.get(name, None) == before
+    with files.jvm_charsets(spark):
+        assert spark.conf.get(name) == "true"
+    assert spark.conf.get(name, None) == before
