@@ -7,6 +7,8 @@ cheap scan.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from .blank import _c, strip
@@ -22,14 +24,23 @@ _NO_STRINGS = "array<string>"
 _SPACES = "\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
+_ANY_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once however often it is used."""
+    return F.transform(F.array(value), use).getItem(0)
+
+
 def spaced(text: Column | str) -> Column:
-    """Every kind of white space but line ends as a space; as long as before."""
-    return F.translate(_c(text), _SPACES, " " * len(_SPACES))
+    """Every kind of white space but line ends as a space; as long as before. Most texts have none and stay as they are."""
+    text = _c(text)
+    return F.when(text.rlike(_ANY_SPACE), F.translate(text, _SPACES, " " * len(_SPACES))).otherwise(text)
 
 
 def all_matches(text: Column | str, patterns: list[str], flags: str = "(?i)", group: int | None = None) -> Column:
-    """Matches of each pattern in turn, concatenated in pattern order."""
-    text = spaced(text)
+    """Matches of each pattern in a :func:`spaced` text, concatenated in pattern order."""
+    text = _c(text)
     parts = []
     for p in patterns:
         g = group if group is not None else (1 if "(" in p.replace("(?:", "").replace(r"\(", "") else 0)
@@ -54,48 +65,62 @@ def keep(arr: Column, to: object) -> Column:
     return F.array_distinct(F.array_compact(F.transform(arr, to)))
 
 
-def phones(text: Column | str, patterns: list[str] = V.PHONE_PATTERNS) -> Column:
-    text = spaced(text)
+def _phones(text: Column, patterns: list[str] = V.PHONE_PATTERNS) -> Column:
     return keep(_has_number(text, all_matches(text, patterns, "(?im)")), lambda x: P.format_digits(P.digits(x)))
 
 
+def _emails(text: Column, patterns: list[str] = V.EMAIL_PATTERNS) -> Column:
+    return F.array_distinct(_guard(text, "@", all_matches(text, patterns)))
+
+
+def _addresses(text: Column) -> Column:
+    return keep(_guard(text, "[시군구동로길]", all_matches(text, V.ADDRESS_PATTERNS, "(?im)")), lambda x: A.clean_address(x))
+
+
+def _websites(text: Column) -> Column:
+    return keep(_guard(text, r"(?i)https?://|www\.|홈페이지|웹사이트|website|homepage",
+                       all_matches(text, V.WEBSITE_PATTERNS)), W.url_or_null)
+
+
+def phones(text: Column | str, patterns: list[str] = V.PHONE_PATTERNS) -> Column:
+    return let(spaced(text), lambda t: _phones(t, patterns))
+
+
 def faxes(text: Column | str) -> Column:
     return phones(text, V.FAX_PATTERNS)
 
 
 def emails(text: Column | str, patterns: list[str] = V.EMAIL_PATTERNS) -> Column:
-    text = spaced(text)
-    return F.array_distinct(_guard(text, "@", all_matches(text, patterns)))
+    return let(spaced(text), lambda t: _emails(t, patterns))
 
 
 def addresses(text: Column | str) -> Column:
-    text = spaced(text)
-    return keep(_guard(text, "[시군구동로길]", all_matches(text, V.ADDRESS_PATTERNS, "(?im)")), lambda x: A.clean_address(x))
+    return let(spaced(text), _addresses)
 
 
 def websites(text: Column | str) -> Column:
-    text = spaced(text)
-    return keep(_guard(text, r"(?i)https?://|www\.|홈페이지|웹사이트|website|homepage",
-                       all_matches(text, V.WEBSITE_PATTERNS)), W.url_or_null)
+    return let(spaced(text), _websites)
 
 
 def contacts(text: Column | str) -> Column:
-    return F.struct(
-        phones(text).alias("phones"), faxes(text).alias("faxes"), emails(text).alias("emails"),
-        addresses(text).alias("addresses"), websites(text).alias("websites"),
-    )
+    return let(spaced(text), lambda t: F.struct(
+        _phones(t).alias("phones"), _phones(t, V.FAX_PATTERNS).alias("faxes"), _emails(t).alias("emails"),
+        _addresses(t).alias("addresses"), _websites(t).alias("websites")))
 
 
 def agent_items(text: Column | str, kind: str) -> Column:
     """Validated, sorted items of one kind (phone, fax, email, website)."""
-    text = spaced(text)
+    return let(spaced(text), lambda t: _agent_items(t, kind))
+
+
+def _agent_items(text: Column, kind: str) -> Column:
     if kind in ("phone", "fax"):
         pats = V.AGENT_PHONE_PATTERNS if kind == "phone" else V.AGENT_FAX_PATTERNS
         raw = F.array_distinct(_has_number(text, all_matches(text, pats)))
         ok = F.filter(raw, lambda x: P.valid_loose(x, "agent"))
         return F.array_sort(F.transform(ok, lambda x: F.regexp_replace(x, r"[.\s]", "-")))
     if kind == "email":
-        raw = emails(text, V.AGENT_EMAIL_PATTERNS)
+        raw = _emails(text, V.AGENT_EMAIL_PATTERNS)
         return F.array_sort(F.filter(raw, lambda x: W.email_valid(x, "strict")))
     raw = F.array_distinct(_guard(text, r"(?i)https?://|www\.", all_matches(text, V.AGENT_WEBSITE_PATTERNS)))
     return F.array_sort(F.transform(raw, lambda x: F.when(
@@ -103,7 +128,10 @@ def agent_items(text: Column | str, kind: str) -> Column:
 
 
 def helper_phones(text: Column | str) -> Column:
-    text = spaced(text)
+    return let(spaced(text), _helper_phones)
+
+
+def _helper_phones(text: Column) -> Column:
     pats = V.HELPER_PHONE_PATTERNS[:-1]
     raw = F.concat(all_matches(text, pats, group=0),
                    F.regexp_extract_all(text, F.lit(r"\+82-(\d{1,2}-\d{3,4}-\d{4})"), F.lit(1)))
@@ -111,18 +139,27 @@ def helper_phones(text: Column | str) -> Column:
 
 
 def helper_faxes(text: Column | str) -> Column:
-    text = spaced(text)
+    return let(spaced(text), _helper_faxes)
+
+
+def _helper_faxes(text: Column) -> Column:
     return keep(_has_number(text, all_matches(text, V.HELPER_FAX_PATTERNS)), P.normalize_helper)
 
 
 def helper_emails(text: Column | str) -> Column:
-    text = spaced(text)
+    return let(spaced(text), _helper_emails)
+
+
+def _helper_emails(text: Column) -> Column:
     found = _guard(text, "@", all_matches(text, [V.HELPER_EMAIL_PATTERN], group=0))
     return F.array_sort(F.array_distinct(F.transform(found, F.lower)))
 
 
 def helper_urls(text: Column | str) -> Column:
-    text = spaced(text)
+    return let(spaced(text), _helper_urls)
+
+
+def _helper_urls(text: Column) -> Column:
     return F.array_sort(F.array_distinct(
         _guard(text, "(?i)https?://", all_matches(text, [V.HELPER_URL_PATTERN], "(?iU)", group=0))))
 
@@ -138,7 +175,10 @@ def helper_addresses(text: Column | str) -> Column:
 
 
 def enhanced_numbers(text: Column | str, kind: str = "phone") -> Column:
-    text = spaced(text)
+    return let(spaced(text), lambda t: _enhanced_numbers(t, kind))
+
+
+def _enhanced_numbers(text: Column, kind: str) -> Column:
     pats = V.ENHANCED_PHONE_PATTERNS if kind == "phone" else V.ENHANCED_FAX_PATTERNS
     dashed = F.transform(_has_number(text, all_matches(text, pats)), lambda x: F.regexp_replace(x, r"\.", "-"))
     return F.array_distinct(F.filter(dashed, lambda x: F.length(P.digits(x)) >= 9))
@@ -146,7 +186,10 @@ def enhanced_numbers(text: Column | str, kind: str = "phone") -> Column:
 
 def search_phones(text: Column | str) -> Column:
     """Search-page patterns; 9-11 digits with more than two different ones."""
-    text = spaced(text)
+    return let(spaced(text), _search_phones)
+
+
+def _search_phones(text: Column) -> Column:
     pats = V.SEARCH_PHONE_PATTERNS
     raw = F.concat(all_matches(text, pats[:-2], group=0), all_matches(text, pats[-2:], group=1))
     return keep(_has_number(text, raw), lambda x: F.when(
@@ -155,19 +198,28 @@ def search_phones(text: Column | str) -> Column:
 
 def crawl_faxes(text: Column | str) -> Column:
     """Labelled fax numbers, digit groups joined by dashes."""
-    text = spaced(text)
+    return let(spaced(text), _crawl_faxes)
+
+
+def _crawl_faxes(text: Column) -> Column:
     return F.array_distinct(F.transform(
         _has_number(text, all_matches(text, V.CRAWL_FAX_PATTERNS)), P.normalize_groups))
 
 
 def additional_phones(text: Column | str) -> Column:
-    text = spaced(text)
+    return let(spaced(text), _additional_phones)
+
+
+def _additional_phones(text: Column) -> Column:
     return F.array_distinct(_has_number(text, all_matches(text, V.ADDITIONAL_PHONE_PATTERNS, "")))
 
 
 def postal_codes(text: Column | str) -> Column:
     """Distinct five-digit tokens, sorted."""
-    text = spaced(text)
+    return let(spaced(text), _postal_codes)
+
+
+def _postal_codes(text: Column) -> Column:
     return F.array_sort(F.array_distinct(
         _guard(text, "[0-9]{5}", F.regexp_extract_all(text, F.lit(r"\b\d{5}\b"), F.lit(0)))))
 
@@ -197,6 +249,10 @@ def _character(ref: Column) -> Column:
 
 
 def decode_entities(c: Column) -> Column:
+    return let(c, _decode_entities)
+
+
+def _decode_entities(c: Column) -> Column:
     # numeric references first; one that gives '&' must not start another reference, so named ones are decoded in the pieces between
     texts = F.transform(F.split(c, _NUMERIC, -1), _decode_named)
     refs = F.regexp_extract_all(c, F.lit(_NUMERIC), F.lit(0))

@@ -36,6 +36,7 @@ def extract_contacts_enhanced(texts: DataFrame, key: str = "id") -> DataFrame:
 
 def extract_first_contact(texts: DataFrame, key: str = "id") -> DataFrame:
     """First valid phone, fax, address and postal code of a text."""
+    texts = texts.select(key, X.spaced("text").alias("text"))
     t = F.col("text")
     number = lambda arr: X.first_valid(F.transform(arr, lambda x: F.regexp_replace(x, "[^0-9-]", "")), lambda x: P.valid_loose(x, "map"))
     phones, faxes, addresses = (X.all_matches(t, pats, "") for pats in (V.FIRST_PHONES, V.FIRST_FAXES, V.FIRST_ADDRESSES))
@@ -59,6 +60,7 @@ def _listed(matches: Column) -> Column:
 
 def extract_postal_codes(texts: DataFrame, key: str = "id") -> DataFrame:
     """Postal codes and short-form addresses, with the validated count of every kind."""
+    texts = texts.select(key, X.spaced("text").alias("text"))
     t = F.col("text")
     none = F.array().cast("array<string>")
     found = texts.select(
@@ -75,6 +77,7 @@ def extract_postal_codes(texts: DataFrame, key: str = "id") -> DataFrame:
 
 def extract_contacts_page(texts: DataFrame, key: str = "id") -> DataFrame:
     """The page policy: any prefix, full e-mail pattern, addresses with their symbols."""
+    texts = texts.select(key, X.spaced("text").alias("text"))
     t = F.col("text")
     numbers = lambda pats: X.keep(X._has_number(t, X.all_matches(t, pats)), lambda x: P.dash_page(P.digits(x)))
     addresses = X.keep(F.when(t.rlike("[시군구동로길]"), X.all_matches(t, V.ADDRESS_PATTERNS)).otherwise(F.array().cast("array<string>")),
