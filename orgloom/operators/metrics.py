@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from orgloom.functions import scoring as S
+from orgloom.session import stored
 
 
 def _mean(c: str) -> Column:
@@ -52,12 +53,6 @@ def agent_stats(metrics: DataFrame) -> DataFrame:
     ).fillna({"running_confidence": 0.0})
 
 
-def _local_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """``df`` as known rows if it has at most ``rows``, so that a join can tell its size and spare the other side a shuffle."""
-    got = df.limit(rows + 1).collect()
-    return df.sparkSession.createDataFrame(got, df.schema) if len(got) <= rows else df
-
-
 def exact_medians(df: DataFrame, key: str, values: Sequence[str], cells: int = 4096) -> DataFrame:
     """Exact medians of the positive values per key without sorting a group in one task.
 
@@ -70,7 +65,7 @@ def exact_medians(df: DataFrame, key: str, values: Sequence[str], cells: int = 4
     long = df.select(key, F.inline(F.array(*[F.struct(F.lit(v).alias("what"), F.col(v).alias("v")) for v in values]))).filter("v > 0")
     span = long.groupBy(*g).agg(F.count("*").alias("total"), F.percentile_approx("v", [0.4995, 0.5005], 10000).alias("b")).select(
         *g, "total", F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
-    span = _local_if_small(span)
+    span = stored(span, "brackets")  # two steps must see one sketch
     v, width = F.col("v"), (F.col("hi") - F.col("lo")) / cells
     cell = (F.when(v < F.col("lo"), 0).when(v > F.col("hi"), cells + 1)
             .when(width > 0, 1 + F.least(F.floor((v - F.col("lo")) / width), F.lit(cells - 1))).otherwise(1).cast("int"))
@@ -84,7 +79,7 @@ def exact_medians(df: DataFrame, key: str, values: Sequence[str], cells: int = 4
 
     middle = per_cell.withColumn("end", F.sum("n").over(upto)).withColumn("before", F.col("end") - F.col("n")).filter(
         holds(first) | holds(second)).select(*g, "cell", F.col("before").alias("base"))
-    middle = _local_if_small(middle)
+    middle = stored(middle, "cells")
     inside = Window.partitionBy(*g, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     chosen = placed.join(middle, [*g, "cell"]).groupBy(*g, "cell", "base", "total", "v").agg(F.count("*").alias("n"))
     ranked = chosen.withColumn("end", F.col("base") + F.sum("n").over(inside)).withColumn("before", F.col("end") - F.col("n"))

@@ -10,10 +10,11 @@ from orgloom.functions import scoring as S
 from orgloom.functions import web as W
 from orgloom.functions.blank import is_filled, is_missing
 from orgloom.operators import ranking as R
+from orgloom.operators import text_index as X
 from orgloom.sources import tables as T
 
 from . import sqlparts as q
-from .coverage import ORG_AS_OF, as_of_org
+from .coverage import ORG_AS_OF, as_of_org, scratch
 from .registry import query
 
 EVENTS_AS_OF = f"TIMESTAMP '{T.AS_OF_EVENTS}'"
@@ -76,6 +77,30 @@ def search_organizations(spark, d):
     return R.page(_search(spark, d).select(*KEEP, "updated_at"), [F.desc_nulls_first("updated_at"), F.asc("id")], number=2, size=20)
 
 
+_NOW = """now AS (SELECT id, CASE WHEN id % 10 = 3 THEN '새 이름 ' || id ELSE name END AS name, address, email FROM org WHERE id % 10 <> 7)"""
+
+
+def _indexed(spark, d):
+    """An index of all organizations, then a tenth of them renamed and a tenth deleted."""
+    o = T.organizations(spark, d).select("id", "name", "address", "email")
+    folder = scratch(spark, "index")
+    X.create_index(o, folder, "id", ["name", "address", "email"], buckets=16, slots=16)
+    renamed = o.filter("id % 10 = 3").withColumn("name", F.concat(F.lit("새 이름 "), "id"))
+    X.update_index(spark, folder, renamed, o.filter("id % 10 = 7").select("id"))
+    return folder
+
+
+@query("search_indexed", f"""
+WITH {_NOW} SELECT 'customer#00000001' AS term, * FROM now WHERE name ILIKE '%customer#00000001%' OR address ILIKE '%customer#00000001%' OR email ILIKE '%customer#00000001%'
+UNION ALL SELECT '이름 1_3', * FROM now WHERE name ILIKE '%이름 1_3%' OR address ILIKE '%이름 1_3%' OR email ILIKE '%이름 1_3%'
+UNION ALL SELECT '로 11', * FROM now WHERE contains(address, '로 11')""")
+def search_indexed(spark, d):
+    folder = _indexed(spark, d)
+    found = [X.search(spark, folder, "customer#00000001"), X.search(spark, folder, "이름 1_3"), X.search(spark, folder, "로 11", ["address"], wildcards=False)]
+    named = [f.select(F.lit(t).alias("term"), "*") for t, f in zip(("customer#00000001", "이름 1_3", "로 11"), found)]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
 @query("pagination_totals", f"""
 SELECT 2 AS page, 20 AS per_page, count(*) AS total_count, CAST(ceil(count(*) / 20.0E0) AS BIGINT) AS total_pages FROM org WHERE {_SEARCH}""")
 def pagination_totals(spark, d):

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "orgloom", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -54,3 +55,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="orgloom-")
     return _LOCAL_ROOTS[app]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table below :func:`checkpoint_root`: computed once, its size known to the planner, no work lost with an executor."""
+    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import csv
 import json
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orgloom.session import checkpoint_root
+from orgloom.session import stored
 
 _QUOTE, _BACKSLASH = 0x22, 0x5C
 _STEP = np.zeros(256, np.int64)
@@ -60,12 +59,6 @@ def _bytes(rows: pa.RecordBatch, separator: bytes) -> bytes:
     return separator.join(values) + separator
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # --- JSON ----------------------------------------------------------------------
 
 def structure(raw: bytes, inside: bool) -> tuple[np.ndarray, bool]:
@@ -260,14 +253,14 @@ def json_records(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     """
     segments = _segments(spark, path, "}")
     effects = segments.mapInArrow(_json_effects, "file string, start bigint, size bigint, ends array<boolean>, deeper array<bigint>, top string, bytes bigint")
-    states = _written(effects.groupBy("file").applyInArrow(_entered, "file string, start bigint, inside boolean, depth bigint, top string, whole boolean"), "json-blocks")
+    states = stored(effects.groupBy("file").applyInArrow(_entered, "file string, start bigint, inside boolean, depth bigint, top string, whole boolean"), "json-blocks")
     if strict:
         broken = F.raise_error(F.concat(F.lit("no JSON document: "), F.col("file"))).cast("boolean")
         states = states.withColumn("whole", F.when(F.col("whole") & F.col("top").isin("[", "{"), True).otherwise(broken))
     # blocks of other files go unread; a block without a state must not
     joined = segments.join(F.broadcast(states), ["file", "start"], "left")
     used = joined.filter(F.col("depth").isNull() | (F.col("whole") & F.col("top").isin("[", "{")))
-    pieces = _written(used.select("file", "start", "value", "inside", "depth", "top").mapInArrow(_cut, _PIECES), "json-pieces")
+    pieces = stored(used.select("file", "start", "value", "inside", "depth", "top").mapInArrow(_cut, _PIECES), "json-pieces")
     told = pieces.filter("what = 'block'").groupBy("file").applyInArrow(_resolved, "file string, start bigint, key1 string, kind1 string, key2 string, owner bigint")
     rest = pieces.filter("what = 'piece' OR what = 'begin' OR (what = 'record' AND pending > 0 AND top = '{')").join(told, ["file", "start"])
     key = F.when(F.col("pending") == 0, F.col("key")).when(F.col("pending") == 1, F.col("key1")).otherwise(F.col("key2"))
@@ -351,7 +344,7 @@ def csv_records(spark: SparkSession, path: str | list[str], encodings: dict[str,
         if out:
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    pieces = _written(lines.join(F.broadcast(states), ["file", "start"], "left").select("file", "start", "value", "inside").mapInArrow(
+    pieces = stored(lines.join(F.broadcast(states), ["file", "start"], "left").select("file", "start", "value", "inside").mapInArrow(
         cut, "file string, start bigint, what string, first boolean, text string"), "csv-pieces")
 
     def owners(key: tuple, table: pa.Table) -> pa.Table:
