@@ -77,7 +77,7 @@ def _slice_exits(pdf: pd.DataFrame) -> pd.DataFrame:
                          "upto": us[:entries][keep], "exit_us": exits[keep]})
 
 
-MAP = "rule int, slice_start long, cooldown_us long, upto long, exit_us long"
+MAP = "rule {}, slice_start long, cooldown_us long, upto long, exit_us long"
 
 
 def _parts(exits: pd.DataFrame, column: str = "slice_start") -> list[tuple[int, np.ndarray, np.ndarray]]:
@@ -116,7 +116,7 @@ def _walk(exits: pd.DataFrame, blocked: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["rule", "slice_start", "blocked_until"])
 
 
-ENTRIES = "rule int, slice_start long, blocked_until long"
+ENTRIES = "rule {}, slice_start long, blocked_until long"
 
 
 def _first_entries(exits: pd.DataFrame, carried: pd.DataFrame) -> pd.DataFrame:
@@ -158,25 +158,34 @@ def alert_log(health: DataFrame, rules: Rules = V.ALERT_RULES, slice_minutes: in
     """
     if slice_minutes <= max(m for *_, m in rules):
         raise ValueError("a slice must be longer than every cooldown")
+    numbers = F.coalesce(*[F.when(F.col("rule") == name, F.lit(i)) for i, (name, *_) in enumerate(rules)])
+    before = carried if carried is not None else health.sparkSession.createDataFrame([], CARRIED)
+    fires = chain_fires(triggers(health, rules), before.select(numbers.alias("rule"), "last_us").filter("rule IS NOT NULL"), slice_minutes, parts)
+    names, severities = (F.array(*[F.lit(r[k]) for r in rules]) for k in (0, 2))
+    return fires.select(names[F.col("rule")].alias("rule"), severities[F.col("rule")].alias("severity"), "us")
+
+
+def chain_fires(hits: DataFrame, before: DataFrame, slice_minutes: int = 60, parts: Sequence[int] = (24, 30)) -> DataFrame:
+    """(rule, us) of the fires among ``hits`` (rule, cooldown_us, us; distinct): the first of a rule, then each first one that is its cooldown after the last fire.
+
+    ``before`` holds (rule, last_us) of earlier runs. A slice is longer than any cooldown.
+    """
+    kind = hits.schema["rule"].dataType.simpleString()
     width = slice_minutes * 60 * US
-    hits = triggers(health, rules).withColumn("slice_start", F.col("us") - F.pmod(F.col("us"), F.lit(width)))
+    hits = hits.withColumn("slice_start", F.col("us") - F.pmod(F.col("us"), F.lit(width)))
     by_slice = ["rule", "slice_start"]
-    maps = [hits.repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(_per_slice(_slice_exits), MAP)]
+    mapped, entered_as = MAP.format(kind), ENTRIES.format(kind)
+    maps = [hits.repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(_per_slice(_slice_exits), mapped)]
     widths = [width]
     for n in parts:
         widths.append(widths[-1] * n)
-        maps.append(maps[-1].withColumn("period", _period(widths[-1])).groupBy("rule", "period").applyInPandas(_compose, MAP))
-    numbers = F.coalesce(*[F.when(F.col("rule") == name, F.lit(i)) for i, (name, *_) in enumerate(rules)])
-    before = carried if carried is not None else health.sparkSession.createDataFrame([], CARRIED)
-    before = before.select(numbers.alias("rule"), "last_us").filter("rule IS NOT NULL")
-    entries = maps[-1].groupBy("rule").cogroup(before.groupBy("rule")).applyInPandas(_first_entries, ENTRIES)
+        maps.append(maps[-1].withColumn("period", _period(widths[-1])).groupBy("rule", "period").applyInPandas(_compose, mapped))
+    entries = maps[-1].groupBy("rule").cogroup(before.groupBy("rule")).applyInPandas(_first_entries, entered_as)
     for inner, outer in zip(maps[-2::-1], widths[:0:-1]):
         entered = entries.withColumnRenamed("slice_start", "period")
-        entries = inner.withColumn("period", _period(outer)).join(entered, ["rule", "period"]).groupBy("rule", "period").applyInPandas(_inner_entries, ENTRIES)
-    fires = hits.join(entries, by_slice).repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(
-        _per_slice(_slice_fires), "rule int, us long")
-    names, severities = (F.array(*[F.lit(r[k]) for r in rules]) for k in (0, 2))
-    return fires.select(names[F.col("rule")].alias("rule"), severities[F.col("rule")].alias("severity"), "us")
+        entries = inner.withColumn("period", _period(outer)).join(entered, ["rule", "period"]).groupBy("rule", "period").applyInPandas(_inner_entries, entered_as)
+    return hits.join(entries, by_slice).repartition(*by_slice).sortWithinPartitions(*by_slice, "us").mapInPandas(
+        _per_slice(_slice_fires), f"rule {kind}, us long")
 
 
 def fired_at(alerts: DataFrame) -> DataFrame:
@@ -189,3 +198,29 @@ def resource_alerts(samples: DataFrame, memory: float = 85, cpu: float = 80) ->
         F.when(F.col("memory_usage") > memory, F.struct(F.lit("memory_warning").alias("type"), F.col("memory_usage").alias("value"))),
         F.when(F.col("cpu_usage") > cpu, F.struct(F.lit("cpu_warning").alias("type"), F.col("cpu_usage").alias("value")))))
     return samples.select("event_id", "ts", F.inline(kinds))
+
+
+def rate_limit_starts(calls: DataFrame, key: str, time: str, seconds: int = 60, carried: DataFrame | None = None) -> DataFrame:
+    """(rule, us): when each caller's counting windows start. A window starts at the first call later than ``seconds`` after the last
+    one's start, at whatever time that is; ``carried`` holds (rule, last_us) of earlier runs."""
+    after = seconds * US + 1
+    hits = calls.select(F.col(key).cast("string").alias("rule"), F.lit(after).cast("long").alias("cooldown_us"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
+    before = carried if carried is not None else calls.sparkSession.createDataFrame([], CARRIED)
+    return chain_fires(hits.dropna().distinct(), before, max(60, 2 * seconds // 60))
+
+
+def rate_limit_windows(calls: DataFrame, starts: DataFrame, key: str, time: str, seconds: int = 60) -> DataFrame:
+    """(key, us, calls): the calls in each window of ``starts``. A window reaches into two stretches of its length, so calls are joined by (key, stretch)."""
+    width = (seconds + 1) * US
+    opened = starts.select("rule", "us", F.explode(F.array(F.floor(F.col("us") / width), F.floor(F.col("us") / width) + 1)).alias("stretch"))
+    made = calls.select(F.col(key).cast("string").alias("rule"), F.unix_micros(F.col(time).cast("timestamp")).alias("at")).dropna()
+    counted = made.groupBy("rule", "at").agg(F.count("*").alias("n")).withColumn("stretch", F.floor(F.col("at") / width))
+    inside = (F.col("at") >= F.col("us")) & (F.col("at") <= F.col("us") + seconds * US)
+    return counted.join(opened, ["rule", "stretch"]).filter(inside).groupBy(F.col("rule").alias(key), "us").agg(F.sum("n").alias("calls"))
+
+
+def rate_limited(windows: DataFrame, key: str, limit: int) -> DataFrame:
+    """Calls, allowed and refused ones per window; refused calls are not counted against the limit, so the first ``limit`` calls pass."""
+    total = windows.groupBy(key, "us").agg(F.sum("calls").alias("calls"))
+    return total.select(key, F.timestamp_micros("us").cast("timestamp_ntz").alias("window_start"), "calls", F.least("calls", F.lit(limit)).alias("allowed"),
+                        F.greatest(F.col("calls") - limit, F.lit(0)).alias("refused"), (F.col("calls") >= limit).alias("limited"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from orgloom.operators import alerts as AL
 from orgloom.sources import tables as T
 from orgloom.streaming import jobs as J
 from orgloom.streaming import runtime as RT
@@ -98,9 +99,34 @@ def stream_agent_stats(spark, d):
     return RT.last_batch(RT.run_to_table(J.agent_stats(over(spark, d, "metrics")), RT.new_root(spark, "agents"), "complete"))
 
 
-@query("stream_rate_window", """
-SELECT date_trunc('minute', start_time) AS minute, agent_name, count(*) AS requests, count(*) >= 2 AS limited FROM metrics GROUP BY 1, 2""", uses=("metrics",))
+_CALLS = """starts AS (SELECT agent_name, min(start_time) AS s FROM metrics GROUP BY 1
+  UNION ALL SELECT x.agent_name, min(m.start_time) FROM starts x JOIN metrics m ON m.agent_name = x.agent_name AND m.start_time > x.s + INTERVAL 60 SECOND GROUP BY x.agent_name, x.s)"""
+
+
+@query("stream_rate_window", f"""
+WITH RECURSIVE {_CALLS}, n AS (SELECT agent_name, s AS window_start, count(*) AS calls FROM starts JOIN metrics USING (agent_name) WHERE start_time BETWEEN s AND s + INTERVAL 60 SECOND GROUP BY 1, 2)
+SELECT *, least(calls, 2) AS allowed, greatest(calls - 2, 0) AS refused, calls >= 2 AS limited FROM n""", uses=("metrics",))
 def stream_rate_window(spark, d):
+    windows = J.rate_limit_batches(over(spark, d, "metrics"), RT.new_root(spark, "rate"))
+    return AL.rate_limited(windows, "agent_name", 2)
+
+
+@query("stream_job_runs", """
+WITH o AS (SELECT *, max(ts) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM results),
+r AS (SELECT *, sum(CASE WHEN ts > before + INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM o),
+a AS (SELECT job_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS total_count, count(*) FILTER (status = 'COMPLETED') AS processed_count, count(*) FILTER (status = 'FAILED') AS failed_count,
+  count(*) FILTER (status = 'PROCESSING') AS open_count FROM r GROUP BY job_id, run)
+SELECT job_id, first_ts, last_ts, total_count, processed_count, failed_count, """ + q.pct("processed_count", "total_count", 6) + """ AS progress_percentage, open_count > 0 AS is_running,
+  last_ts + INTERVAL 6 HOUR < (SELECT max(ts) FROM results) - INTERVAL 1 HOUR AS finished FROM a""", uses=("results",))
+def stream_job_runs(spark, d):
+    finished, opened, _ = J.job_runs(over(spark, d, "results"), RT.new_root(spark, "runs"), idle=6 * 3600)
+    named = lambda runs, done: J.run_report(runs).withColumn("finished", F.lit(done))
+    return named(finished, True).unionByName(named(opened, False))
+
+
+@query("stream_rate_minutes", """
+SELECT date_trunc('minute', start_time) AS minute, agent_name, count(*) AS requests, count(*) >= 2 AS limited FROM metrics GROUP BY 1, 2""", uses=("metrics",))
+def stream_rate_minutes(spark, d):
     table = RT.run_to_table(J.rate_window(over(spark, d, "metrics"), limit=2), RT.new_root(spark, "rate"), "update")
     return RT.latest(table, ["minute", "agent_name"])
 

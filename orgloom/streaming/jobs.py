@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -16,7 +16,7 @@ from orgloom.functions.blank import percent
 from orgloom.operators import alerts as AL
 from orgloom.operators.ranking import first_per_key
 
-from .runtime import run, start_table
+from .runtime import Runs, batches, run, start_table
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -30,8 +30,8 @@ def _plain(instant: str) -> Column:
     return F.col(instant).cast("timestamp_ntz")
 
 
-def progress_deltas(results: DataFrame, root: str, delay: str = "1 hour") -> DataFrame:
-    """Append each batch's newest completed result per organization to a delta table.
+def progress_deltas(results: DataFrame, root: str, delay: str = "1 hour", fan_out: int = 8) -> DataFrame:
+    """Append each batch's newest completed result per organization to a delta table, whose batches are merged in runs of ``fan_out``.
 
     Repeated event ids within the watermark are dropped. The organization table
     itself is not rewritten per batch: readers lay the newest delta over it.
@@ -46,9 +46,19 @@ def progress_deltas(results: DataFrame, root: str, delay: str = "1 hour") -> Dat
 
     schema = StructType(results.schema.fields).add("processed", "long")
     start_table(results.sparkSession, f"{root}/out", schema)
-    run(done, root, "append", write)
-    schema = StructType(schema.fields).add("batch_id", "long")
-    return results.sparkSession.read.schema(schema).parquet(f"{root}/out")
+    runs = Runs(results.sparkSession, root, schema, fan_out)
+
+    def merged(some: DataFrame) -> DataFrame:
+        row = F.struct(*[f for f in schema.names if f != "processed"])
+        newest = some.groupBy("organization_id").agg(F.max_by(row, F.struct("ts", "event_id")).alias("r"), F.sum("processed").alias("processed"))
+        return newest.select(*[F.col("r")[f].alias(f) for f in schema.names if f != "processed"], "processed")
+
+    def write_and_merge(batch: DataFrame, batch_id: int) -> None:
+        write(batch, batch_id)
+        runs.merge(merged, batch_id)
+
+    run(done, root, "append", write_and_merge)
+    return runs.read()
 
 
 def current_organizations(orgs: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -166,6 +176,93 @@ def rate_window(metrics: DataFrame, limit: int, delay: str = "5 minutes") -> Dat
         F.count("*").alias("requests")).select(_plain("window.start").alias("minute"), "agent_name", "requests", (F.col("requests") >= limit).alias("limited"))
 
 
+def rate_limit_batches(calls: DataFrame, root: str, key: str = "agent_name", time: str = "start_time", seconds: int = 60) -> DataFrame:
+    """(key, us, calls, batch_id) per rate window and batch; :func:`orgloom.operators.alerts.rate_limited` adds them up.
+
+    Carried from batch to batch: the start of each caller's newest window. A call older than the window that was newest when
+    its batch began belongs to no window and goes to ``root``/late.
+    """
+    spark, schema = calls.sparkSession, f"{key} string, us long, calls long"
+    start_table(spark, f"{root}/out", schema)
+    start_table(spark, f"{root}/last", AL.CARRIED)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        carried = spark.read.schema(AL.CARRIED).parquet(f"{root}/last/batch_id={batch_id - 1}")
+        told = batch.withColumn("__us", F.unix_micros(F.col(time).cast("timestamp"))).join(carried.select(F.col("rule").alias(key), "last_us"), key, "left")
+        late = F.coalesce(F.col("__us") < F.col("last_us"), F.lit(False))
+        told.filter(late).select(*batch.columns).write.mode("overwrite").parquet(f"{root}/late/batch_id={batch_id}")
+        fresh = told.filter(~late).select(*batch.columns)
+        opened = f"{root}/starts/batch_id={batch_id}"
+        AL.rate_limit_starts(fresh, key, time, seconds, carried).write.mode("overwrite").parquet(opened)
+        starts = spark.read.schema("rule string, us long").parquet(opened).unionByName(carried.select("rule", F.col("last_us").alias("us")))
+        AL.rate_limit_windows(fresh, starts, key, time, seconds).write.mode("overwrite").parquet(f"{root}/out/batch_id={batch_id}")
+        starts.groupBy("rule").agg(F.max("us").alias("last_us")).write.mode("overwrite").parquet(f"{root}/last/batch_id={batch_id}")
+
+    run(calls, root, "append", write)
+    return spark.read.schema(f"{schema}, batch_id long").parquet(f"{root}/out")
+
+
+_RUN = "job_id {}, first_us long, last_us long, total_count long, processed_count long, failed_count long, open_count long"
+
+
+def job_runs(results: DataFrame, root: str, idle: int = 24 * 3600, delay: int = 3600) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Finished runs, open runs and late results of jobs; what is held does not grow with the jobs ever seen.
+
+    A job's results with no gap of more than ``idle`` seconds are one run. A run is finished, and written once, when it ended more than
+    ``idle`` before the watermark (the newest time seen, less ``delay`` seconds). Only open runs are carried to the next batch. A result that is so
+    old that its run may be finished (more than ``idle`` before the watermark when its batch began) goes to the side table.
+
+    Results are counted per (job, stretch of ``idle``) before the shuffle, so a job with a third of all results is a row per stretch and task.
+    """
+    spark, us, gap = results.sparkSession, AL.US, idle * AL.US
+    held = _RUN.format(results.schema["job_id"].dataType.simpleString())
+    start_table(spark, f"{root}/finished", held)
+    start_table(spark, f"{root}/open", held)
+    start_table(spark, f"{root}/seen", "top long")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seen = spark.read.schema("top long, batch_id long").parquet(f"{root}/seen").filter(F.col("batch_id") < batch_id).select(F.max("top")).scalar()
+        rows = batch.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+        late = F.coalesce(F.col("us") + gap < seen - delay * us, F.lit(False))
+        rows.filter(late).select(*batch.columns).write.mode("overwrite").parquet(f"{root}/late/batch_id={batch_id}")
+        fresh = rows.filter(~late)
+        status = lambda s: F.count_if(F.col("status") == s)
+        counted = fresh.groupBy("job_id", F.floor(F.col("us") / gap).alias("stretch")).agg(
+            F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count("*").alias("total_count"), status("COMPLETED").alias("processed_count"),
+            status("FAILED").alias("failed_count"), status("PROCESSING").alias("open_count")).drop("stretch")
+        before = spark.read.schema(held).parquet(f"{root}/open/batch_id={batch_id - 1}")
+        by_job = Window.partitionBy("job_id").orderBy("first_us", "last_us")
+        end = F.max("last_us").over(by_job.rowsBetween(Window.unboundedPreceding, -1))
+        parts = counted.unionByName(before).withColumn("new", F.coalesce((F.col("first_us") > end + gap).cast("int"), F.lit(0)))
+        totals = ("total_count", "processed_count", "failed_count", "open_count")
+        runs = parts.withColumn("run", F.sum("new").over(by_job)).groupBy("job_id", "run").agg(
+            F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), *(F.sum(c).alias(c) for c in totals)).drop("run")
+        rows.agg(F.max("us").alias("top")).write.mode("overwrite").parquet(f"{root}/seen/batch_id={batch_id}")
+        top = spark.read.schema("top long, batch_id long").parquet(f"{root}/seen").filter(F.col("batch_id") <= batch_id).select(F.max("top")).scalar()
+        done = F.coalesce(F.col("last_us") + gap < F.lit(top) - delay * us, F.lit(False))
+        runs.withColumn("done", done).write.mode("overwrite").partitionBy("done").parquet(f"{root}/runs/batch_id={batch_id}")
+        both = spark.read.schema(f"{held}, done boolean").parquet(f"{root}/runs/batch_id={batch_id}")
+        both.filter("done").drop("done").write.mode("overwrite").parquet(f"{root}/finished/batch_id={batch_id}")
+        both.filter("NOT done").drop("done").write.mode("overwrite").parquet(f"{root}/open/batch_id={batch_id}")
+
+    schema = results.schema
+    start_table(spark, f"{root}/late", schema)
+    run(results, root, "append", write)
+    read = lambda name, s: spark.read.schema(s).parquet(f"{root}/{name}")
+    opened = read("open", f"{held}, batch_id long")
+    newest = opened.select(F.max("batch_id")).scalar()
+    # the last batch may hold no open run
+    last = max((int(b) for b in batches(spark, f"{root}/open")), default=newest)
+    return (read("finished", f"{held}, batch_id long"), opened.filter(F.col("batch_id") == last), read("late", StructType(schema.fields).add("batch_id", "long")))
+
+
+def run_report(runs: DataFrame) -> DataFrame:
+    """Runs with times and progress."""
+    at = lambda c: F.timestamp_micros(c).cast("timestamp_ntz")
+    return runs.select("job_id", at("first_us").alias("first_ts"), at("last_us").alias("last_ts"), "total_count", "processed_count", "failed_count",
+                       percent(F.col("processed_count"), F.col("total_count"), 6).alias("progress_percentage"), (F.col("open_count") > 0).alias("is_running"))
+
+
 def recent_results(results: DataFrame, root: str, k: int = 20) -> DataFrame:
     """The newest k rows, kept as a bounded table that every batch replaces."""
     spark = results.sparkSession
