@@ -7,7 +7,7 @@ cheap scan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, functions as F
 
@@ -15,6 +15,7 @@ from .blank import _c, strip
 from . import fixed_values as V
 from . import phone as P
 from . import address as A
+from . import html_tree as H
 from . import web as W
 
 _NO_STRINGS = "array<string>"
@@ -302,16 +303,11 @@ CONTACT_TAGS = ["footer", "address"]
 CONTACT_MARKS = r"contact|footer|\b(?:address|phone|tel|email)\b"
 FOOTER_MARKS = "footer|bottom|contact|info"
 
-# a tag ends at the first '>' outside quotes
-_TOKEN = r"""(?s)<(?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^<]++|<"""
-
-
-def html_tokens(html: Column | str) -> Column:
-    """Tags and text nodes in order: array<struct<name, opens, closes, raw>>; name is NULL for text."""
-    raw = F.regexp_extract_all(F.regexp_replace(_c(html), _DROP, ""), F.lit(_TOKEN), F.lit(0))
-    name = lambda t: F.nullif(F.lower(F.regexp_extract(t, r"^</?([A-Za-z][A-Za-z0-9]*)", 1)), F.lit(""))
-    return F.transform(raw, lambda t: F.struct(
-        name(t).alias("name"), t.rlike("^<[A-Za-z]").alias("opens"), t.startswith("</").alias("closes"), t.alias("raw")))
+# --- fixed values: where the main text and the contact text of a page are looked for, in this order ---
+CONTENT_SELECTORS = ["main", "article", ".content", "#content", ".main-content", ".container", ".wrapper", "section", ".section", ".page-content", ".post-content",
+                     ".entry-content", '[role="main"]', ".main"]
+CONTACT_SELECTORS = [".contact", "#contact", ".contact-info", ".contact-us", ".footer", "#footer", ".footer-info", ".address", ".phone", ".tel", ".email",
+                     '[class*="contact"]', '[id*="contact"]', '[class*="footer"]', '[id*="footer"]', "footer", "address"]
 
 
 def opens(tags: str, words: str | None = None, attributes: str = "class|id|role") -> str:
@@ -322,29 +318,32 @@ def opens(tags: str, words: str | None = None, attributes: str = "class|id|role"
     return rf"(?is)^<(?:{tags})(?=\s).*?\s(?:{attributes})\s*=\s*(?:{value})"
 
 
-def html_areas(tokens: Column | str, pattern: str) -> Column:
-    """Text of each element whose opening tag matches, in document order, up to the closing tag that belongs
-    to it (elements of the same name inside are counted) or the end of the page."""
-    tokens = _c(tokens)
-    starts = F.array_compact(F.transform(tokens, lambda t, i: F.when(t["opens"] & t["raw"].rlike(pattern), F.struct(i.alias("at"), t["name"].alias("name")))))
+def _decoded(areas: Column) -> Column:
+    return F.transform(areas, lambda texts: F.transform(texts, decode_entities))
+
 
-    def inner(start: Column) -> Column:
-        step = lambda s, t: F.struct(
-            (s["depth"] + F.when((s["depth"] > 0) & (t["name"] == start["name"]), F.when(t["opens"], 1).when(t["closes"], -1).otherwise(0)).otherwise(0)).alias("depth"),
-            F.when((s["depth"] > 0) & t["name"].isNull(), F.concat(s["text"], t["raw"])).otherwise(s["text"]).alias("text"))
-        return decode_entities(F.aggregate(
-            F.slice(tokens, start["at"] + 2, F.size(tokens)), F.struct(F.lit(1).alias("depth"), F.lit("").alias("text")), step, lambda s: s["text"]))
+def html_areas(html: Column | str, patterns: Sequence[str]) -> Column:
+    """array<array<string>>: for each pattern of an opening tag the text of the elements it matches, in document order. The page is passed once."""
+    return _decoded(H.area_texts(F.regexp_replace(_c(html), _DROP, ""), lambda: [H.tag_pattern(p) for p in patterns]))
 
-    return F.transform(starts, inner)
+
+def html_select(html: Column | str, selectors: Sequence[str]) -> Column:
+    """As :func:`html_areas` for simple CSS selectors."""
+    for css in selectors:
+        H.selector(css)
+    return _decoded(H.area_texts(F.regexp_replace(_c(html), _DROP, ""), lambda: [H.selector(css) for css in selectors]))
 
 
 def html_footer(html: Column | str, last: int | None = None) -> Column:
     """Text of footer-like elements with more than 10 characters, else the whole page's (or its ``last`` characters)."""
     html = _c(html)
-    areas = html_areas(html_tokens(html), opens("footer|div", FOOTER_MARKS, "class"))
-    texts = F.filter(F.transform(areas, lambda x: strip(x)), lambda x: F.length(x) > 10)
+    return _footer(html, html_areas(html, [opens("footer|div", FOOTER_MARKS, "class")]).getItem(0), last)
+
+
+def _footer(html: Column, areas: Column, last: int | None) -> Column:
     whole = html_plain(html)
-    return F.when(F.size(texts) > 0, F.array_join(texts, "\n")).otherwise(whole if last is None else F.right(whole, F.lit(last)))
+    return let(F.filter(F.transform(areas, lambda x: strip(x)), lambda x: F.length(x) > 10), lambda texts: F.when(
+        F.size(texts) > 0, F.array_join(texts, "\n")).otherwise(whole if last is None else F.right(whole, F.lit(last))))
 
 
 def anchor_text(html: Column) -> Column:

@@ -97,18 +97,33 @@ def page_record(pages: DataFrame, key: str = "id") -> DataFrame:
 
 def best_text(pages: DataFrame, key: str = "id", max_chars: int | None = None) -> DataFrame:
     """Longest of the full, main-area and contact-area text with the area it came from."""
-    def area(tags: list[str], marks: str, least: int) -> Column:
-        found = F.concat(*[X.html_areas("tokens", X.opens(t)) for t in tags], X.html_areas("tokens", X.opens(r"[a-z][a-z0-9]*", marks)))
-        return F.array_join(F.filter(F.transform(found, X.one_line), lambda x: F.length(x) > least), " ")
+    def patterns(tags: list[str], marks: str) -> list[str]:
+        return [*(X.opens(t) for t in tags), X.opens(r"[a-z][a-z0-9]*", marks)]
+
+    main, contact = patterns(X.MAIN_TAGS, X.MAIN_MARKS), patterns(X.CONTACT_TAGS, X.CONTACT_MARKS)
+    areas = pages.select(key, "html", X.html_areas("html", [*main, *contact]).alias("areas"))
+    return _best(areas, len(main), key, max_chars)
+
+
+def best_selected_text(pages: DataFrame, key: str = "id", max_chars: int | None = None) -> DataFrame:
+    """As :func:`best_text`, areas by CSS selectors; an element that several selectors name counts for each."""
+    areas = pages.select(key, "html", X.html_select("html", [*X.CONTENT_SELECTORS, *X.CONTACT_SELECTORS]).alias("areas"))
+    return _best(areas, len(X.CONTENT_SELECTORS), key, max_chars)
+
+
+def _best(areas: DataFrame, n_main: int, key: str, max_chars: int | None) -> DataFrame:
+    def area(first: int, n: Column | int, least: int) -> Column:
+        texts = F.transform(F.flatten(F.slice("areas", F.lit(first), F.lit(n) if isinstance(n, int) else n)), X.one_line)
+        return F.array_join(F.filter(texts, lambda x: F.length(x) > least), " ")
 
     def candidate(order: int, name: str, text: Column) -> Column:
         return F.struct(F.length(text).alias("n"), F.lit(-order).alias("order"), F.lit(name).alias("method"), text.alias("text"))
 
-    pages = pages.select(key, "html", X.html_tokens("html").alias("tokens"))
-    texts = pages.select(key, X.html_text("html").alias("full"), area(X.MAIN_TAGS, X.MAIN_MARKS, 100).alias("main"), area(X.CONTACT_TAGS, X.CONTACT_MARKS, 20).alias("contact"))
+    texts = areas.select(key, X.html_text("html").alias("full"), area(1, n_main, 100).alias("main"), area(n_main + 1, F.size("areas"), 20).alias("contact"))
     best = F.array_max(F.array(candidate(0, "full", F.col("full")), candidate(1, "main", F.col("main")), candidate(2, "contact", F.col("contact"))))
-    text = best["text"] if max_chars is None else F.substring(best["text"], 1, max_chars)
-    return texts.select(key, best["method"].alias("method"), text.alias("text"))
+    chosen = texts.select(key, best.alias("b"))
+    text = F.col("b.text") if max_chars is None else F.substring("b.text", 1, max_chars)
+    return chosen.select(key, F.col("b.method").alias("method"), text.alias("text"))
 
 
 def contact_links(pages: DataFrame, key: str = "id", limit: int | None = None) -> DataFrame:

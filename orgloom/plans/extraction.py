@@ -327,6 +327,35 @@ def html_best_text(spark, d):
     return E.best_text(T.view(spark, d, "htmls"))
 
 
+def _selected(css: str) -> str:
+    """Texts of one simple selector on pages without nested elements of one name."""
+    if css[0] in ".#":
+        value = rf'"(?:[^"]* )?{css[1:]}(?: [^"]*)?"' if css[0] == "." else f'"{css[1:]}"'
+        attribute = "class" if css[0] == "." else "id"
+    elif css[0] == "[":
+        attribute, sign, part = css[1:-1].partition("*=" if "*=" in css else "=")
+        part = part.strip('"')
+        value = f'"[^"]*{part}[^"]*"' if sign == "*=" else f'"{part}"'
+    else:
+        return f"regexp_extract_all(html, '(?is)<{css}\\b[^>]*>(.*?)</{css}\\s*>', 1)"
+    blocks = [f"regexp_extract_all(html, '(?is)<{t}\\b[^>]*\\b{attribute}\\s*=\\s*{value}[^>]*>(.*?)</{t}\\s*>', 1)" for t in ("div", "footer", "main", "section", "article", "p", "address")]
+    return "list_concat(" + ", ".join(blocks) + ")"
+
+
+def _selected_sql(selectors: list[str], least: int) -> str:
+    lists = ", ".join(f"list_sort(list_filter(list_transform({_selected(css)}, lambda y: {text_of('y')}), lambda y: length(y) > {least}))" for css in selectors)
+    return f"array_to_string(list_concat({lists}), '|')"
+
+
+@query("html_selected_areas", f"SELECT id, {_selected_sql(X.CONTENT_SELECTORS, 0)} AS content, {_selected_sql(X.CONTACT_SELECTORS, 0)} AS contact FROM htmls", uses=HTMLS)
+def html_selected_areas(spark, d):
+    """Texts by selector, in the order of the selectors; of one selector sorted, as the check SQL can't tell their order over tags."""
+    n = len(X.CONTENT_SELECTORS)
+    pages = T.view(spark, d, "htmls").select("id", X.html_select("html", [*X.CONTENT_SELECTORS, *X.CONTACT_SELECTORS]).alias("a"))
+    tidy = lambda a: F.array_join(F.flatten(F.transform(a, lambda t: F.array_sort(F.filter(F.transform(t, X.one_line), lambda x: F.length(x) > 0)))), "|")
+    return pages.select("id", tidy(F.slice("a", 1, n)).alias("content"), tidy(F.slice("a", n + 1, len(X.CONTACT_SELECTORS))).alias("contact"))
+
+
 @query("page_record", f"""
 WITH h AS (SELECT id, url, trim({_TITLE}) AS title, {_DESC} AS description, {HTML_TEXT} AS text FROM htmls), {contacts_sql('h')}
 SELECT id, url, title, description, CAST(length(text) AS INTEGER) AS text_length, phones, faxes, emails, CASE WHEN length(text) < 100 THEN 'warning' ELSE 'success' END AS status FROM contact""", uses=HTMLS)
