@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from orgloom.functions import address as A
@@ -9,6 +11,7 @@ from orgloom.functions import fixed_values as V
 from orgloom.functions import scoring as S
 from orgloom.functions import web as W
 from orgloom.functions.blank import is_filled, is_missing
+from orgloom.operators import rank_index as RI
 from orgloom.operators import ranking as R
 from orgloom.operators import text_index as X
 from orgloom.sources import tables as T
@@ -251,6 +254,19 @@ def enrichment_candidates_page(spark, d):
     return R.page(rows.select(*KEEP, "updated_at"), [F.desc_nulls_first("updated_at"), F.asc("id")], number=2, size=50)
 
 
+@query("enrichment_candidates_ranked_pages", f"""
+WITH c AS (SELECT {_KEEP}, updated_at, row_number() OVER (ORDER BY updated_at DESC NULLS FIRST, id) - 1 AS place FROM org WHERE is_active AND {q.any_missing()})
+SELECT CAST(place // 50 + 1 AS INTEGER) AS page, * EXCLUDE (place) FROM c WHERE place // 50 + 1 IN (1, 7) OR place // 50 = (SELECT max(place) FROM c) // 50""")
+def enrichment_candidates_ranked_pages(spark, d):
+    """The first, the seventh and the last page of all candidates, from a stored rank index."""
+    rows = R.missing_any_contact(T.active_organizations(spark, d)).select(*KEEP, "updated_at")
+    folder = scratch(spark, "ranks")
+    RI.create_rank_index(rows, folder, [("updated_at", True), ("id", False)], rows_per_range=200)
+    last = -(-RI.ranked_total(spark, folder) // 50)
+    pages = [RI.ranked_page(spark, folder, n, 50).select(F.lit(n).alias("page"), "*") for n in sorted({1, 7, last})]
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
 @query("enrichment_requests", f"""
 WITH c AS (SELECT id, name, {q.missing_fields()} AS mf FROM org WHERE is_active AND {q.any_missing()}
   ORDER BY CASE priority WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END, updated_at DESC NULLS FIRST, id)
