@@ -75,8 +75,7 @@ def main(path: str, only: list[str]) -> int:
         start = time.time()
         try:
             if name in sqls:
-                msg = compare(spark, con, path, name, fn, sqls[name])
-                note = "" if fn is None else ""
+                msg, note = compare(spark, con, path, name, fn, sqls[name]), ""
             else:
                 df = fn(spark, path)
                 note, msg = f"rows only: {len(df.collect())}", None

