@@ -13,6 +13,7 @@ from orgloom.functions import phone as P
 from orgloom.functions import scoring as S
 from orgloom.functions import web as W
 from orgloom.functions.blank import clean_value, first_nonblank, is_blank, is_filled
+from orgloom.operators import dictionary as D
 from orgloom.operators import validation as VD
 from orgloom.sources import tables as T
 
@@ -243,6 +244,36 @@ def text_category(spark, d):
     return T.given(spark, d, "documents").select("doc_id", S.text_category(c("text")).alias("category"))
 
 
+@query("text_category_dictionary", f"SELECT doc_id, {_CATEGORY} AS category, {_type_sql('lower(text)')} AS org_type FROM documents", uses=())
+def text_category_dictionary(spark, d):
+    """Both word lists as dictionary tables, each in one pass over the texts."""
+    docs = T.given(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    out = D.with_dictionary(docs, "low", D.dictionary_of(spark, V.TEXT_CATEGORY_WORDS), "category_")
+    out = D.with_dictionary(out, "low", D.dictionary_of(spark, V.ORG_TYPE_WORDS), "type_")
+    return out.select("doc_id", F.coalesce("category_first_label", F.lit(V.OTHER)).alias("category"), F.coalesce("type_best_label", F.lit(V.OTHER)).alias("org_type"))
+
+
+@query("region_dictionary", f"""
+SELECT id, {q.first_contained('address', V.REGION_NAMES)} AS region_key, {q.first_contained('address', V.REGION_CODES, other=chr(39) * 2)} AS region_short FROM org""")
+def region_dictionary(spark, d):
+    orgs = T.organizations(spark, d).select("id", "address")
+    out = D.with_dictionary(orgs, "address", D.dictionary_of(spark, [(n, [n]) for n, _ in V.REGION_NAMES]), "name_")
+    out = D.with_dictionary(out, "address", D.dictionary_of(spark, [(n, [n]) for n, _ in V.REGION_CODES]), "code_")
+    return out.select("id", F.col("name_first_label").alias("region_key"), F.coalesce("code_first_label", F.lit("")).alias("region_short"))
+
+
+@query("part_names_in_documents", """
+WITH w AS (SELECT word, min(p_partkey) AS place FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS word FROM part) WHERE length(word) >= 3 GROUP BY word),
+h AS (SELECT d.doc_id, w.word, w.place FROM documents d JOIN w ON contains(lower(d.text), w.word))
+SELECT d.doc_id, (SELECT arg_min(word, (place, word)) FROM h WHERE h.doc_id = d.doc_id) AS first_word, (SELECT count(*) FROM h WHERE h.doc_id = d.doc_id) AS n_words FROM documents d""", uses=())
+def part_names_in_documents(spark, d):
+    """A dictionary made of a table: the words of part names."""
+    parts = T.given(spark, d, "part").select(F.col("p_partkey").alias("place"), F.explode(F.split(F.lower("p_name"), " ")).alias("word")).filter(F.length("word") >= 3)
+    words = parts.groupBy("word").agg(F.min("place").alias("place")).withColumn("label", F.col("word"))
+    docs = T.given(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    return D.with_dictionary(docs, "low", words).select("doc_id", F.col("first_label").alias("first_word"), "n_words")
+
+
 @query("text_clean", r"""
 SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\s\x{85}\x{A0}\p{Z}]+', ' ', 'g'), '[^\p{L}\p{M}\p{N}\p{Pc}\s.-]', '', 'g')) AS cleaned FROM documents""", uses=())
 def text_clean(spark, d):
