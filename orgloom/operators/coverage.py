@@ -36,12 +36,16 @@ def complete_contact() -> Column:
 
 
 def contact_coverage(active: DataFrame) -> DataFrame:
-    agg = active.agg(
+    return contact_rates(active.agg(
         F.count("*").alias("total"),
         *[_n(is_filled(f)).alias(f"{f}_count") for f in COVERED],
         _n(complete_contact()).alias("complete_count"),
-    )
-    return agg.select(
+    ))
+
+
+def contact_rates(counts: DataFrame) -> DataFrame:
+    """Rates beside the counts of :func:`contact_coverage`."""
+    return counts.select(
         "*", (F.col("total") - F.col("complete_count")).alias("incomplete_count"),
         *[percent(F.col(f"{f}_count"), F.col("total")).alias(f"{f}_rate") for f in COVERED],
         percent(F.col("complete_count"), F.col("total")).alias("completeness_rate"),
@@ -49,9 +53,13 @@ def contact_coverage(active: DataFrame) -> DataFrame:
 
 
 def category_coverage(active: DataFrame) -> DataFrame:
-    agg = active.groupBy("category").agg(
-        F.count("*").alias("total"), *[_n(is_filled(f)).alias(f"{f}_count") for f in COVERED])
-    return agg.select(
+    return category_rates(active.groupBy("category").agg(
+        F.count("*").alias("total"), *[_n(is_filled(f)).alias(f"{f}_count") for f in COVERED]))
+
+
+def category_rates(counts: DataFrame) -> DataFrame:
+    """Rates beside the counts of :func:`category_coverage`, largest category first."""
+    return counts.select(
         "*", *[percent(F.col(f"{f}_count"), F.col("total")).alias(f"{f}_coverage") for f in COVERED]
     ).orderBy(F.desc("total"), F.asc_nulls_last("category"))
 
@@ -153,8 +161,13 @@ def quality_counts(active: DataFrame) -> DataFrame:
 
 def quality_report(active: DataFrame) -> DataFrame:
     """Scores (.4 coverage, .3 validity, .3 completeness) and the rules that ask for action."""
+    return quality_of(quality_counts(active))
+
+
+def quality_of(counts: DataFrame) -> DataFrame:
+    """The report of the one row that :func:`quality_counts` gives."""
     c = F.col
-    rates = quality_counts(active).select(
+    rates = counts.select(
         "total", *[percent(c(f"{f}_count"), c("total")).alias(f"{f}_rate") for f in COVERED],
         percent(c("valid_phones"), c("phone_count")).alias("phone_validity_rate"),
         percent(c("valid_faxes"), c("fax_count")).alias("fax_validity_rate"),

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from orgloom.functions import fixed_values as V
 from orgloom.operators import updates as U
+from orgloom.operators import views as VW
+from orgloom.operators.versions import VersionedTable
+from orgloom.session import checkpoint_root
 from orgloom.sources import tables as T
 
 from . import sqlparts as q
-from .coverage import ORG_AS_OF, as_of_org
+from .coverage import _CAT, _QUALITY, ORG_AS_OF, as_of_org
 from .registry import query
 
 c = F.col
@@ -224,3 +229,45 @@ def combine_result_metadata(spark, d):
     out = U.combine_result(*_tables(spark, d))
     return out.select("id", *W, F.get_json_object("processing_metadata", "$.final_stage").alias("final_stage"),
                       F.get_json_object("processing_metadata", "$.processing_time").cast("double").alias("processing_time"))
+
+
+# --- the same changes on a versioned table: results come in batches, some rows are deleted, the last batch comes twice
+def _versioned(spark, d) -> VersionedTable:
+    orgs, found = _tables(spark, d)
+    table = VersionedTable(spark, f"{checkpoint_root(spark)}/organizations-{uuid.uuid4().hex}", {"report": VW.report_view(), "status": VW.status_view()})
+    table.create(orgs, "id", 8)
+    table.update(found.filter("id % 3 <> 1"), U.upsert_coalesce, 0)
+    for _ in range(2):
+        table.update(found.filter("id % 3 = 1"), U.upsert_coalesce, 1)
+    table.update(found.filter("id % 7 = 2").select("id"), U.soft_delete, 2)
+    table.update(found.filter("id % 7 = 3").select("id"), lambda old, _: old.limit(0), 3)
+    return table
+
+
+_CHANGED = f"""changed AS (SELECT o.id, o.category, o.contact_status, o.is_active AND (f.id IS NULL OR f.id % 7 <> 2) AS is_active,
+  {', '.join(f"coalesce(nullif(f.{x}, ''), o.{x}) AS {x}" for x in W)}, {_STAMP}, {_AT} {_JOIN} WHERE f.id IS NULL OR f.id % 7 <> 3)"""
+
+
+def _over_changed(sql: str) -> str:
+    return f"WITH {_CHANGED},\n{sql.strip()[5:]}".replace("FROM org WHERE", "FROM changed WHERE")
+
+
+@query("versioned_updates", f"WITH {_CHANGED} SELECT id, is_active, {', '.join(KEPT[1:])} FROM changed", uses=BASE)
+def versioned_updates(spark, d):
+    return _versioned(spark, d).read().select("id", "is_active", *KEPT[1:])
+
+
+@query("view_category_coverage", _over_changed(_CAT + "SELECT * FROM cov"), uses=BASE)
+def view_category_coverage(spark, d):
+    return VW.category_coverage(_versioned(spark, d).view("report"))
+
+
+@query("view_quality_report", _over_changed(_QUALITY + "SELECT * FROM rep"), uses=BASE)
+def view_quality_report(spark, d):
+    return VW.quality_report(_versioned(spark, d).view("report"))
+
+
+@query("view_dashboard", f"""WITH {_CHANGED} SELECT 'status' AS metric, contact_status AS key, count(*) AS value FROM changed WHERE is_active GROUP BY contact_status
+UNION ALL SELECT 'organizations', '', count(*) FROM changed WHERE is_active""", uses=BASE)
+def view_dashboard(spark, d):
+    return VW.dashboard_organizations(_versioned(spark, d).view("status"))
