@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orgloom.functions import scoring as S
 from orgloom.functions.blank import is_filled
 from orgloom.operators import matching as M
+from orgloom.operators import similarity as SM
 from orgloom.sources import tables as T
 
 from . import sqlparts as q
@@ -276,6 +277,19 @@ def record_similarity(spark, d):
     return M.neighbour_similarity(T.given(spark, d, "conversations"))
 
 
+@query("record_similarity_links", r"""
+WITH r AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\s\x{85}\x{A0}\p{Z}]+'), lambda x: x <> ''))) AS tok FROM documents),
+k AS (SELECT tok, len(tok) AS n, min(doc_id) AS class_id, count(*) AS copies FROM r WHERE len(tok) > 0 GROUP BY tok),
+p AS (SELECT class_id, n, copies, unnest(tok) AS t FROM k),
+m AS (SELECT a.class_id AS a, any_value(b.copies) AS copies FROM p a JOIN p b ON a.t = b.t AND a.class_id <> b.class_id AND 10 * a.n >= 8 * b.n AND 10 * b.n >= 8 * a.n
+      GROUP BY a.class_id, b.class_id HAVING 10 * count(*) >= 8 * (any_value(a.n) + any_value(b.n) - count(*))),
+o AS (SELECT a, sum(copies) AS others FROM m GROUP BY a)
+SELECT r.doc_id, coalesce(k.class_id, r.doc_id) AS class_id, CAST(coalesce(k.copies - 1, 0) + coalesce(o.others, 0) AS BIGINT) AS n_links
+FROM r LEFT JOIN k ON k.tok = r.tok LEFT JOIN o ON o.a = k.class_id""", uses=())
+def record_similarity_links(spark, d):
+    return SM.similar_records(T.given(spark, d, "documents"), 0.8, "doc_id")
+
+
 @query("org_name_blocking", """
 WITH n AS (SELECT id, trim(name) AS t FROM (SELECT id, name FROM org UNION ALL SELECT id + 1000000, upper(name) || ' 지역아동센터 ' FROM org))
 SELECT lower(CASE WHEN contains(t, '지역아동센터') OR ends_with(t, '센터') THEN t ELSE t || ' 지역아동센터' END) AS block, count(*) AS members, min(id) AS first_id FROM n GROUP BY 1""")
