@@ -11,7 +11,7 @@ Documents with the same set are one node from the start. Shingles in few prefixe
 yield candidate pairs directly, and connected candidates form a group. Shingles in
 many prefixes do not: all nodes of such shingles join the group of the shingle's first node.
 Within a group the full sets are compared block against block, and only a
-spanning set of the links found leaves a task. So no link is lost, and no group's pairs
+spanning set of the links found leaves a task, with the number of links of each node. So no link is lost, and no group's pairs
 are ever listed.
 """
 
@@ -170,11 +170,11 @@ def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, documen
     return rows.groupBy("node").agg(F.first("n").alias("n"), F.first("need").alias("need"), F.first("shingles").alias("shingles"))
 
 
-def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between ``left`` and ``right`` (places in ``sets``): each node but one of a connected piece, with that one."""
-    size = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), size)
-    tokens = np.concatenate(sets)
+def _common(tokens: np.ndarray, owner: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many tokens each of ``left`` shares with each of ``right`` (of ``n`` owners; a token once per owner)."""
+    common = np.zeros((len(left), len(right)), np.float64)
+    if not len(tokens):
+        return common.astype(np.int64)
     order = np.argsort(tokens, kind="stable")
     tokens, owner = tokens[order], owner[order]
     opens = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
@@ -183,23 +183,31 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
     pattern = np.add.reduceat(W.mix(owner.astype(np.uint64) + np.uint64(1)), opens)
     shared = np.flatnonzero(often > 1)
     _, sample, weight = np.unique(pattern[shared], return_index=True, return_counts=True)
-    common = np.zeros((len(left), len(right)), np.float64)
     for lo in range(0, len(sample), 4096):
         rows = shared[sample[lo:lo + 4096]]
-        grid = np.zeros((len(sets), len(rows)), np.float32)
+        grid = np.zeros((n, len(rows)), np.float32)
         column = np.repeat(np.arange(len(rows)), often[rows])
         places = np.concatenate([np.arange(opens[r], opens[r] + often[r]) for r in rows])
         grid[owner[places], column] = 1
         common += (grid[left] * weight[lo:lo + 4096].astype(np.float32)) @ grid[right].T
-    common = np.rint(common).astype(np.int64)
-    union = size[left][:, None] + size[right][None, :] - common
-    similar = 100 * common >= percent * union
-    label = np.arange(len(sets))
+    return np.rint(common).astype(np.int64)
+
+
+def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``left`` are similar enough to which of ``right`` (places in ``sets``)."""
+    size = np.array([len(s) for s in sets], np.int64)
+    common = _common(np.concatenate(sets), np.repeat(np.arange(len(sets)), size), len(sets), left, right)
+    return 100 * common >= percent * (size[left][:, None] + size[right][None, :] - common)
+
+
+def _spanning(similar: np.ndarray, n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links of ``n`` nodes: each node but one of a connected piece, with that one."""
+    label = np.arange(n)
     while True:
-        a = np.where(similar, label[right][None, :], len(sets)).min(1, initial=len(sets))
+        a = np.where(similar, label[right][None, :], n).min(1, initial=n)
         new = label.copy()
         new[left] = np.minimum(new[left], a)
-        b = np.where(similar, new[left][:, None], len(sets)).min(0, initial=len(sets))
+        b = np.where(similar, new[left][:, None], n).min(0, initial=n)
         np.minimum.at(new, right, b)
         if (new == label).all():
             break
@@ -207,8 +215,22 @@ def _linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent
     return [(i, int(r)) for i, r in enumerate(label) if i != r]
 
 
-def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Spanning links (a, b) within the groups (grp, node)."""
+def _met_before(names: pa.ChunkedArray, kind: int, name: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of ``left`` and ``right`` share a group before (``kind``, ``name``); ``names`` lists the groups of each node."""
+    lists = names.combine_chunks()
+    owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    held = lists.flatten()
+    kinds, own = held.field("kind").to_numpy().astype(np.int64), held.field("name").to_numpy()
+    before = (kinds < kind) | ((kinds == kind) & (own < name))
+    _, number = np.unique(np.stack([kinds[before], own[before]]), axis=1, return_inverse=True)
+    return _common(number.ravel().astype(np.uint64), owner[before], len(lists), left, right) > 0
+
+
+def _links(groups: DataFrame, sets: DataFrame, percent: int, counted: bool) -> DataFrame:
+    """Spanning links (a, b) within the groups (grp, node) and, if ``counted``, rows (a, null, n): n documents of other sets linked with node a.
+
+    ``sets`` then holds copies too. A pair that meets in several groups counts in the first of them only, so the sum of n over the rows of a node is exact.
+    """
     sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     placed = groups.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
@@ -218,11 +240,27 @@ def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         i, j = key[1].as_py(), key[2].as_py()
         nodes, own = table["node"].to_numpy(), table["own"].to_numpy()
         held = [np.frombuffer(s.as_py(), np.uint64) for s in table["shingles"]]
-        found = _linked(held, np.flatnonzero(own == i), np.flatnonzero(own == j), percent) if len(held) > 1 else []
-        a, b = [int(nodes[x]) for x, _ in found], [int(nodes[y]) for _, y in found]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return met.join(sets, "node").groupBy("grp", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+        if len(held) < 2:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        similar = _similar(held, left, right, percent)
+        found = _spanning(similar, len(held), left, right)
+        a, b, n = [int(nodes[x]) for x, _ in found], [int(nodes[y]) for _, y in found], [None] * len(found)
+        if counted:
+            group = key[0].as_py()
+            fresh = similar & (left[:, None] != right[None, :]) & ~_met_before(table["names"], group["kind"], group["name"], left, right)
+            copies = table["copies"].to_numpy()
+            total = np.zeros(len(held), np.int64)
+            total[left] += fresh @ copies[right]
+            if i != j:
+                total[right] += copies[left] @ fresh
+            some = np.flatnonzero(total)
+            a, b, n = a + nodes[some].tolist(), b + [None] * len(some), n + total[some].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    if counted:
+        sets = sets.join(groups.groupBy("node").agg(F.collect_set("grp").alias("names")), "node")
+    return met.join(sets, "node").groupBy("grp", "i", "j").applyInArrow(compare, "a bigint, b bigint, n bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int, filter_bits: int) -> DataFrame:
@@ -243,13 +281,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int, filter_bits: int) -> DataF
     return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, filter_bits: int = 1 << 24) -> DataFrame:
-    """One row per document row: ``id_col``, n_shingles, component_id, set_id, text_key.
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, filter_bits: int = 1 << 24, count_links: bool = False) -> DataFrame:
+    """One row per document row: ``id_col``, n_shingles, component_id, set_id, text_key and, with ``count_links``, n_links.
 
     A-Z is lower-cased, words are separated by ASCII white space, the set holds the
     distinct shingles of ``k`` words (with fewer words, the whole sequence). Two documents
     link when 100 * |intersection| >= ``percent`` * |union|. component_id is the smallest
-    identifier that links reach, the own one included; set_id is equal for equal sets.
+    identifier that links reach, the own one included; set_id is equal for equal sets. n_links is the number
+of other rows that a row links with, copies included, whatever group they met in.
 
     A null, empty or blank text has an empty set, which links with nothing, not even
     another empty one. Identifiers are integers; a null one is reached last (component_id is null
@@ -261,7 +300,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
     described = written(_described(rows, k), "sets")
     nodes = described.filter("cell IS NULL")
-    whole = nodes.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("id").alias("least"), F.first("n").alias("n"))
+    whole = nodes.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     sketch, documents = _sketch(described), nodes.count()
 
     prefix = written(_postings(rows, k, percent, sketch, documents), "prefixes")
@@ -279,11 +318,19 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dense = shared.filter(F.col("often") > PAIRED).select(F.struct(F.lit(1).alias("kind"), F.col("head").alias("name")).alias("grp"), "node").distinct()
     groups = written(paired.unionByName(dense), "groups")
     sets = _sets(rows, groups.select("node").distinct().join(whole, "node").select("node", "key"), k, filter_bits)
-    linked = components(_links(groups, sets, percent))
+    if count_links:
+        links = written(_links(groups, sets.join(whole.select("node", "copies"), "node"), percent, True), "links")
+        others = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
+        whole = whole.join(others, "node", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("others", F.lit(0)))
+        linked = components(links.filter("b IS NOT NULL").select("a", "b"))
+    else:
+        linked = components(_links(groups, sets, percent, False).select("a", "b"))
 
     rooted = whole.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = rooted.join(least, "root").select("node", "component_id")
+    counts = ["n_links"] if count_links else []
+    found = rooted.join(least, "root").select("node", "component_id", *counts)
     return nodes.join(found.withColumnRenamed("node", "of"), (F.col("node") == F.col("of")) & (F.col("n") > 0), "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("node").alias("set_id"), F.col("key").alias("text_key"))
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), F.col("node").alias("set_id"), F.col("key").alias("text_key"),
+        *[F.coalesce(x, F.lit(0)).alias(x) for x in counts])

@@ -39,14 +39,16 @@ def brute_components(rows, k, percent):
             i = root[i]
         return i
 
-    ids = list(sets)
+    ids, links = list(sets), dict.fromkeys(sets, 0)
     for n, a in enumerate(ids):
         for b in ids[n + 1:]:
             common = len(sets[a] & sets[b])
             if common and 100 * common >= percent * len(sets[a] | sets[b]):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    return {i: (len(sets[i]), find(i)) for i in ids}
+                links[a] += 1
+                links[b] += 1
+    return {i: (len(sets[i]), find(i), links[i]) for i in ids}
 
 
 @pytest.mark.parametrize("k,percent,paired,block", [(3, 90, 64, 256), (3, 90, 4, 8), (5, 80, 8, 16)])
@@ -54,8 +56,8 @@ def test_join_equals_brute_force(spark, monkeypatch, k, percent, paired, block):
     monkeypatch.setattr(J, "PAIRED", paired)
     monkeypatch.setattr(J, "BLOCK", block)
     rows = near_copies(k + percent + paired)
-    got = J.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k=k, percent=percent).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, percent)
+    got = J.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), k=k, percent=percent, count_links=True).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute_components(rows, k, percent)
 
 
 def test_poisson_tail():
