@@ -68,3 +68,19 @@ def test_empty_table_null_ids_and_wrong_threshold(spark):
     assert sorted(map(tuple, S.similar_records(odd).collect()), key=str) == [(1, 1, 0), (None, None, 0), (None, None, 0)]
     with pytest.raises(ValueError):
         S.similar_pairs(none, 0)
+
+
+def test_sketches_keep_every_similar_pair_and_spare_the_words_of_others(spark, monkeypatch, tmp_path):
+    # records of four families share one word in two with each other and all but one with their own
+    rng = random.Random(5)
+    common = [f"c{i}" for i in range(40)]
+    families = [common + [f"f{k}x{i}" for i in range(40)] for k in range(4)]
+    texts = [(i, " ".join([*families[i % 4], f"own{i}"])) for i in range(200)] + [(1000 + i, " ".join(rng.sample(common, 30) + [f"{i}y{n}" for n in range(60)])) for i in range(200)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    written = {}
+    keep = S.stored
+    monkeypatch.setattr(S, "stored", lambda frame, name: written.setdefault(name, keep(frame, name)))
+    assert {r.id: (r.class_id, r.n_links) for r in S.similar_records(df).collect()} == brute(texts, 0.8)[1]
+    assert "hashes" not in written["signatures"].columns and "words" not in written["signatures"].columns
+    # no record outside the families brings its words, and no list of pairs is written
+    assert written["likely"].filter("class_id >= 1000").isEmpty() and "similar" not in written
