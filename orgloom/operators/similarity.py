@@ -151,12 +151,20 @@ def word_classes(records: DataFrame, id_col: str = "id", text_col: str = "text")
 
     A record without words or without an identifier is a class of its own, with copies 1.
     """
-    words = word_set(F.col(text_col))
-    rows = records.select(F.col(id_col).cast("long").alias("id"), words.alias("words")).withColumn(
-        "digest", F.when((F.size("words") > 0) & F.col("id").isNotNull(), F.sha2(F.array_join("words", " "), 256)))
+    return _classes(_words(records, id_col, text_col))
+
+
+def _words(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per record: id, words (joined by single spaces), digest (NULL without words or identifier)."""
+    rows = records.select(F.col(id_col).cast("long").alias("id"), F.array_join(word_set(F.col(text_col)), " ").alias("words"))
+    return rows.withColumn("digest", F.when((F.col("words") != "") & F.col("id").isNotNull(), F.unhex(F.sha2("words", 256))))
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    rows = rows.select("id", "digest")
     filled = rows.filter("digest IS NOT NULL")
     classes = filled.groupBy("digest").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
-    return filled.select("id", "digest").join(classes, "digest").select("id", "class_id", "copies").unionByName(
+    return filled.join(classes, "digest").select("id", "class_id", "copies").unionByName(
         rows.filter("digest IS NULL").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("copies")))
 
 
@@ -165,13 +173,12 @@ def similar_pairs(records: DataFrame, threshold: float = 0.8, id_col: str = "id"
 
     Identifiers are unique integers; null ones and records without words are in no pair. Other columns are ignored.
     """
-    return _compared(_sets(records, id_col, text_col), threshold, bands, rows, listed=True)
+    return _compared(_sets(_words(records, id_col, text_col)), threshold, bands, rows, listed=True)
 
 
-def _sets(records: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per class: class_id, copies, words (joined by single spaces)."""
-    kept = records.select(F.col(id_col).cast("long").alias("id"), F.array_join(word_set(F.col(text_col)), " ").alias("words")).filter("words <> '' AND id IS NOT NULL")
-    grouped = kept.groupBy(F.sha2("words", 256).alias("digest")).agg(
+def _sets(rows: DataFrame) -> DataFrame:
+    """One row per class: class_id, copies, words."""
+    grouped = rows.filter("digest IS NOT NULL").groupBy("digest").agg(
         F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"), F.first("words").alias("words"))
     return stored(grouped.select("class_id", "copies", "words"), "word-sets")
 
@@ -204,7 +211,8 @@ def similar_records(records: DataFrame, threshold: float = 0.8, id_col: str = "i
     class_id is the smallest identifier with the same words; n_links counts the other records of similarity ``threshold`` or more, copies
     included. A record without words is a class of its own without links; so is one without an identifier.
     """
-    links = _compared(_sets(records, id_col, text_col), threshold, bands, rows, listed=False)
+    words = stored(_words(records, id_col, text_col), "words")
+    links = _compared(_sets(words), threshold, bands, rows, listed=False)
     others = links.groupBy("class_id").agg(F.sum("n").alias("others"))
-    out = word_classes(records, id_col, text_col).join(others, "class_id", "left")
+    out = _classes(words).join(others, "class_id", "left")
     return out.select(F.col("id").alias(id_col), "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
