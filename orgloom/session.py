@@ -57,6 +57,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def wide(spark: SparkSession) -> int:
+    """Number of tasks for costly work on rows that come in few files."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table below :func:`checkpoint_root`: computed once, its size known to the planner, no work lost with an executor."""
     path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

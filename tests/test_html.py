@@ -93,3 +93,18 @@ def test_deep_pages_in_one_pass():
 
     seconds(1000)
     assert seconds(80_000) < 12 * seconds(20_000)
+
+
+def test_attributes_are_parsed_once_for_all_selectors(monkeypatch):
+    from orgloom.functions import html_tree as H
+
+    parsed = []
+
+    class Counting:
+        findall = staticmethod(lambda text, found=H._ATTRIBUTE.findall: parsed.append(text) or found(text))
+
+    monkeypatch.setattr(H, "_ATTRIBUTE", Counting)
+    found, _ = H.elements('<div class="a b" id=x><p class=b>t</p></div>')
+    tests = [H.selector(css) for css in (".a", ".b", "#x", '[class*="a"]', "[id]", "p.b")]
+    assert [[e.name for e in found if t(e)] for t in tests] == [["div"], ["div", "p"], ["div"], ["div"], ["div"], ["p"]]
+    assert len(parsed) == 2

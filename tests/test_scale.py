@@ -71,3 +71,12 @@ def test_no_cross_joins_or_row_functions(spark, small):
         text = plan(fn(spark, small))
         for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
             assert bad not in text, f"{name}: {bad}"
+
+
+@pytest.mark.parametrize("name", ["texts", "htmls", "replies"])
+def test_texts_of_customers_are_made_by_many_tasks(spark, small, name):
+    # the customers fill one file split; what is made of them must not stay in its task
+    rows = T.view(spark, small, name).filter("id >= 1000000000")
+    tasks = rows.groupBy(F.spark_partition_id()).count().count()
+    assert tasks > 1 and rows.count() == spark.read.parquet(f"{small}/customer.parquet").count()
+    assert "REPARTITION_BY_NUM" in plan(rows) and "orders.parquet" not in plan(rows)
