@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orgloom.functions import fixed_values as V
 from orgloom.operators import ingest as I
+from orgloom.session import wide
 from orgloom.sources import files, sinks, workbooks
 from orgloom.sources import tables as T
 
@@ -132,7 +133,8 @@ def read_sheet_positional(spark, d):
 
 def _written_workbooks(spark, df, **options):
     path = scratch(spark, "xlsx")
-    workbooks.write_workbooks(df, path, **options)
+    # a workbook is written and read by one task
+    workbooks.write_workbooks(df.repartition(wide(spark)), path, **options)
     return path
 
 

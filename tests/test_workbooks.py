@@ -120,3 +120,11 @@ def test_long_sheets(spark, tmp_path, monkeypatch):
     again = B._Writer(writer_schema := B.StructType([B.StructField("n", B.StringType())]), {"path": str(tmp_path / "w")}, True)
     again.abort([again.write(iter([]))])
     assert writer_schema and B.read_workbook(spark, str(tmp_path / "w")).count() == 25
+
+
+def test_workbooks_of_a_table_in_one_file_are_many(spark, small):
+    from orgloom.plans import ingest
+    from orgloom.sources import tables as T
+
+    path = ingest._written_workbooks(spark, T.organizations(spark, small).select("name", "phone").coalesce(1))
+    assert W.read_workbook(spark, path).rdd.getNumPartitions() > 1
