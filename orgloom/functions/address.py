@@ -89,9 +89,16 @@ def phone_fits_region(phone: Column | str, address: Column | str, policy: str =
 
 def clean_address(address: Column | str, keep_symbols: bool = False) -> Column:
     """Single spaces, NULL under 10 characters, other symbols dropped."""
-    one_space = F.trim(F.regexp_replace(_c(address), r"(?U)\s+", " "))
-    cleaned = one_space if keep_symbols else F.regexp_replace(one_space, r"(?U)[^\w\s\-.,()가-힣]", "")
-    return F.when(F.length(one_space) >= 10, cleaned)
+    return clean_spaced(one_space(address), keep_symbols)
+
+
+def one_space(address: Column | str) -> Column:
+    return F.trim(F.regexp_replace(_c(address), r"(?U)\s+", " "))
+
+
+def clean_spaced(address: Column, keep_symbols: bool = False) -> Column:
+    cleaned = address if keep_symbols else F.regexp_replace(address, r"(?U)[^\w\s\-.,()가-힣]", "")
+    return F.when(F.length(address) >= 10, cleaned)
 
 
 def plausible(address: Column | str) -> Column:

@@ -62,12 +62,12 @@ def _has_number(text: Column, value: Column) -> Column:
 
 
 def keep(arr: Column, to: object) -> Column:
-    """Map, drop NULLs, keep the first of equal values."""
-    return F.array_distinct(F.array_compact(F.transform(arr, to)))
+    """Map, drop NULLs, keep the first of equal values; equal matches are mapped once."""
+    return F.array_distinct(F.array_compact(F.transform(F.array_distinct(arr), to)))
 
 
 def _phones(text: Column, patterns: list[str] = V.PHONE_PATTERNS) -> Column:
-    return keep(_has_number(text, all_matches(text, patterns, "(?im)")), lambda x: P.format_digits(P.digits(x)))
+    return keep(_has_number(text, all_matches(text, patterns, "(?im)")), lambda x: let(P.digits(x), P.format_digits))
 
 
 def _emails(text: Column, patterns: list[str] = V.EMAIL_PATTERNS) -> Column:
@@ -75,12 +75,16 @@ def _emails(text: Column, patterns: list[str] = V.EMAIL_PATTERNS) -> Column:
 
 
 def _addresses(text: Column) -> Column:
-    return keep(_guard(text, "[시군구동로길]", all_matches(text, V.ADDRESS_PATTERNS, "(?im)")), lambda x: A.clean_address(x))
+    return keep(_guard(text, "[시군구동로길]", all_matches(text, V.ADDRESS_PATTERNS, "(?im)")), _clean_address)
+
+
+def _clean_address(x: Column) -> Column:
+    return let(A.one_space(x), lambda a: A.clean_spaced(a))
 
 
 def _websites(text: Column) -> Column:
     return keep(_guard(text, r"(?i)https?://|www\.|홈페이지|웹사이트|website|homepage",
-                       all_matches(text, V.WEBSITE_PATTERNS)), W.url_or_null)
+                       all_matches(text, V.WEBSITE_PATTERNS)), lambda x: let(W.url_with_scheme(x), W.url_shaped))
 
 
 def phones(text: Column | str, patterns: list[str] = V.PHONE_PATTERNS) -> Column:
@@ -136,7 +140,11 @@ def _helper_phones(text: Column) -> Column:
     pats = V.HELPER_PHONE_PATTERNS[:-1]
     raw = F.concat(all_matches(text, pats, group=0),
                    F.regexp_extract_all(text, F.lit(r"\+82-(\d{1,2}-\d{3,4}-\d{4})"), F.lit(1)))
-    return keep(_has_number(text, raw), P.normalize_helper)
+    return keep(_has_number(text, raw), _normalized)
+
+
+def _normalized(x: Column) -> Column:
+    return let(P.digits(x), lambda d: let(P.strip_country(d), P.dash_helper))
 
 
 def helper_faxes(text: Column | str) -> Column:
@@ -144,7 +152,7 @@ def helper_faxes(text: Column | str) -> Column:
 
 
 def _helper_faxes(text: Column) -> Column:
-    return keep(_has_number(text, all_matches(text, V.HELPER_FAX_PATTERNS)), P.normalize_helper)
+    return keep(_has_number(text, all_matches(text, V.HELPER_FAX_PATTERNS)), _normalized)
 
 
 def helper_emails(text: Column | str) -> Column:
@@ -181,7 +189,7 @@ def enhanced_numbers(text: Column | str, kind: str = "phone") -> Column:
 
 def _enhanced_numbers(text: Column, kind: str) -> Column:
     pats = V.ENHANCED_PHONE_PATTERNS if kind == "phone" else V.ENHANCED_FAX_PATTERNS
-    dashed = F.transform(_has_number(text, all_matches(text, pats)), lambda x: F.regexp_replace(x, r"\.", "-"))
+    dashed = F.transform(F.array_distinct(_has_number(text, all_matches(text, pats))), lambda x: F.regexp_replace(x, r"\.", "-"))
     return F.array_distinct(F.filter(dashed, lambda x: F.length(P.digits(x)) >= 9))
 
 
@@ -193,8 +201,8 @@ def search_phones(text: Column | str) -> Column:
 def _search_phones(text: Column) -> Column:
     pats = V.SEARCH_PHONE_PATTERNS
     raw = F.concat(all_matches(text, pats[:-2], group=0), all_matches(text, pats[-2:], group=1))
-    return keep(_has_number(text, raw), lambda x: F.when(
-        F.length(P.digits(x)).between(9, 11) & ~P.few_digits(x), P.dash_any(P.digits(x))))
+    return keep(_has_number(text, raw), lambda x: let(P.digits(x), lambda d: F.when(
+        F.length(d).between(9, 11) & ~P.few_digits(d), P.dash_any(d))))
 
 
 def crawl_faxes(text: Column | str) -> Column:
@@ -258,7 +266,7 @@ def _decode_entities(c: Column) -> Column:
     texts = F.transform(F.split(c, _NUMERIC, -1), _decode_named)
     refs = F.regexp_extract_all(c, F.lit(_NUMERIC), F.lit(0))
     joined = F.array_join(F.flatten(F.transform(F.arrays_zip(texts.alias("t"), refs.alias("r")), lambda z: F.array(z["t"], F.coalesce(_character(z["r"]), F.lit(""))))), "")
-    return F.when(c.contains("&#"), joined).otherwise(_decode_named(c))
+    return F.when(c.contains("&#"), joined).when(c.contains("&"), _decode_named(c)).otherwise(c)
 
 
 def _decode_named(c: Column) -> Column:

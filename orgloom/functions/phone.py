@@ -223,8 +223,16 @@ def few_digits(c: Column | str) -> Column:
 def valid_in_text(c: Column | str) -> Column:
     """9-11 digits under a known area and not written like a placeholder."""
     c = _c(c)
-    d = digits(c)
-    return F.length(d).between(9, 11) & area_code(d).isNotNull() & ~c.rlike(_DUMMY)
+    return digits_in_text(digits(c)) & ~c.rlike(_DUMMY)
+
+
+def digits_in_text(d: Column) -> Column:
+    """9-11 digits under a known area."""
+    return F.length(d).between(9, 11) & area_code(d).isNotNull()
+
+
+def placeholder(c: Column) -> Column:
+    return c.rlike(_DUMMY)
 
 
 def validator_verdict(value: Column, normalized: Column) -> Column:

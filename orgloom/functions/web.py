@@ -61,7 +61,10 @@ def url_with_scheme(url: Column | str) -> Column:
 
 def url_or_null(url: Column | str) -> Column:
     """``url_with_scheme`` when the result looks like a URL, else NULL."""
-    t = url_with_scheme(url)
+    return url_shaped(url_with_scheme(url))
+
+
+def url_shaped(t: Column) -> Column:
     return F.when(t.rlike(r"^https?://[^\s]+\.[^\s]+"), t)
 
 

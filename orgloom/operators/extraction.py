@@ -53,9 +53,8 @@ def extract_first_contact(texts: DataFrame, key: str = "id") -> DataFrame:
 
 def _listed(matches: Column) -> Column:
     """Stripped matches; one is skipped when its raw text is already listed."""
-    stripped = F.transform(matches, lambda x: strip(x))
-    fresh = F.filter(matches, lambda x, i: ~F.array_contains(F.slice(stripped, F.lit(1), i), x))
-    return F.transform(fresh, lambda x: strip(x))
+    return X.let(F.transform(matches, lambda x: strip(x)), lambda stripped: F.transform(
+        F.filter(matches, lambda x, i: ~F.array_contains(F.slice(stripped, F.lit(1), i), x)), lambda x: strip(x)))
 
 
 def extract_postal_codes(texts: DataFrame, key: str = "id") -> DataFrame:
@@ -69,7 +68,7 @@ def extract_postal_codes(texts: DataFrame, key: str = "id") -> DataFrame:
         X._has_number(t, X.all_matches(t, V.PHONE_PATTERNS, "")).alias("p"), X._has_number(t, X.all_matches(t, V.FAX_PATTERNS, "")).alias("f"),
         F.when(t.contains("@"), X.all_matches(t, V.EMAIL_PATTERNS, "")).otherwise(none).alias("e"))
     long_ones = F.filter(F.array_sort(F.array_distinct("a")), lambda a: F.length(a) > 10)
-    good = lambda c: F.size(F.filter(_listed(F.col(c)), lambda x: P.valid_in_text(x)))
+    good = lambda c: F.size(F.filter(_listed(F.col(c)), lambda x: X.let(P.digits(x), P.digits_in_text) & ~P.placeholder(x)))
     return found.select(
         key, "postal_codes", long_ones.alias("addresses"), good("p").alias("phones_validated"), good("f").alias("faxes_validated"),
         F.size(_listed(F.col("e"))).alias("emails_validated"), F.size(long_ones).alias("addresses_found"), F.size("postal_codes").alias("postal_codes_found"))
@@ -79,7 +78,7 @@ def extract_contacts_page(texts: DataFrame, key: str = "id") -> DataFrame:
     """The page policy: any prefix, full e-mail pattern, addresses with their symbols."""
     texts = texts.select(key, X.spaced("text").alias("text"))
     t = F.col("text")
-    numbers = lambda pats: X.keep(X._has_number(t, X.all_matches(t, pats)), lambda x: P.dash_page(P.digits(x)))
+    numbers = lambda pats: X.keep(X._has_number(t, X.all_matches(t, pats)), lambda x: X.let(P.digits(x), P.dash_page))
     addresses = X.keep(F.when(t.rlike("[시군구동로길]"), X.all_matches(t, V.ADDRESS_PATTERNS)).otherwise(F.array().cast("array<string>")),
                        lambda x: A.clean_address(x, keep_symbols=True))
     return texts.select(key, numbers(V.PHONE_PATTERNS).alias("phones"), numbers(V.FAX_PATTERNS).alias("faxes"),

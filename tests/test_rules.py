@@ -90,3 +90,12 @@ def test_numbers_with_any_white_space(spark, space):
     text = f"전화{space}02{space}1234{space}5678 팩스:{space}031{space}123{space}4567"
     row = spark.createDataFrame([(text,)], "text string").select(X.phones("text").alias("p"), X.faxes("text").alias("f")).first()
     assert "02-1234-5678" in row.p and "031-123-4567" in row.f
+
+
+def test_digits_of_a_number_are_taken_once(spark):
+    from orgloom.functions import extract as X
+
+    df = spark.createDataFrame([("전화 02-123-4567 Tel 02-123-4567 +82-31-123-4567",)], "text string")
+    for column, most in ((X.phones("text"), 1), (X.helper_phones("text"), 1), (X.search_phones("text"), 2)):
+        text = df.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert text.count("[^0-9]") <= most
