@@ -127,4 +127,4 @@ def test_workbooks_of_a_table_in_one_file_are_many(spark, small):
     from orgloom.sources import tables as T
 
     path = ingest._written_workbooks(spark, T.organizations(spark, small).select("name", "phone").coalesce(1))
-    assert W.read_workbook(spark, path).rdd.getNumPartitions() > 1
+    assert B.read_workbook(spark, path).rdd.getNumPartitions() > 1
