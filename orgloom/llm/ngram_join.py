@@ -1,11 +1,12 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes.
 
 A document is the set of its word shingles. All sets are sorted in one global order,
-rare shingles first by a frequency sketch of fixed size. For two sets that are
+rare shingles first by two frequency sketches of fixed size: one of shingles, which shows the
+frequent ones above its noise, and one of words, whose product tells the rare ones apart, however many shingles share a counter. For two sets that are
 similar enough, the first |x| - ceil(t|x|) + l shingles of each share at least l, for any l. Each
 document lengthens its prefix (a larger l) where the sketch estimates that this
 saves more verifications than it costs in postings; a pair is a candidate when its prefixes
-share as many shingles as the smaller of the two l.
+share as many shingles as the smaller of the two l, and as many as their sizes ask for (see :func:`enough`).
 
 Documents with the same set are one node from the start. Shingles in few prefixes
 yield candidate pairs directly, and connected candidates form a group. Shingles in
@@ -22,41 +23,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orgloom.llm import words as W
 from orgloom.llm.components import components
 from orgloom.llm.storage import bit_table, tidy, written
 
-SKETCH_BITS = 20
-SKETCH_PARTS = 64
+SKETCH_BITS, WORD_BITS = 22, 20  # counters of shingles and of words
+SKETCH_PARTS = 64  # of either
+OCTAVE = 4  # levels of rarity for a factor of two
+RAREST = -6 * OCTAVE  # shingles expected less often than 2 ** -6 times count as equally rare
 LONGEST = 4  # largest number of shared prefix shingles asked for
 VERIFY_COST = 8.0  # of a candidate, in postings
 PAIRED = 64  # a shingle in more prefixes is not turned into pairs
-BLOCK = 128  # nodes compared with as many others in one task
+BLOCK = 512  # nodes compared with as many others in one task
+BLOCK_SHINGLES = 1 << 20  # about as many in a block at most
 
 
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(i, j, shingles, owner) for stretches of texts: the distinct shingle hashes of texts i to j, by text."""
+def _sets_of(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, W.Words]]:
+    """(i, j, shingles, owner, first word, number of words, words) for stretches of texts: the distinct shingle hashes of texts i to j, by text."""
     raw, at = W.raw_column(texts)
     for i, j in W.stretches(at):
         words = W.words_of(raw, at[i:j + 1], W.SPACES, True)
         counts = words.counts()
         owner = np.repeat(np.arange(j - i), counts)
         inside = words.inside(k)
-        parts, owners = [words.windows(k)[inside]], [owner[:len(inside)][inside]]
+        parts, owners, places, sizes = [words.windows(k)[inside]], [owner[:len(inside)][inside]], [np.flatnonzero(inside)], [np.full(inside.sum(), k)]
         for n in range(1, k):  # fewer words: the whole sequence is the shingle
             few = np.flatnonzero(counts == n)
             if len(few):
                 parts.append(words.windows(n)[words.first[few]])
                 owners.append(few)
+                places.append(words.first[few])
+                sizes.append(np.full(len(few), n))
         tokens, owner = np.concatenate(parts), np.concatenate(owners)
         order = np.lexsort((tokens, owner))
         tokens, owner = tokens[order], owner[order]
         fresh = np.ones(len(tokens), bool)
         fresh[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
-        yield i, j, tokens[fresh], owner[fresh]
+        order = order[fresh]
+        yield i, j, tokens[fresh], owner[fresh], np.concatenate(places)[order], np.concatenate(sizes)[order], words
+
+
+def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(i, j, shingles, owner) for stretches of texts: the distinct shingle hashes of texts i to j, by text."""
+    for found in _sets_of(texts, k):
+        yield found[:4]
 
 
 def _sums(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -71,43 +84,72 @@ def _node_hashes(tokens: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return W.mix(_sums(W.mix(tokens ^ np.uint64(0xA5A5)), owner, n)).view(np.int64)
 
 
+def _cells(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places in ``table``, whose size is a power of two."""
+    return (hashes >> np.uint64(65 - len(table).bit_length())).astype(np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """32-bit counters, compressed by byte places, as most are small."""
+    return zlib.compress(counts.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def _described(docs: DataFrame, k: int) -> DataFrame:
-    """Rows of documents (id, key, n, node) and of partial sketches (cell, counts)."""
-    size = (1 << SKETCH_BITS) // SKETCH_PARTS
+    """Rows of documents (id, key, n, node) and of partial sketches (cell, counts): parts of the shingles' sketch, then of the words'."""
     names = ["id", "key", "n", "node", "cell", "counts"]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
+        sketch, often = np.zeros(1 << SKETCH_BITS, np.uint32), np.zeros(1 << WORD_BITS, np.uint32)
         for batch in batches:
-            for i, j, tokens, owner in shingle_sets(batch["text"], k):
-                sketch += np.bincount((tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            for i, j, tokens, owner, _, _, words in _sets_of(batch["text"], k):
+                np.add.at(sketch, _cells(tokens, sketch), np.uint32(1))
+                np.add.at(often, _cells(words.hash, often), np.uint32(1))
                 node = _node_hashes(tokens, owner, j - i)
                 counts = np.bincount(owner, minlength=j - i)
                 none = pa.nulls(j - i)
                 yield pa.RecordBatch.from_arrays(
                     [batch["id"].slice(i, j - i), batch["key"].slice(i, j - i), pa.array(counts), pa.array(node), none.cast(pa.int32()),
                      none.cast(pa.binary())], names)
-        cells = [p for p in range(SKETCH_PARTS) if sketch[p * size:(p + 1) * size].any()]
+        parts = [*np.split(sketch, SKETCH_PARTS), *np.split(often, SKETCH_PARTS)]
+        cells = [p for p, part in enumerate(parts) if part.any()]
         if cells:
-            packed = [zlib.compress(sketch[p * size:(p + 1) * size].tobytes(), 1) for p in cells]
             none = pa.nulls(len(cells), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(cells, pa.int32()), pa.array(packed, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays(
+                [none, none, none, none, pa.array(cells, pa.int32()), pa.array([_packed(parts[p]) for p in cells], pa.binary())], names)
 
     return docs.mapInArrow(tidy(describe), "id bigint, key bigint, n bigint, node bigint, cell int, counts binary")
 
 
-def _sketch(described: DataFrame) -> np.ndarray:
-    """The summed sketch: a fixed number of counters."""
+def _sketches(described: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The summed sketches of shingles and of words: a fixed number of counters."""
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(zlib.decompress(b.as_py()), np.uint32).astype(np.int64) for b in table["counts"])
-        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+        total = sum(_unpacked(b.as_py()).astype(np.float64) for b in table["counts"])
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     rows = described.filter("cell IS NOT NULL").select("cell", "counts").groupBy("cell").applyInArrow(add, "cell int, counts binary").collect()
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
+    out = [np.zeros((SKETCH_PARTS, (1 << bits) // SKETCH_PARTS), np.float32) for bits in (SKETCH_BITS, WORD_BITS)]
     for r in rows:
-        out[r.cell] = np.frombuffer(r.counts, np.int64)
-    return out.ravel()
+        out[r.cell // SKETCH_PARTS][r.cell % SKETCH_PARTS] = np.frombuffer(r.counts, np.float32)
+    return out[0].ravel(), out[1].ravel()
+
+
+def levels(sketch: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(of shingles, of words, base) by counter: levels of rarity, OCTAVE of them for a factor of two.
+
+    A shingle's level is the larger of its own counter's, where that stands out of the noise of other shingles, and of base and its words' levels
+    together, which is how often words so frequent would meet by chance. All are whole numbers, made once, so every task sorts alike.
+    """
+    floor = max(1.0, float(np.median(sketch)))
+    above = sketch - np.float32(floor)
+    own = np.where(above > max(1.0, 4 * floor ** 0.5), np.round(OCTAVE * np.log2(np.maximum(above, np.float32(1)))), -128).astype(np.int8)
+    total, floor = max(1.0, float(often.sum(dtype=np.float64))), float(np.median(often))
+    share = np.maximum(often - np.float32(floor), max(1.0, floor ** 0.5)) / np.float32(total)
+    return own, np.round(OCTAVE * np.log2(share)).astype(np.int16), round(OCTAVE * float(np.log2(total)))
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:
@@ -124,37 +166,51 @@ def _at_least(rate: np.ndarray, least: int) -> np.ndarray:
     return np.where(rate < 0.05, term * (1 + rate / (least + 1)), 1 - below)  # term: exactly ``least``
 
 
-def prefixes(tokens: np.ndarray, owner: np.ndarray, n: int, sketch: np.ndarray, documents: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _level(tokens: np.ndarray, place: np.ndarray, size: np.ndarray, words: W.Words, rarity: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Levels of the shingles of ``size`` words at ``place``."""
+    own, of_words, base = rarity
+    total = np.concatenate([[0], np.cumsum(of_words[_cells(words.hash, of_words)], dtype=np.int64)])
+    return np.maximum(np.maximum(base + total[place + size] - total[place], own[_cells(tokens, own)]), RAREST)
+
+
+def prefixes(tokens: np.ndarray, owner: np.ndarray, n: int, level: np.ndarray, documents: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(chosen, l, order): tokens sorted rare first within each owner by ``order``, which of them are in the prefix, and l by owner."""
-    floor = max(1.0, float(np.median(sketch)))
-    often = np.maximum(sketch[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)] - floor, 1.0)
-    level = (4 * np.log2(1 + often / floor)).astype(np.int64)
     order = np.lexsort((tokens, level, owner))
-    often, owner = often[order], owner[order]
+    others, owner = np.exp2(level[order] / OCTAVE), owner[order]
     first = np.searchsorted(owner, np.arange(n + 1))
     size = np.diff(first)
-    total = np.concatenate([[0.0], np.cumsum(often)])
+    total = np.concatenate([[0.0], np.cumsum(others)])
     spare = size - _needed(size, percent)
     best, chosen = np.full(n, np.inf), np.ones(n, np.int64)
     for least in range(1, LONGEST + 1):
         length = np.minimum(spare + least, size)
-        scanned = total[first[:-1] + length] - total[first[:-1]]
-        cost = scanned + VERIFY_COST * documents * _at_least(scanned / max(1, documents), least)
+        met = total[first[:-1] + length] - total[first[:-1]]
+        cost = length + met + VERIFY_COST * documents * _at_least(met / max(1, documents), least)
         better = (cost < best) & (least <= _needed(size, percent))
         best[better], chosen[better] = cost[better], least
     place = np.arange(len(owner)) - first[owner]
     return place < np.minimum(spare + chosen, size)[owner], chosen, order
 
 
-def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, documents: int) -> DataFrame:
+def enough(percent: int) -> Column:
+    """How many shingles of their prefixes two similar sets (n, need and n2, need2) share at least.
+
+    The prefix that ends first in the global order, x's, shares nothing with the rest of y, so what x and y have in common lies in both prefixes or
+    in the rest of x, which has as many shingles as x needs in common with any set, less l. The larger set gives the lower number, or the smaller need.
+    """
+    common = f"({percent} * (n + n2) + {99 + percent}) div {100 + percent}"
+    return F.expr(f"greatest(least(need, need2), {common} - greatest(({percent} * n + 99) div 100 - need, ({percent} * n2 + 99) div 100 - need2))")
+
+
+def _postings(docs: DataFrame, k: int, percent: int, rarity: tuple[np.ndarray, np.ndarray, int], documents: int) -> DataFrame:
     """(node, n, need, shingles): each node's prefix. Sets so small that only equal ones are similar have none."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, tokens, owner in shingle_sets(batch["text"], k):
+            for i, j, tokens, owner, place, length, words in _sets_of(batch["text"], k):
                 node = _node_hashes(tokens, owner, j - i)
                 size = np.bincount(owner, minlength=j - i)
-                inside, need, order = prefixes(tokens, owner, j - i, sketch, documents, percent)
+                inside, need, order = prefixes(tokens, owner, j - i, _level(tokens, place, length, words, rarity), documents, percent)
                 tokens, owner = tokens[order][inside], owner[order][inside]
                 at = np.searchsorted(owner, np.arange(j - i + 1))
                 large = np.flatnonzero(100 * size >= percent * (size + 1))
@@ -227,11 +283,12 @@ def _met_before(names: pa.ChunkedArray, kind: int, name: int, left: np.ndarray,
 
 
 def _links(groups: DataFrame, sets: DataFrame, percent: int, counted: bool) -> DataFrame:
-    """Spanning links (a, b) within the groups (grp, node) and, if ``counted``, rows (a, null, n): n documents of other sets linked with node a.
+    """Spanning links (a, b) within the groups (grp, node, n) and, if ``counted``, rows (a, null, n): n documents of other sets linked with node a.
 
     ``sets`` then holds copies too. A pair that meets in several groups counts in the first of them only, so the sum of n over the rows of a node is exact.
     """
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = groups.groupBy("grp").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     placed = groups.join(sizes, "grp").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "grp", "node", "own", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"))
@@ -301,22 +358,24 @@ of other rows that a row links with, copies included, whatever group they met in
     described = written(_described(rows, k), "sets")
     nodes = described.filter("cell IS NULL")
     whole = nodes.filter("n > 0").groupBy("node").agg(F.min("key").alias("key"), F.min("id").alias("least"), F.first("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    sketch, documents = _sketch(described), nodes.count()
+    rarity, documents = levels(*_sketches(described)), nodes.count()
 
-    prefix = written(_postings(rows, k, percent, sketch, documents), "prefixes")
+    prefix = written(_postings(rows, k, percent, rarity, documents), "prefixes")
     postings = prefix.select("node", "n", "need", F.explode("shingles").alias("shingle"))
-    often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("often"), F.min("node").alias("head")).filter("often > 1")
+    often = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
     shared = written(postings.join(often, "shingle"), "postings")
     few = shared.filter(F.col("often") <= PAIRED)
     other = few.select("shingle", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("need").alias("need2"))
     met = few.join(other, "shingle").filter(
         (F.col("node") < F.col("node2")) & (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")))
-    candidates = met.groupBy("node", "node2").agg(F.count(F.lit(1)).alias("met"), F.first(F.least("need", "need2")).alias("need"))
-    edges = candidates.filter("met >= need").select(F.col("node").alias("a"), F.col("node2").alias("b"))
+    candidates = met.withColumn("enough", enough(percent)).groupBy("node", "node2").agg(F.count(F.lit(1)).alias("met"), F.first("enough").alias("enough"))
+    edges = candidates.filter("met >= enough").select(F.col("node").alias("a"), F.col("node2").alias("b"))
     # two kinds of groups; their names must not meet
     paired = components(edges).select(F.struct(F.lit(0).alias("kind"), F.col("root").alias("name")).alias("grp"), "node")
-    dense = shared.filter(F.col("often") > PAIRED).select(F.struct(F.lit(1).alias("kind"), F.col("head").alias("name")).alias("grp"), "node").distinct()
-    groups = written(paired.unionByName(dense), "groups")
+    many = shared.filter(F.col("often") > PAIRED).select("shingle", "node")
+    dense = many.join(many.groupBy("shingle").agg(F.min("node").alias("head")), "shingle").select(
+        F.struct(F.lit(1).alias("kind"), F.col("head").alias("name")).alias("grp"), "node").distinct()
+    groups = written(paired.unionByName(dense).join(whole.select("node", "n"), "node"), "groups")
     sets = _sets(rows, groups.select("node").distinct().join(whole, "node").select("node", "key"), k, filter_bits)
     if count_links:
         links = written(_links(groups, sets.join(whole.select("node", "copies"), "node"), percent, True), "links")

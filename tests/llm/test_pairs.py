@@ -60,6 +60,63 @@ def test_join_equals_brute_force(spark, monkeypatch, k, percent, paired, block):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute_components(rows, k, percent)
 
 
+def kept_tables(monkeypatch):
+    """Rows of the tables that the join writes, by name (of the first of a name)."""
+    written, rows = J.written, {}
+
+    def count(df, name):
+        out = written(df, name)
+        rows.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(J, "written", count)
+    return rows
+
+
+def test_join_of_more_shingles_than_counters(spark, monkeypatch):
+    """Common words meet in any order by chance; a sketch full of other shingles must not make such shingles the rare ones."""
+    monkeypatch.setattr(J, "SKETCH_BITS", 8)
+    rnd = random.Random(5)
+    common, rows = [f"c{i}" for i in range(12)], []
+    for i in range(400):
+        rows.append((i, " ".join(f"r{rnd.randrange(10**9)}" if rnd.random() < 0.15 else rnd.choice(common) for _ in range(80))))
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(20)]
+    kept = kept_tables(monkeypatch)
+    got = J.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), count_links=True).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute_components(rows, 3, 90)
+    assert kept["postings"] < 20 * 2 * 15 + 100 and kept["groups"] == 40
+
+
+def test_shared_passage_makes_no_group(spark, monkeypatch):
+    """Texts that share a passage with the next one are no candidates, so they don't chain into one group."""
+    rnd = random.Random(6)
+    passages = [[f"p{g}x{i}" for i in range(14)] for g in range(61)]
+    rows = [(i, " ".join(passages[i] + [f"w{rnd.randrange(10**9)}" for _ in range(200)] + passages[i + 1])) for i in range(60)]
+    rows += [(100 + i, t.rsplit(" ", 2)[0]) for i, t in rows[:5]]
+    kept = kept_tables(monkeypatch)
+    got = J.ngram_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=5, percent=80, count_links=True).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == brute_components(rows, 5, 80)
+    assert kept["groups"] == 10
+
+
+def test_similar_sets_share_enough(spark):
+    """``enough`` is a lower bound, met by some pairs, for all sizes and prefixes."""
+    rnd, pairs = random.Random(7), []
+    for _ in range(3000):
+        percent, n = rnd.choice((80, 90)), rnd.randrange(1, 60)
+        x = set(rnd.sample(range(10**6), n))
+        y = set(rnd.sample(sorted(x), n - rnd.randrange(0, n // 5 + 1))) | {rnd.randrange(10**6) for _ in range(rnd.randrange(0, n // 5 + 1))}
+        if 100 * len(x & y) < percent * len(x | y):
+            continue
+        ends = [rnd.randrange(1, min(4, -(-percent * len(s) // 100)) + 1) for s in (x, y)]
+        a, b = (set(sorted(s)[:len(s) - -(-percent * len(s) // 100) + l]) for s, l in zip((x, y), ends))
+        pairs.append((percent, len(x), len(y), *ends, len(a & b)))
+    df = spark.createDataFrame(pairs, "percent int, n long, n2 long, need int, need2 int, shared int")
+    for percent in (80, 90):
+        spare = [r.spare for r in df.filter(df.percent == percent).select((df.shared - J.enough(percent)).alias("spare")).collect()]
+        assert min(spare) == 0 and len(spare) > 300
+
+
 def test_poisson_tail():
     import numpy as np
 
